@@ -1,0 +1,6 @@
+"""No streaming operators of its own: nothing in scope reads unbounded input.
+
+The stateless functions take a streaming DataFrame as they are:
+``split_hash``, ``equals_nocase``, ``name_contains``, ``cosine_weight`` and the
+band cut of ``tile_rows``.
+"""
