@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavemill.plans import spectral  # noqa: F401
+from wavemill.plans import methods, private, slicing, spectral, statistics  # noqa: F401
 from wavemill.plans.registry import CHECKS, QUERIES
 
 
