@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the integer generator shared with the SQL checks.
@@ -26,17 +26,22 @@ def uniform(seed, *parts: Column) -> Column:
     return u32(seed, *parts) / F.lit(4294967296.0)
 
 
-def scramble(base: Column, draw: Column) -> Column:
-    """Integer in [0, MODULUS) from a row's base hash and a draw number.
+def with_draws(df: DataFrame, base: str, draws: int, out: str = "x", draw: str = "b") -> DataFrame:
+    """Repeat each row ``draws`` times, numbered ``draw``, with an integer ``out`` in [0, MODULUS).
 
-    One md5 per row and a few multiplications per draw; every product stays
-    below 2**62, so it is exact in BIGINT arithmetic.
+    One md5 per row (its ``base``) and a few multiplications per draw; every
+    product stays below 2**62, so it is exact in BIGINT arithmetic. Each step is a
+    column of its own, so squares are not expanded into copies of the expression.
     """
-    x = (base + draw * F.lit(STRIDE)) % F.lit(MODULUS)
-    x = (x * x + F.lit(INCREMENTS[0])) % F.lit(MODULUS)
-    x = (x * F.lit(MULTIPLIERS[0]) + draw) % F.lit(MODULUS)
-    x = (x * x + F.lit(INCREMENTS[1])) % F.lit(MODULUS)
-    return (x * F.lit(MULTIPLIERS[1])) % F.lit(MODULUS)
+    p = F.lit(MODULUS)
+    b, x = F.col(draw), F.col(out)
+    numbered = df.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
+        out, (F.col(base) + b.cast("bigint") * F.lit(STRIDE)) % p
+    )
+    for multiplier, increment, shift in zip(MULTIPLIERS, INCREMENTS, (b, F.lit(0))):
+        numbered = numbered.withColumn(out, (x * x + F.lit(increment)) % p)
+        numbered = numbered.withColumn(out, (x * F.lit(multiplier) + shift) % p)
+    return numbered
 
 
 def poisson_cuts() -> list[int]:

@@ -133,7 +133,7 @@ def cholesky_r(rows: DataFrame, eps: float = RIDGE) -> DataFrame:
     """Upper factor of WᵀW + eps*I per matrix, as dense records with array ``factor``."""
     ridge = F.when(F.col("i") == F.col("j"), F.lit(float(eps))).otherwise(F.lit(0.0))
     square = dense_from_cells(gram(rows), vals=F.col("v") + ridge)
-    return map_matrices(square, "vals", "factor", _upper_factor)
+    return map_matrices(square, {"factor": "vals"}, _upper_factor)
 
 
 def select_qr_rows(rows: DataFrame, fraction: float = 0.25) -> DataFrame:

@@ -27,7 +27,7 @@ def kept(c: str = "c", keep: str = "keep") -> Column:
 def project(coef: DataFrame, c: str = "c", keep: str = "keep", out: str = "projected", **carry) -> DataFrame:
     """Forward coefficients, selection, inverse; ``carry`` names further arrays to take along."""
     dense = dense_from_cells(coef, at=("k", "l"), **{out: kept(c, keep)}, **carry)
-    return idct2d(dense, out, out)
+    return idct2d(dense, **{out: out})
 
 
 def blend(projected: Column, share: Column, original: Column) -> Column:
@@ -54,8 +54,7 @@ def progressive(coef: DataFrame, full: str = "full", low: str = "low", c: str =
     dense = dense_from_cells(
         coef, at=("k", "l"), a=kept(c, low), b=kept(c_delta, full), d=between, s=share, v=v
     )
-    for name in ("a", "b", "d"):
-        dense = idct2d(dense, name, name)
+    dense = idct2d(dense, a="a", b="b", d="d")
     table = cells(dense, a="a", b="b", d="d", s="s", v="v")
     second = blend(F.col("b"), F.col("s"), F.col("v"))
     levels = F.array(
@@ -107,7 +106,7 @@ def tensor_project(table: DataFrame, profile: DataFrame, layers: int, heads: int
     weighed = coef.join(profile.select("k", "l", "share"), ["k", "l"]).withColumn(
         "c", F.col("c") * F.col("share")
     )
-    dense = idct2d(dense_from_cells(weighed, at=("k", "l"), keep=("layer", "head"), vals="c"), "vals", "vals")
+    dense = idct2d(dense_from_cells(weighed, at=("k", "l"), keep=("layer", "head"), vals="c"), vals="vals")
     return cells(dense, keep=("layer", "head"), v="vals")
 
 

@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 from wavemill.functions.hashing import u32
 from wavemill.functions.numeric import integer_levels, magnitude_level
 
+KEY = "__key"
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL; keeps the left copy of the keys."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"__{k}")
-    cond = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
+    """Equi-join on ``keys`` where NULL matches NULL; keeps the left copy of the keys.
+
+    The keys are compared as one struct, whose NULL fields are equal. A left side
+    already laid out by the same struct in a window is not shuffled again.
+    """
+    mine = left if KEY in left.columns else left.withColumn(KEY, F.struct(*keys))
+    theirs = right.select(F.struct(*keys).alias(KEY), *[c for c in right.columns if c not in keys])
+    return mine.join(theirs, KEY, how).drop(KEY)
 
 
 def prefix_offsets(
@@ -60,8 +64,8 @@ def rank_in_group(
     cut = df.select("*", *[c.alias(n) for c, n in zip(levels, names)])
     counts = cut.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("__n"))
     offsets = prefix_offsets(counts, group, names, ["__n"]).select(*group, *names, "before___n")
-    w = Window.partitionBy(*group, *names).orderBy(*order)
-    placed = cut.withColumn("__row", F.row_number().over(w))
+    w = Window.partitionBy(KEY).orderBy(*order)
+    placed = cut.withColumn(KEY, F.struct(*group, *names)).withColumn("__row", F.row_number().over(w))
     joined = join_null_safe(placed, offsets, [*group, *names])
     return joined.withColumn(out, F.col("before___n") + F.col("__row") - F.lit(1)).drop(
         "before___n", "__row", *names
@@ -128,8 +132,10 @@ def average_ranks(df: DataFrame, group: list[str], value: str, weights: dict[str
     )
     counts = distinct.groupBy(*group, "__level").agg(F.sum("ties").alias("ties"))
     offsets = prefix_offsets(counts, group, ["__level"], ["ties"]).drop("ties")
-    w = Window.partitionBy(*group, "__level").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = distinct.withColumn("__inside", F.coalesce(F.sum("ties").over(w), F.lit(0)))
+    w = Window.partitionBy(KEY).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = distinct.withColumn(KEY, F.struct(*group, "__level")).withColumn(
+        "__inside", F.coalesce(F.sum("ties").over(w), F.lit(0))
+    )
     first = F.col("before_ties") + F.col("__inside")
     return (
         join_null_safe(placed, offsets, [*group, "__level"])

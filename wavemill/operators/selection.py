@@ -127,35 +127,45 @@ def _fit_all(points: DataFrame, clusters: int, seeds) -> list:
         return pool.map(lambda s: KMeans(k=clusters, seed=s).fit(points), list(seeds))
 
 
+def _largest_cluster(spark, n_rows: int, n_cols: int, clusters: int, seeds) -> DataFrame:
+    """Places (k, l) of the largest cluster of one grid; the lowest cluster number wins a tie."""
+    size = n_rows * n_cols
+    grid = spark.range(0, size, 1, max(1, size // 65536)).select(
+        F.floor(F.col("id") / n_cols).cast("int").alias("k"), (F.col("id") % n_cols).cast("int").alias("l")
+    )
+    if size == 1:
+        return grid
+    points = VectorAssembler(inputCols=PLACE, outputCol="features").transform(grid).cache()
+    fits = _fit_all(points, min(clusters, size), seeds)
+    best = min(fits, key=lambda m: m.summary.trainingCost)
+    sizes = best.summary.clusterSizes
+    points.unpersist()
+    labelled = best.transform(points)
+    return labelled.where(F.col("prediction") == sizes.index(max(sizes))).select(*PLACE)
+
+
 def select_cluster(
-    coef: DataFrame, clusters: int = CLUSTERS, starts: int = STARTS, seed: int = 42, out: str = "keep"
+    coef: DataFrame, clusters: int = CLUSTERS, starts: int = STARTS, seed: int = 42, out: str = "keep",
+    shapes: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the largest k-means cluster of the coefficient grid.
 
     The features are the grid coordinates, so matrices of one shape share one
-    clustering; it is fitted on the distinct places, not on every matrix. The
-    loop runs over shapes, which a tiled collection has few of.
+    clustering, fitted on the grid. ``shapes`` may give the (n_rows, n_cols) of the
+    collection where that is cheaper to read than from ``coef``; the loop runs over
+    distinct shapes only.
     """
-    places = coef.select(*SHAPE, *PLACE).distinct()
-    shapes = [tuple(r) for r in coef.select(*SHAPE).distinct().sort(*SHAPE).toLocalIterator()]
-    chosen = None
-    for n_rows, n_cols in shapes:
-        grid = places.where((F.col("n_rows") == n_rows) & (F.col("n_cols") == n_cols))
-        points = VectorAssembler(inputCols=PLACE, outputCol="features").transform(grid).cache()
-        if n_rows * n_cols > 1:
-            fits = _fit_all(points, min(clusters, n_rows * n_cols), range(seed, seed + starts))
-            labelled = min(fits, key=lambda m: m.summary.trainingCost).transform(points)
-        else:
-            labelled = points.withColumn("prediction", F.lit(0))
-        sizes = labelled.groupBy("prediction").agg(F.count(F.lit(1)).alias("__n"))
-        # One row per cluster, so this reads at most ``clusters`` rows.
-        largest = sizes.orderBy(F.desc("__n"), "prediction").first()["prediction"]
-        part = labelled.where(F.col("prediction") == largest).select(*SHAPE, *PLACE)
-        points.unpersist()
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    spark = coef.sparkSession
+    shapes = (coef if shapes is None else shapes).select(*SHAPE).distinct()
+    seeds = range(seed, seed + starts)
+    hit = None
+    for n_rows, n_cols in [tuple(r) for r in shapes.sort(*SHAPE).toLocalIterator()]:
+        part = _largest_cluster(spark, n_rows, n_cols, clusters, seeds).select(
+            F.lit(n_rows).alias("n_rows"), F.lit(n_cols).alias("n_cols"), *PLACE, F.lit(True).alias(out)
+        )
+        hit = part if hit is None else hit.unionByName(part)
+    if hit is None:
         return coef.withColumn(out, F.lit(False))
-    hit = chosen.withColumn(out, F.lit(True))
     return coef.join(hit, [*SHAPE, *PLACE], "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 

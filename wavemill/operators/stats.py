@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.functions.hashing import MODULUS, poisson_weight, scramble, u32
+from wavemill.functions.hashing import MODULUS, poisson_weight, u32, with_draws
 from wavemill.functions.numeric import present
 from wavemill.functions.tails import normal_two_sided, signed_rank_exact, t_two_sided
 from wavemill.operators.ranking import average_ranks, rank_by_id
@@ -48,15 +48,12 @@ def bootstrap_poisson(values: DataFrame, resamples: int = RESAMPLES, seed: int =
     task are shuffled, however many values there are.
     """
     based = values.withColumn("__base", F.shiftright(u32(seed, F.col("method"), F.col("seed")), 4))
-    drawn = based.select(
-        "method", "value", "__base", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")
-    ).withColumn("w", poisson_weight(scramble(F.col("__base"), F.col("b").cast("bigint"))))
+    drawn = with_draws(based, "__base", resamples).select("method", "value", "b", poisson_weight(F.col("x")).alias("w"))
     sums = (
-        drawn.where(F.col("w") > 0)
-        .groupBy("method", "b")
+        drawn.groupBy("method", "b")
         .agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("value")).alias("wx"))
     )
-    return _interval(sums.select("method", (F.col("wx") / F.col("w")).alias("mean")))
+    return _interval(sums.select("method", F.try_divide("wx", "w").alias("mean")))
 
 
 def bootstrap_exact(values: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
@@ -70,11 +67,8 @@ def bootstrap_exact(values: DataFrame, resamples: int = RESAMPLES, seed: int = 0
     based = ranked.join(sizes, "method").withColumn(
         "__base", F.shiftright(u32(seed, F.col("method"), F.col("rank")), 4)
     )
-    drawn = based.select(
-        "method", "n", "__base", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")
-    )
-    x = scramble(F.col("__base"), F.col("b").cast("bigint"))
-    picks = drawn.select("method", "b", F.floor(x * F.col("n") / F.lit(float(MODULUS))).alias("rank"))
+    drawn = with_draws(based.select("method", "n", "__base"), "__base", resamples)
+    picks = drawn.select("method", "b", F.floor(F.col("x") * F.col("n") / F.lit(float(MODULUS))).alias("rank"))
     taken = picks.join(ranked.select("method", "rank", "value"), ["method", "rank"])
     return _interval(taken.groupBy("method", "b").agg(F.avg("value").alias("mean")))
 

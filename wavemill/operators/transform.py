@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavemill.functions import cosine
-from wavemill.operators.matrix import ID, SHAPE, cells, dense_from_cells
+from wavemill.operators.matrix import ID, SHAPE, cells
 
 
 def _stacked(batch: pa.RecordBatch, column: str, kernel) -> pa.Array:
@@ -35,28 +35,29 @@ def _stacked(batch: pa.RecordBatch, column: str, kernel) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))
 
 
-def map_matrices(dense: DataFrame, column: str, out: str, kernel: Callable) -> DataFrame:
-    """Add the array column ``out`` = shape-preserving ``kernel`` of ``column``."""
-    schema = T.StructType(
-        [*[f for f in dense.schema.fields if f.name != out], T.StructField(out, T.ArrayType(T.DoubleType()))]
-    )
+def map_matrices(dense: DataFrame, arrays: dict[str, str], kernel: Callable) -> DataFrame:
+    """Add (or replace) array columns: ``arrays`` maps new names to the arrays ``kernel`` is applied to."""
+    kept = [f for f in dense.schema.fields if f.name not in arrays]
+    schema = T.StructType([*kept, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in arrays]])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                done = _stacked(batch, column, kernel)
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names[:-1]], done], names)
+                done = [_stacked(batch, source, kernel) for source in arrays.values()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *done], names)
 
     return dense.mapInArrow(run, schema)
 
 
-def dct2d(dense: DataFrame, column: str = "vals", out: str = "coef") -> DataFrame:
-    return map_matrices(dense, column, out, cosine.forward_2d)
+def dct2d(dense: DataFrame, **arrays: str) -> DataFrame:
+    """Forward transform: ``dct2d(d, coef="vals")``; several arrays share one pass."""
+    return map_matrices(dense, arrays or {"coef": "vals"}, cosine.forward_2d)
 
 
-def idct2d(dense: DataFrame, column: str = "coef", out: str = "vals") -> DataFrame:
-    return map_matrices(dense, column, out, cosine.inverse_2d)
+def idct2d(dense: DataFrame, **arrays: str) -> DataFrame:
+    """Inverse transform: ``idct2d(d, vals="coef")``."""
+    return map_matrices(dense, arrays or {"vals": "coef"}, cosine.inverse_2d)
 
 
 def _rows_along(rows: DataFrame, kernel, width: int) -> DataFrame:
@@ -138,18 +139,10 @@ def dct_axis(table: DataFrame, axis: str, value: str = "v") -> DataFrame:
             F.transform("__line", lambda p: p["x"]).alias("__vals"),
         )
     )
-    done = dct2d(lines, "__vals", "__coef")
+    done = dct2d(lines, __coef="__vals")
     return done.select(*others, F.posexplode("__coef").alias(axis, value)).select(*table.columns)
 
 
 def coefficients(dense: DataFrame, **arrays: str) -> DataFrame:
     """Coefficient cells at (k, l); by default column ``c`` from array ``coef``."""
     return cells(dense, at=("k", "l"), **(arrays or {"c": "coef"}))
-
-
-def invert_cells(coef: DataFrame, carry: dict | None = None, **values) -> DataFrame:
-    """Gather complete coefficient cells and invert each named value back to the spatial domain."""
-    dense = dense_from_cells(coef, at=("k", "l"), **values, **(carry or {}))
-    for name in values:
-        dense = idct2d(dense, name, name)
-    return dense

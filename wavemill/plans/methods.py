@@ -259,8 +259,7 @@ def segment_transfer(spark, sf_dir):
         "n_cols",
         *[F.slice(c, F.lit(1), rows * F.col("n_cols")).alias(c) for c in ("sv", "sg", "tv", "tg")],
     )
-    for name in ("sv", "sg", "tv", "tg"):
-        cropped = dct2d(cropped, name, name)
+    cropped = dct2d(cropped, sv="sv", sg="sg", tv="tv", tg="tg")
     coef = cells(cropped, at=("k", "l"), keep=("src", "tgt"), sc="sv", sg="sg", tc="tv", tg="tg")
     coef = selection.energy_profile(selection.energy_profile(coef, c="sc", out="ss"), c="tc", out="ts")
     coef = coef.withColumn("xs", projection.adapted_share(F.col("ss"), F.col("ts")))
@@ -317,8 +316,7 @@ def strategy_ablation(spark, sf_dir):
     values = {f"p{n}": projection.kept("c", f"keep{n}") for n in range(len(arms))}
     flags = {f"k{n}": F.col(f"keep{n}").cast("double") for n in range(len(arms))}
     dense = dense_from_cells(coef, at=("k", "l"), s="share", v="v", **values, **flags)
-    for name in values:
-        dense = idct2d(dense, name, name)
+    dense = idct2d(dense, **{name: name for name in values})
     table = cells(dense, s="s", v="v", **{n: n for n in [*values, *flags]})
     per_matrix = table.groupBy(ID).agg(
         *[
@@ -348,7 +346,7 @@ def method_cells(spark, sf_dir) -> DataFrame:
         coef, at=("k", "l"), v="v", p=projection.kept("c", "by_energy"), t=projection.kept("c", "by_size"),
         kp=F.col("by_energy").cast("double"), kt=F.col("by_size").cast("double"),
     )
-    table = cells(idct2d(idct2d(both, "p", "p"), "t", "t"), v="v", p="p", t="t", kp="kp", kt="kt")
+    table = cells(idct2d(both, p="p", t="t"), v="v", p="p", t="t", kp="kp", kt="kt")
     return approx.quantize(table, out="rounded")
 
 
@@ -440,15 +438,13 @@ FROM back GROUP BY matrix_id""",
 def check_linearity(spark, sf_dir):
     """Projecting a mix of two matrices against mixing their projections: relative residual, about 0."""
     dense = weighted_sum(inputs.supplier_months(spark, sf_dir), "vals", "grad", 0.5, 0.3, "mix")
-    for name in ("vals", "grad", "mix"):
-        dense = dct2d(dense, name, name)
-    coef = selection.energy_profile(coefficients(dense, c="vals", g="grad", x="mix"))
+    dense = dct2d(dense, c="vals", g="grad", x="mix")
+    coef = selection.energy_profile(coefficients(dense, c="c", g="g", x="x"))
     kept = selection.select_energy(coef, TAU)
     back = dense_from_cells(
         kept, at=("k", "l"), a=projection.kept("c"), b=projection.kept("g"), x=projection.kept("x")
     )
-    for name in ("a", "b", "x"):
-        back = idct2d(back, name, name)
+    back = idct2d(back, a="a", b="b", x="x")
     off = F.col("x") - F.lit(0.5) * F.col("a") - F.lit(0.3) * F.col("b")
     size = F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(score.NORM_FLOOR))
     return cells(back, a="a", b="b", x="x").groupBy(ID).agg(
@@ -469,7 +465,7 @@ def check_isometry(spark, sf_dir):
     marked = dense_from_cells(
         kept, at=("k", "l"), p=projection.kept("c"), c="c", keep_it=F.col("keep").cast("double")
     )
-    again = dct2d(idct2d(marked, "p", "p"), "p", "d")
+    again = dct2d(idct2d(marked, p="p"), d="p")
     table = cells(again, at=("k", "l"), c="c", d="d", w="keep_it")
 
     def norm(x):

@@ -30,7 +30,7 @@ def _cells_sql(parts: list[str], places: int, source: str = "cells", v: str = "v
 
 def supplier_coefficients(spark, sf_dir, **more) -> DataFrame:
     """Coefficient cells with those of the gradient (g), the original (v) and the share."""
-    dense = dct2d(dct2d(inputs.supplier_months(spark, sf_dir), "vals", "coef"), "grad", "gcoef")
+    dense = dct2d(inputs.supplier_months(spark, sf_dir), coef="vals", gcoef="grad")
     return selection.energy_profile(coefficients(dense, c="coef", g="gcoef", v="vals", **more))
 
 
@@ -127,7 +127,7 @@ def dct2d_by_strips(spark, sf_dir):
 
 @query(_cells_sql([*q.user_cells(), *q.forward("cells", "raw"), *q.inverse("raw", "back", {"v": "x.c"})], 4, "back"))
 def dct_roundtrip(spark, sf_dir):
-    back = idct2d(dct2d(inputs.user_hours(spark, sf_dir)), "coef", "back")
+    back = idct2d(dct2d(inputs.user_hours(spark, sf_dir)), back="coef")
     return _cells_out(cells(back, v="back"), 4)
 
 
@@ -183,8 +183,8 @@ def select_gradient(spark, sf_dir):
 
 @query()
 def select_cluster(spark, sf_dir):
-    coef = coefficients(dct2d(inputs.supplier_months(spark, sf_dir)))
-    return selection.positions(selection.select_cluster(coef))
+    dense = inputs.supplier_months(spark, sf_dir)
+    return selection.positions(selection.select_cluster(coefficients(dct2d(dense)), shapes=dense))
 
 
 @query(
@@ -257,13 +257,13 @@ BLEND_JOIN = "JOIN prof s ON s.matrix_id = b.matrix_id AND s.k = b.i AND s.l = b
 def spectral_blend(spark, sf_dir):
     """Blend without and with a delta (a hundredth of the gradient)."""
     dense = weighted_sum(inputs.supplier_months(spark, sf_dir), "vals", "grad", 1.0, 0.01, "moved")
-    dense = dct2d(dct2d(dct2d(dense, "vals", "coef"), "grad", "gcoef"), "moved", "mcoef")
+    dense = dct2d(dense, coef="vals", gcoef="grad", mcoef="moved")
     coef = selection.energy_profile(coefficients(dense, c="coef", g="gcoef", d="mcoef", v="vals"))
     kept = selection.select(coef, tau=TAU)
     both = dense_from_cells(
         kept, at=("k", "l"), p=projection.kept("c"), d=projection.kept("d"), s="share", v="v"
     )
-    table = cells(idct2d(idct2d(both, "p", "p"), "d", "d"), p="p", d="d", s="s", v="v")
+    table = cells(idct2d(both, p="p", d="d"), p="p", d="d", s="s", v="v")
 
     def blended(name):
         return tidy(projection.blend(F.col(name), F.col("s"), F.col("v")), 4)
