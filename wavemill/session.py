@@ -33,7 +33,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="wavemill-")
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/wavemill/{label}-{uuid.uuid4().hex}"
 
 
