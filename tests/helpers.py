@@ -1,9 +1,9 @@
 """Small matrices to and from the tables of the library."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from wavemill.operators.matrix import cells
+from wavemill.operators.selection import positions
 
 
 def dense_of(spark, matrices, **more):
@@ -26,9 +26,10 @@ def matrix_from(dense, column):
     return {r.matrix_id: np.array(r[column]).reshape(r.n_rows, r.n_cols) for r in dense.collect()}
 
 
-def places(selection, keep="keep"):
+def places(dense, keep="keep"):
+    """Kept places by matrix, from records."""
     out = {}
-    for r in selection.where(F.col(keep)).select("matrix_id", "k", "l").collect():
+    for r in positions(dense, keep).collect():
         out.setdefault(r.matrix_id, set()).add((r.k, r.l))
     return out
 

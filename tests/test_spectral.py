@@ -26,11 +26,11 @@ def dense(spark):
 
 @pytest.fixture(scope="module")
 def profile(dense):
-    return selection.energy_profile(coefficients(dct2d(dense), c="coef", v="vals")).cache()
+    return selection.energy_profile(dct2d(dense, coef="vals")).cache()
 
 
 def test_forward_matches_definition_and_inverts(dense):
-    done = idct2d(dct2d(dense), back="coef")
+    done = idct2d(dct2d(dense, coef="vals"), back="coef")
     got, back = matrix_from(done, "coef"), matrix_from(done, "back")
     for name, m in MATRICES.items():
         assert np.allclose(got[name], dct(m), atol=1e-12)
@@ -82,29 +82,41 @@ def test_selection_by_energy(profile):
     assert len(got["zero"]) == 20
 
 
-def test_bucket_selection_is_the_same(profile):
+def cell_places(marked):
+    out = {}
+    for r in marked.where("keep").select("matrix_id", "k", "l").collect():
+        out.setdefault(r.matrix_id, set()).add((r.k, r.l))
+    return out
+
+
+def test_cells_of_any_size_are_selected_alike(profile):
     kept = profile.where(F.col("matrix_id") != "flat")
-    for tau in (0.3, 0.85, 1.0):
-        assert places(selection.select_energy_buckets(kept, tau, bits=3)) == places(selection.select_energy(kept, tau))
+    table = coefficients(kept, c="coef", share="share", g="coef")
+    # At tau = 1 two sums of the same numbers in different order are compared; the integer case below covers it.
+    for tau in (0.3, 0.85, 0.99):
+        assert cell_places(selection.select_energy_cells(table, tau, bits=3)) == places(selection.select_energy(kept, tau))
+    for fraction in (0.01, 0.25, 1.0):
+        want = places(selection.select_gradient(kept, fraction, "coef"))
+        assert cell_places(selection.select_gradient_cells(table, fraction, bits=2)) == want
 
 
-def test_bucket_selection_with_ties(spark):
+def test_ties_are_taken_by_position(spark):
     """Integer shares with many ties: the order among equals is (k, l)."""
-    rows = [("t", 10, 10, p // 10, p % 10, float(1 + p % 2)) for p in range(100)]
-    table = spark.createDataFrame(rows, "matrix_id string, n_rows int, n_cols int, k int, l int, share double")
-    for tau in (0.5, 0.8, 0.98):
-        a = places(selection.select_energy_buckets(table, tau))
-        assert a == places(selection.select_energy(table, tau))
-        assert a["t"]
+    shares = [float(1 + p % 2) for p in range(100)]
+    dense = spark.createDataFrame([("t", 10, 10, shares)], "matrix_id string, n_rows int, n_cols int, share array<double>")
+    table = coefficients(dense, share="share")
+    order = sorted(range(100), key=lambda p: (-shares[p], p))
+    for tau in (0.5, 0.8, 0.98, 1.0):
+        kept = {divmod(p, 10) for p, run in zip(order, np.cumsum([shares[p] for p in order])) if run <= tau * 150}
+        assert places(selection.select_energy(dense, tau))["t"] == kept
+        assert cell_places(selection.select_energy_cells(table, tau))["t"] == kept
 
 
-def test_large_profile_is_the_same(profile):
-    again = selection.energy_profile(profile.drop("share"), large=True)
-    joined = profile.select("matrix_id", "k", "l", "share").join(
-        again.select("matrix_id", "k", "l", F.col("share").alias("b")), ["matrix_id", "k", "l"]
-    )
-    assert joined.count() == profile.count()
-    assert joined.where(F.abs(F.col("share") - F.col("b")) > 1e-12).count() == 0
+def test_cell_profile_is_the_same(profile):
+    table = coefficients(profile, c="coef", share="share")
+    again = selection.cell_profile(table.drop("share"), out="b").join(table, ["matrix_id", "k", "l"])
+    assert again.count() == table.count()
+    assert again.where(F.abs(F.col("share") - F.col("b")) > 1e-12).count() == 0
 
 
 def test_energy_grows_with_tau(profile):
@@ -116,7 +128,7 @@ def test_gradient_count_and_combinations(spark):
     names = ["square", "wide", "one"]
     grads = {n: RNG.standard_normal(SHAPES[n]) for n in names}
     dense = dense_of(spark, {n: MATRICES[n] for n in names}, grad=grads)
-    coef = selection.energy_profile(coefficients(dct2d(dense, coef="vals", g="grad"), c="coef", g="g")).cache()
+    coef = selection.energy_profile(dct2d(dense, coef="vals", gcoef="grad")).cache()
     by_gradient = places(selection.select(coef, "gradient"))
     assert {n: len(p) for n, p in by_gradient.items()} == {"square": 16, "wide": 9, "one": 1}
     by_energy = places(selection.select(coef, "energy-only", tau=0.85))
@@ -131,12 +143,12 @@ def test_unknown_names_raise(profile):
     with pytest.raises(ValueError):
         selection.select(profile, "loudest")
     with pytest.raises(ValueError):
-        selection.select(profile.withColumn("g", F.col("c")), combine="xor")
+        selection.select(profile.withColumn("gcoef", F.col("coef")), combine="xor")
 
 
 def test_cluster_is_the_largest_cell_of_a_partition(spark):
-    coef = coefficients(dct2d(dense_of(spark, {"a": RNG.standard_normal((8, 10)), "b": np.ones((8, 10)), "c": [[1.0]]})))
-    got = places(selection.select_cluster(coef, clusters=4, starts=3))
+    dense = dense_of(spark, {"a": RNG.standard_normal((8, 10)), "b": np.ones((8, 10)), "c": [[1.0]]})
+    got = places(selection.select_cluster(dct2d(dense), clusters=4, starts=3))
     # Coordinates are the only features, so matrices of one shape agree.
     assert got["a"] == got["b"] and len(got["a"]) >= 80 / 4
     assert got["c"] == {(0, 0)}
@@ -159,7 +171,7 @@ def test_mask_algebra(spark):
 
 
 def test_full_mask_is_identity_and_blend(profile):
-    every = profile.withColumn("keep", F.lit(True))
+    every = profile.withColumn("keep", F.transform("coef", lambda x: F.lit(True)))
     assert all(np.allclose(p, MATRICES[n], atol=1e-12) for n, p in matrix_from(projection.project(every), "projected").items())
     kept = selection.select_energy(profile, 0.6)
     projected = matrix_from(projection.project(kept), "projected")
@@ -207,11 +219,11 @@ def test_empty_mask_ratio_has_a_floor(spark):
 
 def test_nan_cell_keeps_nothing_and_scores_zero(spark):
     dense = dense_of(spark, {"bad": [[1.0, float("nan")], [2.0, 3.0]]})
-    prof = selection.energy_profile(coefficients(dct2d(dense)))
+    prof = selection.energy_profile(dct2d(dense))
     assert places(selection.select_energy(prof)) == {}
-    assert places(selection.select_energy_buckets(prof)) == {}
-    r = selection.select_energy(prof).agg(score.retained_energy(F.col("c"), F.col("keep")).alias("r")).first().r
-    assert r == 0.0
+    assert cell_places(selection.select_energy_cells(coefficients(prof, share="share"))) == {}
+    kept = coefficients(selection.select_energy(prof), c="coef", keep="keep")
+    assert kept.agg(score.retained_energy(F.col("c"), F.col("keep")).alias("r")).first().r == 0.0
 
 
 def test_missing_cell_counts_as_zero(spark):

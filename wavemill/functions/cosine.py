@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 DENSE_LIMIT = 256
 
 
-@lru_cache(maxsize=64)
 def basis(size: int) -> np.ndarray:
     """Rows are frequencies, columns are positions."""
     k = np.arange(size)[:, None]

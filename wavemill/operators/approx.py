@@ -40,8 +40,8 @@ def parameter_count(keep_fraction: float | None = None, rank: int = RANK) -> Col
     return F.greatest(F.lit(1), F.least(wanted, size))
 
 
-def select_topk(coef: DataFrame, keep_fraction: float | None = None, out: str = "keep") -> DataFrame:
-    return select_largest(coef, parameter_count(keep_fraction), "c", out)
+def select_topk(dense: DataFrame, keep_fraction: float | None = None, out: str = "keep") -> DataFrame:
+    return select_largest(dense, parameter_count(keep_fraction), "coef", out)
 
 
 def cosine_weight(i: Column, j: Column, n_rows: Column, n_cols: Column) -> Column:

@@ -98,21 +98,21 @@ def dense_from_facts(
     )
 
 
-def cells(dense: DataFrame, at=("i", "j"), keep=(), **arrays: str) -> DataFrame:
+def cells(dense: DataFrame, at=("i", "j"), carry=(), **arrays: str) -> DataFrame:
     """Explode arrays of dense records side by side: ``cells(d, v="vals", c="coef")``."""
     row, col = at
     zipped = F.arrays_zip(*[F.col(source).alias(name) for name, source in arrays.items()])
-    return dense.select(ID, *SHAPE, *keep, F.posexplode(zipped).alias("__pos", "__cell")).select(
+    return dense.select(ID, *SHAPE, *carry, F.posexplode(zipped).alias("__pos", "__cell")).select(
         ID,
         *SHAPE,
-        *keep,
+        *carry,
         F.floor(F.col("__pos") / F.col("n_cols")).cast("int").alias(row),
         (F.col("__pos") % F.col("n_cols")).cast("int").alias(col),
         *[F.col("__cell")[name].alias(name) for name in arrays],
     )
 
 
-def dense_from_cells(table: DataFrame, at=("i", "j"), keep=(), **values: Column | str) -> DataFrame:
+def dense_from_cells(table: DataFrame, at=("i", "j"), carry=(), **values: Column | str) -> DataFrame:
     """Gather complete cells into dense records. A table already laid out by matrix is not shuffled again."""
     row, col = at
     pos = F.col(row) * F.col("n_cols") + F.col(col)
@@ -120,12 +120,12 @@ def dense_from_cells(table: DataFrame, at=("i", "j"), keep=(), **values: Column
         pos.alias("pos"),
         *[(F.col(e) if isinstance(e, str) else e).cast("double").alias(n) for n, e in values.items()],
     )
-    gathered = table.groupBy(ID, *SHAPE, *keep).agg(F.sort_array(F.collect_list(entries)).alias("__c"))
+    gathered = table.groupBy(ID, *SHAPE, *carry).agg(F.sort_array(F.collect_list(entries)).alias("__c"))
 
     def pick(name):
         return F.transform("__c", lambda c: c[name]).alias(name)
 
-    return gathered.select(ID, *SHAPE, *keep, *[pick(n) for n in values])
+    return gathered.select(ID, *SHAPE, *carry, *[pick(n) for n in values])
 
 
 def crop(table: DataFrame, rows: Column | int, cols: Column | int, at=("i", "j")) -> DataFrame:

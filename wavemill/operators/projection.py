@@ -1,8 +1,7 @@
 """Projection on selected coefficients, and the blends built from it.
 
-Functions take complete coefficient cells with a BOOLEAN selection and return
-dense records; ``cells`` explodes them again. Carried arrays travel in the same
-record, so blending needs no join.
+All work on dense records: the selection, the profile and the original travel in
+the same record as the coefficients, so nothing is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import clip
 from wavemill.operators.matrix import ID, SHAPE, cells, dense_from_cells
+from wavemill.operators.selection import first_not_second
 from wavemill.operators.transform import dct2d, dct_axis, idct2d
 
 # Weight of the refinement in the third level, bounds of the specific part.
@@ -20,14 +20,14 @@ SHARED_FLOOR = 1e-6
 SPECIFIC_RANGE = (0.5, 2.0)
 
 
-def kept(c: str = "c", keep: str = "keep") -> Column:
-    return F.when(F.col(keep), F.col(c)).otherwise(F.lit(0.0))
+def kept(c: str = "coef", keep: Column | str = "keep") -> Column:
+    """Coefficients with 0 in the places that are not kept."""
+    return F.zip_with(c, keep, lambda x, k: F.when(k, x).otherwise(F.lit(0.0)))
 
 
-def project(coef: DataFrame, c: str = "c", keep: str = "keep", out: str = "projected", **carry) -> DataFrame:
-    """Forward coefficients, selection, inverse; ``carry`` names further arrays to take along."""
-    dense = dense_from_cells(coef, at=("k", "l"), **{out: kept(c, keep)}, **carry)
-    return idct2d(dense, **{out: out})
+def project(dense: DataFrame, c: str = "coef", keep: str = "keep", out: str = "projected") -> DataFrame:
+    """Inverse of the kept coefficients, as a further array."""
+    return idct2d(dense.withColumn(out, kept(c, keep)), **{out: out})
 
 
 def blend(projected: Column, share: Column, original: Column) -> Column:
@@ -35,27 +35,32 @@ def blend(projected: Column, share: Column, original: Column) -> Column:
     return projected * share + original * (F.lit(1.0) - share)
 
 
-def spectral_blend(coef: DataFrame, c: str = "c", keep: str = "keep", share: str = "share",
-                   v: str = "v") -> DataFrame:
-    """Blended cells. ``v`` is the original at the same place; ``c`` may come from the matrix plus a delta."""
-    dense = project(coef, c, keep, "__p", __s=share, __v=v)
-    table = cells(dense, p="__p", s="__s", v="__v")
-    return table.withColumn("blended", blend(F.col("p"), F.col("s"), F.col("v")))
+def spectral_blend(
+    dense: DataFrame, c: str = "coef", keep: str = "keep", share: str = "share", v: str = "vals"
+) -> DataFrame:
+    """Cells with the original ``v``, its projection ``p``, the share ``s`` and the blend.
+
+    ``c`` may be the coefficients of the matrix plus a delta.
+    """
+    done = project(dense.select(ID, *SHAPE, *{c, keep, share, v}), c, keep, "__p")
+    return cells(done, p="__p", s=share, v=v).withColumn("blended", blend(F.col("p"), F.col("s"), F.col("v")))
 
 
-def progressive(coef: DataFrame, full: str = "full", low: str = "low", c: str = "c", c_delta: str = "c",
-                share: str = "share", v: str = "v") -> DataFrame:
+def progressive(
+    dense: DataFrame, full: str = "full", low: str = "low", c: str = "coef", c_delta: str | None = None,
+    share: str = "share", v: str = "vals",
+) -> DataFrame:
     """Cells at the three levels of detail, one row per level.
 
     L1 blends the low selection, L2 the full one (with the delta, if ``c_delta``
-    carries one), L3 adds a tenth of what the full selection has beyond the low.
+    names its coefficients), L3 adds a tenth of what the full selection has beyond
+    the low.
     """
-    between = F.when(F.col(full) & ~F.col(low), F.col(c)).otherwise(F.lit(0.0))
-    dense = dense_from_cells(
-        coef, at=("k", "l"), a=kept(c, low), b=kept(c_delta, full), d=between, s=share, v=v
+    parts = dense.select(
+        ID, *SHAPE, F.col(share).alias("s"), F.col(v).alias("v"),
+        kept(c, low).alias("a"), kept(c_delta or c, full).alias("b"), kept(c, first_not_second(full, low)).alias("d"),
     )
-    dense = idct2d(dense, a="a", b="b", d="d")
-    table = cells(dense, a="a", b="b", d="d", s="s", v="v")
+    table = cells(idct2d(parts, a="a", b="b", d="d"), a="a", b="b", d="d", s="s", v="v")
     second = blend(F.col("b"), F.col("s"), F.col("v"))
     levels = F.array(
         F.struct(F.lit("L1").alias("level"), blend(F.col("a"), F.col("s"), F.col("v")).alias("value")),
@@ -65,12 +70,6 @@ def progressive(coef: DataFrame, full: str = "full", low: str = "low", c: str =
     return table.select(ID, *SHAPE, "i", "j", F.inline(levels))
 
 
-def adapted_share(source: Column, target: Column) -> Column:
-    """Mean of two profiles times the target's specific part relative to it, bounded."""
-    shared = shared_share(source, target)
-    return shared * specific_share(source, target)
-
-
 def shared_share(source: Column, target: Column) -> Column:
     return (source + target) / F.lit(2.0)
 
@@ -79,10 +78,17 @@ def specific_share(source: Column, target: Column) -> Column:
     return clip(target / F.greatest(shared_share(source, target), F.lit(SHARED_FLOOR)), *SPECIFIC_RANGE)
 
 
-def transfer(coef: DataFrame, shared: str, specific: str, c: str = "c", keep: str = "keep", v: str = "v"):
+def adapted_share(source: Column, target: Column) -> Column:
+    """Mean of two profiles times the target's specific part relative to it, bounded."""
+    return shared_share(source, target) * specific_share(source, target)
+
+
+def transfer(
+    dense: DataFrame, shared: str, specific: str, c: str = "coef", keep: str = "keep", v: str = "vals"
+) -> DataFrame:
     """Blend with the product of a shared and a specific profile."""
-    both = coef.withColumn("__adapted", F.col(shared) * F.col(specific))
-    return spectral_blend(both, c, keep, "__adapted", v)
+    product = F.zip_with(shared, specific, lambda a, b: a * b)
+    return spectral_blend(dense.withColumn("__adapted", product), c, keep, "__adapted", v)
 
 
 def tensor_project(table: DataFrame, profile: DataFrame, layers: int, heads: int) -> DataFrame:
@@ -101,13 +107,13 @@ def tensor_project(table: DataFrame, profile: DataFrame, layers: int, heads: int
             "n_cols": (F.max("j").over(one_slice) + 1).cast("int"),
         }
     )
-    slices = dct2d(dense_from_cells(sized, keep=("layer", "head"), vals="v"))
-    coef = cells(slices, at=("k", "l"), keep=("layer", "head"), c="coef")
-    weighed = coef.join(profile.select("k", "l", "share"), ["k", "l"]).withColumn(
-        "c", F.col("c") * F.col("share")
+    carry = ("layer", "head")
+    slices = dct2d(dense_from_cells(sized, carry=carry, vals="v"))
+    weighed = cells(slices, at=("k", "l"), carry=carry, c="coef").join(
+        profile.select("k", "l", "share"), ["k", "l"]
     )
-    dense = idct2d(dense_from_cells(weighed, at=("k", "l"), keep=("layer", "head"), vals="c"), vals="vals")
-    return cells(dense, keep=("layer", "head"), v="vals")
+    scaled = dense_from_cells(weighed, at=("k", "l"), carry=carry, vals=F.col("c") * F.col("share"))
+    return cells(idct2d(scaled, vals="vals"), carry=carry, v="vals")
 
 
 def tensor_ratio(layers: Column, kept_layers: Column, heads: Column, kept_heads: Column, size: Column,

@@ -1,8 +1,12 @@
 """Energy profiles and selections of coefficients.
 
-A selection adds a BOOLEAN column to complete coefficient cells, so several
-selections of one matrix share a shuffle and combine as boolean expressions.
-``positions`` turns one into the sparse index set (only kept places).
+Two regimes. Bounded matrices are dense records and are selected inside the
+record: arrays are sorted and cut in place, no cell is shuffled. Matrices too
+large for a record are coefficient cells; there the ordering is cut into buckets
+and only the bucket in which the selection ends is ranked.
+
+A selection is an ARRAY<BOOLEAN> of the record or a BOOLEAN column of the cells;
+``positions`` turns the first into the sparse index set (only kept places).
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import magnitude_level
-from wavemill.operators.matrix import ID, SHAPE
+from wavemill.operators.matrix import ID, SHAPE, cells
 
 # Defaults that decide which coefficients are kept.
 TAU = 0.95
@@ -26,87 +30,64 @@ TINY = 1e-12
 
 PLACE = ["k", "l"]
 
+# Inside a lambda Spark would evaluate an outer expression once per element, so
+# per-record numbers enter as arguments: repeated to an array, or bound by _let.
 
-def energy_profile(
-    coef: DataFrame, gamma: float = 1.0, c: str = "c", out: str = "share", large: bool = False
-) -> DataFrame:
-    """Each coefficient's part of its matrix's energy, times ``gamma``.
 
-    With ``large`` the totals are aggregated map-side and joined back, so the cells
-    of one matrix need not meet in one task.
-    """
-    square = F.col(c) * F.col(c)
-    if large:
-        totals = coef.groupBy(ID).agg(F.sum(square).alias("__total"))
-        with_total = coef.join(totals, ID)
-    else:
-        with_total = coef.withColumn("__total", F.sum(square).over(Window.partitionBy(ID)))
-    share = F.lit(float(gamma)) * square / (F.col("__total") + F.lit(TINY))
-    return with_total.withColumn(out, share).drop("__total")
+def _spread(value: Column, like: str) -> Column:
+    return F.array_repeat(value, F.size(like))
 
 
-def select_energy(
-    profile: DataFrame, tau: float = TAU, share: str = "share", out: str = "keep", scope=(ID,)
-) -> DataFrame:
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def energy_profile(dense: DataFrame, gamma: float = 1.0, c: str = "coef", out: str = "share") -> DataFrame:
+    """Each coefficient's part of its matrix's energy, times ``gamma``."""
+    total = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x) + F.lit(TINY)
+    share = F.zip_with(c, _spread(total, c), lambda x, t: F.lit(float(gamma)) * x * x / t)
+    return dense.withColumn(out, share)
+
+
+def _falling(values: Column) -> Column:
+    """Pairs that sort from the largest value down, by position among equals."""
+    return F.transform(values, lambda x, p: F.struct((-x).alias("down"), p.alias("pos")))
+
+
+def _up_to(values: Column, name: str, last: Column) -> Column:
+    """TRUE for the entries not after ``last`` in falling order; a NULL ``last`` keeps nothing."""
+    return F.zip_with(
+        _falling(values), _spread(last, name), lambda a, b: F.coalesce(a <= b, F.lit(False))
+    )
+
+
+def select_energy(dense: DataFrame, tau: float = TAU, share: str = "share", out: str = "keep") -> DataFrame:
     """Keep the largest shares while their running sum stays within ``tau`` of the total.
 
     The coefficient that crosses the threshold is left out, so one dominant
-    coefficient gives an empty selection; an all-zero matrix keeps everything.
+    coefficient gives an empty selection; an all-zero matrix keeps everything, one
+    with a NaN nothing.
     """
-    whole = Window.partitionBy(*scope)
-    running = whole.orderBy(F.desc(share), *PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(share).over(whole)
-    within = F.sum(share).over(running) <= F.lit(float(tau)) * total
-    return profile.withColumn(out, within & ~F.isnan(total))
+    total = F.aggregate(share, F.lit(0.0), lambda acc, x: acc + x)
 
+    def count_within(limit):
+        def step(acc, x):
+            run = acc["run"] - x["down"]
+            return F.struct(run.alias("run"), (acc["n"] + (run <= limit).cast("int")).alias("n"))
 
-def select_energy_buckets(
-    profile: DataFrame, tau: float = TAU, share: str = "share", out: str = "keep", bits: int = 8
-) -> DataFrame:
-    """Same selection for very large matrices: only the bucket where the sum crosses is ranked.
+        counted = F.aggregate("__sorted", F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("n")), step)
+        return F.when(F.isnan(limit), F.lit(0)).otherwise(counted["n"])
 
-    Shares are totalled by binary exponent and ``bits`` mantissa bits (map-side),
-    so cells are not shuffled by matrix except those of the crossing bucket. The
-    profile is read three times: pass a written table rather than a long plan.
-    """
-    leveled = profile.withColumn("__level", magnitude_level(F.col(share), bits))
-    whole = Window.partitionBy(ID)
-    down = whole.orderBy(F.desc("__level")).rowsBetween(Window.unboundedPreceding, 0)
-    limits = (
-        leveled.groupBy(ID, "__level")
-        .agg(F.sum(share).alias("__sum"))
-        .select(
-            ID,
-            "__level",
-            F.sum("__sum").over(down).alias("__upto"),
-            (F.sum("__sum").over(down) - F.col("__sum")).alias("__before"),
-            (F.lit(float(tau)) * F.sum("__sum").over(whole)).alias("__limit"),
-        )
-        .where((F.col("__upto") > F.col("__limit")) | F.isnan("__limit"))
-        .groupBy(ID)
-        .agg(
-            F.max("__level").alias("__edge"),
-            F.max_by("__before", "__level").alias("__before"),
-            F.first("__limit").alias("__limit"),
-        )
-    )
-    tagged = leveled.join(limits, ID, "left")
-    clear = tagged.where(F.col("__edge").isNull() | (F.col("__level") != F.col("__edge"))).withColumn(
-        out, F.coalesce(F.col("__level") > F.col("__edge"), F.lit(True))
-    )
-    inside = whole.orderBy(F.desc(share), *PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    close = tagged.where(F.col("__level") == F.col("__edge")).withColumn(
-        out, (F.col("__before") + F.sum(share).over(inside) <= F.col("__limit")) & ~F.isnan("__limit")
-    )
-    return clear.unionByName(close).drop("__level", "__edge", "__before", "__limit")
+    ordered = dense.withColumn("__sorted", F.array_sort(_falling(F.col(share))))
+    kept = _let(F.lit(float(tau)) * total, count_within)
+    return ordered.withColumn(out, _up_to(F.col(share), share, F.get("__sorted", kept - 1))).drop("__sorted")
 
 
-def select_largest(
-    coef: DataFrame, count: Column, c: str = "c", out: str = "keep", scope=(ID,)
-) -> DataFrame:
+def select_largest(dense: DataFrame, count: Column, c: str = "coef", out: str = "keep") -> DataFrame:
     """Keep the ``count`` largest magnitudes of each matrix; ``count`` may use the shape columns."""
-    order = Window.partitionBy(*scope).orderBy(F.desc(F.abs(F.col(c))), *PLACE)
-    return coef.withColumn(out, F.row_number().over(order) <= count)
+    sizes = F.transform(c, lambda x: F.abs(x))
+    last = F.get(F.array_sort(_falling(sizes)), (count - 1).cast("int"))
+    return dense.withColumn(out, _up_to(sizes, c, last))
 
 
 def fraction_count(fraction: float) -> Column:
@@ -115,10 +96,10 @@ def fraction_count(fraction: float) -> Column:
 
 
 def select_gradient(
-    coef: DataFrame, fraction: float = TOP_FRACTION, g: str = "g", out: str = "keep", scope=(ID,)
+    dense: DataFrame, fraction: float = TOP_FRACTION, g: str = "gcoef", out: str = "keep"
 ) -> DataFrame:
     """Keep the top fraction by magnitude of the gradient's coefficients ``g``."""
-    return select_largest(coef, fraction_count(fraction), g, out, scope)
+    return select_largest(dense, fraction_count(fraction), g, out)
 
 
 def _fit_all(points: DataFrame, clusters: int, seeds) -> list:
@@ -128,78 +109,92 @@ def _fit_all(points: DataFrame, clusters: int, seeds) -> list:
 
 
 def _largest_cluster(spark, n_rows: int, n_cols: int, clusters: int, seeds) -> DataFrame:
-    """Places (k, l) of the largest cluster of one grid; the lowest cluster number wins a tie."""
+    """One grid's record (n_rows, n_cols, keep); the lowest cluster number wins a tie."""
     size = n_rows * n_cols
     grid = spark.range(0, size, 1, max(1, size // 65536)).select(
-        F.floor(F.col("id") / n_cols).cast("int").alias("k"), (F.col("id") % n_cols).cast("int").alias("l")
+        F.col("id").cast("int").alias("pos"),
+        F.floor(F.col("id") / n_cols).cast("int").alias("k"),
+        (F.col("id") % n_cols).cast("int").alias("l"),
     )
-    if size == 1:
-        return grid
     points = VectorAssembler(inputCols=PLACE, outputCol="features").transform(grid).cache()
-    fits = _fit_all(points, min(clusters, size), seeds)
+    fits = _fit_all(points, min(clusters, size), seeds if size > 1 else seeds[:1])
+    points.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)
     sizes = best.summary.clusterSizes
-    points.unpersist()
-    labelled = best.transform(points)
-    return labelled.where(F.col("prediction") == sizes.index(max(sizes))).select(*PLACE)
+    marked = best.transform(points).select("pos", (F.col("prediction") == sizes.index(max(sizes))).alias("in"))
+    return marked.agg(F.sort_array(F.collect_list(F.struct("pos", "in"))).alias("m")).select(
+        F.lit(n_rows).alias("n_rows"),
+        F.lit(n_cols).alias("n_cols"),
+        F.transform("m", lambda x: x["in"]).alias("keep"),
+    )
 
 
 def select_cluster(
-    coef: DataFrame, clusters: int = CLUSTERS, starts: int = STARTS, seed: int = 42, out: str = "keep",
+    dense: DataFrame, clusters: int = CLUSTERS, starts: int = STARTS, seed: int = 42, out: str = "keep",
     shapes: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the largest k-means cluster of the coefficient grid.
 
     The features are the grid coordinates, so matrices of one shape share one
     clustering, fitted on the grid. ``shapes`` may give the (n_rows, n_cols) of the
-    collection where that is cheaper to read than from ``coef``; the loop runs over
-    distinct shapes only.
+    collection where that is cheaper to read; the loop runs over distinct shapes only.
     """
-    spark = coef.sparkSession
-    shapes = (coef if shapes is None else shapes).select(*SHAPE).distinct()
+    spark = dense.sparkSession
+    shapes = (dense if shapes is None else shapes).select(*SHAPE).distinct()
     seeds = range(seed, seed + starts)
-    hit = None
+    found = None
     for n_rows, n_cols in [tuple(r) for r in shapes.sort(*SHAPE).toLocalIterator()]:
-        part = _largest_cluster(spark, n_rows, n_cols, clusters, seeds).select(
-            F.lit(n_rows).alias("n_rows"), F.lit(n_cols).alias("n_cols"), *PLACE, F.lit(True).alias(out)
-        )
-        hit = part if hit is None else hit.unionByName(part)
-    if hit is None:
-        return coef.withColumn(out, F.lit(False))
-    return coef.join(hit, [*SHAPE, *PLACE], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+        part = _largest_cluster(spark, n_rows, n_cols, clusters, seeds)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return dense.withColumn(out, F.lit(None).cast("array<boolean>"))
+    return dense.join(found.withColumnRenamed("keep", out), SHAPE)
+
+
+def both_of(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x & y)
+
+
+def either_of(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x | y)
+
+
+def first_not_second(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x & ~y)
 
 
 def select(
-    coef: DataFrame,
+    dense: DataFrame,
     strategy: str = "energy+gradient",
     combine: str = "and",
     tau: float = TAU,
     fraction: float = TOP_FRACTION,
     clusters: int = CLUSTERS,
     share: str = "share",
-    g: str = "g",
+    g: str = "gcoef",
     out: str = "keep",
-    scope=(ID,),
+    shapes: DataFrame | None = None,
 ) -> DataFrame:
-    """Select by a named strategy. ``coef`` needs ``share`` for energy and ``g`` for gradient."""
+    """Select by a named strategy. Records need ``share`` for energy and ``g`` for gradient."""
     if strategy in ("energy", "energy-only"):
-        return select_energy(coef, tau, share, out, scope)
+        return select_energy(dense, tau, share, out)
     if strategy == "gradient":
-        return select_gradient(coef, fraction, g, out, scope)
+        return select_gradient(dense, fraction, g, out)
     if strategy == "clustering+gradient":
-        both = select_gradient(select_cluster(coef, clusters, out="__a"), fraction, g, "__b", scope)
-        return both.withColumn(out, F.col("__a") | F.col("__b")).drop("__a", "__b")
+        both = select_gradient(select_cluster(dense, clusters, out="__a", shapes=shapes), fraction, g, "__b")
+        return both.withColumn(out, either_of("__a", "__b")).drop("__a", "__b")
     if strategy == "energy+gradient":
-        both = select_gradient(select_energy(coef, tau, share, "__a", scope), fraction, g, "__b", scope)
-        joined = {"and": F.col("__a") & F.col("__b"), "or": F.col("__a") | F.col("__b")}
-        if combine not in joined:
+        ways = {"and": both_of, "or": either_of}
+        if combine not in ways:
             raise ValueError(f"combine must be 'and' or 'or', not {combine!r}")
-        return both.withColumn(out, joined[combine]).drop("__a", "__b")
+        both = select_gradient(select_energy(dense, tau, share, "__a"), fraction, g, "__b")
+        return both.withColumn(out, ways[combine]("__a", "__b")).drop("__a", "__b")
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def positions(selection: DataFrame, keep: str = "keep") -> DataFrame:
-    return selection.where(F.col(keep)).select(ID, *PLACE)
+def positions(dense: DataFrame, keep: str = "keep") -> DataFrame:
+    """Index set of the kept places: matrix_id, k, l."""
+    return cells(dense, at=("k", "l"), kept=keep).where("kept").select(ID, *PLACE)
 
 
 def mask_and(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -218,3 +213,74 @@ def apply_mask(coef: DataFrame, mask: DataFrame, out: str = "keep") -> DataFrame
     """Mark complete coefficient cells by a sparse index set."""
     hit = mask.select(ID, *PLACE).distinct().withColumn(out, F.lit(True))
     return coef.join(hit, [ID, *PLACE], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+# Matrices of any size, as coefficient cells (matrix_id, k, l, ...).
+
+
+def cell_profile(coef: DataFrame, gamma: float = 1.0, c: str = "c", out: str = "share") -> DataFrame:
+    """Energy profile of cells; totals are combined map-side and joined back."""
+    square = F.col(c) * F.col(c)
+    totals = coef.groupBy(ID).agg((F.sum(square) + F.lit(TINY)).alias("__total"))
+    return coef.join(totals, ID).withColumn(out, F.lit(float(gamma)) * square / F.col("__total")).drop("__total")
+
+
+def _mark_to_edge(coef: DataFrame, value: Column, weight: Column, limit, bits: int, out: str) -> DataFrame:
+    """Mark cells by falling ``value`` while the running sum of ``weight`` stays within a limit.
+
+    ``limit`` maps a matrix's total weight to its limit. Weights are summed per
+    bucket of ``value`` (binary exponent and ``bits`` mantissa bits) map-side; the
+    bucket in which the limit is passed is ranked, the others are decided as wholes.
+    The cells are read three times: pass a written table rather than a long plan.
+    """
+    leveled = coef.withColumns(
+        {"__value": value, "__weight": weight}
+    ).withColumn("__level", magnitude_level(F.col("__value"), bits))
+    whole = Window.partitionBy(ID)
+    down = whole.orderBy(F.desc("__level")).rowsBetween(Window.unboundedPreceding, 0)
+    edges = (
+        leveled.groupBy(ID, "__level")
+        .agg(F.sum("__weight").alias("__sum"))
+        .select(
+            ID,
+            "__level",
+            F.sum("__sum").over(down).alias("__upto"),
+            (F.sum("__sum").over(down) - F.col("__sum")).alias("__before"),
+            limit(F.sum("__sum").over(whole)).cast("double").alias("__limit"),
+        )
+        .where((F.col("__upto") > F.col("__limit")) | F.isnan("__limit"))
+        .groupBy(ID)
+        .agg(
+            F.max("__level").alias("__edge"),
+            F.max_by("__before", "__level").alias("__before"),
+            F.first("__limit").alias("__limit"),
+        )
+    )
+    tagged = leveled.join(edges, ID, "left")
+    clear = tagged.where(F.col("__edge").isNull() | (F.col("__level") != F.col("__edge"))).withColumn(
+        out, F.coalesce(F.col("__level") > F.col("__edge"), F.lit(True))
+    )
+    inside = whole.orderBy(F.desc("__value"), *PLACE).rowsBetween(Window.unboundedPreceding, 0)
+    close = tagged.where(F.col("__level") == F.col("__edge")).withColumn(
+        out, (F.col("__before") + F.sum("__weight").over(inside) <= F.col("__limit")) & ~F.isnan("__limit")
+    )
+    return clear.unionByName(close).drop("__value", "__weight", "__level", "__edge", "__before", "__limit")
+
+
+def select_energy_cells(
+    profile: DataFrame, tau: float = TAU, share: str = "share", out: str = "keep", bits: int = 8
+) -> DataFrame:
+    """``select_energy`` for cells of matrices of any size."""
+    value = F.col(share)
+    return _mark_to_edge(profile, value, value, lambda total: F.lit(float(tau)) * total, bits, out)
+
+
+def select_gradient_cells(
+    coef: DataFrame, fraction: float = TOP_FRACTION, g: str = "g", out: str = "keep", bits: int = 8
+) -> DataFrame:
+    """``select_gradient`` for cells of matrices of any size."""
+
+    def quota(n):
+        return F.greatest(F.lit(1), F.floor(n * F.lit(float(fraction))))
+
+    return _mark_to_edge(coef, F.abs(F.col(g)), F.lit(1), quota, bits, out)

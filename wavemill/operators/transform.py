@@ -36,7 +36,10 @@ def _stacked(batch: pa.RecordBatch, column: str, kernel) -> pa.Array:
 
 
 def map_matrices(dense: DataFrame, arrays: dict[str, str], kernel: Callable) -> DataFrame:
-    """Add (or replace) array columns: ``arrays`` maps new names to the arrays ``kernel`` is applied to."""
+    """Add (or replace) array columns: ``arrays`` maps new names to the arrays ``kernel`` is applied to.
+
+    Every other column passes through the worker: select what is needed first.
+    """
     kept = [f for f in dense.schema.fields if f.name not in arrays]
     schema = T.StructType([*kept, *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in arrays]])
     names = schema.fieldNames()
@@ -51,13 +54,20 @@ def map_matrices(dense: DataFrame, arrays: dict[str, str], kernel: Callable) ->
 
 
 def dct2d(dense: DataFrame, **arrays: str) -> DataFrame:
-    """Forward transform: ``dct2d(d, coef="vals")``; several arrays share one pass."""
-    return map_matrices(dense, arrays or {"coef": "vals"}, cosine.forward_2d)
+    """Forward transform: ``dct2d(d, coef="vals")``; several arrays share one pass.
+
+    Without names ``vals`` is turned into ``coef`` and does not come back.
+    """
+    if not arrays:
+        dense, arrays = dense.withColumnRenamed("vals", "coef"), {"coef": "coef"}
+    return map_matrices(dense, arrays, cosine.forward_2d)
 
 
 def idct2d(dense: DataFrame, **arrays: str) -> DataFrame:
-    """Inverse transform: ``idct2d(d, vals="coef")``."""
-    return map_matrices(dense, arrays or {"vals": "coef"}, cosine.inverse_2d)
+    """Inverse transform: ``idct2d(d, vals="coef")``; without names ``coef`` is turned into ``vals``."""
+    if not arrays:
+        dense, arrays = dense.withColumnRenamed("coef", "vals"), {"vals": "vals"}
+    return map_matrices(dense, arrays, cosine.inverse_2d)
 
 
 def _rows_along(rows: DataFrame, kernel, width: int) -> DataFrame:
@@ -99,7 +109,8 @@ def dct2d_rows(rows: DataFrame, width: int = 64, max_rows: int = 1 << 22) -> Dat
     A task holds one strip (all rows of ``width`` columns). Matrices with more than
     ``max_rows`` rows are refused rather than cut short: tile them first.
     """
-    strips = _rows_along(rows, cosine.forward_last, width)
+    forward = cosine.forward_last
+    strips = _rows_along(rows, forward, width)
 
     def column_pass(table: pa.Table) -> pa.Table:
         if table.num_rows > max_rows:
@@ -107,7 +118,7 @@ def dct2d_rows(rows: DataFrame, width: int = 64, max_rows: int = 1 << 22) -> Dat
         table = table.sort_by("i")
         part = table.column("part").combine_chunks()
         block = part.values.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-        done = np.ascontiguousarray(cosine.forward_last(block.T).T)
+        done = np.ascontiguousarray(forward(block.T).T)
         out = pa.ListArray.from_arrays(part.offsets, pa.array(done.ravel()))
         return table.set_column(table.schema.get_field_index("part"), "part", out)
 

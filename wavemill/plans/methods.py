@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
 from wavemill.operators import approx, factor, projection, score, selection, slices
-from wavemill.operators.matrix import ID, cells, dense_from_cells, weighted_sum
+from wavemill.operators.matrix import ID, cells, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, idct2d
 from wavemill.plans import inputs
 from wavemill.plans import sqlparts as q
@@ -20,7 +20,7 @@ from wavemill.plans.spectral import (
     SUPPLIER_SQL,
     TAU,
     embedding_profile,
-    supplier_coefficients,
+    supplier_profile,
 )
 
 PAIRS = [(0, 1), (2, 3), (4, 5)]
@@ -62,11 +62,10 @@ FROM back b JOIN cells o USING (matrix_id, i, j) JOIN counts USING (matrix_id) G
 )
 def topk_spectral(spark, sf_dir):
     """As many of the largest coefficients as a rank-8 pair of factors has numbers."""
-    dense = dct2d(inputs.embedding_matrices(spark, sf_dir))
-    kept = approx.select_topk(coefficients(dense, c="coef", v="vals"))
-    table = cells(projection.project(kept, v="v", kept=F.col("keep").cast("double")), v="v", p="projected", kept="kept")
+    dense = dct2d(inputs.embedding_matrices(spark, sf_dir), coef="vals")
+    table = cells(projection.project(approx.select_topk(dense)), v="vals", p="projected", keep="keep")
     return table.groupBy(ID).agg(
-        F.sum("kept").cast("bigint").alias("kept"),
+        score.kept_count(F.col("keep")).alias("kept"),
         tidy(score.fidelity(F.col("v"), F.col("p"))).alias("fidelity"),
     )
 
@@ -146,9 +145,9 @@ def fidelity(spark, sf_dir):
 FROM twice GROUP BY matrix_id"""))
 def retained_energy(spark, sf_dir):
     """Energy kept under a sparse mask."""
-    coef = supplier_coefficients(spark, sf_dir)
-    mask = selection.positions(selection.select(coef, tau=TAU))
-    marked = selection.apply_mask(coef, mask)
+    profile = supplier_profile(spark, sf_dir)
+    mask = selection.positions(selection.select(profile, tau=TAU))
+    marked = selection.apply_mask(coefficients(profile), mask)
     return marked.groupBy(ID).agg(
         tidy(score.retained_energy(F.col("c"), F.col("keep"))).alias("retained")
     )
@@ -158,7 +157,7 @@ def retained_energy(spark, sf_dir):
                     f"""SELECT matrix_id, CAST(sum((ke AND kg)::INTEGER) AS BIGINT) AS kept, count(*) AS total,
   {q.r(q.ratio('(ke AND kg)'))} AS ratio FROM twice GROUP BY matrix_id"""))
 def compression_ratio(spark, sf_dir):
-    kept = selection.select(supplier_coefficients(spark, sf_dir), tau=TAU)
+    kept = coefficients(selection.select(supplier_profile(spark, sf_dir), tau=TAU), keep="keep")
     return kept.groupBy(ID).agg(
         score.kept_count(F.col("keep")).alias("kept"),
         F.count(F.lit(1)).alias("total"),
@@ -177,7 +176,7 @@ def compression_ratio(spark, sf_dir):
 )
 def size_estimate(spark, sf_dir):
     """Catalog size per kind, before and after the mean compression of the supplier matrices."""
-    kept = selection.select(supplier_coefficients(spark, sf_dir), tau=TAU)
+    kept = coefficients(selection.select(supplier_profile(spark, sf_dir), tau=TAU), keep="keep")
     ratios = kept.groupBy(ID).agg(score.compression_ratio(F.col("keep")).alias("ratio"))
     mean = ratios.agg(score.mean_or(F.col("ratio"), 1.0)).scalar()
     sizes = inputs.catalog(spark, sf_dir).groupBy("kind").agg(score.catalog_gigabytes().alias("gigabytes"))
@@ -259,13 +258,13 @@ def segment_transfer(spark, sf_dir):
         "n_cols",
         *[F.slice(c, F.lit(1), rows * F.col("n_cols")).alias(c) for c in ("sv", "sg", "tv", "tg")],
     )
-    cropped = dct2d(cropped, sv="sv", sg="sg", tv="tv", tg="tg")
-    coef = cells(cropped, at=("k", "l"), keep=("src", "tgt"), sc="sv", sg="sg", tc="tv", tg="tg")
-    coef = selection.energy_profile(selection.energy_profile(coef, c="sc", out="ss"), c="tc", out="ts")
-    coef = coef.withColumn("xs", projection.adapted_share(F.col("ss"), F.col("ts")))
+    coef = dct2d(cropped, sv="sv", sg="sg", tv="tv", tg="tg")
+    coef = selection.energy_profile(selection.energy_profile(coef, c="sv", out="ss"), c="tv", out="ts")
+    coef = coef.withColumn("xs", F.zip_with("ss", "ts", projection.adapted_share))
     coef = selection.select(coef, tau=TAU, share="ss", g="sg", out="by_source")
     coef = selection.select(coef, tau=TAU, share="xs", g="tg", out="adapted")
     coef = selection.select(coef, tau=TAU, share="ts", g="tg", out="by_target")
+    coef = cells(coef, at=("k", "l"), carry=("src", "tgt"), tc="tv", **{n: n for n in ("by_source", "adapted", "by_target")})
     scored = coef.groupBy("src", "tgt").agg(
         score.retained_energy(F.col("tc"), F.col("by_source")).alias("baseline"),
         score.retained_energy(F.col("tc"), F.col("adapted")).alias("transfer"),
@@ -309,15 +308,15 @@ FROM fid JOIN rat USING (strategy, matrix_id) GROUP BY strategy""",
 )
 def strategy_ablation(spark, sf_dir):
     """Every strategy on the same matrices in one pass: blended fidelity and ratio."""
-    coef = supplier_coefficients(spark, sf_dir)
+    profile = supplier_profile(spark, sf_dir)
     arms = list(STRATEGIES)
     for n, strategy in enumerate(arms):
-        coef = selection.select(coef, strategy, tau=TAU, out=f"keep{n}")
-    values = {f"p{n}": projection.kept("c", f"keep{n}") for n in range(len(arms))}
-    flags = {f"k{n}": F.col(f"keep{n}").cast("double") for n in range(len(arms))}
-    dense = dense_from_cells(coef, at=("k", "l"), s="share", v="v", **values, **flags)
-    dense = idct2d(dense, **{name: name for name in values})
-    table = cells(dense, s="s", v="v", **{n: n for n in [*values, *flags]})
+        profile = selection.select(profile, strategy, tau=TAU, out=f"k{n}")
+    for n in range(len(arms)):
+        profile = profile.withColumn(f"p{n}", projection.kept("coef", f"k{n}"))
+    names = [f"{x}{n}" for x in "pk" for n in range(len(arms))]
+    dense = idct2d(profile.drop("coef", "gcoef"), **{n: n for n in names if n.startswith("p")})
+    table = cells(dense, s="share", v="vals", **{n: n for n in names})
     per_matrix = table.groupBy(ID).agg(
         *[
             F.struct(
@@ -325,7 +324,7 @@ def strategy_ablation(spark, sf_dir):
                 score.fidelity(
                     F.col("v"), projection.blend(F.col(f"p{n}"), F.col("s"), F.col("v"))
                 ).alias("fidelity"),
-                score.compression_ratio(F.col(f"k{n}") > 0).alias("ratio"),
+                score.compression_ratio(F.col(f"k{n}")).alias("ratio"),
             ).alias(f"arm{n}")
             for n, strategy in enumerate(arms)
         ]
@@ -338,15 +337,13 @@ def strategy_ablation(spark, sf_dir):
 
 def method_cells(spark, sf_dir) -> DataFrame:
     """Original, projected, top-k and rounded cells of the label matrices, side by side."""
-    dense = dct2d(inputs.embedding_matrices(spark, sf_dir))
-    coef = selection.energy_profile(coefficients(dense, c="coef", v="vals"))
-    coef = selection.select_energy(coef, TAU, out="by_energy")
-    coef = approx.select_topk(coef, out="by_size")
-    both = dense_from_cells(
-        coef, at=("k", "l"), v="v", p=projection.kept("c", "by_energy"), t=projection.kept("c", "by_size"),
-        kp=F.col("by_energy").cast("double"), kt=F.col("by_size").cast("double"),
+    dense = selection.energy_profile(dct2d(inputs.embedding_matrices(spark, sf_dir), coef="vals"))
+    dense = approx.select_topk(selection.select_energy(dense, TAU, out="kp"), out="kt")
+    both = dense.select(
+        ID, "n_rows", "n_cols", "vals", "kp", "kt",
+        projection.kept("coef", "kp").alias("p"), projection.kept("coef", "kt").alias("t"),
     )
-    table = cells(idct2d(both, p="p", t="t"), v="v", p="p", t="t", kp="kp", kt="kt")
+    table = cells(idct2d(both, p="p", t="t"), v="vals", p="p", t="t", kp="kp", kt="kt")
     return approx.quantize(table, out="rounded")
 
 
@@ -360,8 +357,8 @@ def _method_scores(spark, sf_dir) -> DataFrame:
 
     per_matrix = method_cells(spark, sf_dir).groupBy(ID).agg(
         F.array(
-            arm("spectral", "p", score.compression_ratio(F.col("kp") > 0)),
-            arm("topk", "t", score.compression_ratio(F.col("kt") > 0)),
+            arm("spectral", "p", score.compression_ratio(F.col("kp"))),
+            arm("topk", "t", score.compression_ratio(F.col("kt"))),
             # Stored bits per value before and after, not a measured size.
             arm("int4", "rounded", F.lit(32.0 / approx.BITS)),
         ).alias("arms")
@@ -439,12 +436,11 @@ def check_linearity(spark, sf_dir):
     """Projecting a mix of two matrices against mixing their projections: relative residual, about 0."""
     dense = weighted_sum(inputs.supplier_months(spark, sf_dir), "vals", "grad", 0.5, 0.3, "mix")
     dense = dct2d(dense, c="vals", g="grad", x="mix")
-    coef = selection.energy_profile(coefficients(dense, c="c", g="g", x="x"))
-    kept = selection.select_energy(coef, TAU)
-    back = dense_from_cells(
-        kept, at=("k", "l"), a=projection.kept("c"), b=projection.kept("g"), x=projection.kept("x")
+    kept = selection.select_energy(selection.energy_profile(dense, c="c"), TAU).select(
+        ID, "n_rows", "n_cols",
+        *[projection.kept(source).alias(name) for name, source in (("a", "c"), ("b", "g"), ("x", "x"))],
     )
-    back = idct2d(back, a="a", b="b", x="x")
+    back = idct2d(kept, a="a", b="b", x="x")
     off = F.col("x") - F.lit(0.5) * F.col("a") - F.lit(0.3) * F.col("b")
     size = F.greatest(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.lit(score.NORM_FLOOR))
     return cells(back, a="a", b="b", x="x").groupBy(ID).agg(
@@ -462,11 +458,8 @@ FROM sel JOIN twice t USING (matrix_id, k, l) GROUP BY matrix_id""",
 def check_isometry(spark, sf_dir):
     """Norm of the kept coefficients after a projection against before: about 1."""
     kept = selection.select_energy(embedding_profile(spark, sf_dir), TAU)
-    marked = dense_from_cells(
-        kept, at=("k", "l"), p=projection.kept("c"), c="c", keep_it=F.col("keep").cast("double")
-    )
-    again = dct2d(idct2d(marked, p="p"), d="p")
-    table = cells(again, at=("k", "l"), c="c", d="d", w="keep_it")
+    again = dct2d(projection.project(kept, out="p").drop("share"), d="p").drop("p")
+    table = coefficients(again, c="coef", d="d", keep="keep").withColumn("w", F.col("keep").cast("int"))
 
     def norm(x):
         return F.sqrt(F.sum(F.col("w") * F.col(x) * F.col(x)))

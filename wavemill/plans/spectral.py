@@ -28,14 +28,14 @@ def _cells_sql(parts: list[str], places: int, source: str = "cells", v: str = "v
     return q.with_parts(parts, f"SELECT matrix_id, i, j, {q.r(v, places)} AS v FROM {source}")
 
 
-def supplier_coefficients(spark, sf_dir, **more) -> DataFrame:
-    """Coefficient cells with those of the gradient (g), the original (v) and the share."""
-    dense = dct2d(inputs.supplier_months(spark, sf_dir), coef="vals", gcoef="grad")
-    return selection.energy_profile(coefficients(dense, c="coef", g="gcoef", v="vals", **more))
+def supplier_profile(spark, sf_dir) -> DataFrame:
+    """Records with coefficients, those of the gradient (gcoef), share and the original (vals)."""
+    dense = dct2d(inputs.supplier_months(spark, sf_dir), coef="vals", gcoef="grad").drop("grad")
+    return selection.energy_profile(dense)
 
 
 def embedding_profile(spark, sf_dir) -> DataFrame:
-    return selection.energy_profile(coefficients(dct2d(inputs.embedding_matrices(spark, sf_dir))))
+    return selection.energy_profile(dct2d(inputs.embedding_matrices(spark, sf_dir)))
 
 
 SUPPLIER_SQL = [
@@ -61,7 +61,7 @@ BOTH_SQL = [
 )
 def energy_by_label(spark, sf_dir) -> DataFrame:
     """How many coefficients hold 85% of the energy of each label's vectors?"""
-    kept = selection.select_energy(embedding_profile(spark, sf_dir), TAU)
+    kept = coefficients(selection.select_energy(embedding_profile(spark, sf_dir), TAU), c="coef", keep="keep")
     label = F.split_part(F.col(ID), F.lit("/"), F.lit(1)).cast("int")
     return kept.groupBy(label.alias("label")).agg(
         F.count(F.lit(1)).alias("total"),
@@ -127,8 +127,7 @@ def dct2d_by_strips(spark, sf_dir):
 
 @query(_cells_sql([*q.user_cells(), *q.forward("cells", "raw"), *q.inverse("raw", "back", {"v": "x.c"})], 4, "back"))
 def dct_roundtrip(spark, sf_dir):
-    back = idct2d(dct2d(inputs.user_hours(spark, sf_dir)), back="coef")
-    return _cells_out(cells(back, v="back"), 4)
+    return _cells_out(cells(idct2d(dct2d(inputs.user_hours(spark, sf_dir))), v="vals"), 4)
 
 
 @query(q.with_parts([*q.tensor_cells(), q.axis("tensor", "by_layer", "layer", 31), q.axis("by_layer", "by_head", "head", 5)],
@@ -145,7 +144,8 @@ def dct_axis_tensor(spark, sf_dir):
 
 @query(q.with_parts(EMBEDDING_SQL, f"SELECT matrix_id, k, l, {q.r('share', 10)} AS share FROM prof"))
 def energy_profile(spark, sf_dir):
-    return embedding_profile(spark, sf_dir).select(ID, "k", "l", tidy(F.col("share"), 10).alias("share"))
+    profile = coefficients(embedding_profile(spark, sf_dir), share="share")
+    return profile.select(ID, "k", "l", tidy(F.col("share"), 10).alias("share"))
 
 
 @query(q.with_parts([*EMBEDDING_SQL, q.energy("prof", "sel", TAU)], "SELECT matrix_id, k, l FROM sel WHERE keep"))
@@ -161,30 +161,37 @@ def select_energy(spark, sf_dir):
 )
 def select_energy_users(spark, sf_dir):
     """Many small matrices: kept coefficients per user."""
-    coef = coefficients(dct2d(inputs.user_hours(spark, sf_dir)))
-    kept = selection.select_energy(selection.energy_profile(coef), TAU)
+    profile = selection.energy_profile(dct2d(inputs.user_hours(spark, sf_dir)))
+    kept = coefficients(selection.select_energy(profile, TAU), keep="keep")
     return kept.groupBy(ID).agg(
         F.count(F.lit(1)).alias("total"), score.kept_count(F.col("keep")).alias("kept")
     )
 
 
 @query(q.with_parts([*EMBEDDING_SQL, q.energy("prof", "sel", TAU)], "SELECT matrix_id, k, l FROM sel WHERE keep"))
-def select_energy_buckets(spark, sf_dir):
-    """The selection for very large matrices, over a written profile."""
+def select_energy_cells(spark, sf_dir):
+    """The selection for matrices of any size, over a written profile."""
     coef = coefficients(dct2d(inputs.embedding_matrices(spark, sf_dir)))
-    profile = materialize(selection.energy_profile(coef, large=True).select(ID, "k", "l", "share"), "profile")
-    return selection.positions(selection.select_energy_buckets(profile, TAU))
+    profile = materialize(selection.cell_profile(coef).select(ID, "k", "l", "share"), "profile")
+    return selection.select_energy_cells(profile, TAU).where("keep").select(ID, "k", "l")
+
+
+@query(q.with_parts([*SUPPLIER_SQL, *BOTH_SQL], "SELECT matrix_id, k, l FROM twice WHERE kg"))
+def select_gradient_cells(spark, sf_dir):
+    dense = dct2d(inputs.supplier_months(spark, sf_dir).drop("vals"), gcoef="grad")
+    coef = materialize(coefficients(dense, g="gcoef").select(ID, "k", "l", "g"), "gradient")
+    return selection.select_gradient_cells(coef).where("keep").select(ID, "k", "l")
 
 
 @query(q.with_parts([*SUPPLIER_SQL, *BOTH_SQL], "SELECT matrix_id, k, l FROM twice WHERE kg"))
 def select_gradient(spark, sf_dir):
-    return selection.positions(selection.select(supplier_coefficients(spark, sf_dir), "gradient"))
+    return selection.positions(selection.select(supplier_profile(spark, sf_dir), "gradient"))
 
 
 @query()
 def select_cluster(spark, sf_dir):
     dense = inputs.supplier_months(spark, sf_dir)
-    return selection.positions(selection.select_cluster(coefficients(dct2d(dense)), shapes=dense))
+    return selection.positions(selection.select_cluster(dct2d(dense), shapes=dense))
 
 
 @query(
@@ -195,25 +202,24 @@ def select_cluster(spark, sf_dir):
     )
 )
 def select_energy_gradient(spark, sf_dir):
-    coef = supplier_coefficients(spark, sf_dir)
-    picked = selection.select(coef, "energy+gradient", "and", TAU, out="__and")
-    picked = selection.select(picked, "energy+gradient", "or", TAU, out="__or")
-    ways = F.array(
-        F.when(F.col("__and"), F.lit("and")), F.when(F.col("__or"), F.lit("or"))
-    )
+    profile = supplier_profile(spark, sf_dir)
+    picked = selection.select(profile, "energy+gradient", "and", TAU, out="both")
+    picked = selection.select(picked, "energy+gradient", "or", TAU, out="any")
+    picked = cells(picked, at=("k", "l"), both="both", any="any")
+    ways = F.array(F.when(F.col("both"), F.lit("and")), F.when(F.col("any"), F.lit("or")))
     return picked.select(ID, "k", "l", F.explode(F.array_compact(ways)).alias("combine"))
 
 
 @query()
 def select_cluster_gradient(spark, sf_dir):
-    coef = supplier_coefficients(spark, sf_dir)
-    return selection.positions(selection.select(coef, "clustering+gradient"))
+    shapes = inputs.supplier_months(spark, sf_dir)
+    return selection.positions(selection.select(supplier_profile(spark, sf_dir), "clustering+gradient", shapes=shapes))
 
 
 def _two_masks(spark, sf_dir):
-    coef = supplier_coefficients(spark, sf_dir)
-    by_energy = selection.positions(selection.select(coef, "energy", tau=TAU))
-    by_gradient = selection.positions(selection.select(coef, "gradient"))
+    profile = supplier_profile(spark, sf_dir)
+    by_energy = selection.positions(selection.select(profile, "energy", tau=TAU))
+    by_gradient = selection.positions(selection.select(profile, "gradient"))
     return by_energy, by_gradient
 
 
@@ -257,13 +263,12 @@ BLEND_JOIN = "JOIN prof s ON s.matrix_id = b.matrix_id AND s.k = b.i AND s.l = b
 def spectral_blend(spark, sf_dir):
     """Blend without and with a delta (a hundredth of the gradient)."""
     dense = weighted_sum(inputs.supplier_months(spark, sf_dir), "vals", "grad", 1.0, 0.01, "moved")
-    dense = dct2d(dense, coef="vals", gcoef="grad", mcoef="moved")
-    coef = selection.energy_profile(coefficients(dense, c="coef", g="gcoef", d="mcoef", v="vals"))
-    kept = selection.select(coef, tau=TAU)
-    both = dense_from_cells(
-        kept, at=("k", "l"), p=projection.kept("c"), d=projection.kept("d"), s="share", v="v"
+    dense = dct2d(dense, coef="vals", gcoef="grad", mcoef="moved").drop("grad", "moved")
+    kept = selection.select(selection.energy_profile(dense), tau=TAU).select(
+        ID, "n_rows", "n_cols", "share", "vals",
+        projection.kept("coef").alias("p"), projection.kept("mcoef").alias("d"),
     )
-    table = cells(idct2d(both, p="p", d="d"), p="p", d="d", s="s", v="v")
+    table = cells(idct2d(kept, p="p", d="d"), p="p", d="d", s="share", v="vals")
 
     def blended(name):
         return tidy(projection.blend(F.col(name), F.col("s"), F.col("v")), 4)
@@ -285,9 +290,9 @@ BY_KIND = "l_suppkey::VARCHAR || '/' || l_returnflag"
 def project_by_kind(spark, sf_dir):
     """Three related matrices per supplier, each projected on its own selection and weighed by its profile."""
     key = F.concat_ws("/", F.col("l_suppkey").cast("string"), "l_returnflag")
-    coef = coefficients(dct2d(inputs.supplier_months(spark, sf_dir, key)))
-    kept = selection.select_energy(selection.energy_profile(coef), TAU)
-    table = cells(projection.project(kept, out="p", s="share"), p="p", s="s")
+    dense = dct2d(inputs.supplier_months(spark, sf_dir, key).drop("grad"))
+    kept = selection.select_energy(selection.energy_profile(dense), TAU)
+    table = cells(projection.project(kept, out="p"), p="p", s="share")
     part = F.split(F.col(ID), "/")
     return table.select(
         part[0].alias("group_id"), part[1].alias("kind"), "i", "j", tidy(F.col("p") * F.col("s"), 6).alias("v")
@@ -313,7 +318,7 @@ def _tensor_profile(tensor: DataFrame) -> DataFrame:
     flat = tensor.groupBy(ID, "i", "j").agg(F.sum("v").alias("v")).withColumns(
         {"n_rows": F.lit(4), "n_cols": F.lit(6)}
     )
-    return selection.energy_profile(coefficients(dct2d(dense_from_cells(flat, vals="v"))))
+    return selection.energy_profile(dct2d(dense_from_cells(flat, vals="v")))
 
 
 @query(
@@ -326,7 +331,7 @@ def _tensor_profile(tensor: DataFrame) -> DataFrame:
 )
 def tensor_project(spark, sf_dir):
     tensor = inputs.event_tensor(spark, sf_dir)
-    done = projection.tensor_project(tensor, _tensor_profile(tensor), R_LAYERS, R_HEADS)
+    done = projection.tensor_project(tensor, coefficients(_tensor_profile(tensor), share="share"), R_LAYERS, R_HEADS)
     return done.select("layer", "head", "i", "j", tidy(F.col("v"), 4).alias("v"))
 
 
@@ -339,7 +344,7 @@ def tensor_project(spark, sf_dir):
 )
 def tensor_ratio(spark, sf_dir):
     tensor = inputs.event_tensor(spark, sf_dir)
-    kept = selection.select_energy(_tensor_profile(tensor), TENSOR_TAU).agg(
+    kept = coefficients(selection.select_energy(_tensor_profile(tensor), TENSOR_TAU), keep="keep").agg(
         F.count(F.lit(1)).alias("size"), score.kept_count(F.col("keep")).alias("kept")
     )
     extent = tensor.agg((F.max("layer") + 1).alias("layers"), (F.max("head") + 1).alias("heads"))
@@ -368,8 +373,8 @@ UNION ALL SELECT matrix_id, i, j, 'L3', {q.r('l2 + 0.1::DOUBLE * d', 4)} FROM th
     )
 )
 def progressive_levels(spark, sf_dir):
-    coef = supplier_coefficients(spark, sf_dir)
-    masks = selection.select_energy(selection.select_energy(coef, TAU, out="full"), LOW_TAU, out="low")
+    profile = supplier_profile(spark, sf_dir)
+    masks = selection.select_energy(selection.select_energy(profile, TAU, out="full"), LOW_TAU, out="low")
     levels = projection.progressive(masks)
     return levels.select(ID, "i", "j", "level", tidy(F.col("value"), 4).alias("value"))
 
@@ -393,20 +398,19 @@ JOIN cells o ON o.matrix_id = b.matrix_id || '/A' AND o.i = b.i AND o.j = b.j"""
 def transfer_blend(spark, sf_dir):
     """Each supplier's matrix of kind A, blended by the profile it shares with kind R."""
     key = F.concat_ws("/", F.col("l_suppkey").cast("string"), "l_returnflag")
-    coef = coefficients(dct2d(inputs.supplier_months(spark, sf_dir, key)), c="coef", v="vals")
-    prof = selection.energy_profile(coef).withColumns(
-        {"kind": F.split(F.col(ID), "/")[1], ID: F.split(F.col(ID), "/")[0]}
-    )
-    source = prof.where(F.col("kind") == "A")
-    target = prof.where(F.col("kind") == "R").select(ID, "k", "l", F.col("share").alias("target"))
-    pairs = source.join(target, [ID, "k", "l"]).withColumns(
+    dense = dct2d(inputs.supplier_months(spark, sf_dir, key).drop("grad"), coef="vals")
+    part = F.split(F.col(ID), "/")
+    profile = selection.energy_profile(dense).withColumns({"kind": part[1], ID: part[0]})
+    target = profile.where(F.col("kind") == "R").select(ID, F.col("share").alias("target"))
+    pairs = profile.where(F.col("kind") == "A").join(target, ID)
+    pairs = pairs.withColumns(
         {
-            "shared": projection.shared_share(F.col("share"), F.col("target")),
-            "specific": projection.specific_share(F.col("share"), F.col("target")),
+            "shared": F.zip_with("share", "target", projection.shared_share),
+            "specific": F.zip_with("share", "target", projection.specific_share),
+            "adapted": F.zip_with("share", "target", projection.adapted_share),
         }
     )
-    adapted = pairs.withColumn("adapted", F.col("shared") * F.col("specific"))
-    kept = selection.select_energy(adapted, TAU, "adapted")
+    kept = selection.select_energy(pairs, TAU, "adapted")
     return _cells_out(projection.transfer(kept, "shared", "specific"), 4, "blended")
 
 
