@@ -25,9 +25,9 @@ def kept(c: str = "coef", keep: Column | str = "keep") -> Column:
     return F.zip_with(c, keep, lambda x, k: F.when(k, x).otherwise(F.lit(0.0)))
 
 
-def project(dense: DataFrame, c: str = "coef", keep: str = "keep", out: str = "projected") -> DataFrame:
-    """Inverse of the kept coefficients, as a further array."""
-    return idct2d(dense.withColumn(out, kept(c, keep)), **{out: out})
+def project(dense: DataFrame, c: str = "coef", keep: str = "keep", out: str = "projected", carry=()) -> DataFrame:
+    """Inverse of the kept coefficients; ``carry`` names further columns of the records to keep."""
+    return idct2d(dense.select(ID, *SHAPE, *carry, kept(c, keep).alias(out)), **{out: out})
 
 
 def blend(projected: Column, share: Column, original: Column) -> Column:
@@ -42,7 +42,7 @@ def spectral_blend(
 
     ``c`` may be the coefficients of the matrix plus a delta.
     """
-    done = project(dense.select(ID, *SHAPE, *{c, keep, share, v}), c, keep, "__p")
+    done = project(dense, c, keep, "__p", (share, v))
     return cells(done, p="__p", s=share, v=v).withColumn("blended", blend(F.col("p"), F.col("s"), F.col("v")))
 
 

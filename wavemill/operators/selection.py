@@ -111,13 +111,15 @@ def _fit_all(points: DataFrame, clusters: int, seeds) -> list:
 def _largest_cluster(spark, n_rows: int, n_cols: int, clusters: int, seeds) -> DataFrame:
     """One grid's record (n_rows, n_cols, keep); the lowest cluster number wins a tie."""
     size = n_rows * n_cols
+    if size == 1:
+        return spark.range(1).select(F.lit(1).alias("n_rows"), F.lit(1).alias("n_cols"), F.array(F.lit(True)).alias("keep"))
     grid = spark.range(0, size, 1, max(1, size // 65536)).select(
         F.col("id").cast("int").alias("pos"),
         F.floor(F.col("id") / n_cols).cast("int").alias("k"),
         (F.col("id") % n_cols).cast("int").alias("l"),
     )
     points = VectorAssembler(inputCols=PLACE, outputCol="features").transform(grid).cache()
-    fits = _fit_all(points, min(clusters, size), seeds if size > 1 else seeds[:1])
+    fits = _fit_all(points, min(clusters, size), seeds)
     points.unpersist()
     best = min(fits, key=lambda m: m.summary.trainingCost)
     sizes = best.summary.clusterSizes

@@ -63,7 +63,7 @@ FROM back b JOIN cells o USING (matrix_id, i, j) JOIN counts USING (matrix_id) G
 def topk_spectral(spark, sf_dir):
     """As many of the largest coefficients as a rank-8 pair of factors has numbers."""
     dense = dct2d(inputs.embedding_matrices(spark, sf_dir), coef="vals")
-    table = cells(projection.project(approx.select_topk(dense)), v="vals", p="projected", keep="keep")
+    table = cells(projection.project(approx.select_topk(dense), carry=["vals", "keep"]), v="vals", p="projected", keep="keep")
     return table.groupBy(ID).agg(
         score.kept_count(F.col("keep")).alias("kept"),
         tidy(score.fidelity(F.col("v"), F.col("p"))).alias("fidelity"),
@@ -458,7 +458,7 @@ FROM sel JOIN twice t USING (matrix_id, k, l) GROUP BY matrix_id""",
 def check_isometry(spark, sf_dir):
     """Norm of the kept coefficients after a projection against before: about 1."""
     kept = selection.select_energy(embedding_profile(spark, sf_dir), TAU)
-    again = dct2d(projection.project(kept, out="p").drop("share"), d="p").drop("p")
+    again = dct2d(projection.project(kept, out="d", carry=["coef", "keep"]), d="d")
     table = coefficients(again, c="coef", d="d", keep="keep").withColumn("w", F.col("keep").cast("int"))
 
     def norm(x):

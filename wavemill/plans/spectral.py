@@ -292,7 +292,7 @@ def project_by_kind(spark, sf_dir):
     key = F.concat_ws("/", F.col("l_suppkey").cast("string"), "l_returnflag")
     dense = dct2d(inputs.supplier_months(spark, sf_dir, key).drop("grad"))
     kept = selection.select_energy(selection.energy_profile(dense), TAU)
-    table = cells(projection.project(kept, out="p"), p="p", s="share")
+    table = cells(projection.project(kept, out="p", carry=["share"]), p="p", s="share")
     part = F.split(F.col(ID), "/")
     return table.select(
         part[0].alias("group_id"), part[1].alias("kind"), "i", "j", tidy(F.col("p") * F.col("s"), 6).alias("v")
