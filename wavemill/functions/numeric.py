@@ -38,6 +38,6 @@ def magnitude_level(x: Column, bits: int) -> Column:
     return F.when(x < 0, -level).otherwise(level)
 
 
-def integer_levels(key: Column, shifts=(32, 16)) -> list[Column]:
+def integer_levels(key: Column, shifts=(40, 20)) -> list[Column]:
     """Coarse-to-fine prefixes of an integer key; a finest bucket spans 2**min(shifts) values."""
     return [F.shiftright(key.cast("bigint"), s) for s in shifts]

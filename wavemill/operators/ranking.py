@@ -72,8 +72,8 @@ def rank_in_group(
     )
 
 
-def rank_by_id(df: DataFrame, group: list[str], key: str, out: str = "rank", shifts=(32, 16)) -> DataFrame:
-    """Rank by a unique integer key; a bucket spans 2**16 key values, so it holds at most that many rows."""
+def rank_by_id(df: DataFrame, group: list[str], key: str, out: str = "rank", shifts=(40, 20)) -> DataFrame:
+    """Rank by a unique integer key; a bucket spans 2**20 key values, so it holds at most that many rows."""
     return rank_in_group(df, group, integer_levels(F.col(key), shifts), [key], out)
 
 
