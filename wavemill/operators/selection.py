@@ -31,11 +31,7 @@ TINY = 1e-12
 PLACE = ["k", "l"]
 
 # Inside a lambda Spark would evaluate an outer expression once per element, so
-# per-record numbers enter as arguments: repeated to an array, or bound by _let.
-
-
-def _spread(value: Column, like: str) -> Column:
-    return F.array_repeat(value, F.size(like))
+# per-record numbers are bound by _let or repeated to an array first.
 
 
 def _let(value: Column, body) -> Column:
@@ -45,21 +41,37 @@ def _let(value: Column, body) -> Column:
 def energy_profile(dense: DataFrame, gamma: float = 1.0, c: str = "coef", out: str = "share") -> DataFrame:
     """Each coefficient's part of its matrix's energy, times ``gamma``."""
     total = F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x) + F.lit(TINY)
-    share = F.zip_with(c, _spread(total, c), lambda x, t: F.lit(float(gamma)) * x * x / t)
-    return dense.withColumn(out, share)
-
+    scale = F.array_repeat(total, F.size(c))
+    return dense.withColumn(out, F.zip_with(c, scale, lambda x, t: F.lit(float(gamma)) * x * x / t))
 
-def _falling(values: Column) -> Column:
-    """Pairs that sort from the largest value down, by position among equals."""
-    return F.transform(values, lambda x, p: F.struct((-x).alias("down"), p.alias("pos")))
 
+def _keep_first(dense: DataFrame, values: Column, count, out: str) -> DataFrame:
+    """Mark the first entries of a record by falling value, by position among equals; NaN comes last.
 
-def _up_to(values: Column, name: str, last: Column) -> Column:
-    """TRUE for the entries not after ``last`` in falling order; a NULL ``last`` keeps nothing."""
-    return F.zip_with(
-        _falling(values), _spread(last, name), lambda a, b: F.coalesce(a <= b, F.lit(False))
+    ``count`` maps the negated values in order to the number of entries to keep.
+    Plain numbers are sorted, which is much cheaper than pairs with positions: the
+    value of the last entry kept decides all others, and only entries equal to it
+    are told apart by position.
+    """
+    ordered = (
+        dense.withColumn("__down", F.transform(values, lambda x: -x))
+        .withColumn("__sorted", F.sort_array("__down"))
+        .withColumn("__n", count(F.col("__sorted")))
     )
 
+    def mark(cut):
+        equal = F.filter(F.transform("__down", lambda x, p: F.when(x == cut, p)), lambda p: p.isNotNull())
+        spare = F.col("__n") - F.array_position("__sorted", cut).cast("int")
+
+        def by_place(place):
+            kept = F.transform("__down", lambda x, p: (x < cut) | ((x == cut) & (p <= place)))
+            return F.when(F.col("__n") > 0, kept).otherwise(F.transform("__down", lambda x: F.lit(False)))
+
+        return _let(F.get(equal, spare), by_place)
+
+    marked = _let(F.get("__sorted", F.col("__n") - 1), mark)
+    return ordered.withColumn(out, marked).drop("__down", "__sorted", "__n")
+
 
 def select_energy(dense: DataFrame, tau: float = TAU, share: str = "share", out: str = "keep") -> DataFrame:
     """Keep the largest shares while their running sum stays within ``tau`` of the total.
@@ -70,24 +82,24 @@ def select_energy(dense: DataFrame, tau: float = TAU, share: str = "share", out:
     """
     total = F.aggregate(share, F.lit(0.0), lambda acc, x: acc + x)
 
-    def count_within(limit):
-        def step(acc, x):
-            run = acc["run"] - x["down"]
-            return F.struct(run.alias("run"), (acc["n"] + (run <= limit).cast("int")).alias("n"))
+    def count(ordered):
+        def within(limit):
+            def step(acc, x):
+                run = acc["run"] - x
+                return F.struct(run.alias("run"), (acc["n"] + (run <= limit).cast("int")).alias("n"))
+
+            counted = F.aggregate(ordered, F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("n")), step)
+            return F.when(F.isnan(limit), F.lit(0)).otherwise(counted["n"])
 
-        counted = F.aggregate("__sorted", F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("n")), step)
-        return F.when(F.isnan(limit), F.lit(0)).otherwise(counted["n"])
+        return _let(F.lit(float(tau)) * total, within)
 
-    ordered = dense.withColumn("__sorted", F.array_sort(_falling(F.col(share))))
-    kept = _let(F.lit(float(tau)) * total, count_within)
-    return ordered.withColumn(out, _up_to(F.col(share), share, F.get("__sorted", kept - 1))).drop("__sorted")
+    return _keep_first(dense, F.col(share), count, out)
 
 
 def select_largest(dense: DataFrame, count: Column, c: str = "coef", out: str = "keep") -> DataFrame:
     """Keep the ``count`` largest magnitudes of each matrix; ``count`` may use the shape columns."""
     sizes = F.transform(c, lambda x: F.abs(x))
-    last = F.get(F.array_sort(_falling(sizes)), (count - 1).cast("int"))
-    return dense.withColumn(out, _up_to(sizes, c, last))
+    return _keep_first(dense, sizes, lambda ordered: F.least(count.cast("int"), F.size(ordered)), out)
 
 
 def fraction_count(fraction: float) -> Column:
