@@ -124,7 +124,8 @@ def _largest_cluster(spark, n_rows: int, n_cols: int, clusters: int, seeds) -> D
     """One grid's record (n_rows, n_cols, keep); the lowest cluster number wins a tie."""
     size = n_rows * n_cols
     if size == 1:
-        return spark.range(1).select(F.lit(1).alias("n_rows"), F.lit(1).alias("n_cols"), F.array(F.lit(True)).alias("keep"))
+        one = spark.range(1).agg(F.max(F.lit(1)).alias("n_rows"), F.max(F.lit(1)).alias("n_cols"))
+        return one.withColumn("keep", F.array(F.lit(True)))
     grid = spark.range(0, size, 1, max(1, size // 65536)).select(
         F.col("id").cast("int").alias("pos"),
         F.floor(F.col("id") / n_cols).cast("int").alias("k"),
@@ -136,10 +137,11 @@ def _largest_cluster(spark, n_rows: int, n_cols: int, clusters: int, seeds) -> D
     best = min(fits, key=lambda m: m.summary.trainingCost)
     sizes = best.summary.clusterSizes
     marked = best.transform(points).select("pos", (F.col("prediction") == sizes.index(max(sizes))).alias("in"))
-    return marked.agg(F.sort_array(F.collect_list(F.struct("pos", "in"))).alias("m")).select(
-        F.lit(n_rows).alias("n_rows"),
-        F.lit(n_cols).alias("n_cols"),
-        F.transform("m", lambda x: x["in"]).alias("keep"),
+    # The shape comes out of the aggregate: as a constant it would turn the join on it into a loop join.
+    return marked.agg(
+        F.max(F.lit(n_rows)).alias("n_rows"),
+        F.max(F.lit(n_cols)).alias("n_cols"),
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "in"))), lambda x: x["in"]).alias("keep"),
     )
 
 

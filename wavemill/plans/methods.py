@@ -51,25 +51,38 @@ def quantize_int4(spark, sf_dir):
     )
 
 
-@query(
-    q.with_parts(
-        [*EMBEDDING_SQL, q.largest("prof", "sel", "greatest(1, least(8 * (m + n), m * n))", "c"),
+def _topk_sql(count: str) -> str:
+    return q.with_parts(
+        [*EMBEDDING_SQL, q.largest("prof", "sel", count, "c"),
          *q.inverse("sel", "back", {"p": "CASE WHEN x.keep THEN x.c ELSE 0.0 END"}),
          "counts AS (SELECT matrix_id, CAST(sum(keep::INTEGER) AS BIGINT) AS kept FROM sel GROUP BY matrix_id)"],
         f"""SELECT b.matrix_id, any_value(kept) AS kept, {q.r(q.fidelity('o.v', 'b.p'))} AS fidelity
 FROM back b JOIN cells o USING (matrix_id, i, j) JOIN counts USING (matrix_id) GROUP BY b.matrix_id""",
     )
-)
-def topk_spectral(spark, sf_dir):
-    """As many of the largest coefficients as a rank-8 pair of factors has numbers."""
+
+
+def _topk(spark, sf_dir, fraction: float | None = None) -> DataFrame:
     dense = dct2d(inputs.embedding_matrices(spark, sf_dir), coef="vals")
-    table = cells(projection.project(approx.select_topk(dense), carry=["vals", "keep"]), v="vals", p="projected", keep="keep")
+    kept = projection.project(approx.select_topk(dense, fraction), carry=["vals", "keep"])
+    table = cells(kept, v="vals", p="projected", keep="keep")
     return table.groupBy(ID).agg(
         score.kept_count(F.col("keep")).alias("kept"),
         tidy(score.fidelity(F.col("v"), F.col("p"))).alias("fidelity"),
     )
 
 
+@query(_topk_sql("greatest(1, least(8 * (m + n), m * n))"))
+def topk_spectral(spark, sf_dir):
+    """As many of the largest coefficients as a rank-8 pair of factors has numbers."""
+    return _topk(spark, sf_dir)
+
+
+@query(_topk_sql("greatest(1, least(floor(m * n * 0.08::DOUBLE), m * n))"))
+def topk_fraction(spark, sf_dir):
+    """A fixed 8% of the coefficients."""
+    return _topk(spark, sf_dir, 0.08)
+
+
 def _row_fidelity(rows: DataFrame) -> DataFrame:
     """Fidelity per matrix of array columns row and approx."""
     pairs = rows.select(ID, F.explode(F.arrays_zip("row", "approx")).alias("x"))
