@@ -25,6 +25,11 @@ def rows_from_vectors(df: DataFrame, group: str, key: str, vector: str) -> DataF
     )
 
 
+def rows_in_any_order(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """Rows without a position, for factors that do not depend on it: nothing is ranked or shuffled."""
+    return df.select(F.col(group).cast("string").alias(ID), F.col(vector).cast("array<double>").alias("row"))
+
+
 def tile_rows(rows: DataFrame, height: int = 1024) -> DataFrame:
     """Cut each matrix into bands of ``height`` rows, named ``<matrix>/<band>``."""
     band = F.floor(F.col("i") / F.lit(height)).cast("bigint")

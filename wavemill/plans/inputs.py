@@ -6,7 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.operators.catalog import catalog_from_items
-from wavemill.operators.matrix import cells, dense_from_facts, dense_from_vectors, rows_from_vectors
+from wavemill.operators.matrix import (
+    cells,
+    dense_from_facts,
+    dense_from_vectors,
+    rows_from_vectors,
+    rows_in_any_order,
+)
 from wavemill.sources.tables import read_table
 
 FIRST_YEAR, YEARS = 1995, 7
@@ -19,12 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def embedding_rows(spark, sf_dir) -> DataFrame:
-    """One matrix per label, of any height."""
+    """One matrix per label, of any height, rows in the order of vec_id."""
     return rows_from_vectors(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
+def embedding_vectors(spark, sf_dir) -> DataFrame:
+    """The same rows without their position."""
+    return rows_in_any_order(table(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
 def embedding_matrices(spark, sf_dir) -> DataFrame:
-    """The same, cut into bands of TILE_HEIGHT rows."""
+    """One matrix per label and band of TILE_HEIGHT rows."""
     return dense_from_vectors(
         table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", TILE_HEIGHT
     )

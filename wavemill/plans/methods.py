@@ -92,7 +92,7 @@ def _row_fidelity(rows: DataFrame) -> DataFrame:
 @query()
 def low_rank(spark, sf_dir):
     """Rank-8 approximation of whole label matrices."""
-    return _row_fidelity(factor.low_rank(inputs.embedding_rows(spark, sf_dir), 8))
+    return _row_fidelity(factor.low_rank(inputs.embedding_vectors(spark, sf_dir), 8))
 
 
 @query()
@@ -405,8 +405,8 @@ def method_comparison(spark, sf_dir):
     """All methods, low-rank ones included, as rows of a results table (pairing key = label)."""
     label = F.split(F.col(ID), "/")[0].cast("bigint")
     spectral = _method_scores(spark, sf_dir).select("method", label.alias("seed"), "fidelity", "ratio")
-    rows = inputs.embedding_rows(spark, sf_dir)
-    heights = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("m"), F.max(F.size("row")).alias("n"))
+    rows, vectors = inputs.embedding_rows(spark, sf_dir), inputs.embedding_vectors(spark, sf_dir)
+    heights = vectors.groupBy(ID).agg(F.count(F.lit(1)).alias("m"), F.max(F.size("row")).alias("n"))
     adapter = F.col("m") * F.col("n") / (F.lit(approx.RANK) * (F.col("m") + F.col("n")))
 
     def ranked(name, done):
@@ -415,7 +415,7 @@ def method_comparison(spark, sf_dir):
         )
 
     every = (
-        spectral.unionByName(ranked("low_rank", factor.low_rank(rows, approx.RANK)))
+        spectral.unionByName(ranked("low_rank", factor.low_rank(vectors, approx.RANK)))
         .unionByName(ranked("cosine_low_rank", approx.cosine_low_rank(rows, approx.RANK)))
     )
     return every.select(

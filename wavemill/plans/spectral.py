@@ -133,7 +133,7 @@ def dct_roundtrip(spark, sf_dir):
 @query(q.with_parts([*q.tensor_cells(), q.axis("tensor", "by_layer", "layer", 31), q.axis("by_layer", "by_head", "head", 5)],
                     """SELECT 'layer' AS axis, layer::INTEGER AS layer, head::INTEGER AS head, i::INTEGER AS i, j::INTEGER AS j,
   round(v, 4) + 0.0 AS v FROM by_layer
-UNION ALL SELECT 'layer,head', layer::INTEGER, head::INTEGER, i::INTEGER, j::INTEGER, round(v, 4) + 0.0 FROM by_head"""))
+UNION ALL SELECT 'layer,head', layer::INTEGER, head::INTEGER, i::INTEGER, j::INTEGER, round(v, 4) + 0.0 FROM by_head"""), "dct_axis")
 def dct_axis_tensor(spark, sf_dir):
     by_layer = dct_axis(inputs.event_tensor(spark, sf_dir), "layer")
     both = by_layer.withColumn("axis", F.lit("layer")).unionByName(
@@ -425,30 +425,30 @@ FROM entries a JOIN entries b ON a.matrix_id = b.matrix_id AND a.r = b.r GROUP B
 
 @query(GRAM_SQL)
 def gram(spark, sf_dir):
-    return _cells_out(factor.gram(inputs.embedding_rows(spark, sf_dir)), 5)
+    return _cells_out(factor.gram(inputs.embedding_vectors(spark, sf_dir)), 5)
 
 
 @query(GRAM_SQL)
 def qr_gram(spark, sf_dir):
     """RᵀR from the triangular factor, which must equal WᵀW."""
-    return _cells_out(factor.gram(factor.qr_r(inputs.embedding_rows(spark, sf_dir))), 5)
+    return _cells_out(factor.gram(factor.qr_r(inputs.embedding_vectors(spark, sf_dir))), 5)
 
 
 @query()
 def qr_r(spark, sf_dir):
-    r = factor.qr_r(inputs.embedding_rows(spark, sf_dir))
+    r = factor.qr_r(inputs.embedding_vectors(spark, sf_dir))
     return r.select(ID, "i", F.posexplode("row").alias("j", "v")).where(F.col("j") >= F.col("i"))
 
 
 @query()
 def select_qr_rows(spark, sf_dir):
-    return factor.select_qr_rows(inputs.embedding_rows(spark, sf_dir))
+    return factor.select_qr_rows(inputs.embedding_vectors(spark, sf_dir))
 
 
 @query(GRAM_SQL.replace("sum(a.v * b.v)", "sum(a.v * b.v) + any_value(CASE WHEN a.j = b.j THEN 0.5 ELSE 0.0 END)"))
 def cholesky_gram(spark, sf_dir):
     """FᵀF of the factor of WᵀW + I/2, which must give that matrix back."""
-    upper = factor.cholesky_r(inputs.embedding_rows(spark, sf_dir), eps=0.5)
+    upper = factor.cholesky_r(inputs.embedding_vectors(spark, sf_dir), eps=0.5)
     strip = F.sequence(F.lit(0), F.col("n_rows") - 1)
     rows = upper.select(
         ID,
@@ -461,5 +461,5 @@ def cholesky_gram(spark, sf_dir):
 
 @query()
 def cholesky_r(spark, sf_dir):
-    upper = factor.cholesky_r(inputs.embedding_rows(spark, sf_dir))
+    upper = factor.cholesky_r(inputs.embedding_vectors(spark, sf_dir))
     return cells(upper, v="factor").where(F.col("j") >= F.col("i")).select(ID, "i", "j", "v")
