@@ -10,7 +10,7 @@ share a band are candidates. First each is compared with the smallest one it sha
 bands with, which joins tight groups by one comparison a member. Buckets whose members
 then lie in one component are done. In the others, centres of different components are
 compared, and members only where the triangle inequality of the Jaccard distance leaves
-room for a link. So every candidate pair is verified on full sets, implied or ruled out.
+room for a link; they meet in chunks, and no list of their pairs is made. So every candidate pair is verified on full sets, implied or ruled out.
 Not found are pairs that share no band: with 40 bands of 5 rows, 1.3e-7 of those at 0.8.
 
 Defined results: a null or empty text has an empty set, is linked with nothing and is its
@@ -36,9 +36,11 @@ BANDS, ROWS = 40, 5
 PLACES = BANDS * ROWS
 #: Fixed values of the 64-bit finaliser and its increment.
 STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: An estimate may fall short of the similarity by this much: over five standard deviations at PLACES.
-SLACK = 0.18
+#: An estimate may fall short of the similarity by this much: about five standard deviations at PLACES.
+SLACK = 0.14
 CACHED_WORDS = 500_000
+#: Members of a group that meet others in one task.
+CHUNK = 2000
 #: Elements whose permutations are drawn together.
 STEP_ELEMENTS = 1 << 18
 
@@ -172,35 +174,85 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: Column) -> DataFrame:
     return map_arrow(joined, run, schema)
 
 
-def compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Add ``shared`` and ``joint``, the sizes of intersection and union of the full sets of ``a`` and ``b``."""
-    names = pairs.columns
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col(key).cast("bigint").alias("node"), text_column(text).alias("text")).join(named, "node", "left_semi")
+def element_sets(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """``node, elements`` (the full set as sorted 64-bit hashes) of the given nodes."""
+    texts = docs.select(F.col(key).cast("bigint").alias("node"), text_column(text).alias("text")).join(nodes.select("node"), "node", "left_semi")
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), width)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
-    sets = written(map_arrow(texts, gather, "node bigint, elements binary"), "dedup-sets")
+    return map_arrow(texts, gather, "node bigint, elements binary")
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    return len(np.intersect1d(x, y, assume_unique=True))
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Add ``shared`` and ``joint``, the sizes of intersection and union of the full sets of ``a`` and ``b``."""
+    names = pairs.columns
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("__a")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("__b")), "b")
-    joined = joined.select(*pairs.columns, "__a", "__b")
+    joined = joined.select(*names, "__a", "__b")
     schema = ", ".join([*(f"`{n}` {t}" for n, t in joined.dtypes[:-2]), "shared bigint", "joint bigint"])
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         shared, joint = [], []
         for x, y in zip(batch.column("__a").to_pylist(), batch.column("__b").to_pylist()):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            shared.append(both)
-            joint.append(len(x) + len(y) - both)
+            shared.append(overlap(x, y))
+            joint.append(len(x) + len(y) - shared[-1])
         columns = [*(batch.column(c) for c in names), pa.array(shared, pa.int64()), pa.array(joint, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, [*names, "shared", "joint"])
 
     return map_arrow(joined, count, schema)
 
 
+def member_links(wide: DataFrame, members: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between the groups of two centres ``a, b`` that are ``gap`` apart.
+
+    A member of one group meets the members of the other in chunks, of which only those
+    are compared that the triangle inequality and the estimate leave; the most similar
+    first, and the first link ends the search, as the whole group is one component.
+    """
+    far = 1.0 - percent / 100.0
+    sizes = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    full = sketches.join(sets, "node")
+    hosts = members.join(wide.select(F.col("a").alias("centre")).distinct(), "centre").join(sizes, "centre")
+    hosts = hosts.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(full, "node")
+    hosts = hosts.select("centre", "chunk", "node", "apart", "sketch", "elements")
+    near_enough = F.col("apart") >= F.col("gap") - far - F.col("p")
+    guests = wide.join(members.withColumnRenamed("centre", "b"), "b").where(near_enough)
+    guests = guests.select(F.col("a").alias("centre"), "node", (F.col("gap") - F.col("apart")).alias("apart")).join(sizes, "centre")
+    guests = guests.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(full, "node")
+    guests = guests.select("centre", "chunk", "node", "apart", "sketch", "elements").toDF("g", "k", "node", "apart", "sketch", "elements")
+
+    def unpacked(t: pa.Table):
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
+        return t.column("node").to_numpy(), t.column("apart").to_numpy(), sketch, t.column("elements").to_pylist()
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            nodes, apart, sketch, elements = unpacked(left)
+            for node, rest, own, raw in zip(*unpacked(right)):
+                near = np.flatnonzero(rest - apart <= far + 1e-9)
+                likely = (sketch[near] == own).mean(axis=1)
+                near, likely = near[likely >= 1.0 - far - SLACK], likely[likely >= 1.0 - far - SLACK]
+                x = np.frombuffer(raw, np.uint64)
+                for at in near[np.argsort(-likely, kind="stable")].tolist():
+                    y = np.frombuffer(elements[at], np.uint64)
+                    shared = overlap(x, y)
+                    if 100 * shared >= percent * (len(x) + len(y) - shared):
+                        found.append((int(node), int(nodes[at])))
+                        break
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return hosts.groupBy("centre", "chunk").cogroup(guests.groupBy("g", "k")).applyInArrow(meet, "a bigint, b bigint")
+
+
 def settled(edges: DataFrame) -> bool:
     """True if every node hangs below one other that hangs below none: the edges name the roots."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
@@ -242,60 +294,61 @@ def near_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: in
     far = 1.0 - percent / 100.0  # the largest distance of a link
     is_link = F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("joint")
     distance = F.lit(1.0) - F.col("shared") / F.col("joint")
-
-    def fits(n: Column, m: Column) -> Column:
-        """Sizes that allow a link: the smaller set is at least ``percent`` of the larger."""
-        return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
-
-    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("h"))
+    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
     buckets = banded.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     placed = written(banded.join(buckets.select("h", "low"), "h"), "dedup-bands")
+    # From here on only nodes that share a band matter.
+    sketches = written(nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "sketch", "bands"), "dedup-sketches")
+    sets = written(element_sets(sketches, docs, key, text, width), "dedup-sets")
 
     # One comparison a node: with the smallest member of the buckets that it meets most often.
     met = placed.where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("times"))
     best = met.groupBy("node").agg(F.max(F.struct("times", (-F.col("low")).alias("low"))).alias("m"))
     first = best.select(F.col("node").alias("a"), (-F.col("m.low")).alias("b"))
-    likely = estimated(first, nodes, F.lit(1.0 - far - SLACK))
-    stars = written(compared(likely, docs, key, text, width).where(is_link).select("a", "b", distance.alias("apart")), "dedup-stars")
+    likely = estimated(first, sketches, F.lit(1.0 - far - SLACK))
+    stars = written(compared(likely, sets).where(is_link).select("a", "b", distance.alias("apart")), "dedup-stars")
     roots = components(stars, "dedup-roots")
 
     # Buckets that hold more than one component.
     known = rooted(placed, roots).join(stars.select(F.col("a").alias("node"), F.col("b").alias("centre"), "apart"), "node", "left")
     known = known.withColumn("centre", F.coalesce("centre", "node")).withColumn("apart", F.coalesce("apart", F.lit(0.0)))
     open_buckets = known.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
-    left = written(known.join(open_buckets, "h").select("h", "node", "n_shingles", "root", "centre", "apart"), "dedup-open")
-    groups = left.groupBy("h", "root", "centre").agg(
-        F.max("apart").alias("radius"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.min("node").alias("one"), F.max("node").alias("other")
+    left = written(known.join(open_buckets, "h").select("h", "band", "node", "n_shingles", "root", "centre", "apart"), "dedup-open")
+    groups = left.groupBy("h", "band", "root", "centre").agg(
+        F.max("apart").alias("radius"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
+    )
+    alone = left.groupBy("centre").agg(F.max("apart").alias("__r")).where("__r = 0").join(
+        sketches.select(F.col("node").alias("centre"), "bands"), "centre"
     )
+    groups = groups.join(alone.select("centre", "bands"), "centre", "left")
     one, two = groups.alias("x"), groups.alias("y")
     in_reach = (F.lit(100) * F.col("x.most") >= F.lit(percent) * F.col("y.least")) & (F.lit(100) * F.col("y.most") >= F.lit(percent) * F.col("x.least"))
+    # Two nodes that stand alone meet in the first band they share and in no other.
+    common = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) - 1
+    meets_here = F.col("x.bands").isNull() | F.col("y.bands").isNull() | (common == F.col("x.band"))
     met = (
-        one.join(two, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")) & in_reach)
-        .select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b"), F.greatest("x.radius", F.lit(0.0)).alias("p"), F.col("y.radius").alias("q"))
+        one.join(two, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")) & in_reach & meets_here)
+        .select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b"), F.col("x.radius").alias("p"), F.col("y.radius").alias("q"))
         .groupBy("a", "b")
         .agg(F.max("p").alias("p"), F.max("q").alias("q"))
     )
     reach = F.lit(far) + F.col("p") + F.col("q")
-    likely = written(estimated(met, nodes, F.lit(1.0 - SLACK) - reach), "dedup-centres")
-    centres = written(compared(likely, docs, key, text, width).withColumn("apart", distance), "dedup-compared")
+    likely = written(estimated(met, sketches, F.lit(1.0 - SLACK) - reach), "dedup-centres")
+    centres = written(compared(likely, sets).withColumn("apart", distance), "dedup-compared")
     linked = centres.where(is_link).select("a", "b")
 
-    # Members of two groups whose centres are too far apart for a link, yet near enough for one of theirs.
-    wide = centres.where(~is_link & (F.col("apart") <= reach) & ((F.col("p") > 0) | (F.col("q") > 0))).select("a", "b", F.col("apart").alias("gap"))
-    members = left.select("h", "node", "n_shingles", "centre", "apart")
-    xs = members.select("h", F.col("centre").alias("a"), F.col("node").alias("c"), F.col("n_shingles").alias("n"), F.col("apart").alias("from_a"))
-    ys = members.select("h", F.col("centre").alias("b"), F.col("node").alias("d"), F.col("n_shingles").alias("m"), F.col("apart").alias("from_b"))
-    inner = (
-        wide.join(xs, "a")
-        .join(ys, ["h", "b"])
-        .where((F.col("gap") - F.col("from_a") - F.col("from_b") <= F.lit(far)) & fits(F.col("n"), F.col("m")))
-        .where((F.col("a") != F.col("c")) | (F.col("b") != F.col("d")))
-        .select(F.col("c").alias("a"), F.col("d").alias("b"))
-        .distinct()
+    # Groups whose centres are too far apart for a link, yet near enough for one of their members.
+    wide = centres.where(~is_link & (F.col("apart") <= reach) & ((F.col("p") > 0) | (F.col("q") > 0)))
+    # The centre with the wider group is the host.
+    wide = wide.select(
+        F.when(F.col("p") >= F.col("q"), F.col("a")).otherwise(F.col("b")).alias("a"),
+        F.when(F.col("p") >= F.col("q"), F.col("b")).otherwise(F.col("a")).alias("b"),
+        F.greatest("p", "q").alias("p"),
+        F.col("apart").alias("gap"),
     )
-    close = written(estimated(inner, nodes, F.lit(1.0 - far - SLACK)), "dedup-members")
-    inner_links = compared(close, docs, key, text, width).where(is_link).select("a", "b")
-    return reduce(DataFrame.unionByName, [stars.select("a", "b"), linked, inner_links])
+    members = written(left.select("node", "centre", "apart").distinct(), "dedup-members")
+    found = written(member_links(wide, members, sketches.drop("bands"), sets, percent), "dedup-found")
+    return reduce(DataFrame.unionByName, [stars.select("a", "b"), linked, found])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
