@@ -103,9 +103,9 @@ _NAMED = " ".join(f"WHEN regexp_matches(lowered, '{r.pattern}') THEN '{r.name}'"
 
 OP4_SQL = f"""
 WITH cut AS (
-  SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS at FROM pages
+  SELECT page_id, coalesce(url, '') AS url, position('://' IN coalesce(url, '')) AS mark FROM pages
 ), rest AS (
-  SELECT page_id, {_LOWER.format('url')} AS lowered, CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END AS rest FROM cut
+  SELECT page_id, {_LOWER.format('url')} AS lowered, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM cut
 ), parts AS (
   SELECT page_id, lowered, regexp_extract(rest, '^[^/?#]*') AS raw_host, rest FROM rest
 ), split AS (
