@@ -253,6 +253,31 @@ def member_links(wide: DataFrame, members: DataFrame, sketches: DataFrame, sets:
     return hosts.groupBy("centre", "chunk").cogroup(guests.groupBy("g", "k")).applyInArrow(meet, "a bigint, b bigint")
 
 
+def single_pairs(singles: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a < b`` of nodes in one bucket (``h, node, n_shingles, sketch``) whose sizes allow a link and whose
+    sketches make it likely. A bucket is compared in blocks of CHUNK nodes by arrays; only likely pairs become rows."""
+    least = percent / 100.0 - SLACK
+    sizes = singles.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    dealt = singles.join(sizes, "h").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    blocks = dealt.select("h", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "n_shingles", "sketch")
+
+    def meet(t: pa.Table) -> pa.Table:
+        node, size, mine = (t.column(c).to_numpy() for c in ("node", "n_shingles", "mine"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
+        split = t.column("low")[0] != t.column("high")[0]
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(t.num_rows):
+            ok = (node > node[at]) & (100 * np.minimum(size, size[at]) >= percent * np.maximum(size, size[at]))
+            rows = np.flatnonzero(ok & (mine != mine[at]) if split else ok)
+            rows = rows[(sketch[rows] == sketch[at]).mean(axis=1) >= least] if len(rows) else rows
+            found.append(np.stack([np.full(len(rows), node[at]), node[rows]], axis=1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return blocks.groupBy("h", "low", "high").applyInArrow(meet, "a bigint, b bigint")
+
+
 def settled(edges: DataFrame) -> bool:
     """True if every node hangs below one other that hangs below none: the edges name the roots."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
@@ -294,11 +319,11 @@ def near_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: in
     far = 1.0 - percent / 100.0  # the largest distance of a link
     is_link = F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("joint")
     distance = F.lit(1.0) - F.col("shared") / F.col("joint")
-    banded = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "h"))
+    banded = nodes.select("node", "n_shingles", F.explode("bands").alias("h"))
     buckets = banded.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     placed = written(banded.join(buckets.select("h", "low"), "h"), "dedup-bands")
     # From here on only nodes that share a band matter.
-    sketches = written(nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "sketch", "bands"), "dedup-sketches")
+    sketches = written(nodes.join(placed.select("node").distinct(), "node", "left_semi").select("node", "sketch"), "dedup-sketches")
     sets = written(element_sets(sketches, docs, key, text, width), "dedup-sets")
 
     # One comparison a node: with the smallest member of the buckets that it meets most often.
@@ -313,27 +338,27 @@ def near_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: in
     known = rooted(placed, roots).join(stars.select(F.col("a").alias("node"), F.col("b").alias("centre"), "apart"), "node", "left")
     known = known.withColumn("centre", F.coalesce("centre", "node")).withColumn("apart", F.coalesce("apart", F.lit(0.0)))
     open_buckets = known.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
-    left = written(known.join(open_buckets, "h").select("h", "band", "node", "n_shingles", "root", "centre", "apart"), "dedup-open")
-    groups = left.groupBy("h", "band", "root", "centre").agg(
+    left = written(known.join(open_buckets, "h").select("h", "node", "n_shingles", "root", "centre", "apart"), "dedup-open")
+    alone = left.groupBy("centre").agg(F.max("apart").alias("__r")).where("__r = 0").select("centre", F.lit(True).alias("alone"))
+    left = left.join(alone, "centre", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    groups = left.groupBy("h", "root", "centre", "alone").agg(
         F.max("apart").alias("radius"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
     )
-    alone = left.groupBy("centre").agg(F.max("apart").alias("__r")).where("__r = 0").join(
-        sketches.select(F.col("node").alias("centre"), "bands"), "centre"
-    )
-    groups = groups.join(alone.select("centre", "bands"), "centre", "left")
     one, two = groups.alias("x"), groups.alias("y")
     in_reach = (F.lit(100) * F.col("x.most") >= F.lit(percent) * F.col("y.least")) & (F.lit(100) * F.col("y.most") >= F.lit(percent) * F.col("x.least"))
-    # Two nodes that stand alone meet in the first band they share and in no other.
-    common = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) - 1
-    meets_here = F.col("x.bands").isNull() | F.col("y.bands").isNull() | (common == F.col("x.band"))
+    grouped = ~(F.col("x.alone") & F.col("y.alone"))
     met = (
-        one.join(two, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")) & in_reach & meets_here)
+        one.join(two, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")) & in_reach & grouped)
         .select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b"), F.col("x.radius").alias("p"), F.col("y.radius").alias("q"))
         .groupBy("a", "b")
         .agg(F.max("p").alias("p"), F.max("q").alias("q"))
     )
+    singles = left.where("alone").select("h", "node", "n_shingles").join(sketches, "node")
+    zero = F.lit(0.0)
     reach = F.lit(far) + F.col("p") + F.col("q")
-    likely = written(estimated(met, sketches, F.lit(1.0 - SLACK) - reach), "dedup-centres")
+    likely = estimated(met, sketches, F.lit(1.0 - SLACK) - reach)
+    likely = likely.unionByName(single_pairs(singles, percent).distinct().select("a", "b", zero.alias("p"), zero.alias("q")))
+    likely = written(likely, "dedup-centres")
     centres = written(compared(likely, sets).withColumn("apart", distance), "dedup-compared")
     linked = centres.where(is_link).select("a", "b")
 
@@ -347,7 +372,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: in
         F.col("apart").alias("gap"),
     )
     members = written(left.select("node", "centre", "apart").distinct(), "dedup-members")
-    found = written(member_links(wide, members, sketches.drop("bands"), sets, percent), "dedup-found")
+    found = written(member_links(wide, members, sketches, sets, percent), "dedup-found")
     return reduce(DataFrame.unionByName, [stars.select("a", "b"), linked, found])
 
 
