@@ -121,7 +121,7 @@ def test_training_order_holds_the_stream(spark, odd_docs, tmp_path):
     out, length, per_shard = f"file://{tmp_path}", 64, 32
     manifest = training_order.materialise(docs, BYTE, out, END_OF_TEXT, length=length, per_shard=per_shard).collect()
     library = Tokenizer.from_file(BYTE)
-    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, np.array(library.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()))
+    rows = sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, np.array(library.encode(r.text or "", add_special_tokens=False).ids, "<u2").tobytes()))
     stream = [i for r in rows for i in (*library.encode(r.text or "", add_special_tokens=False).ids, END_OF_TEXT)]
     count = -(-len(stream) // length)
     assert sorted(r.slot for r in manifest) == list(range(count))

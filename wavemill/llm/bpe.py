@@ -319,8 +319,8 @@ class PartCache:
         self.ids = np.concatenate([self.ids, flat])
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
-    """Carried columns, ``n_tokens`` and ``ids`` (BINARY, little-endian unsigned 32-bit) of each text."""
+def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] = (), width: str = "<u4") -> DataFrame:
+    """Carried columns, ``n_tokens`` and ``ids`` (BINARY, integers of numpy type ``width``) of each text."""
     kept = docs.select(*carry, text_column(text).alias("__text"))
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes[:-1]), "n_tokens bigint", "ids binary"])
     names = [*carry, "n_tokens", "ids"]
@@ -329,7 +329,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str]
         ids = Vocabulary.of(path).encode_batch(batch.column(len(carry)).to_pylist())
         n = pa.array([len(i) for i in ids], pa.int64())
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], n, pa.array([i.astype("<u4").tobytes() for i in ids], pa.binary())], names
+            [*batch.columns[:-1], n, pa.array([i.astype(width).tobytes() for i in ids], pa.binary())], names
         )
 
     return map_arrow(kept, run, schema)

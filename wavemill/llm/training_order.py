@@ -57,9 +57,9 @@ def permuted(numbers: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def token_stream(docs: DataFrame, path: str, end: int, key: str, text: str) -> tuple[DataFrame, int]:
+def token_stream(docs: DataFrame, path: str, key: str, text: str, width: str) -> tuple[DataFrame, int]:
     """``doc_id, n, ids`` with ``start``, the place of each document's first token in the stream; and its length."""
-    encoded = encode(docs, path, text, [key]).select(
+    encoded = encode(docs, path, text, [key], width).select(
         F.col(key).cast("bigint").alias("doc_id"), (F.col("n_tokens") + 1).alias("n"), "ids"
     )
     tokens = written(encoded, "stream-tokens")
@@ -78,12 +78,12 @@ def pieces(stream: DataFrame, total: int, end: int, length: int, per_shard: int,
     """``shard, slot, seq, at, doc_id, part``: the stretch of each document in each sequence."""
     count = -(-total // length)
     schema = "shard bigint, slot bigint, seq bigint, at int, doc_id bigint, part binary"
-    item = np.dtype(width).itemsize
+    item, filler = np.dtype(width).itemsize, np.array([end]).astype(width).tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         docs, seqs, ats, parts = [], [], [], []
         for doc, ids, start in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "start"))):
-            raw = np.append(np.frombuffer(ids, "<u4"), np.uint32(end)).astype(width).tobytes()
+            raw = ids + filler
             stop = start + len(raw) // item
             for seq in range(start // length, (stop - 1) // length + 1):
                 a, b = max(start, seq * length), min(stop, (seq + 1) * length)
@@ -122,7 +122,7 @@ def materialise(
 ) -> DataFrame:
     """Write the shards below ``out`` (a URI all executors can write) and return a row per sequence:
     ``slot, seq, shard, file, byte_offset, n_tokens`` (without filling), ``crc32`` of its stride and ``doc_ids``."""
-    stream, total = token_stream(docs, path, end, key, text)
+    stream, total = token_stream(docs, path, key, text, width)
     item = np.dtype(width).itemsize
     stride, filler = length * item, np.array([end]).astype(width).tobytes()
     shards = max(1, -(-total // (length * per_shard)))
