@@ -284,3 +284,15 @@ def test_tensor_projection(spark):
     got = projection.tensor_project(tensor, prof, 2, 2).collect()
     assert len(got) == want.size
     assert all(np.isclose(r.v, want[r.layer, r.head, r.i, r.j]) for r in got)
+
+
+def test_missing_cells_are_zero_and_stay_in_their_record(spark):
+    from wavemill.operators.matrix import dense_from_cells, dense_from_rows
+
+    cells = [("a", 2, 2, 0, 0, 1.0), ("a", 2, 2, 1, 0, 1.0), ("a", 2, 2, 0, 1, 1.0)] + [("b", 2, 2, i, j, 10.0) for i in (0, 1) for j in (0, 1)]
+    table = spark.createDataFrame(cells, "matrix_id string, n_rows int, n_cols int, i int, j int, v double")
+    got = {r.matrix_id: r.v for r in dense_from_cells(table, v="v").collect()}
+    assert got == {"a": [1.0, 1.0, 1.0, 0.0], "b": [10.0] * 4}
+    ragged = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [3.0])], "matrix_id string, i bigint, row array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        dense_from_rows(ragged).collect()

@@ -188,10 +188,10 @@ def test_sigma(spark):
 
 def test_noise_is_repeatable_and_normal(spark):
     zero = spark.range(20000).select(F.col("id").alias("coord"), F.lit(0.0).alias("v"))
-    noised = privacy.add_noise(zero, ["coord"], "v", F.lit(2.0), "s", "out")
+    noised = privacy.add_noise(zero, ["coord"], "v", F.lit(2.0), "s", "r1", "out")
     row = noised.agg(F.avg("out").alias("m"), F.stddev("out").alias("s"), F.kurtosis("out").alias("k")).first()
     assert abs(row.m) < 0.06 and abs(row.s - 2.0) < 0.05 and abs(row.k) < 0.2
-    again = privacy.add_noise(zero.repartition(3), ["coord"], "v", F.lit(2.0), "s", "out")
+    again = privacy.add_noise(zero.repartition(3), ["coord"], "v", F.lit(2.0), "s", "r1", "out")
     assert noised.exceptAll(again).count() == 0
 
 
@@ -224,6 +224,22 @@ def test_disagreement(spark, values, nodes, flags):
 def test_private_update(spark):
     updates = parties(spark, (0.1, 0.1, 0.1, 5.0))
     original = spark.range(20).select(F.col("id").cast("int").alias("coord"), F.lit(1.0).alias("v"))
-    got = {r.coord: r for r in privacy.private_update(original, updates, "k", epsilon=1e9).collect()}
+    got = {r.coord: r for r in privacy.private_update(original, updates, "k", "r1", epsilon=1e9).collect()}
     assert all(np.isclose(got[c].updated, 1.1, atol=1e-6) for c in range(16))
     assert all(got[c].updated == 1.0 for c in range(16, 20))
+
+
+def test_t_tail_is_smooth_in_df(spark):
+    rows = spark.createDataFrame([(9_999.0,), (10_000.0,), (10_001.0,), (1e6,), (3.0,)], "df double")
+    p = {r.df: r.p for r in rows.select("df", t_two_sided(F.lit(1.96), F.col("df")).alias("p")).collect()}
+    assert abs(p[10_001.0] - p[10_000.0]) < 1.1 * abs(p[10_000.0] - p[9_999.0]) + 1e-12
+    z, density = 1.96, math.exp(-(1.96**2) / 2) / math.sqrt(2 * math.pi)
+    expansion = math.erfc(z / math.sqrt(2)) + density * (z**3 + z) / 2e6  # first term in 1/df beyond the normal tail
+    assert p[1e6] == pytest.approx(expansion, abs=1e-11) and p[3.0] == pytest.approx(0.14485, abs=1e-4)
+    assert p[9_999.0] > p[10_000.0] > p[10_001.0] > p[1e6]
+
+
+def test_releases_have_noise_of_their_own(spark):
+    zero = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "coord string, v double")
+    one, two = ({r.coord: r.out for r in privacy.add_noise(zero, ["coord"], "v", F.lit(1.0), "s", n, "out").collect()} for n in ("r1", "r2"))
+    assert all(one[c] != two[c] for c in one)

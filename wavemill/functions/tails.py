@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INTERVALS = 2000
-NORMAL_ABOVE_DF = 10_000
+#: In units of 1/sqrt(df) the cosine power is zero in DOUBLE beyond this angle.
+FAR = 40.0
 
 
 def _simpson(low: Column, high: Column, f) -> Column:
@@ -33,17 +34,20 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| > |t|) for Student's t; with theta = atan(|t|/sqrt(df)) a ratio of cosine powers."""
-    theta = F.atan(F.abs(t) / F.sqrt(df))
-    half_pi = F.lit(math.pi / 2.0)
+    """P(|T| > |t|) for Student's t; with theta = atan(|t|/sqrt(df)) a ratio of cosine powers.
+
+    The power falls off over angles of 1/sqrt(df), so the integrals end FAR such units
+    out, or at a right angle: the rule is as fine for any df.
+    """
+    end = F.least(F.lit(math.pi / 2.0), F.lit(FAR) / F.sqrt(df))
+    theta = F.least(F.atan(F.abs(t) / F.sqrt(df)), end)
 
     def power(x):
         return F.pow(F.greatest(F.cos(x), F.lit(0.0)), df - F.lit(1.0))
 
-    ratio = _simpson(theta, half_pi, power) / _simpson(F.lit(0.0), half_pi, power)
-    return F.when(F.abs(t) == F.lit(float("inf")), F.lit(0.0)).when(
-        df > F.lit(float(NORMAL_ABOVE_DF)), normal_two_sided(t)
-    ).otherwise(ratio)
+    ratio = _simpson(theta, end, power) / _simpson(F.lit(0.0), end, power)
+    # least() passes over NULL, so an unknown t is kept apart.
+    return F.when(F.abs(t) == F.lit(float("inf")), F.lit(0.0)).when(t.isNotNull(), ratio)
 
 
 def signed_rank_exact(w: Column, n: Column) -> Column:

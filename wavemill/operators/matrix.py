@@ -50,7 +50,12 @@ def dense_from_rows(rows: DataFrame) -> DataFrame:
             ID,
             F.size("__rows").alias("n_rows"),
             F.size(F.element_at("__rows", 1)["row"]).alias("n_cols"),
-            F.flatten(F.transform("__rows", lambda r: r["row"])).alias("vals"),
+            F.when(
+                F.forall("__rows", lambda r: F.size(r["row"]) == F.size(F.element_at("__rows", 1)["row"])),
+                F.flatten(F.transform("__rows", lambda r: r["row"])),
+            )
+            .otherwise(F.raise_error(F.lit("rows of one matrix differ in length")).cast("array<double>"))
+            .alias("vals"),
         )
     )
 
@@ -118,7 +123,7 @@ def cells(dense: DataFrame, at=("i", "j"), carry=(), **arrays: str) -> DataFrame
 
 
 def dense_from_cells(table: DataFrame, at=("i", "j"), carry=(), **values: Column | str) -> DataFrame:
-    """Gather complete cells into dense records. A table already laid out by matrix is not shuffled again."""
+    """Gather cells into dense records; missing cells are 0. A table already laid out by matrix is not shuffled again."""
     row, col = at
     pos = F.col(row) * F.col("n_cols") + F.col(col)
     entries = F.struct(
@@ -127,8 +132,18 @@ def dense_from_cells(table: DataFrame, at=("i", "j"), carry=(), **values: Column
     )
     gathered = table.groupBy(ID, *SHAPE, *carry).agg(F.sort_array(F.collect_list(entries)).alias("__c"))
 
+    size = F.col("n_rows") * F.col("n_cols")
+
     def pick(name):
-        return F.transform("__c", lambda c: c[name]).alias(name)
+        """Values by position; a missing cell is 0, a complete record is taken as it is."""
+
+        def with_gap(c, at):
+            before = F.coalesce(F.get("__c", at - 1)["pos"], F.lit(-1))
+            return F.concat(F.array_repeat(F.lit(0.0), (c["pos"] - before - 1).cast("int")), F.array(c[name]))
+
+        rest = F.array_repeat(F.lit(0.0), (size - 1 - F.element_at("__c", -1)["pos"]).cast("int"))
+        filled = F.concat(F.flatten(F.transform("__c", with_gap)), rest)
+        return F.when(F.size("__c") == size, F.transform("__c", lambda c: c[name])).otherwise(filled).alias(name)
 
     return gathered.select(ID, *SHAPE, *carry, *[pick(n) for n in values])
 

@@ -54,15 +54,19 @@ def ledger(rounds: DataFrame, by: list[str], epsilon: float = EPSILON, bound: fl
     )
 
 
-def add_noise(aggregate: DataFrame, key: list[str], v: str, scale: Column, secret: str, out: str) -> DataFrame:
-    """Add Gaussian noise that depends on the secret and the key alone, so a rerun releases the same value."""
-    return aggregate.withColumn(out, F.col(v) + scale * gaussian(secret, *[F.col(k) for k in key]))
+def add_noise(aggregate: DataFrame, key: list[str], v: str, scale: Column, secret: str, release: str, out: str) -> DataFrame:
+    """Add Gaussian noise that depends on the secret, the release and the key alone.
+
+    A rerun of a release gives the same value; another release has noise of its own, so two
+    releases do not subtract to the exact difference.
+    """
+    return aggregate.withColumn(out, F.col(v) + scale * gaussian(f"{secret}:{release}", *[F.col(k) for k in key]))
 
 
-def release_sums(updates: DataFrame, secret: str, epsilon: float = EPSILON, bound: float = CLIP) -> DataFrame:
+def release_sums(updates: DataFrame, secret: str, release: str, epsilon: float = EPSILON, bound: float = CLIP) -> DataFrame:
     """Noised sum per coordinate over clipped contributors."""
     sums = clip_contributors(updates, bound=bound).groupBy("coord").agg(F.sum("clipped").alias("total"))
-    return add_noise(sums, ["coord"], "total", sigma(bound, F.lit(float(epsilon))), secret, "released")
+    return add_noise(sums, ["coord"], "total", sigma(bound, F.lit(float(epsilon))), secret, release, "released")
 
 
 def robust_median(updates: DataFrame, v: str = "v", by=("coord",)) -> DataFrame:
@@ -109,7 +113,7 @@ def require_agreement(report: DataFrame) -> DataFrame:
 
 
 def private_update(
-    original: DataFrame, updates: DataFrame, secret: str, epsilon: float = EPSILON, bound: float = CLIP
+    original: DataFrame, updates: DataFrame, secret: str, release: str, epsilon: float = EPSILON, bound: float = CLIP
 ) -> DataFrame:
     """Add the noised median of clipped updates to a vector (coord, v).
 
@@ -117,7 +121,7 @@ def private_update(
     """
     clipped = clip_contributors(updates, bound=bound).select("party", "coord", F.col("clipped").alias("v"))
     medians = robust_median(clipped)
-    noised = add_noise(medians, ["coord"], "median", sigma(bound, F.lit(float(epsilon))), secret, "noised")
+    noised = add_noise(medians, ["coord"], "median", sigma(bound, F.lit(float(epsilon))), secret, release, "noised")
     return original.join(noised, "coord", "left").withColumn(
         "updated", F.col("v") + F.coalesce("noised", F.lit(0.0))
     )

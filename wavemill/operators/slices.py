@@ -10,7 +10,6 @@ from wavemill.operators.ranking import join_null_safe, pick_first_by_hash
 
 # Fixed values of the reproducible splits.
 SEED = 42
-CAP = 5000
 
 
 def equals_nocase(column: str | None, value: str, default: str) -> Column:
@@ -46,12 +45,12 @@ def split_hash(df: DataFrame, key: str, fraction: float = 0.2, seed: int = SEED)
     return df.withColumn("split", F.when(below, "test").otherwise("train"))
 
 
-def sample_cap(df: DataFrame, key: str, cap: int = CAP, seed: int = SEED) -> DataFrame:
+def sample_cap(df: DataFrame, key: str, cap: int, seed: int = SEED) -> DataFrame:
     """At most ``cap`` rows, those first in hash order; each task keeps its own first rows."""
     return df.orderBy(u32(seed, F.col(key)), key).limit(cap)
 
 
-def sample_cap_by(df: DataFrame, segment: list[str], key: str, cap: int = CAP, seed: int = SEED) -> DataFrame:
+def sample_cap_by(df: DataFrame, segment: list[str], key: str, cap: int, seed: int = SEED) -> DataFrame:
     """The same cap for each segment."""
     marked = pick_first_by_hash(df, segment, key, lambda n: F.least(n, F.lit(cap)), seed, out="__in")
     return marked.where("__in").drop("__in")

@@ -27,6 +27,8 @@ def _stacked(batch: pa.RecordBatch, column: str, kernel) -> pa.Array:
     flat = array.values.to_numpy(zero_copy_only=False)
     out = np.empty_like(flat, dtype=np.float64)
     shapes = np.stack([np.asarray(batch.column(s), dtype=np.int64) for s in SHAPE], axis=1)
+    if (np.diff(offsets) != shapes.prod(axis=1)).any():
+        raise ValueError(f"{column}: a record does not hold rows x columns values")
     for shape in np.unique(shapes, axis=0):
         members = np.flatnonzero((shapes == shape).all(axis=1))
         where = offsets[members][:, None] + np.arange(shape[0] * shape[1])[None, :]

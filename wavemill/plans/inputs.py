@@ -68,7 +68,9 @@ def supplier_months(spark, sf_dir, by: Column | None = None) -> DataFrame:
 def event_tensor(spark, sf_dir) -> DataFrame:
     """Cells (layer = day of month, head = event type, i = part of day, j = hour of part)."""
     ts = F.col("ts")
-    head = F.array_position(F.array(*[F.lit(e) for e in EVENT_TYPES]), F.col("event_type")) - 1
+    place = F.array_position(F.array(*[F.lit(e) for e in EVENT_TYPES]), F.col("event_type"))
+    unknown = F.raise_error(F.concat(F.lit("unknown event type "), F.coalesce("event_type", F.lit("NULL")))).cast("bigint")
+    head = F.when(place > 0, place - 1).otherwise(unknown)
     heads = len(EVENT_TYPES)
     flat = dense_from_facts(
         table(spark, sf_dir, "events"),

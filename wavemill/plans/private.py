@@ -15,7 +15,8 @@ from wavemill.plans.statistics import rounded
 BOUND = 700.0
 UPDATE_BOUND = 85.0
 TOLERANCE = 2.4
-SECRET = "demonstration"
+SECRET, RELEASE = "demonstration", "1"
+NOISE = f"{SECRET}:{RELEASE}"
 
 UPDATES = "updates AS MATERIALIZED (SELECT user_id AS party, event_type AS coord, sum(value) AS v FROM events GROUP BY ALL)"
 CLIPPED = f"""clipped AS MATERIALIZED (SELECT party, coord, v * CASE WHEN norm > {BOUND} THEN {BOUND} / norm ELSE 1.0 END AS clipped
@@ -69,12 +70,12 @@ def dp_ledger(spark, sf_dir):
 @query(
     q.with_parts(
         [UPDATES, CLIPPED, "sums AS (SELECT coord, sum(clipped) AS total FROM clipped GROUP BY coord)"],
-        f"SELECT coord, {q.r('total', 4)} AS total, {q.r(f'total + {SCALE} * ' + q.gaussian(SECRET, 'coord'), 4)} AS released FROM sums",
+        f"SELECT coord, {q.r('total', 4)} AS total, {q.r(f'total + {SCALE} * ' + q.gaussian(NOISE, 'coord'), 4)} AS released FROM sums",
     )
 )
 def dp_release(spark, sf_dir):
     """Noised sums per event type over clipped users."""
-    released = privacy.release_sums(inputs.user_updates(spark, sf_dir), SECRET, bound=BOUND)
+    released = privacy.release_sums(inputs.user_updates(spark, sf_dir), SECRET, RELEASE, bound=BOUND)
     return rounded(released.select("coord", "total", "released"), "total", "released", places=4)
 
 
@@ -116,7 +117,7 @@ def robust_agreement(spark, sf_dir):
          "medians AS (SELECT coord, median(v) AS median FROM held GROUP BY coord)",
          "original AS (SELECT month(l_shipdate)::INTEGER AS coord, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL)"],
         f"""SELECT coord, {q.r('median')} AS median,
-  {q.r(f'v + median + ({UPDATE_BOUND} * sqrt(2.0 * ln(1.5 / 1e-5::DOUBLE)) / 3.0) * ' + q.gaussian(SECRET, 'coord'), 4)} AS updated
+  {q.r(f'v + median + ({UPDATE_BOUND} * sqrt(2.0 * ln(1.5 / 1e-5::DOUBLE)) / 3.0) * ' + q.gaussian(NOISE, 'coord'), 4)} AS updated
 FROM original JOIN medians USING (coord)""",
     )
 )
@@ -125,5 +126,5 @@ def private_update(spark, sf_dir):
     original = inputs.table(spark, sf_dir, "lineitem").groupBy(F.month("l_shipdate").alias("coord")).agg(
         F.avg("l_extendedprice").alias("v")
     )
-    done = privacy.private_update(original, inputs.supplier_updates(spark, sf_dir), SECRET, bound=UPDATE_BOUND)
+    done = privacy.private_update(original, inputs.supplier_updates(spark, sf_dir), SECRET, RELEASE, bound=UPDATE_BOUND)
     return done.select("coord", tidy(F.col("median")).alias("median"), tidy(F.col("updated"), 4).alias("updated"))

@@ -164,9 +164,10 @@ def t_two_sided(t: str, df: str) -> str:
     def power(x):
         return f"pow(greatest(cos({x}), 0.0), {df} - 1.0)"
 
-    tail = _simpson(f"atan(abs({t}) / sqrt({df}))", "pi() / 2.0", power)
-    whole = _simpson("0.0::DOUBLE", "pi() / 2.0", power)
-    return f"(CASE WHEN {df} > 10000 THEN {normal_two_sided(t)} ELSE {tail} / {whole} END)"
+    end = f"least(pi() / 2.0, 40.0 / sqrt({df}))"
+    tail = _simpson(f"least(atan(abs({t}) / sqrt({df})), {end})", end, power)
+    whole = _simpson("0.0::DOUBLE", end, power)
+    return f"(CASE WHEN ({t}) IS NOT NULL THEN {tail} / {whole} END)"
 
 
 def event_results(name: str = "results", seed: str = "user_id") -> str:

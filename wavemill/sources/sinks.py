@@ -23,6 +23,7 @@ def write_results(df: DataFrame, path: str) -> None:
 def write_summary(table: DataFrame, path: str) -> None:
     """Formatted summary (method, mean_std, ci) as a text table, headings first."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", "method", "mean_std", "ci"), F.lit(" |"))
+    # The heading of the table format.
     head = table.sparkSession.createDataFrame(
         [(0, "| Method | Mean±Std | 95% CI |"), (1, "|---|---|---|")], "at int, value string"
     )
