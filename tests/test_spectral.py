@@ -10,7 +10,7 @@ from wavemill.operators import projection, score, selection
 from wavemill.operators.matrix import (
     crop, dense_from_cells, dense_from_facts, dense_from_rows, dense_from_vectors, tile, tile_rows,
 )
-from wavemill.operators.transform import coefficients, dct2d, dct2d_rows, dct_axis, idct2d
+from wavemill.operators.transform import coefficients, dct2d, dct2d_rows, dct_axis, idct2d, idct2d_cells
 
 RNG = np.random.default_rng(7)
 SHAPES = {"one": (1, 1), "row": (1, 9), "col": (6, 1), "wide": (3, 12), "tall": (12, 3), "square": (8, 8)}
@@ -296,3 +296,71 @@ def test_missing_cells_are_zero_and_stay_in_their_record(spark):
     ragged = spark.createDataFrame([("a", 0, [1.0, 2.0]), ("a", 1, [3.0])], "matrix_id string, i bigint, row array<double>")
     with pytest.raises(Exception, match="differ in length"):
         dense_from_rows(ragged).collect()
+
+
+def embeddings_of(spark, folder, heights, width=4):
+    """An embeddings table with so many vectors a label; the matrices by label, rows in the order of vec_id."""
+    ids = RNG.permutation(sum(heights.values())).tolist()
+    made, rows = {}, []
+    for label, height in heights.items():
+        own = sorted(ids.pop() for _ in range(height))
+        made[label] = np.round(RNG.standard_normal((height, width)) * 8) / 8 + np.linspace(0, 3, height)[:, None].round(2)
+        rows += [(k, [float(x) for x in v], label) for k, v in zip(own, made[label])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    df.write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder), made
+
+
+def test_labels_beyond_any_band_are_whole(spark, tmp_path):
+    from wavemill.plans.methods import method_comparison
+    from wavemill.plans.spectral import energy_by_label, select_energy_cells
+
+    folder, made = embeddings_of(spark, tmp_path, {0: 1100, 1: 2500, 2: 3})
+    want = {}
+    for label, m in made.items():
+        c = dct(m)
+        share = np.sort((c * c / ((c * c).sum() + 1e-12)).ravel())[::-1]
+        want[label] = (m.size, int((np.cumsum(share) <= 0.85 * share.sum()).sum()))
+    got = {r.label: (r.total, r.kept) for r in energy_by_label(spark, folder).collect()}
+    assert got == want
+    cells_kept = {r.matrix_id: r.n for r in select_energy_cells(spark, folder).groupBy("matrix_id").agg(F.count("*").alias("n")).collect()}
+    assert {int(k): v for k, v in cells_kept.items()} == {k: v[1] for k, v in want.items() if v[1]}
+    results = method_comparison(spark, folder)
+    assert results.groupBy("method", "seed", "metric").count().where("count > 1").count() == 0
+    assert results.select("seed").distinct().count() == len(made)
+
+
+@pytest.mark.parametrize("heights", [{0: 30, 1: 70}, {0: 70, 1: 30}, {0: 1, 1: 9}])
+def test_transfer_scores_the_whole_target(spark, tmp_path, heights):
+    import duckdb
+
+    from compare import difference
+    from wavemill.plans import library
+
+    folder, _ = embeddings_of(spark, tmp_path, heights)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    got = library.queries()["segment_transfer"](spark, folder)
+    assert difference(got, con, library.checks()["segment_transfer"]) is None
+
+
+def test_inverse_by_strips(spark):
+    some = {n: m for n, m in MATRICES.items()} | {"long": RNG.standard_normal((1500, 5))}
+    coef = dct2d_rows(rows_of(spark, some), width=2)
+    back = {}
+    for r in idct2d_cells(coef, width=3).collect():
+        back.setdefault(r.matrix_id, {})[r.i] = r.row
+    for name, m in some.items():
+        assert np.allclose([back[name][i] for i in range(len(m))], m)
+    hole = coef.where("NOT (matrix_id = 'wide' AND k = 1 AND l = 4)")
+    with pytest.raises(Exception, match="missing"):
+        idct2d_cells(hole).collect()
+
+
+def test_record_beyond_the_bound_is_refused(spark, monkeypatch):
+    from wavemill.operators import matrix
+
+    monkeypatch.setattr(matrix, "RECORD_VALUES", 29)
+    with pytest.raises(Exception, match="functions on rows"):
+        dense_from_rows(rows_of(spark, {"m": np.ones((10, 3))})).collect()
+    assert dense_from_rows(rows_of(spark, {"m": np.ones((9, 3))})).count() == 1

@@ -2,8 +2,9 @@
 
 ``dense``: matrix_id STRING, n_rows INT, n_cols INT, plus ARRAY<DOUBLE> columns in
 row order, one row per matrix. ``cells``: one row per entry. ``rows``: one row per
-matrix row, for matrices too tall for one record. Builders cut tall inputs into
-tiles, so a dense record has a known largest size and nothing is dropped.
+matrix row, for matrices too tall for one record. A record holds a whole matrix; one of
+more than RECORD_VALUES values is an error, never another matrix: it goes through
+the functions on rows and cells, which give the same results.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from wavemill.operators.ranking import rank_by_id
 
 ID = "matrix_id"
 SHAPE = ["n_rows", "n_cols"]
+#: A record of this many values takes 32 MB.
+RECORD_VALUES = 1 << 22
 
 
 def rows_from_vectors(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
@@ -30,8 +33,8 @@ def rows_in_any_order(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.select(F.col(group).cast("string").alias(ID), F.col(vector).cast("array<double>").alias("row"))
 
 
-def tile_rows(rows: DataFrame, height: int = 1024) -> DataFrame:
-    """Cut each matrix into bands of ``height`` rows, named ``<matrix>/<band>``."""
+def tile_rows(rows: DataFrame, height: int) -> DataFrame:
+    """Cut each matrix into bands of ``height`` rows, matrices of their own named ``<matrix>/<band>``."""
     band = F.floor(F.col("i") / F.lit(height)).cast("bigint")
     return rows.select(
         F.concat_ws("/", F.col(ID), band.cast("string")).alias(ID),
@@ -41,7 +44,10 @@ def tile_rows(rows: DataFrame, height: int = 1024) -> DataFrame:
 
 
 def dense_from_rows(rows: DataFrame) -> DataFrame:
-    """Gather the rows of each (bounded) matrix into one record."""
+    """Gather the rows of each (bounded) matrix into one record. A row beyond the bound fails before the gathering."""
+    fits = (F.col("i") + 1) * F.size("row") <= RECORD_VALUES
+    refused = F.raise_error(F.lit(f"a matrix of more than {RECORD_VALUES} values: use the functions on rows"))
+    rows = rows.withColumn("row", F.when(fits | F.col("row").isNull(), F.col("row")).otherwise(refused.cast("array<double>")))
     ordered = F.sort_array(F.collect_list(F.struct("i", "row")))
     return (
         rows.groupBy(ID)
@@ -60,8 +66,10 @@ def dense_from_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def dense_from_vectors(df: DataFrame, group: str, key: str, vector: str, height: int = 1024) -> DataFrame:
-    return dense_from_rows(tile_rows(rows_from_vectors(df, group, key, vector), height))
+def dense_from_vectors(df: DataFrame, group: str, key: str, vector: str, height: int | None = None) -> DataFrame:
+    """One record per group value, of any height; bands of ``height`` rows only where that is asked for."""
+    rows = rows_from_vectors(df, group, key, vector)
+    return dense_from_rows(rows if height is None else tile_rows(rows, height))
 
 
 def _grid_position(i: Column, j: Column, n_rows: int, n_cols: int) -> Column:

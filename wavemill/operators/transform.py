@@ -72,8 +72,8 @@ def idct2d(dense: DataFrame, **arrays: str) -> DataFrame:
     return map_matrices(dense, arrays, cosine.inverse_2d)
 
 
-def _rows_along(rows: DataFrame, kernel, width: int) -> DataFrame:
-    """Transform every row's array, then cut it into strips of ``width`` columns."""
+def _row_pass(rows: DataFrame, kernel) -> DataFrame:
+    """Transform every row's array."""
 
     def run(batches):
         for batch in batches:
@@ -92,9 +92,14 @@ def _rows_along(rows: DataFrame, kernel, width: int) -> DataFrame:
                 [ID, "i", "row"],
             )
 
-    passed = rows.select(ID, F.col("i").cast("bigint").alias("i"), "row").mapInArrow(
+    return rows.select(ID, F.col("i").cast("bigint").alias("i"), "row").mapInArrow(
         run, f"{ID} string, i bigint, row array<double>"
     )
+
+
+def _rows_along(rows: DataFrame, kernel, width: int) -> DataFrame:
+    """Transform every row's array, then cut it into strips of ``width`` columns."""
+    passed = _row_pass(rows, kernel)
     starts = F.sequence(F.lit(0), F.size("row") - 1, F.lit(width))
     return passed.select(
         ID,
@@ -135,6 +140,41 @@ def dct2d_rows(rows: DataFrame, width: int = 64, max_rows: int = 1 << 22) -> Dat
     ).select(ID, "k", (F.col("first") + F.col("offset")).alias("l"), "c")
 
 
+def idct2d_cells(coef: DataFrame, c: str = "c", width: int = 64) -> DataFrame:
+    """Inverse of ``dct2d_rows``: rows (``i, row``) from all coefficient cells (``k, l``) of matrices of any height.
+
+    Columns first, a strip of ``width`` of them in a task, then rows; two shuffles. A missing cell is an error.
+    """
+    inverse = cosine.inverse_last
+    kept = coef.select(
+        ID, F.col("k").cast("bigint").alias("k"), F.col("l").cast("int").alias("l"), F.col(c).cast("double").alias("c"),
+        F.floor(F.col("l") / F.lit(width)).cast("int").alias("strip"),
+    )
+
+    def column_pass(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("l", "ascending"), ("k", "ascending")])
+        k, l = table.column("k").to_numpy(), table.column("l").to_numpy()
+        height, first = int(k.max()) + 1, int(l[0])
+        count = int(l[-1]) - first + 1
+        if (k != np.tile(np.arange(height), count)[: len(k)]).any() or len(k) != height * count:
+            raise ValueError("coefficient cells are missing")
+        block = np.ascontiguousarray(inverse(table.column("c").to_numpy().reshape(count, height)).T)
+        offsets = np.arange(height + 1) * count
+        return pa.table(
+            {
+                ID: pa.array([table.column(ID)[0].as_py()] * height, pa.string()),
+                "i": pa.array(np.arange(height), pa.int64()),
+                "first": pa.array(np.full(height, first), pa.int32()),
+                "part": pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(block.ravel())).cast(pa.list_(pa.float64())),
+            }
+        )
+
+    strips = kept.groupBy(ID, "strip").applyInArrow(column_pass, f"{ID} string, i bigint, first int, part array<double>")
+    parts = F.sort_array(F.collect_list(F.struct("first", "part")))
+    rows = strips.groupBy(ID, "i").agg(F.flatten(F.transform(parts, lambda p: p["part"])).alias("row"))
+    return _row_pass(rows, inverse)
+
+
 def dct_axis(table: DataFrame, axis: str, value: str = "v") -> DataFrame:
     """One-axis transform of a tensor given as complete cells: each line along ``axis`` is a 1-row matrix.
 

@@ -17,7 +17,6 @@ from wavemill.sources.tables import read_table
 
 FIRST_YEAR, YEARS = 1995, 7
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-TILE_HEIGHT = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +34,8 @@ def embedding_vectors(spark, sf_dir) -> DataFrame:
 
 
 def embedding_matrices(spark, sf_dir) -> DataFrame:
-    """One matrix per label and band of TILE_HEIGHT rows."""
-    return dense_from_vectors(
-        table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", TILE_HEIGHT
-    )
+    """One record per label, all its vectors in the order of vec_id."""
+    return dense_from_vectors(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
 def user_hours(spark, sf_dir) -> DataFrame:

@@ -201,14 +201,15 @@ def size_estimate(spark, sf_dir):
 SEGMENTS_SQL = [
     *q.embedding_cells(),
     f"pairs AS (SELECT * FROM (VALUES {', '.join(str(p) for p in PAIRS)}) AS t(src, tgt))",
-    """bands AS (SELECT DISTINCT split_part(matrix_id, '/', 1)::INTEGER AS label, split_part(matrix_id, '/', 2) AS band, matrix_id, m, n FROM cells)""",
-    """sized AS (SELECT src, tgt, s.band, s.matrix_id AS sid, t.matrix_id AS tid, least(s.m, t.m) AS m, s.n
-  FROM pairs JOIN bands s ON s.label = src JOIN bands t ON t.label = tgt AND t.band = s.band)""",
+    """labels AS (SELECT DISTINCT matrix_id::INTEGER AS label, matrix_id, m, n FROM cells)""",
+    """sized AS (SELECT src, tgt, s.matrix_id AS sid, t.matrix_id AS tid, greatest(s.m, t.m)::INTEGER AS m, s.n
+  FROM pairs JOIN labels s ON s.label = src JOIN labels t ON t.label = tgt)""",
     """moved AS (SELECT *, v - coalesce(lag(v) OVER (PARTITION BY matrix_id, j ORDER BY i), v) AS g FROM cells)""",
     """sides AS (
-  SELECT src || '/' || tgt || '/' || z.band || '/s' AS matrix_id, z.m, z.n, i, j, v, g FROM sized z JOIN moved c ON c.matrix_id = z.sid AND c.i < z.m
-  UNION ALL
-  SELECT src || '/' || tgt || '/' || z.band || '/t', z.m, z.n, i, j, v, g FROM sized z JOIN moved c ON c.matrix_id = z.tid AND c.i < z.m)""",
+  SELECT src || '/' || tgt || '/' || side AS matrix_id, z.m, z.n, a.i::INTEGER AS i, b.j::INTEGER AS j, coalesce(c.v, 0.0) AS v, coalesce(c.g, 0.0) AS g
+  FROM (SELECT *, sid AS id, 's' AS side FROM sized UNION ALL SELECT *, tid, 't' FROM sized) z,
+    LATERAL (SELECT unnest(range(z.m)) AS i) a, LATERAL (SELECT unnest(range(z.n)) AS j) b
+  LEFT JOIN moved c ON c.matrix_id = z.id AND c.i = a.i AND c.j = b.j)""",
     *q.forward("sides", "raw", {"c": "v", "g": "g"}),
     q.profile("raw", "prof"),
     """lined AS (SELECT s.matrix_id, s.m, s.n, s.k, s.l, s.share AS ss, t.share AS ts, s.g AS sg, t.g AS tg, t.c AS tc,
@@ -239,39 +240,38 @@ SEGMENTS_SQL = [
 def segment_transfer(spark, sf_dir):
     """One target matrix under three masks, for all pairs of segments in one job.
 
-    Source and target are cropped to the smaller height. The mask of the source
-    uses its own gradient (here the step from the vector before), the adapted and
-    the target's own mask use the target's.
+    The whole target is scored: the lower of the two matrices is filled up with rows
+    of zeros. The mask of the source uses its own gradient (here the step from the
+    vector before), the adapted and the target's own mask use the target's.
     """
+    # The list of pairs is an argument of the experiment, a handful of rows.
+    pairs = spark.createDataFrame(PAIRS, "src int, tgt int")
+    wanted = pairs.select(F.explode(F.array(F.col("src").cast("string"), F.col("tgt").cast("string"))).alias("__id")).distinct()
     dense = inputs.embedding_matrices(spark, sf_dir)
+    dense = dense.join(wanted, dense[ID] == wanted["__id"], "left_semi")
     width = F.col("n_cols")
     before = F.concat(
         F.slice("vals", F.lit(1), width), F.slice("vals", F.lit(1), F.greatest(F.size("vals") - width, F.lit(0)))
     )
-    part = F.split(F.col(ID), "/")
-    bands = dense.select(
-        part[0].cast("int").alias("label"),
-        part[1].alias("band"),
-        *["n_rows", "n_cols", "vals"],
+    labels = dense.select(
+        F.col(ID).cast("int").alias("label"), "n_rows", "n_cols", "vals",
         F.zip_with("vals", before, lambda a, b: a - b).alias("grad"),
     )
-    # The list of pairs is an argument of the experiment, a handful of rows.
-    pairs = spark.createDataFrame(PAIRS, "src int, tgt int")
-    source = bands.select(F.col("label").alias("src"), "band", F.col("n_rows").alias("sm"),
-                          F.col("vals").alias("sv"), F.col("grad").alias("sg"))
-    target = bands.select(F.col("label").alias("tgt"), "band", F.col("n_rows").alias("tm"), "n_cols",
-                          F.col("vals").alias("tv"), F.col("grad").alias("tg"))
-    rows = F.least("sm", "tm")
-    joined = pairs.join(source, "src").join(target, ["tgt", "band"])
-    cropped = joined.select(
-        F.concat_ws("/", "src", "tgt", "band").alias(ID),
-        "src",
-        "tgt",
-        rows.alias("n_rows"),
-        "n_cols",
-        *[F.slice(c, F.lit(1), rows * F.col("n_cols")).alias(c) for c in ("sv", "sg", "tv", "tg")],
+    source = labels.select(F.col("label").alias("src"), F.col("n_rows").alias("sm"),
+                           F.col("vals").alias("sv"), F.col("grad").alias("sg"))
+    target = labels.select(F.col("label").alias("tgt"), F.col("n_rows").alias("tm"), "n_cols",
+                           F.col("vals").alias("tv"), F.col("grad").alias("tg"))
+    rows = F.greatest("sm", "tm")
+
+    def filled(name):
+        rest = rows * F.col("n_cols") - F.size(name)
+        return F.concat(F.col(name), F.array_repeat(F.lit(0.0), rest)).alias(name)
+
+    lined = pairs.join(source, "src").join(target, "tgt").select(
+        F.concat_ws("/", "src", "tgt").alias(ID), "src", "tgt", rows.alias("n_rows"), "n_cols",
+        *[filled(c) for c in ("sv", "sg", "tv", "tg")],
     )
-    coef = dct2d(cropped, sv="sv", sg="sg", tv="tv", tg="tg")
+    coef = dct2d(lined, sv="sv", sg="sg", tv="tv", tg="tg")
     coef = selection.energy_profile(selection.energy_profile(coef, c="sv", out="ss"), c="tv", out="ts")
     coef = coef.withColumn("xs", F.zip_with("ss", "ts", projection.adapted_share))
     coef = selection.select(coef, tau=TAU, share="ss", g="sg", out="by_source")

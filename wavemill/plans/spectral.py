@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
 from wavemill.operators import factor, projection, score, selection
-from wavemill.operators.matrix import ID, cells, crop, dense_from_cells, tile, tile_rows, weighted_sum
+from wavemill.operators.matrix import ID, cells, crop, dense_from_cells, tile, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, dct2d_rows, dct_axis, idct2d
 from wavemill.plans import inputs
 from wavemill.plans import sqlparts as q
@@ -121,8 +121,7 @@ def dct2d_coef(spark, sf_dir):
                     f"SELECT matrix_id, k, l, {q.r('c')} AS c FROM raw"))
 def dct2d_by_strips(spark, sf_dir):
     """The transform that spreads one matrix over several tasks."""
-    rows = tile_rows(inputs.embedding_rows(spark, sf_dir), inputs.TILE_HEIGHT)
-    return dct2d_rows(rows, width=16).select(ID, "k", "l", tidy(F.col("c")).alias("c"))
+    return dct2d_rows(inputs.embedding_rows(spark, sf_dir), width=16).select(ID, "k", "l", tidy(F.col("c")).alias("c"))
 
 
 @query(_cells_sql([*q.user_cells(), *q.forward("cells", "raw"), *q.inverse("raw", "back", {"v": "x.c"})], 4, "back"))
@@ -170,8 +169,8 @@ def select_energy_users(spark, sf_dir):
 
 @query(q.with_parts([*EMBEDDING_SQL, q.energy("prof", "sel", TAU)], "SELECT matrix_id, k, l FROM sel WHERE keep"))
 def select_energy_cells(spark, sf_dir):
-    """The selection for matrices of any size, over a written profile."""
-    coef = coefficients(dct2d(inputs.embedding_matrices(spark, sf_dir)))
+    """Transform and selection without records, for matrices of any size, over a written profile."""
+    coef = dct2d_rows(inputs.embedding_rows(spark, sf_dir))
     profile = materialize(selection.cell_profile(coef).select(ID, "k", "l", "share"), "profile")
     return selection.select_energy_cells(profile, TAU).where("keep").select(ID, "k", "l")
 

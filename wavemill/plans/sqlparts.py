@@ -9,7 +9,7 @@ from wavemill.functions.hashing import (
     STRIDE,
     poisson_cuts,
 )
-from wavemill.plans.inputs import EVENT_TYPES, FIRST_YEAR, TILE_HEIGHT, YEARS
+from wavemill.plans.inputs import EVENT_TYPES, FIRST_YEAR, YEARS
 
 
 def with_parts(parts: list[str], select: str) -> str:
@@ -30,7 +30,7 @@ def embedding_cells(name: str = "cells") -> list[str]:
         embedding_ranks(),
         f"""{name} AS (
   SELECT *, CAST(max(i) OVER (PARTITION BY matrix_id) + 1 AS INTEGER) AS m FROM (
-    SELECT label::VARCHAR || '/' || (r // {TILE_HEIGHT})::VARCHAR AS matrix_id, (r % {TILE_HEIGHT})::INTEGER AS i,
+    SELECT label::VARCHAR AS matrix_id, r::INTEGER AS i,
       unnest(range(len(embedding)))::INTEGER AS j, unnest(embedding)::DOUBLE AS v, len(embedding)::INTEGER AS n
     FROM ranks))""",
     ]
