@@ -211,6 +211,17 @@ def test_chains_stars_and_borders(spark):
     assert got == slow_groups(rows, 2, 80)
 
 
+def test_links_at_exactly_the_bound(spark):
+    """Y is the union of X and Z, each 80 % of it: their distance is the sum of the two links' distances."""
+    rows = []
+    for g in range(24):
+        words = [f"u{g}x{i}" for i in range(11)]
+        rows += [(3 * g, " ".join(words[:9])), (3 * g + 1, " ".join(words[2:])), (3 * g + 2, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, width=2).collect()}
+    assert got == slow_groups(rows, 2, 80)
+
+
 def test_groups_of_odd_rows(odd_docs, no_docs):
     got = near_dedup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()

@@ -38,6 +38,8 @@ PLACES = BANDS * ROWS
 STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: An estimate may fall short of the similarity by this much: about five standard deviations at PLACES.
 SLACK = 0.14
+#: Rounding of sums of a few distances; a bound may be met by this much too late, never too early.
+ROUNDING = 1e-9
 CACHED_WORDS = 500_000
 #: Members of a group that meet others in one task.
 CHUNK = 2000
@@ -222,7 +224,7 @@ def member_links(wide: DataFrame, members: DataFrame, sketches: DataFrame, sets:
     hosts = members.join(wide.select(F.col("a").alias("centre")).distinct(), "centre").join(sizes, "centre")
     hosts = hosts.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(full, "node")
     hosts = hosts.select("centre", "chunk", "node", "apart", "sketch", "elements")
-    near_enough = F.col("apart") >= F.col("gap") - far - F.col("p")
+    near_enough = F.col("apart") >= F.col("gap") - far - F.col("p") - ROUNDING
     guests = wide.join(members.withColumnRenamed("centre", "b"), "b").where(near_enough)
     guests = guests.select(F.col("a").alias("centre"), "node", (F.col("gap") - F.col("apart")).alias("apart")).join(sizes, "centre")
     guests = guests.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(full, "node")
@@ -237,7 +239,7 @@ def member_links(wide: DataFrame, members: DataFrame, sketches: DataFrame, sets:
         if left.num_rows and right.num_rows:
             nodes, apart, sketch, elements = unpacked(left)
             for node, rest, own, raw in zip(*unpacked(right)):
-                near = np.flatnonzero(rest - apart <= far + 1e-9)
+                near = np.flatnonzero(rest - apart <= far + ROUNDING)
                 likely = (sketch[near] == own).mean(axis=1)
                 near, likely = near[likely >= 1.0 - far - SLACK], likely[likely >= 1.0 - far - SLACK]
                 x = np.frombuffer(raw, np.uint64)
@@ -363,7 +365,7 @@ def near_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: in
     linked = centres.where(is_link).select("a", "b")
 
     # Groups whose centres are too far apart for a link, yet near enough for one of their members.
-    wide = centres.where(~is_link & (F.col("apart") <= reach) & ((F.col("p") > 0) | (F.col("q") > 0)))
+    wide = centres.where(~is_link & (F.col("apart") <= reach + ROUNDING) & ((F.col("p") > 0) | (F.col("q") > 0)))
     # The centre with the wider group is the host.
     wide = wide.select(
         F.when(F.col("p") >= F.col("q"), F.col("a")).otherwise(F.col("b")).alias("a"),
