@@ -15,26 +15,51 @@ from wavemill.llm.queries import table, tokenizer
 ORACLE_SQL = None
 
 
-def kept_rows(docs, judged):
-    """Rows of ``docs`` whose id is kept in ``judged``; columns stay as they are. Rows without id go."""
-    ids = judged.where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["__kept_id"], "left_semi")
+#: A stage's own key of a row. Ids may be missing or repeated, so no stage judges by them.
+ROW = "__stage_row"
+
+
+def keyed(docs, label):
+    """``docs`` with a key of every row, written once: the same whenever it is read."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), f"keyed-{label}")
+
+
+def kept_rows(rows, kept):
+    """The rows whose key is in ``kept``, with the columns the stage was given."""
+    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def language_stage(spark, docs, sf_dir):
     """Documents whose language is told with confidence."""
-    model = language_id.train_trigrams(docs, "text", "lang")
-    return kept_rows(docs, language_id.identify(docs, model, ["doc_id"], "text", F.col("lang"), F.col("source")))
+    rows = keyed(docs, "language")
+    model = language_id.train_trigrams(rows, "text", "lang")
+    return kept_rows(rows, language_id.identify(rows, model, [ROW], "text", F.col("lang"), F.col("source")).where("kept"))
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Documents that pass the base rule and the boosted trees."""
-    return kept_rows(docs, quality.quality_rules(docs, table(spark, sf_dir, "labels")))
+    """Documents that pass the base rule and the boosted trees. Labels belong to ids; rows without id are judged alike."""
+    rows = keyed(docs, "quality")
+    counted = written(quality.document_counts(rows, ROW), "text-counts")
+    of_id = rows.select(ROW, "doc_id").join(counted, ROW).drop(ROW)
+    trees = quality.fit(of_id, table(spark, sf_dir, "labels"))
+    return kept_rows(rows, quality.judge(counted, trees, ROW).where("kept"))
 
 
 def dedup_stage(spark, docs, sf_dir):
-    """One document of each group of near-duplicates, by shingles of five words."""
-    return kept_rows(docs, near_dedup.near_duplicates(docs))
+    """One document of each group of near-duplicates, by shingles of five words: the smallest id, rows without id last.
+
+    Texts without words are like no other; of those only rows that share an id are one document.
+    """
+    rows = keyed(docs, "dedup")
+    found = near_dedup.near_duplicates(rows, ROW)
+    empty = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    placed = found.join(rows.select(ROW, "doc_id"), ROW).select(
+        F.when(~empty, F.col("component_id")).alias("group"),
+        F.when(empty, F.col("doc_id")).alias("empty_id"),
+        F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW).alias("place"),
+    )
+    first = placed.groupBy("group", "empty_id").agg(F.min("place").alias("place"))
+    return kept_rows(rows, first.select(F.col(f"place.{ROW}").alias(ROW)))
 
 
 def mix_stage(spark, docs, sf_dir):

@@ -40,6 +40,24 @@ def test_stages_keep_the_columns(spark, odd_docs, no_docs, name, stage):
     assert stage(spark, no_docs, SF).count() == 0
 
 
+def test_rows_without_an_id_of_their_own(spark, odd_docs):
+    """Missing ids, ids shared by clean and rejected texts, repeated rows."""
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(-1, "1 2 3", "en", "a")], docs.schema))  # no letters: rejected
+    language, quality_, dedup, *_ = (stage for _, stage in corpus_pipeline.STAGES)
+    counted = lambda df: Counter(r.text for r in df.select("text").collect())
+    want = counted(language(spark, docs, SF))
+    assert len(want) > 50 and "1 2 3" not in want
+    for same in (None, 7):
+        assert counted(language(spark, docs.withColumn("doc_id", F.lit(same).cast("bigint")), SF)) == want
+    good, bad = " ".join(f"word{i}" for i in range(60)), "too short"
+    shared = spark.createDataFrame([(-5, good), (-5, bad), (None, good), (None, bad)], "doc_id bigint, text string")
+    assert counted(quality_(spark, shared, SF)) == Counter({good: 2})
+    repeated = spark.createDataFrame([(3, good), (3, good), (None, good), (2, good), (None, "one two three four five six"), (9, ""), (9, "")], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in dedup(spark, repeated, SF).collect())
+    assert got == sorted([(2, good), (0, "one two three four five six"), (9, "")])
+
+
 def test_last_stage_on_odd_rows(spark, odd_docs, no_docs):
     stage = corpus_pipeline.STAGES[-1][1]
     assert stage(spark, odd_docs, SF).count() == odd_docs.count() and stage(spark, no_docs, SF).count() == 0
