@@ -69,7 +69,7 @@ def mix_stage(spark, docs, sf_dir):
 
 def encode_stage(spark, docs, sf_dir):
     """Token ids of every copy, with the digests of a round trip."""
-    return bpe.round_trip(docs, tokenizer("byte_bpe_50k.json"), carry=("doc_id", "source"))
+    return bpe.round_trip(docs, tokenizer("byte_bpe_50k.json"), carry=("doc_id", "source"), ids=True)
 
 
 STAGES = [

@@ -3,11 +3,13 @@
 import sys
 from collections import Counter
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from wavemill.llm import language_id, mixing, near_dedup, quality
-from wavemill.llm.queries import table
+from wavemill.llm.queries import table, tokenizer
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +60,13 @@ def test_rows_without_an_id_of_their_own(spark, odd_docs):
     assert got == sorted([(2, good), (0, "one two three four five six"), (9, "")])
 
 
+def test_last_stage_gives_the_librarys_ids(spark, odd_docs):
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    rows = corpus_pipeline.STAGES[-1][1](spark, odd_docs, SF).collect()
+    want = Counter((r.doc_id, tuple(library.encode(r.text or "", add_special_tokens=False).ids)) for r in odd_docs.collect())
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows) == want
+
+
 def test_last_stage_on_odd_rows(spark, odd_docs, no_docs):
     stage = corpus_pipeline.STAGES[-1][1]
     assert stage(spark, odd_docs, SF).count() == odd_docs.count() and stage(spark, no_docs, SF).count() == 0

@@ -348,23 +348,29 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", carry: Sequence[str]
     return map_arrow(kept, run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Encode, decode and digest in one pass: ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``same_text``."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", carry: Sequence[str] = ("doc_id",), ids: bool = False) -> DataFrame:
+    """Encode, decode and digest in one pass: ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``same_text``;
+    with ``ids`` also the ids (BINARY, ``<u4``)."""
     kept = docs.select(*carry, text_column(text).alias("__text"))
     added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string", "same_text": "boolean"}
+    if ids:
+        added["ids"] = "binary"
     schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes[:-1]), *(f"{n} {t}" for n, t in added.items())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         vocabulary = Vocabulary.of(path)
         texts = batch.column(len(carry)).to_pylist()
-        ids = vocabulary.encode_batch(texts)
-        decoded = [vocabulary.decode(i) for i in ids]
+        encoded = vocabulary.encode_batch(texts)
+        decoded = [vocabulary.decode(i) for i in encoded]
+        raw = [i.astype("<u4").tobytes() for i in encoded]
         columns = [
-            pa.array([len(i) for i in ids], pa.int64()),
-            pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], pa.string()),
+            pa.array([len(i) for i in encoded], pa.int64()),
+            pa.array([hashlib.sha256(i).hexdigest() for i in raw], pa.string()),
             pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
             pa.array([a == b for a, b in zip(texts, decoded)], pa.bool_()),
         ]
+        if ids:
+            columns.append(pa.array(raw, pa.binary()))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*carry, *added])
 
     return map_arrow(kept, run, schema)
