@@ -100,6 +100,12 @@ def test_counts_are_the_librarys():
     assert token_counts.PartCounter(WORD).totals([t.encode() for t in texts]).tolist() == want
 
 
+def test_other_spellings_of_added_tokens():
+    texts = ["<|EndOfText|>", "<|ENDOFTEXT|> a", "A<|EndOfText|>B", "<|endoftext|>", "a <|StartOfText|> THE é", "<|endoftext|><|ENDOFTEXT|> The", "<| EndOfText |> THE"]
+    want = [len(e) for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.PartCounter(WORD).totals([t.encode() for t in texts]).tolist() == want
+
+
 def test_counts_of_odd_rows(odd_docs):
     library = Tokenizer.from_file(WORD)
     texts = {r.doc_id: r.text or "" for r in odd_docs.where("doc_id IS NOT NULL").collect()}

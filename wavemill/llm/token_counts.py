@@ -36,6 +36,8 @@ class PartCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # Added tokens are matched before the library lower-cases: another spelling must not become one.
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.lowers = '"Lowercase"' in self.tokenizer.to_str()[:20_000]
         self.reset()
 
@@ -48,8 +50,9 @@ class PartCounter:
             self.reset()
         slots, lengths = [], np.zeros(len(texts), np.int64)
         for at, text in enumerate(texts):
-            # ASCII texts can be lower-cased before the library does it; composed characters can not.
-            parts = (text.lower() if self.lowers and text.isascii() else text).split()
+            # ASCII texts can be lower-cased before the library does it; composed characters and what may be an added token can not.
+            lowered = text.lower() if self.lowers and text.isascii() else text
+            parts = (text if any(s in lowered for s in self.special) else lowered).split()
             lengths[at] = len(parts)
             slots.append(np.fromiter(map(self.slot.__getitem__, parts), np.int64, len(parts)))
         self._count_new()
