@@ -70,6 +70,21 @@ def test_fused_posterior_matches_brute_force(spark):
         assert got[i].language == langs[p.argmax()] and got[i].confidence == pytest.approx(p.max(), rel=1e-5)
 
 
+def test_every_language_is_sampled(spark):
+    """A rare language, and one whose copies alone would fill the sample."""
+    rows = [(f"the river {i} stone{i}", "en") for i in range(400)] + [("sur la table", "fr")] * 300 + [("der fluss", "De"), ("1 2", "xx"), (None, "yy")]
+    train = spark.createDataFrame(rows, "text string, lang string").repartition(7)
+    langs, table_ = language_id.train_trigrams(train, "text", "lang", sample=20)
+    assert langs == ["de", "en", "fr"]
+    hashes = {r.text: r.h for r in train.where("text IS NOT NULL").select("text", F.xxhash64(F.col("text").cast("binary")).alias("h")).collect()}
+    first = sorted((t for t, lang in rows if lang == "en"), key=hashes.get)[:20]
+    for lang, texts in (("en", first), ("fr", ["sur la table"]), ("de", ["der fluss"])):
+        n = np.full(1 << language_id.TRIGRAM_BITS, 0.05)
+        for t in texts:
+            np.add.at(n, language_id.trigrams(t.encode()), 1)
+        assert np.allclose(table_[:, langs.index(lang)], np.log(n / n.sum()), atol=1e-5)
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     model = language_id.train_trigrams(odd_docs, "text", "lang")
     got = language_id.identify(odd_docs, model, ["doc_id"], "text", F.col("lang"), F.col("source")).collect()

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wavemill.llm.common import map_arrow, text_column, written
 
 TRIGRAM_BITS = 16
-#: At most so many labelled rows train the trigrams: the first of each language in the order of a hash.
+#: At most so many labelled texts of a language train the trigrams: its first distinct ones in the order of a hash.
 SAMPLE = 4000
 #: Trigrams after which a text's evidence no longer grows: neighbouring trigrams are not independent.
 TEMPER = 200.0
@@ -40,11 +40,36 @@ def trigrams(text: bytes) -> np.ndarray:
     return mixed[raw[1:-1] != 0x20]
 
 
+def smallest_hashes(hashed: DataFrame, sample: int) -> dict[str, int]:
+    """The ``sample``-th smallest distinct ``h`` (uniform, 64 bits) of each ``lang``, the largest where there are fewer.
+
+    A bound that leaves a little more than ``sample`` follows from the number of hashes, so
+    that no language's hashes meet in one task but those.
+    """
+    distinct = written(hashed.distinct(), "language-hashes")
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a number a language
+    if not sizes:
+        return {}
+    room = sample + 8 * sample**0.5 + 32
+    loose = {lang: (1 << 63) - 1 if n <= room else int((1 << 64) * room / n) - (1 << 63) for lang, n in sizes.items()}
+    near = distinct.where(F.col("h") <= of_language(loose)).groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("h"))
+    last = near.select("lang", F.get("h", F.least(F.size("h"), F.lit(sample)) - 1).alias("h"))
+    return {r["lang"]: r["h"] for r in last.collect()}
+
+
+def of_language(values: dict[str, int]) -> Column:
+    """The value of the row's ``lang``."""
+    return F.element_at(F.map_from_arrays(F.lit(list(values)), F.lit(list(values.values()))), F.col("lang"))
+
+
 def train_trigrams(labelled: DataFrame, text: str, label: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and the log-probability of each trigram in each, from a bounded sample of labelled rows."""
-    known = labelled.where(F.col(label).isNotNull() & (F.col(label) != "") & F.col(text).isNotNull())
-    chosen = known.select(F.lower(F.col(label)).alias("lang"), text_column(text).alias("text"))
-    chosen = chosen.orderBy(F.xxhash64("text"), "lang").limit(sample)
+    """All languages that label a text with letters, and the log-probability of each trigram in each, from ``sample``
+    texts of each language at most. Copies of a text count once."""
+    known = labelled.where(F.col(label).isNotNull() & (F.col(label) != "") & F.col(text).rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
+    known = known.select(F.lower(F.col(label)).alias("lang"), text_column(text).alias("text")).withColumn("h", F.xxhash64("text"))
+    last = smallest_hashes(known.select("lang", "h"), sample)
+    chosen = known.where(F.col("h") <= of_language(last)) if last else known.where("false")
+    chosen = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.unique(trigrams(t), return_counts=True) for t in batch.column(1).to_pylist()]
