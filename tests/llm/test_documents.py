@@ -341,6 +341,12 @@ def test_mixed_documents_are_whole_copies(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_mixed_documents_lie_by_shard_and_key(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    want = sorted((s, k, r.doc_id) for r in QUERIES["op8_source_mix"](spark, "/root/testdata/sf0.001").collect() for s, k in zip(r.shards, r.slot_keys, strict=True))
+    assert [r.doc_id for r in mixing.mixed_documents(docs).collect()] == [d for _, _, d in want]
+
+
 # --- sharding
 
 def test_shards_follow_weights_and_grow_only_into_the_new(spark):

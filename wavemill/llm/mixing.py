@@ -240,7 +240,8 @@ def mix(
 
 def mixed_documents(docs: DataFrame, seed: str = "mix", **more) -> DataFrame:
     """The documents as the mix holds them, with the columns of ``docs``: a row per copy, the text of a copy that
-    the target cuts ends with its last word taken. Equal rows get the copies of equal rows of the plan, one each."""
+    the target cuts ends with its last word taken. Equal rows get the copies of equal rows of the plan, one each.
+    Rows lie in the order of the shards, in a shard by ``slot_key``."""
     key = ["doc_id", "source", "__h"]
     plan = mix(docs, seed=seed, **more).where("taken > 0")
     per_row = plan.groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("__rows"))
@@ -248,6 +249,8 @@ def mixed_documents(docs: DataFrame, seed: str = "mix", **more) -> DataFrame:
     joined = ours.withColumn("__key", F.struct(*key)).join(per_row.select(F.struct(*key).alias("__key"), "__rows"), "__key")
     numbered = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__h")))
     copies = numbered.withColumn("__copy", F.explode(F.get("__rows", F.col("__n") - 1)))
+    order = [F.col("__copy.shard"), F.col("__copy.slot_key")]  # the key is a hash, so a shard is spread over tasks
+    copies = copies.repartitionByRange(*order).sortWithinPartitions(*order)
     whole = F.col("__copy.words") == word_count()
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
     cut = F.array_join(F.slice(words, 1, F.col("__copy.words").cast("int")), " ")

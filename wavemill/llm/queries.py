@@ -74,8 +74,9 @@ def op7_nearest_neighbours(spark, sf_dir):
 
 
 def op8_source_mix(spark, sf_dir):
-    shards = F.transform("copies", lambda c: c["shard"]).alias("shards")
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", shards)
+    """Copies of every document: their shards, and the keys that order each shard."""
+    each = [F.col(f"copies.{k}").alias(f"{k}s") for k in ("shard", "slot_key")]
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", *each)
 
 
 def op9_sharding(spark, sf_dir):
