@@ -25,6 +25,17 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``run`` on pieces of the batches of at most CHUNK_BYTES (or one row)."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, hamming_search, language_id, mixing, near_dedup, quality, sharding, token_counts, training_order, url_rules
+from wavemill.llm import bpe, decontamination, hamming_search, language_id, mixing, near_dedup, quality, sharding, token_counts, training_order, url_rules
 from wavemill.llm.common import written
 from wavemill.session import scratch_path
 from wavemill.sources.tables import read_table
@@ -94,6 +94,16 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_decontamination(spark, sf_dir):
+    """Words of every document that stand in a window of a benchmark item, and the items."""
+    tests = decontamination.TestSet(table(spark, sf_dir, "benchmark"))
+    hits = decontamination.hit_documents(table(spark, sf_dir, "documents"), tests)
+    ids = F.sha2(F.array_join("items", ","), 256)
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def _pattern_sql() -> str:
     tests = [f"regexp_matches(lowered, '{r.pattern}')" for r in url_rules.PATTERNS]
     return "(" + " OR ".join(tests) + ")"
@@ -127,11 +137,40 @@ SELECT page_id, host, path, rule, CASE
 FROM placed
 """
 
+OP11_SQL = f"""
+WITH doc AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), shape AS (
+  SELECT item_id, w, least(len(w), 10) AS size FROM item WHERE len(w) > 0
+), gram AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i + 1 : i + size], ' ') AS gram
+  FROM (SELECT item_id, w, size, unnest(range(0, len(w) - size + 1)) AS i FROM shape)
+), sizes AS (
+  SELECT DISTINCT size FROM gram
+), place AS (
+  SELECT r, size, i, array_to_string(w[i + 1 : i + size], ' ') AS gram
+  FROM (SELECT r, w, size, unnest(range(0, len(w) - size + 1)) AS i FROM doc CROSS JOIN sizes WHERE len(w) >= size)
+), found AS (
+  SELECT r, i, p.size, item_id FROM place p JOIN gram g ON p.gram = g.gram AND p.size = g.size
+), hit AS (
+  SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS x FROM (SELECT DISTINCT r, i, size FROM found)) GROUP BY r
+), ids AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_bpe_round_trip, op3_training_order, op4_url_filters, op5_quality_rules, op6_near_dedup,
-        op7_nearest_neighbours, op8_source_mix, op9_sharding, op10_token_counts,
+        op7_nearest_neighbours, op8_source_mix, op9_sharding, op10_token_counts, op11_decontamination,
     )
 }
-CHECKS = {"op4_url_filters": OP4_SQL}
+CHECKS = {"op4_url_filters": OP4_SQL, "op11_decontamination": OP11_SQL}
