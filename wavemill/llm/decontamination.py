@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 
 from wavemill.llm.common import fresh_names, written
 
-#: Words after lower-casing, and the same runs in a text as it stands.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
+#: What words are made of and what stands between them; A-Z are lower-cased first where words are compared.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WIDTH = 10
 BLOCK_BYTES = 32 << 20
@@ -43,13 +42,15 @@ ROW_BYTES = 64
 
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for a null."""
-    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    plain = F.coalesce(text.cast("string"), F.lit(""))
+    # In a text of ASCII alone, Spark's own lower-casing does the same and is faster.
+    lowered = F.when(F.octet_length(plain) == F.char_length(plain), F.lower(plain)).otherwise(F.translate(plain, UPPER, LOWER))
+    return F.array_remove(F.split(lowered, f"{GAP}+"), "")
 
 
-def window_hash(words: Column, at: Column, size: int) -> Column:
-    """Hash of ``size`` words from ``at`` on; words past the end are left out."""
-    return F.xxhash64(*[F.get(words, at + k) for k in range(size)])
+def window_hash(hashes: Column, at: Column, size: int) -> Column:
+    """Hash of ``size`` words from ``at`` on, from the hashes of the words; words past the end are left out."""
+    return F.xxhash64(*[F.get(hashes, at + k) for k in range(size)])
 
 
 def in_blocks(rows: DataFrame, by: Sequence[str], size: Column, limit: int) -> list[DataFrame]:
@@ -73,7 +74,7 @@ class TestSet:
         grams = F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, size), " "))
         cut = worded.where(F.size("words") > 0).select("item", size.alias("size"), F.explode(F.array_distinct(grams)).alias("gram"))
         cut = written(cut.distinct(), "bench-windows")
-        parts = F.split("gram", " ")
+        parts = F.transform(F.split("gram", " "), lambda w: F.xxhash64(w))
         distinct = cut.groupBy("gram", "size").agg(F.lit(1)).select("gram", "size", window_hash(parts, F.lit(0), width).alias("hash"))
         self.grams = written(distinct.withColumn("id", F.monotonically_increasing_id()), "bench-grams")
         named = cut.where(F.col("item").isNotNull()).join(self.grams.select("gram", "id"), "gram").select("id", "item")
@@ -92,15 +93,18 @@ def window_hits(docs: DataFrame, tests: TestSet, key: Sequence[str], text: str)
     """
     names = [f"k{n}" for n in range(len(key))]
     cut = docs.select(*[F.col(k).alias(n) for k, n in zip(key, names)], F.xxhash64(text).alias("h"), words_of(F.col(text)).alias("words"))
-    placed = cut.select("*", F.size("words").cast("bigint").alias("n_words"), F.posexplode_outer("words").alias("at", "word")).drop("word")
+    hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    placed = hashed.select("*", F.size("words").cast("bigint").alias("n_words"), F.posexplode_outer("hashes").alias("at", "word")).drop("word")
     sizes = tests.sizes or [tests.width]
-    fits = {s: F.when(F.col("at") + s <= F.col("n_words"), window_hash(F.col("words"), F.col("at"), s)) for s in sizes}
+    fits = {s: F.when(F.col("at") + s <= F.col("n_words"), window_hash(F.col("hashes"), F.col("at"), s)) for s in sizes}
     if len(sizes) == 1:
         sized = placed.select("*", F.lit(sizes[0]).alias("size"), fits[sizes[0]].alias("hash"))
     else:
         looked = F.array(*[F.struct(F.lit(s).alias("size"), h.alias("hash")) for s, h in fits.items()])
         sized = placed.select("*", F.inline(looked))
-    same = F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " ") == F.col("gram")
+    # Not written as an equality: that would become a key of the join, worked out at every position.
+    words = F.array_join(F.slice("words", F.col("at") + 1, F.col("size")), " ")
+    same = words.startswith(F.col("gram")) & (F.octet_length(words) <= F.octet_length("gram"))
     keep = [*names, "h", F.spark_partition_id().alias("part"), "n_words"]
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
     found = []
@@ -167,8 +171,8 @@ def decontaminate(docs: DataFrame, tests: TestSet, remove: str = "spans", key: s
     if remove == "documents":
         return mine.join(dirty, place, "left_anti").drop(place)
     texts = mine.join(dirty, place, "left_semi").select(F.col(place).alias("doc"), F.col(text).alias("text")).dropDuplicates(["doc"])
-    tail = F.regexp_extract("text", f"({GAP})$", 1)
-    pieces = F.regexp_extract_all("text", F.lit(f"{GAP}{RAW_WORD}"), F.lit(0))
+    tail = F.regexp_extract("text", f"({GAP}*)$", 1)
+    pieces = F.regexp_extract_all("text", F.lit(f"{GAP}*{WORD}"), F.lit(0))
     cut = texts.select("doc", tail.alias("tail"), F.posexplode(pieces).alias("at", "piece")).join(spots, ["doc", "at"], "left_anti")
     left = cut.groupBy("doc").agg(F.first("tail").alias("tail"), F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
     rebuilt = left.select("doc", F.concat(F.array_join("pieces.piece", ""), "tail").alias("text"))
