@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, decontamination, hamming_search, language_id, mixing, near_dedup, quality, sharding, token_counts, training_order, url_rules
+from wavemill.llm import bpe, decontamination, hamming_search, language_id, mixing, near_dedup, quality, resampling, sharding, token_counts, training_order, url_rules
 from wavemill.llm.common import written
 from wavemill.session import scratch_path
 from wavemill.sources.tables import read_table
@@ -104,6 +104,12 @@ def op11_decontamination(spark, sf_dir):
     )
 
 
+def op12_importance_resampling(spark, sf_dir):
+    """Weight, score and rank of every document in a draw towards the benchmark's words."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def _pattern_sql() -> str:
     tests = [f"regexp_matches(lowered, '{r.pattern}')" for r in url_rules.PATTERNS]
     return "(" + " OR ".join(tests) + ")"
@@ -171,6 +177,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_bpe_round_trip, op3_training_order, op4_url_filters, op5_quality_rules, op6_near_dedup,
         op7_nearest_neighbours, op8_source_mix, op9_sharding, op10_token_counts, op11_decontamination,
+        op12_importance_resampling,
     )
 }
 CHECKS = {"op4_url_filters": OP4_SQL, "op11_decontamination": OP11_SQL}
