@@ -227,12 +227,12 @@ class Vocabulary:
             node = node >> 1
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
-    def encode_batch(self, texts: Sequence[bytes]) -> list[np.ndarray]:
-        """Ids (unsigned 32-bit) of each text."""
+    def encode_batch(self, texts: Sequence[bytes], special: bool = True) -> list[np.ndarray]:
+        """Ids (unsigned 32-bit) of each text; with ``special=False`` special strings are plain text."""
         plain: list[bytes] = []  # stretches without special strings
         layout: list[list[int]] = []  # per text: index into plain, or -1 - id
         for text in texts:
-            if self.special_rule is not None and any(s in text for s in self.special):
+            if special and self.special_rule is not None and any(s in text for s in self.special):
                 parts = self.special_rule.split(text)
                 row = []
                 for part in parts:

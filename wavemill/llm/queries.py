@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wavemill.llm import bpe, decontamination, hamming_search, language_id, mixing, near_dedup, quality, resampling, sharding, token_counts, training_order, url_rules
+from wavemill.llm import alignment, bpe, decontamination, hamming_search, language_id, mixing, near_dedup, quality, resampling, sharding, token_counts, training_order, url_rules
 from wavemill.llm.common import written
 from wavemill.session import scratch_path
 from wavemill.sources.tables import read_table
@@ -110,6 +110,11 @@ def op12_importance_resampling(spark, sf_dir):
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_tokenizer_alignment(spark, sf_dir):
+    """Groups and links of the tokens that two tokenizers give every document."""
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def _pattern_sql() -> str:
     tests = [f"regexp_matches(lowered, '{r.pattern}')" for r in url_rules.PATTERNS]
     return "(" + " OR ".join(tests) + ")"
@@ -177,7 +182,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_bpe_round_trip, op3_training_order, op4_url_filters, op5_quality_rules, op6_near_dedup,
         op7_nearest_neighbours, op8_source_mix, op9_sharding, op10_token_counts, op11_decontamination,
-        op12_importance_resampling,
+        op12_importance_resampling, op13_tokenizer_alignment,
     )
 }
 CHECKS = {"op4_url_filters": OP4_SQL, "op11_decontamination": OP11_SQL}
