@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 from wavemill.llm.bpe import ODD_BLANK, ODD_SPACE, Vocabulary, gathered, parts_of
 from wavemill.llm.common import Numbered, map_arrow, process_cache, text_column, written
 
-CACHED_PARTS = 400_000
+CACHED_PARTS = 300_000
+#: Bytes of text aligned together.
+BATCH_BYTES = 1 << 20
 #: Pairs of ids in one broadcast table, of 17 bytes each.
 BLOCK_PAIRS = 1 << 20
 BLANK = "▁"
@@ -72,61 +75,83 @@ class Pair:
 
         self.a = Vocabulary.of(path_a)
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.bytes_of = [self._piece_bytes(i) for i in range(self.model.get_piece_size())]
-        self.byte_size = np.array([len(b) for b in self.bytes_of], np.int64)
-        pieces = (self.model.id_to_piece(i) for i in range(len(self.bytes_of)) if not self.model.is_control(i))
-        self.splits = not any(BLANK in p.lstrip(BLANK) for p in pieces)
+        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        raw = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
+        self.byte_size = np.fromiter(map(len, raw), np.int64, len(raw))
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
+        self.all_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        self.splits = not any(BLANK in p.lstrip(BLANK) for i, p in enumerate(pieces) if not self.model.is_control(i))
+        # Decimal ids, each with every mark that may follow it.
+        shown = [b"%d%c" % (i, mark) for i in range(max(len(pieces), len(self.a.bytes_of))) for mark in b",|;"]
+        self.shown_size = np.fromiter(map(len, shown), np.int64, len(shown))
+        self.shown_start = np.cumsum(self.shown_size) - self.shown_size
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.reset()
 
-    def _piece_bytes(self, i: int) -> bytes:
-        piece = self.model.id_to_piece(i)
-        return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(BLANK, " ").encode()
-
     def reset(self):
         self.slot = Numbered()
-        self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, 1 if the bytes agree
-        self.start = np.zeros(0, np.int64)
-        self.links = np.zeros(0, np.int64)
-        self.groups: list[bytes] = []
+        none = np.zeros(0, np.int64)
+        self.counts = np.zeros((0, 3), np.int64)  # A tokens, B tokens, groups
+        self.agrees = np.zeros(0, bool)
+        self.link_start, self.text_start, self.text_size = none, none, none
+        self.links, self.texts = none, np.zeros(0, np.uint8)
 
     def fill(self):
-        fresh = self.slot.newest(len(self.groups))
+        """Align the parts that were numbered since the last call."""
+        fresh = self.slot.newest(len(self.agrees))
         if not fresh:
             return
-        whole = [b" " + p for p in fresh]
-        ids_a = self.a.encode_batch(whole, special=False)
-        ids_b = [np.array(i, np.int64) for i in self.model.encode([p.decode("utf-8", "replace") for p in fresh], num_threads=1)]
-        agrees = [
-            b"".join(map(self.a.bytes_of.__getitem__, x.tolist())) == p == b"".join(map(self.bytes_of.__getitem__, y.tolist()))
-            for p, x, y in zip(whole, ids_a, ids_b)
-        ]
-        none = np.zeros(0, np.int64)
-        ids_a = [x.astype(np.int64) if ok else none for x, ok in zip(ids_a, agrees)]
-        ids_b = [y if ok else none for y, ok in zip(ids_b, agrees)]
-        flat_a, flat_b = np.concatenate(ids_a), np.concatenate(ids_b)
-        ends_a, ends_b = np.cumsum(self.a.byte_size[flat_a]), np.cumsum(self.byte_size[flat_b])
-        of_a, of_b = group_labels(ends_a, ends_b)
+        decoded = [p.decode("utf-8", "replace") for p in fresh]
+        ids_a, n_a = self.a.encode_parts([" " + p for p in decoded])
+        lists = self.model.encode(decoded, num_threads=1)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids_a, ids_b = ids_a.astype(np.int64), np.fromiter(chain.from_iterable(lists), np.int64, int(n_b.sum()))
+        agrees = self._same_bytes(fresh, self.a, ids_a, n_a) & self._same_bytes(fresh, self, ids_b, n_b)
+        if not agrees.all():
+            ids_a, ids_b = ids_a[np.repeat(agrees, n_a)], ids_b[np.repeat(agrees, n_b)]
+            n_a, n_b = n_a * agrees, n_b * agrees
+        of_a, of_b = group_labels(np.cumsum(self.a.byte_size[ids_a]), np.cumsum(self.byte_size[ids_b]))
         # One link a group: its last tokens are the ones that end together.
-        last_a = np.flatnonzero(np.diff(of_a, append=-1))
-        last_b = np.flatnonzero(np.diff(of_b, append=-1))
-        links = flat_a[last_a] << 32 | flat_b[last_b]
-        texts = self._written(flat_a.tolist(), flat_b.tolist(), last_a.tolist(), last_b.tolist())
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-        upto_b = np.cumsum(n_b)
-        done = np.searchsorted(last_b, upto_b)  # groups up to the end of each part
-        n_groups = np.diff(done, prepend=0)
-        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, np.array(agrees, np.int64)], axis=1)])
-        self.start = np.concatenate([self.start, len(self.links) + done - n_groups])
+        ends_a, ends_b = np.diff(of_a, append=-1) != 0, np.diff(of_b, append=-1) != 0
+        links = ids_a[ends_a] << 32 | ids_b[ends_b]
+        n_groups = np.diff(np.concatenate([[0], np.cumsum(ends_b)])[np.cumsum(n_b)], prepend=0)
+        texts, text_size = self._shown(ids_a, ids_b, of_a, of_b, ends_a, ends_b, n_a + n_b)
+        self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups], axis=1)])
+        self.agrees = np.concatenate([self.agrees, agrees])
+        self.link_start = np.concatenate([self.link_start, len(self.links) + np.cumsum(n_groups) - n_groups])
         self.links = np.concatenate([self.links, links])
-        self.groups += [b";".join(texts[e - n : e]) for e, n in zip(done.tolist(), n_groups.tolist())]
+        self.text_start = np.concatenate([self.text_start, len(self.texts) + np.cumsum(text_size) - text_size])
+        self.text_size = np.concatenate([self.text_size, text_size])
+        self.texts = np.concatenate([self.texts, texts])
 
     @staticmethod
-    def _written(a: list[int], b: list[int], last_a: list[int], last_b: list[int]) -> list[bytes]:
-        out, i, j = [], 0, 0
-        for p, q in zip(last_a, last_b):
-            out.append(b"%s|%s" % (",".join(map(str, a[i : p + 1])).encode(), ",".join(map(str, b[j : q + 1])).encode()))
-            i, j = p + 1, q + 1
-        return out
+    def _same_bytes(parts: list[bytes], side, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each part (``side``: its tokenizer's bytes) are a blank and the part."""
+        want = np.frombuffer(b" " + b" ".join(parts), np.uint8)
+        want_size = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        sums = np.concatenate([[0], np.cumsum(side.byte_size[ids])])
+        ends = np.cumsum(counts)
+        same = sums[ends] - sums[ends - counts] == want_size
+        if not same.all():
+            keep = np.repeat(same, counts)
+            ids, want = ids[keep], want[np.repeat(same, want_size)]
+        got, _ = gathered(side.all_bytes, side.byte_start[ids], side.byte_size[ids])
+        wrong = np.concatenate([[0], np.cumsum(got != want)])
+        upto = np.cumsum(want_size[same])
+        same[same] = wrong[upto] == wrong[upto - want_size[same]]
+        return same
+
+    def _shown(self, ids_a, ids_b, of_a, of_b, ends_a, ends_b, tokens) -> tuple[np.ndarray, np.ndarray]:
+        """``a1,a2|b1;a3|b2;`` of all parts in a row, and how many bytes each part (of so many ``tokens``) has."""
+        groups = int(ends_b.sum())
+        before_b = np.cumsum(np.bincount(of_b, minlength=groups)) - np.bincount(of_b, minlength=groups)
+        upto_a = np.cumsum(np.bincount(of_a, minlength=groups))
+        order = np.zeros(len(ids_a) + len(ids_b), np.int64)  # A tokens of a group, then its B tokens
+        order[np.arange(len(ids_a)) + before_b[of_a]] = ids_a * 3 + ends_a
+        order[np.arange(len(ids_b)) + upto_a[of_b]] = ids_b * 3 + 2 * ends_b
+        sizes = self.shown_size[order]
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        return gathered(self.shown, self.shown_start[order], sizes)[0], np.diff(sums[np.cumsum(tokens)], prepend=0)
 
     def align(self, texts: Sequence[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
         """Per text: counts of A tokens, B tokens and groups; the groups as text; all links in a row and how many each has."""
@@ -142,13 +167,16 @@ class Pair:
             slots.append(np.fromiter(map(self.slot.__getitem__, parts), np.int64, len(parts)))
         self.fill()
         # Bytes that a tokenizer changes in one part are changed in the whole text.
-        slots = [s if self.counts[s, 3].all() else s[:0] for s in slots]
+        slots = [s if self.agrees[s].all() else s[:0] for s in slots]
         flat = np.concatenate(slots) if slots else np.zeros(0, np.int64)
         ends = np.cumsum([len(s) for s in slots], dtype=np.int64)
-        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.counts[flat, :3], axis=0)])
-        counts = sums[ends] - sums[np.concatenate([[0], ends[:-1]])] if len(ends) else np.zeros((0, 3), np.int64)
-        groups = [b";".join(map(self.groups.__getitem__, s.tolist())) for s in slots]
-        links, _ = gathered(self.links, self.start[flat], self.counts[flat, 2])
+        begins = np.concatenate([[0], ends[:-1]])
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.counts[flat], axis=0)])
+        counts = sums[ends] - sums[begins] if len(ends) else np.zeros((0, 3), np.int64)
+        raw, done = gathered(self.texts, self.text_start[flat], self.text_size[flat])
+        at = np.concatenate([[0], done])
+        groups = [raw[at[a] : max(at[a], at[b] - 1)].tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
+        links, _ = gathered(self.links, self.link_start[flat], self.counts[flat, 2])
         return counts, groups, links, counts[:, 2]
 
 
@@ -173,7 +201,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
             columns.append(pa.array([g.decode() for g in written_groups], pa.string()))
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return map_arrow(kept, run, schema).withColumnRenamed("key", key)
+    return map_arrow(kept, run, schema, BATCH_BYTES).withColumnRenamed("key", key)
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:

@@ -227,12 +227,12 @@ class Vocabulary:
             node = node >> 1
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
-    def encode_batch(self, texts: Sequence[bytes], special: bool = True) -> list[np.ndarray]:
-        """Ids (unsigned 32-bit) of each text; with ``special=False`` special strings are plain text."""
+    def encode_batch(self, texts: Sequence[bytes]) -> list[np.ndarray]:
+        """Ids (unsigned 32-bit) of each text."""
         plain: list[bytes] = []  # stretches without special strings
         layout: list[list[int]] = []  # per text: index into plain, or -1 - id
         for text in texts:
-            if special and self.special_rule is not None and any(s in text for s in self.special):
+            if self.special_rule is not None and any(s in text for s in self.special):
                 parts = self.special_rule.split(text)
                 row = []
                 for part in parts:
@@ -267,6 +267,21 @@ class Vocabulary:
         flat, ends = gathered(cache.ids, cache.start[slot], cache.size[slot])
         return np.split(flat, ends[np.cumsum(counts)[:-1] - 1])
 
+    def encode_parts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special strings in a row, and how many each has; a distinct piece is merged once."""
+        whole = "".join(texts)
+        upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        begin = np.concatenate([[0], upto[:-1]])
+        ends = piece_ends(np.frombuffer(whole.encode("utf-32-le"), np.uint32), self.kinds, begin[begin < len(whole)])
+        cuts = ends.tolist()
+        pieces = [whole[a:b] for a, b in zip([0, *cuts], cuts)]
+        numbers = Numbered()
+        piece = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
+        ids, start, size = self.merge([p.encode() for p in numbers])
+        flat, done = gathered(ids, start[piece], size[piece])
+        tokens = np.concatenate([[0], done])[np.searchsorted(ends, upto, side="right")]  # up to the end of each part
+        return flat, np.diff(tokens, prepend=0)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids, as UTF-8 text; what is not UTF-8 becomes replacement characters."""
         raw = gathered(self.all_bytes, self.byte_start[ids], self.byte_size[ids])[0].tobytes()
@@ -297,24 +312,12 @@ class PartCache:
             self.reset()
 
     def fill(self, vocabulary: Vocabulary):
-        """Encode the parts that were numbered since the last call; each distinct piece is merged once."""
+        """Encode the parts that were numbered since the last call."""
         fresh = [p[1:] if p.startswith(b" ") else b" " + p for p in self.slot.newest(len(self.size))]
         if not fresh:
             return
-        texts = [p.decode("utf-8", "replace") for p in fresh]
-        whole = "".join(texts)
-        upto = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-        begin = np.concatenate([[0], upto[:-1]])
-        ends = piece_ends(np.frombuffer(whole.encode("utf-32-le"), np.uint32), vocabulary.kinds, begin[begin < len(whole)])
-        cuts = ends.tolist()
-        pieces = [whole[a:b] for a, b in zip([0, *cuts], cuts)]
-        numbers = Numbered()
-        piece = np.fromiter(map(numbers.__getitem__, pieces), np.int64, len(pieces))
-        ids, start, size = vocabulary.merge([p.encode() for p in numbers])
-        flat, done = gathered(ids, start[piece], size[piece])
-        tokens = np.concatenate([[0], done])[np.searchsorted(ends, upto, side="right")]  # up to the end of each part
-        size = np.diff(tokens, prepend=0)
-        self.start = np.concatenate([self.start, len(self.ids) + tokens - size])
+        flat, size = vocabulary.encode_parts([p.decode("utf-8", "replace") for p in fresh])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, flat])
 

@@ -36,12 +36,12 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``run`` on pieces of the batches of at most CHUNK_BYTES (or one row)."""
+def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
+    """``run`` on pieces of the batches of at most ``limit`` bytes (or one row)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in by_bytes(batch):
+            for piece in by_bytes(batch, limit):
                 yield run(piece)
 
     return df.mapInArrow(each, schema)
