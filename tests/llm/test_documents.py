@@ -341,6 +341,23 @@ def test_mixed_documents_are_whole_copies(spark, odd_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def test_cut_copies_keep_their_layout_and_columns(spark):
+    """Starts of texts as they were, repeated rows, columns that carry the names used inside."""
+    lines = ["one\n\ttwo  three\r\n", " four five\n\nsix", "seven\neight\x0bnine ten "]
+    rows = [(i % 40, lines[i % 3] * (1 + i % 5), "a" if i % 3 else None) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    names = ("h", "block", "draws", "cut", "row", "shard", "slot_key", "words", "__h", "__key", "drawn", "place")
+    docs = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    got = mixing.mixed_documents(docs).collect()
+    assert {tuple(r[n] for n in names) for r in got} == {names}
+    whole = {(r[0], r[1], r[2]) for r in rows}
+    cut = [r for r in got if (r.doc_id, r.text, r.source) not in whole]
+    assert cut and all(any(t.startswith(r.text) and i == r.doc_id and s == r.source for i, t, s in whole) and not r.text[-1].isspace() for r in cut)
+    copies = Counter((r.doc_id, r.source, r.taken, c.words) for r in mixing.mix(docs).collect() for c in r.copies)
+    assert sum(copies.values()) == len(got)
+    assert Counter(w for _, _, _, w in copies.elements()) == Counter(len(WORD.findall(r.text.encode())) for r in got)
+
+
 def test_mixed_documents_lie_by_shard_and_key(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     want = sorted((s, k, r.doc_id) for r in QUERIES["op8_source_mix"](spark, "/root/testdata/sf0.001").collect() for s, k in zip(r.shards, r.slot_keys, strict=True))

@@ -6,11 +6,12 @@ import sys
 import types
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.session import scratch_path
@@ -83,8 +84,32 @@ def process_cache(name: str, make: Callable[[], object]) -> object:
     return getattr(home, name)
 
 
+_recording: list[str] | None = None
+
+
+@contextmanager
+def recording(paths: list[str]) -> Iterator[None]:
+    """Note the folders of all tables written inside the block in ``paths``."""
+    global _recording
+    before, _recording = _recording, paths
+    try:
+        yield
+    finally:
+        _recording = before
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more, and empty the list."""
+    jvm = spark.sparkContext._jvm
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, whole after lost executors."""
     path = scratch_path(df.sparkSession, label)
+    if _recording is not None:
+        _recording.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

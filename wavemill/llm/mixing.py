@@ -14,7 +14,8 @@ blocks and orders its documents by a hash of its own. All of it is DataFrame fun
 tables of blocks and quotas have rows per source, never per document.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a
-source, the last. Rows with equal ids and texts share a hash, so copies are taken
+source, the last. A very long text is a document like any other and may be the one that is
+cut. Columns beside ``doc_id``, ``source`` and the text are not read and pass through under any name. Rows with equal ids and texts share a hash, so copies are taken
 alike but for the one document that the target cuts. An empty table gives no rows.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import WORD, written
+from wavemill.llm.common import WORD, fresh_names, written
 from wavemill.operators.ranking import join_null_safe
 
 BLOCKS = 256
@@ -80,36 +81,55 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, budget: f
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of ``drawn`` out of ``total`` are among the ``marked``, from a uniform ``u``.
 
-    Probabilities relative to the mode are summed outwards (exact ratios, no factorials),
-    then added up from the low end until they reach ``u`` of the sum.
+    Values are taken from the mode downwards, then from above it upwards. Probabilities
+    relative to the mode (exact ratios, no factorials) are summed once, then added up in
+    that order until they reach ``u`` of the sum: three running numbers, no array of them.
     """
-    low = F.greatest(F.lit(0), drawn - (total - marked)).cast("bigint")
-    high = F.least(drawn, marked).cast("bigint")
-    mode = F.greatest(low, F.least(high, F.floor((drawn + 1) * (marked + 1) / (total + 2)).cast("bigint")))
-
-    def ratio(k: Column) -> Column:
-        """P(k) / P(k - 1)."""
-        return ((marked - k + 1) * (drawn - k + 1)).cast("double") / (k * (total - marked - drawn + k)).cast("double")
-
-    def outwards(count: Column, step) -> Column:
-        """Relative probabilities of the ``count`` values on one side, nearest to the mode first."""
-        start = F.struct(F.lit(1.0).alias("p"), F.array().cast("array<double>").alias("all"))
-        steps = F.when(count > 0, F.sequence(F.lit(1).cast("bigint"), count)).otherwise(F.array().cast("array<bigint>"))
-        grown = F.aggregate(
-            steps, start, lambda a, i: F.struct((a["p"] * step(i)).alias("p"), F.concat(a["all"], F.array(a["p"] * step(i))).alias("all"))
-        )
-        return grown["all"]
-
-    below = outwards(mode - low, lambda i: F.lit(1.0) / ratio(mode - i + 1))
-    above = outwards(high - mode, lambda i: ratio(mode + i))
-    shape = F.concat(F.reverse(below), F.array(F.lit(1.0)), above)
-    mass = F.aggregate(shape, F.lit(0.0), lambda a, x: a + x)
-    picked = F.aggregate(
-        shape,
-        F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("k")),
-        lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["k"] + F.when(a["sum"] + x < u * mass, 1).otherwise(0)).alias("k")),
-    )
-    return F.least(high, low + picked["k"])
+
+    def named(values: dict[str, Column], use) -> Column:
+        """``use`` of a struct that is worked out once and not once for each of its uses."""
+        return F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), use)[0]
+
+    def bounds(v: Column) -> Column:
+        low = F.greatest(F.lit(0).cast("bigint"), v["drawn"] - (v["total"] - v["marked"]))
+        high = F.least(v["drawn"], v["marked"])
+        mode = F.floor((v["drawn"] + 1) * (v["marked"] + 1) / (v["total"] + 2)).cast("bigint")
+        kept = {n: v[n] for n in ("total", "marked", "drawn", "u")}
+        return named(kept | {"low": low, "high": high, "mode": F.greatest(low, F.least(high, mode))}, picked)
+
+    def steps(count: Column) -> Column:
+        return F.when(count > 0, F.sequence(F.lit(1).cast("bigint"), count)).otherwise(F.array().cast("array<bigint>"))
+
+    def picked(v: Column) -> Column:
+        def ratio(k: Column) -> Column:
+            """P(k) / P(k - 1)."""
+            return ((v["marked"] - k + 1) * (v["drawn"] - k + 1)).cast("double") / (k * (v["total"] - v["marked"] - v["drawn"] + k)).cast("double")
+
+        sides = ((steps(v["mode"] - v["low"]), lambda i: F.lit(1.0) / ratio(v["mode"] - i + 1)), (steps(v["high"] - v["mode"]), lambda i: ratio(v["mode"] + i)))
+
+        def mass(side) -> Column:
+            start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"))
+            return F.aggregate(side[0], start, lambda a, i: F.struct((a["p"] * side[1](i)).alias("p"), (a["sum"] + a["p"] * side[1](i)).alias("sum")))["sum"]
+
+        def search(w: Column) -> Column:
+            """Steps down from the mode, or up from it where all below is not enough: the first whose sum reaches the goal."""
+
+            def walk(side, before: Column) -> Column:
+                start = F.struct(F.lit(1.0).alias("p"), before.alias("sum"), F.lit(1).cast("bigint").alias("steps"))
+                grown = lambda a, i: F.struct(
+                    (a["p"] * side[1](i)).alias("p"),
+                    (a["sum"] + a["p"] * side[1](i)).alias("sum"),
+                    (a["steps"] + F.when(a["sum"] + a["p"] * side[1](i) < w["goal"], 1).otherwise(0)).alias("steps"),
+                )
+                return F.aggregate(side[0], start, grown)["steps"]
+
+            down = F.greatest(v["low"], v["mode"] - walk(sides[0], F.lit(1.0)))
+            up = F.least(v["high"], v["mode"] + walk(sides[1], F.lit(1.0) + w["below"]))
+            return F.when(w["goal"] <= 1.0, v["mode"]).when(w["goal"] <= 1.0 + w["below"], down).otherwise(up)
+
+        return named({"below": mass(sides[0]), "above": mass(sides[1])}, lambda m: named({"below": m["below"], "goal": v["u"] * (1.0 + m["below"] + m["above"])}, search))
+
+    return named({"total": total.cast("bigint"), "marked": marked.cast("bigint"), "drawn": drawn.cast("bigint"), "u": u}, bounds)
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: str = "mix") -> DataFrame:
@@ -200,59 +220,96 @@ def document_hash(seed: str, text: str = "text") -> Column:
     return F.xxhash64(F.lit(f"{seed}:document"), F.col("doc_id"), F.xxhash64(text))
 
 
+class Plan:
+    """What a mix decides, as written tables: ``sized`` (a row per document), ``targets`` and ``copies`` (rows per source)."""
+
+    def __init__(self, docs: DataFrame, shards: int, seed: str, weights: Sequence[int], budget: float, text: str):
+        digits = {f"digit{d}": F.pmod(F.shiftrightunsigned("__h", 8 * d), F.lit(256)).cast("int") for d in range(1, DIGITS)}
+        sized = docs.select("doc_id", "source", word_count(text).alias("size"), document_hash(seed, text).alias("__h"))
+        sized = written(sized.withColumn("block", block_of(F.col("__h"))).withColumns(digits), "mix-sizes")
+        per_block = written(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+        targets = source_targets(per_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget)
+        self.sized, self.targets = sized, written(targets, "mix-targets")
+        placed = join_null_safe(per_block, self.targets.select("source", "place"), ["source"])
+        draws = written(draw_blocks(placed, self.targets, seed), "mix-draws")
+        quotas = written(split_quotas(draws.groupBy("place").agg(F.count(F.lit(1)).alias("quota")), shards, seed), "mix-quotas")
+        in_shard = (draws["drawn"] >= quotas["before"]) & (draws["drawn"] < quotas["before"] + quotas["n"])
+        dealt = draws.join(quotas, (draws["place"] == quotas["place"]) & in_shard).drop(quotas["place"])
+        is_cut = F.col("room") < F.col("words")
+        draw = F.struct("epoch", "shard", is_cut.alias("is_cut"))
+        copies = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(draw)).alias("draws"), F.max(is_cut).alias("cut_here"))
+        self.copies = written(copies, "mix-copies")
+        self.parts = parts_taken(sized, draws.where(is_cut)).drop(*digits)
+
+
+def block_of(h: Column) -> Column:
+    return F.pmod(h, F.lit(BLOCKS)).cast("int")
+
+
+def slot_key(seed: str, h: Column, epoch: Column) -> Column:
+    return F.xxhash64(F.lit(f"{seed}:slot"), h, epoch)
+
+
 def mix(
     docs: DataFrame, shards: int = SHARDS, seed: str = "mix", weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, text: str = "text"
 ) -> DataFrame:
     """A row per document: ``doc_id, source, size, source_size, target, taken``, its hash ``__h`` and ``copies``,
     an array of ``epoch, shard, words, slot_key``. In a shard, copies are ordered by ``slot_key``."""
-    digits = {f"digit{d}": F.pmod(F.shiftrightunsigned("__h", 8 * d), F.lit(256)).cast("int") for d in range(1, DIGITS)}
-    sized = (
-        docs.select("doc_id", "source", word_count(text).alias("size"), document_hash(seed, text).alias("__h"))
-        .withColumn("block", F.pmod("__h", F.lit(BLOCKS)).cast("int"))
-        .withColumns(digits)
-    )
-    sized = written(sized, "mix-sizes")
-    per_block = written(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
-    targets = written(
-        source_targets(per_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget), "mix-targets"
-    )
-    draws = written(draw_blocks(join_null_safe(per_block, targets.select("source", "place"), ["source"]), targets, seed), "mix-draws")
-    quotas = written(split_quotas(draws.groupBy("place").agg(F.count(F.lit(1)).alias("quota")), shards, seed), "mix-quotas")
-    in_shard = (draws["drawn"] >= quotas["before"]) & (draws["drawn"] < quotas["before"] + quotas["n"])
-    dealt = draws.join(quotas, (draws["place"] == quotas["place"]) & in_shard).drop(quotas["place"])
-    is_cut = F.col("room") < F.col("words")
-    copies = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", is_cut.alias("is_cut")))).alias("__draws"))
-    parts = parts_taken(sized, draws.where(is_cut)).drop(*digits)
-    planned = join_null_safe(parts, copies, ["source", "block"], "left")
-    planned = join_null_safe(planned, targets.select("source", "source_size", "target"), ["source"], "left")
+    plan = Plan(docs, shards, seed, weights, budget, text)
+    planned = join_null_safe(plan.parts, plan.copies.drop("cut_here"), ["source", "block"], "left")
+    planned = join_null_safe(planned, plan.targets.select("source", "source_size", "target"), ["source"], "left")
 
     def copy(d: Column) -> Column:
         words = F.when(d["is_cut"], F.col("part")).otherwise(F.col("size"))
-        key = F.xxhash64(F.lit(f"{seed}:slot"), F.col("__h"), d["epoch"])
-        return F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), words.alias("words"), key.alias("slot_key"))
+        return F.struct(d["epoch"].alias("epoch"), d["shard"].alias("shard"), words.alias("words"), slot_key(seed, F.col("__h"), d["epoch"]).alias("slot_key"))
 
     nothing = F.array().cast("array<struct<epoch:int,shard:int,is_cut:boolean>>")
-    made = F.filter(F.transform(F.coalesce("__draws", nothing), copy), lambda c: c["words"] > 0)
+    made = F.filter(F.transform(F.coalesce("draws", nothing), copy), lambda c: c["words"] > 0)
     return planned.select(
         "doc_id", "source", "size", "source_size", "target", "__h", made.alias("copies")
     ).withColumn("taken", F.aggregate("copies", F.lit(0).cast("bigint"), lambda a, c: a + c["words"]))
 
 
-def mixed_documents(docs: DataFrame, seed: str = "mix", **more) -> DataFrame:
-    """The documents as the mix holds them, with the columns of ``docs``: a row per copy, the text of a copy that
-    the target cuts ends with its last word taken. Equal rows get the copies of equal rows of the plan, one each.
-    Rows lie in the order of the shards, in a shard by ``slot_key``."""
-    key = ["doc_id", "source", "__h"]
-    plan = mix(docs, seed=seed, **more).where("taken > 0")
-    per_row = plan.groupBy(*key).agg(F.sort_array(F.collect_list("copies")).alias("__rows"))
-    ours = docs.withColumn("__h", document_hash(seed))
-    joined = ours.withColumn("__key", F.struct(*key)).join(per_row.select(F.struct(*key).alias("__key"), "__rows"), "__key")
-    numbered = joined.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("__h")))
-    copies = numbered.withColumn("__copy", F.explode(F.get("__rows", F.col("__n") - 1)))
-    order = [F.col("__copy.shard"), F.col("__copy.slot_key")]  # the key is a hash, so a shard is spread over tasks
-    copies = copies.repartitionByRange(*order).sortWithinPartitions(*order)
-    whole = F.col("__copy.words") == word_count()
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"))
-    cut = F.array_join(F.slice(words, 1, F.col("__copy.words").cast("int")), " ")
-    text = F.when(whole, F.col("text")).otherwise(cut)
-    return copies.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+def mixed_documents(
+    docs: DataFrame, shards: int = SHARDS, seed: str = "mix", weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, text: str = "text"
+) -> DataFrame:
+    """The documents as the mix holds them, with the columns of ``docs``: a row per copy. The copy that the target
+    cuts ends behind its last word taken, all before it as it was. Rows lie in the order of the shards, in a
+    shard by ``slot_key``.
+
+    What is drawn is known per block of a source, so documents meet it where they lie; only those in a
+    block that the target cuts (one in BLOCKS of a source) are matched one by one. Texts move once, by shard.
+    """
+    plan = Plan(docs, shards, seed, weights, budget, text)
+    h, block, draws, cut, row, shard, key, words = fresh_names(docs, "h", "block", "draws", "cut", "row", "shard", "slot_key", "words")
+    ours = docs.withColumn(h, document_hash(seed, text)).withColumn(block, block_of(F.col(h)))
+    drawn = plan.copies.select(F.col("source").alias("drawn_source"), F.col("block").alias("drawn_block"), F.col("draws").alias(draws), F.col("cut_here").alias(cut))
+    met = ours.join(drawn.alias("drawn"), F.col("drawn.drawn_source").eqNullSafe(F.col("source")) & (F.col("drawn.drawn_block") == F.col(block)))
+    met = met.where(F.col(text).rlike(WORD)).select(*docs.columns, h, draws, cut)
+    whole = met.where(~F.col(cut)).withColumn(words, F.array().cast("array<bigint>"))
+
+    # Equal rows are numbered: those before the last word taken are whole, one is in part, the others are left out.
+    close = written(met.where(cut).withColumn(row, F.monotonically_increasing_id()), "mix-cut")
+    part, mine = F.shiftrightunsigned("row", 33).alias("part"), ["doc_id", "source", "h"]
+    keys = close.select("doc_id", "source", F.col(h).alias("h"), F.col(row).alias("row")).select("*", part)
+    groups = keys.groupBy(*mine, "part").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy(*mine).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = groups.select(*mine, "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*mine, "part").orderBy("row")) - 1
+    placed = join_null_safe(keys.withColumn("inside", inside), before, [*mine, "part"])
+    taken = plan.parts.groupBy("doc_id", "source", F.col("__h").alias("h")).agg(F.sum("part").alias("taken"), F.first("size").alias("size"))
+    left = F.col("taken") - (F.col("before") + F.col("inside")) * F.col("size")
+    share = F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), left))
+    shares = join_null_safe(placed, taken, mine).select(F.col("row").alias(row), F.when(share < F.col("size"), F.array(share)).otherwise(F.array().cast("array<bigint>")).alias(words))
+    rows = whole.unionByName(close.join(shares, row).drop(row))
+
+    copies = rows.select(*docs.columns, h, F.explode(draws).alias(draws), words)
+    copies = copies.withColumn(words, F.when(F.col(f"{draws}.is_cut"), F.get(words, F.lit(0)))).where(F.col(words).isNull() | (F.col(words) > 0))
+    copies = copies.select(*docs.columns, words, F.col(f"{draws}.shard").alias(shard), slot_key(seed, F.col(h), F.col(f"{draws}.epoch")).alias(key))
+    # The key is a hash, so even stretches of its range hold like numbers of copies.
+    stretches = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    place = F.floor((F.shiftright(key, 32) + F.lit(1 << 31)) * F.lit(stretches) / F.lit(1 << 32)).cast("int")
+    laid = copies.repartitionById(shards * stretches, F.col(shard) * stretches + place).sortWithinPartitions(shard, key)
+    pieces = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    start = F.array_join(F.slice(pieces, 1, F.col(words).cast("int")), "")
+    return laid.select(*[F.when(F.col(words).isNull(), F.col(c)).otherwise(start).alias(c) if c == text else F.col(c) for c in docs.columns])
