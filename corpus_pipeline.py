@@ -1,14 +1,19 @@
 """A training corpus from ``documents``: language, quality, near-duplicates, source mix, token ids.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. The
+rows of a stage are written before the next one is called, as ``run`` does: a stage begins by
+deleting the scratch tables of the one before. Null, empty and very long texts, repeated rows, empty tables and
+columns of any name pass through all stages; where a stage rejects them, its docstring says so.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from wavemill.llm import bpe, language_id, mixing, near_dedup, quality
-from wavemill.llm.common import written
+from wavemill.llm.common import drop_tables, recording, written
 from wavemill.llm.queries import table, tokenizer
 
 #: The mix repeats documents and cuts one per source, so no SQL gives its rows; see tests/llm/test_pipeline.py.
@@ -19,6 +24,21 @@ ORACLE_SQL = None
 ROW = "__stage_row"
 
 
+_scratch: list[str] = []
+
+
+def staged(stage):
+    """``stage`` with its scratch tables noted, and those of the stage before deleted."""
+
+    @wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        drop_tables(spark, _scratch)
+        with recording(_scratch):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def keyed(docs, label):
     """``docs`` with a key of every row, written once: the same whenever it is read."""
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), f"keyed-{label}")
@@ -29,13 +49,15 @@ def kept_rows(rows, kept):
     return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
 
 
+@staged
 def language_stage(spark, docs, sf_dir):
-    """Documents whose language is told with confidence."""
+    """Documents whose language is told with confidence. A text without letters tells none and goes."""
     rows = keyed(docs, "language")
     model = language_id.train_trigrams(rows, "text", "lang")
     return kept_rows(rows, language_id.identify(rows, model, [ROW], "text", F.col("lang"), F.col("source")).where("kept"))
 
 
+@staged
 def quality_stage(spark, docs, sf_dir):
     """Documents that pass the base rule and the boosted trees. Labels belong to ids; rows without id are judged alike."""
     rows = keyed(docs, "quality")
@@ -45,6 +67,7 @@ def quality_stage(spark, docs, sf_dir):
     return kept_rows(rows, quality.judge(counted, trees, ROW).where("kept"))
 
 
+@staged
 def dedup_stage(spark, docs, sf_dir):
     """One document of each group of near-duplicates, by shingles of five words: the smallest id, rows without id last.
 
@@ -62,13 +85,15 @@ def dedup_stage(spark, docs, sf_dir):
     return kept_rows(rows, first.select(F.col(f"place.{ROW}").alias(ROW)))
 
 
+@staged
 def mix_stage(spark, docs, sf_dir):
-    """The documents as the mix takes them, a row per copy."""
+    """The documents as the mix takes them, a row per copy. Texts without words are never taken; a null source is a source."""
     return mixing.mixed_documents(docs)
 
 
+@staged
 def encode_stage(spark, docs, sf_dir):
-    """Token ids of every copy, with the digests of a round trip."""
+    """Token ids of every copy, with the digests of a round trip; none for a null or empty text."""
     return bpe.round_trip(docs, tokenizer("byte_bpe_50k.json"), carry=("doc_id", "source"), ids=True)
 
 
@@ -83,7 +108,12 @@ STAGES = [
 
 def run(spark, sf_dir):
     """All stages on ``documents``, each written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        rows, now = stage(spark, docs, sf_dir), []
+        with recording(now):
+            docs = written(rows, f"pipeline-{name}")
+        drop_tables(spark, before)
+        before = now
+    drop_tables(spark, _scratch)
     return docs
