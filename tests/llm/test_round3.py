@@ -12,7 +12,7 @@ import xxhash
 from conftest import prose
 from pyspark.sql import functions as F
 
-from wavemill.llm import alignment, decontamination, queries, resampling
+from wavemill.llm import alignment, decontamination, near_dedup, queries, resampling
 from wavemill.llm.bpe import byte_letters
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -266,3 +266,54 @@ def test_groups_are_returned_as_text(docs, paths):
     rows = alignment.aligned(docs.where("doc_id = 12"), *paths, groups=True).collect()
     assert hashlib.sha256(rows[0].groups.encode()).hexdigest() == rows[0].groups_sha256
     assert xxhash.xxh64_intdigest(b"") == 17241709254077376921  # the hash of the tables is the public one
+
+
+# --- blocks of near-duplicate nodes
+
+
+def brute_components(sets, percent):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * shared >= percent * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = label[i], label[j]
+                label = [a if x == b else x for x in label]
+    return label
+
+
+def same_partition(nodes, links, want):
+    label = list(range(len(nodes)))
+    at = {int(n): i for i, n in enumerate(nodes)}
+    for a, b in links:
+        x, y = label[at[a]], label[at[b]]
+        assert want[at[a]] == want[at[b]]
+        label = [x if v == y else v for v in label]
+    return len(set(label)) == len(set(want))
+
+
+def test_block_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(7)
+    for percent in (80, 60):
+        for _ in range(40):
+            base = [np.unique(rng.integers(0, 10_000, rng.integers(1, 40)).astype(np.uint64)) for _ in range(6)]
+            sets = []
+            for _ in range(40):
+                b = base[rng.integers(6)]
+                kept = b[rng.random(len(b)) < 0.93]
+                sets.append(np.unique(np.concatenate([kept, rng.integers(0, 10_000, rng.integers(0, 4)).astype(np.uint64), b[:1]])))
+            nodes = rng.permutation(1000)[: len(sets)]
+            want = brute_components(sets, percent)
+            links = near_dedup.block_links(nodes, sets, None, percent)
+            assert len(links) < len(sets) and same_partition(nodes, links, want)
+
+
+def test_template_texts_give_no_candidates_by_pairs():
+    """80 common and 16 own words: none linked, and the bound leaves next to nothing to compare."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 1 << 40, 79).astype(np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(1 << 40, 1 << 50, 17).astype(np.uint64)])) for _ in range(1200)]
+    element, _, _, _ = near_dedup.prefix_lists(sets, 80)
+    lists = np.unique(element, return_counts=True)[1] if len(element) else np.zeros(1, int)
+    assert (lists * (lists - 1) // 2).sum() <= 2 * len(sets)
+    assert near_dedup.block_links(np.arange(1200), sets, None, 80) == []

@@ -10,7 +10,9 @@ share a band are candidates. First each is compared with the smallest one it sha
 bands with, which joins tight groups by one comparison a member. Buckets whose members
 then lie in one component are done. In the others, centres of different components are
 compared, and members only where the triangle inequality of the Jaccard distance leaves
-room for a link; they meet in chunks, and no list of their pairs is made. So every candidate pair is verified on full sets, implied or ruled out.
+room for a link; they meet in chunks, and no list of their pairs is made. Nodes that stand
+alone meet in blocks of their bucket, where a positional prefix bound over the elements
+rarest in the block rules pairs out exactly; a block returns links that join what is linked. So every candidate pair is verified on full sets, implied or ruled out.
 Not found are pairs that share no band: with 40 bands of 5 rows, 1.3e-7 of those at 0.8.
 
 Defined results: a null or empty text has an empty set, is linked with nothing and is its
@@ -255,9 +257,12 @@ def member_links(wide: DataFrame, members: DataFrame, sketches: DataFrame, sets:
     return hosts.groupBy("centre", "chunk").cogroup(guests.groupBy("g", "k")).applyInArrow(meet, "a bigint, b bigint")
 
 
-def single_pairs(singles: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a < b`` of nodes in one bucket (``h, node, n_shingles, sketch``) whose sizes allow a link and whose
-    sketches make it likely. A bucket is compared in blocks of CHUNK nodes by arrays; only likely pairs become rows."""
+def likely_in_blocks(singles: DataFrame, percent: int) -> DataFrame:
+    """``h, low, high, mine, node``: nodes of a bucket (``h, node, n_shingles, sketch``) with a likely partner in a block.
+
+    A bucket is dealt to chunks of about CHUNK nodes; a block is a chunk, or two that meet. A node is a row of a
+    block once, whatever the number of its partners there.
+    """
     least = percent / 100.0 - SLACK
     sizes = singles.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = singles.join(sizes, "h").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -265,19 +270,92 @@ def single_pairs(singles: DataFrame, percent: int) -> DataFrame:
     blocks = dealt.select("h", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "node", "n_shingles", "sketch")
 
     def meet(t: pa.Table) -> pa.Table:
-        node, size, mine = (t.column(c).to_numpy() for c in ("node", "n_shingles", "mine"))
+        size, mine = (t.column(c).to_numpy() for c in ("n_shingles", "mine"))
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
         split = t.column("low")[0] != t.column("high")[0]
-        found = [np.zeros((0, 2), np.int64)]
+        met = np.zeros(t.num_rows, bool)
         for at in range(t.num_rows):
-            ok = (node > node[at]) & (100 * np.minimum(size, size[at]) >= percent * np.maximum(size, size[at]))
-            rows = np.flatnonzero(ok & (mine != mine[at]) if split else ok)
+            rows = np.flatnonzero(100 * np.minimum(size[at + 1 :], size[at]) >= percent * np.maximum(size[at + 1 :], size[at])) + at + 1
+            rows = rows[mine[rows] != mine[at]] if split else rows
             rows = rows[(sketch[rows] == sketch[at]).mean(axis=1) >= least] if len(rows) else rows
-            found.append(np.stack([np.full(len(rows), node[at]), node[rows]], axis=1))
-        pairs = np.concatenate(found)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            met[rows] = True
+            met[at] |= len(rows) > 0
+        return t.select(["h", "low", "high", "mine", "node"]).filter(pa.array(met))
+
+    return blocks.groupBy("h", "low", "high").applyInArrow(meet, "h bigint, low int, high int, mine int, node bigint")
+
+
+def prefix_lists(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted lists over the elements of each set that a link must have one of: ``element, set, place``, sorted by
+    element, and where each set's own entries stand.
+
+    Elements are put in order of how many sets of the block hold them, rarest first. If the first common
+    element stands at place i of a set of n, at most n - i are common; a link needs ``percent / (100 + percent)``
+    of both sizes. So only places that leave that many to the smallest partner possible are listed.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, element, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((element, counts[element], owner))
+    element = element[order]
+    place = np.arange(len(element)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    partner = np.maximum(sizes.min(), -(-percent * sizes // 100))
+    needed = -(-percent * (sizes + partner) // (100 + percent))
+    listed = np.flatnonzero((place <= (sizes - needed)[owner]) & (counts[element] > 1))
+    listed = listed[np.argsort(element[listed], kind="stable")]
+    return element[listed], owner[listed], place[listed], sizes
+
+
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], mine: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join all linked sets of a block: every pair is ruled out by the bounds, compared in full or joined already.
+
+    With ``mine`` only sets of different chunks are compared. At most one link fewer than sets is returned.
+    """
+    element, owner, place, sizes = prefix_lists(sets, percent)
+    group = np.concatenate([[0], np.flatnonzero(np.diff(element)) + 1, [len(element)]])
+    starts = np.repeat(group[:-1], np.diff(group))
+    by_owner = np.argsort(owner, kind="stable")
+    first = np.searchsorted(owner[by_owner], np.arange(len(sets) + 1))
+    label, found = np.arange(len(sets)), []
+    for x in range(len(sets)):
+        entries = by_owner[first[x] : first[x + 1]]
+        span = entries - starts[entries]  # the sets before x in each list
+        if not span.sum():
+            continue
+        at = np.repeat(starts[entries] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        other, size = owner[at], sizes[owner[at]]
+        common = np.minimum(len(sets[x]) - np.repeat(place[entries], span), size - place[at])
+        keep = (100 + percent) * common >= percent * (len(sets[x]) + size)
+        if mine is not None:
+            keep &= mine[other] != mine[x]
+        other = np.unique(other[keep])
+        other = other[label[other] != label[x]]
+        if not len(other):
+            continue
+        together = np.concatenate([sets[y] for y in other])
+        spot = np.minimum(np.searchsorted(sets[x], together), len(sets[x]) - 1)
+        sums = np.concatenate([[0], np.cumsum(sets[x][spot] == together)])
+        ends = np.cumsum(sizes[other])
+        shared = sums[ends] - sums[ends - sizes[other]]
+        for y in other[100 * shared >= percent * (sizes[other] + len(sets[x]) - shared)]:
+            if label[y] != label[x]:
+                found.append((int(nodes[x]), int(nodes[y])))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def single_links(singles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that join the linked nodes of each bucket; full sets go only where a sketch makes a link likely."""
+    likely = likely_in_blocks(singles, percent).join(sets, "node")
+
+    def compare(t: pa.Table) -> pa.Table:
+        elements = [np.frombuffer(x, np.uint64) for x in t.column("elements").to_pylist()]
+        mine = t.column("mine").to_numpy() if t.column("low")[0] != t.column("high")[0] else None
+        found = block_links(t.column("node").to_numpy(), elements, mine, percent)
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return blocks.groupBy("h", "low", "high").applyInArrow(meet, "a bigint, b bigint")
+    return likely.groupBy("h", "low", "high").applyInArrow(compare, "a bigint, b bigint")
 
 
 def settled(edges: DataFrame) -> bool:
@@ -341,8 +419,9 @@ def near_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: in
     known = known.withColumn("centre", F.coalesce("centre", "node")).withColumn("apart", F.coalesce("apart", F.lit(0.0)))
     open_buckets = known.groupBy("h").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("h")
     left = written(known.join(open_buckets, "h").select("h", "node", "n_shingles", "root", "centre", "apart"), "dedup-open")
-    alone = left.groupBy("centre").agg(F.max("apart").alias("__r")).where("__r = 0").select("centre", F.lit(True).alias("alone"))
-    left = left.join(alone, "centre", "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
+    # A node stands alone if it is neither end of a star. Stars end at few centres, but each node is asked for itself.
+    hubs = stars.select(F.col("b").alias("node")).distinct().withColumn("hub", F.lit(True))
+    left = left.join(hubs, "node", "left").withColumn("alone", (F.col("node") == F.col("centre")) & F.col("hub").isNull()).drop("hub")
     groups = left.groupBy("h", "root", "centre", "alone").agg(
         F.max("apart").alias("radius"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
     )
@@ -356,10 +435,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: in
         .agg(F.max("p").alias("p"), F.max("q").alias("q"))
     )
     singles = left.where("alone").select("h", "node", "n_shingles").join(sketches, "node")
-    zero = F.lit(0.0)
     reach = F.lit(far) + F.col("p") + F.col("q")
     likely = estimated(met, sketches, F.lit(1.0 - SLACK) - reach)
-    likely = likely.unionByName(single_pairs(singles, percent).distinct().select("a", "b", zero.alias("p"), zero.alias("q")))
     likely = written(likely, "dedup-centres")
     centres = written(compared(likely, sets).withColumn("apart", distance), "dedup-compared")
     linked = centres.where(is_link).select("a", "b")
@@ -375,7 +452,8 @@ def near_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: in
     )
     members = written(left.select("node", "centre", "apart").distinct(), "dedup-members")
     found = written(member_links(wide, members, sketches, sets, percent), "dedup-found")
-    return reduce(DataFrame.unionByName, [stars.select("a", "b"), linked, found])
+    alone = written(single_links(singles, sets, percent), "dedup-singles")
+    return reduce(DataFrame.unionByName, [stars.select("a", "b"), linked, found, alone])
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
