@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavemill.operators import strips
 from wavemill.operators.catalog import catalog_from_items
 from wavemill.operators.matrix import (
     cells,
@@ -28,6 +29,11 @@ def embedding_rows(spark, sf_dir) -> DataFrame:
     return rows_from_vectors(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
 
 
+def embedding_keyed(spark, sf_dir) -> DataFrame:
+    """The same rows beside their keys, for strips: order by key, not ranked."""
+    return strips.vectors_by_key(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+
+
 def embedding_vectors(spark, sf_dir) -> DataFrame:
     """The same rows without their position."""
     return rows_in_any_order(table(spark, sf_dir, "embeddings"), "label", "embedding")

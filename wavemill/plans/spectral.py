@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
-from wavemill.operators import factor, projection, score, selection
+from wavemill.operators import factor, projection, score, selection, strips
 from wavemill.operators.matrix import ID, cells, crop, dense_from_cells, tile, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, dct2d_rows, dct_axis, idct2d
 from wavemill.plans import inputs
@@ -61,13 +61,15 @@ BOTH_SQL = [
 )
 def energy_by_label(spark, sf_dir) -> DataFrame:
     """How many coefficients hold 85% of the energy of each label's vectors?"""
-    kept = coefficients(selection.select_energy(embedding_profile(spark, sf_dir), TAU), c="coef", keep="keep")
-    label = F.split_part(F.col(ID), F.lit("/"), F.lit(1)).cast("int")
-    return kept.groupBy(label.alias("label")).agg(
-        F.count(F.lit(1)).alias("total"),
-        score.kept_count(F.col("keep")).alias("kept"),
-        tidy(score.retained_energy(F.col("c"), F.col("keep"))).alias("retained"),
-        tidy(score.compression_ratio(F.col("keep"))).alias("ratio"),
+    segments = strips.written_segments(inputs.embedding_keyed(spark, sf_dir))
+    scored = strips.retained(strips.select_energy(segments, TAU))
+    share = F.col("kept") / F.col("total")
+    return scored.select(
+        F.split_part(F.col(ID), F.lit("/"), F.lit(1)).cast("int").alias("label"),
+        "total",
+        "kept",
+        tidy(F.col("retained")).alias("retained"),
+        tidy(F.lit(1.0) / F.greatest(share, F.lit(score.KEEP_FLOOR))).alias("ratio"),
     )
 
 
@@ -113,7 +115,7 @@ def tile_blocks(spark, sf_dir):
 @query(q.with_parts([*q.embedding_cells(), *q.forward("cells", "raw")],
                     f"SELECT matrix_id, k, l, {q.r('c')} AS c FROM raw"))
 def dct2d_coef(spark, sf_dir):
-    coef = coefficients(dct2d(inputs.embedding_matrices(spark, sf_dir)))
+    coef = strips.coefficient_cells(strips.forward(inputs.embedding_keyed(spark, sf_dir)))
     return coef.select(ID, "k", "l", tidy(F.col("c")).alias("c"))
 
 
@@ -124,6 +126,27 @@ def dct2d_by_strips(spark, sf_dir):
     return dct2d_rows(inputs.embedding_rows(spark, sf_dir), width=16).select(ID, "k", "l", tidy(F.col("c")).alias("c"))
 
 
+@query(_cells_sql(q.embedding_cells(), 4))
+def strip_roundtrip(spark, sf_dir):
+    """Transform and inverse of matrices of any height, strip by strip: the vectors come back."""
+    rows = strips.inverse(strips.forward(inputs.embedding_keyed(spark, sf_dir)))
+    back = rows.select(ID, F.col("i").cast("int").alias("i"), F.posexplode("row").alias("j", "v"))
+    return back.select(ID, "i", "j", tidy(F.col("v"), 4).alias("v"))
+
+
+@query(
+    q.with_parts(
+        [*q.embedding_cells(), *q.forward("cells", "raw"), q.largest("raw", "sel", q.quarter(), "c", keep="keep")],
+        "SELECT matrix_id, k, l FROM sel WHERE keep",
+    )
+)
+def strip_largest(spark, sf_dir):
+    """The quarter of largest coefficients of matrices of any height."""
+    segments = strips.written_segments(inputs.embedding_keyed(spark, sf_dir))
+    marked = strips.select_largest(segments, strips.fraction_count())
+    return strips.coefficient_cells(marked, keep="keep").where("keep").select(ID, "k", "l")
+
+
 @query(_cells_sql([*q.user_cells(), *q.forward("cells", "raw"), *q.inverse("raw", "back", {"v": "x.c"})], 4, "back"))
 def dct_roundtrip(spark, sf_dir):
     return _cells_out(cells(idct2d(dct2d(inputs.user_hours(spark, sf_dir))), v="vals"), 4)
