@@ -148,3 +148,26 @@ def test_summary_file_reads_as_a_table(spark):
     sinks.write_summary(spark.createDataFrame(rows, "method string, mean_std string, ci string"), path)
     lines = [r.value for r in spark.read.text(path).collect()]
     assert lines == ["| Method | Mean±Std | 95% CI |", "|---|---|---|", "| a | 2.0±0.1 | [1.9, 2.1] |", "| b | 1.0±0.1 | [0.9, 1.1] |"]
+
+
+def test_full_buckets_are_cut_by_further_bits(spark):
+    """A narrow and a constant column, negative values and magnitudes far apart: ranks as numpy's, small buckets."""
+    from wavemill.functions.numeric import finer_levels, magnitude_level
+
+    rng = np.random.default_rng(2)
+    columns = {
+        "narrow": 1000 + rng.random(3000), "negative": -1000 - rng.random(1500), "constant": np.full(2000, 3.25),
+        "wide": np.concatenate([10.0 ** rng.uniform(-290, 300, 500), -(10.0 ** rng.uniform(-290, 300, 500)), [0.0, 1.0, 2.0, 0.5]]),
+        "neighbours": np.nextafter(np.full(64, 1.0), 2) + np.arange(64) * 2.0**-52,
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, c in columns.items() for v in c], "g string, v double")
+    got = {(r.g, r.v): (r.ties, r.avg_rank) for r in ranking.average_ranks(df, ["g"], "v", bucket_values=16).collect()}
+    for g, c in columns.items():
+        values, counts = np.unique(c, return_counts=True)
+        after = np.cumsum(counts)
+        for v, n, e in zip(values.tolist(), counts.tolist(), after.tolist()):
+            assert got[g, v] == (n, e - n + (n + 1) / 2)
+    x = F.col("v")
+    levels = {"a": magnitude_level(x, 12)} | {f"b{n}": c for n, c in enumerate(finer_levels(x, 12))}
+    cut = ranking.refined(df.distinct(), ["g"], levels, 16)
+    assert cut.groupBy("g", *levels).count().agg(F.max("count")).first()[0] <= 16

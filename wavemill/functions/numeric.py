@@ -38,6 +38,25 @@ def magnitude_level(x: Column, bits: int) -> Column:
     return F.when(x < 0, -level).otherwise(level)
 
 
+def finer_levels(x: Column, bits: int, widths: tuple[int, ...] = (20, 20)) -> list[Column]:
+    """Levels below ``magnitude_level(x, bits)``: the next ``widths`` mantissa bits each, falling for negative values.
+
+    Scaling by powers of two and taking off whole parts is exact, so all levels together tell every two
+    DOUBLE values apart that are not subnormal.
+    """
+    size = F.least(F.abs(x), F.lit(1.7e308))
+    exponent = F.floor(F.log2(size)).cast("double")
+    # In two steps: one power of two may lie beyond the range of DOUBLE.
+    half = F.floor(exponent / 2)
+    rest = (size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), exponent - half) - F.lit(1.0)) * F.lit(float(1 << bits))
+    levels = []
+    for width in widths:
+        rest = (rest - F.floor(rest)) * F.lit(float(1 << width))
+        level = F.when(size < F.lit(1e-300), F.lit(0)).otherwise(F.floor(rest)).cast("bigint")
+        levels.append(F.when(x < 0, -level).otherwise(level))
+    return levels
+
+
 def integer_levels(key: Column, shifts=(40, 20)) -> list[Column]:
     """Coarse-to-fine prefixes of an integer key; a finest bucket spans 2**min(shifts) values."""
     return [F.shiftright(key.cast("bigint"), s) for s in shifts]

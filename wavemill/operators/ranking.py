@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavemill.functions.hashing import u32
-from wavemill.functions.numeric import integer_levels, magnitude_level
+from wavemill.functions.numeric import finer_levels, integer_levels, magnitude_level
 
 KEY = "__key"
+#: Distinct values of a bucket that meet in one window; fuller buckets are cut by further bits.
+BUCKET_VALUES = 1 << 16
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -117,31 +119,44 @@ def pick_first_by_hash(
     return clear.unionByName(close).drop("__hash", "__prefix", "__edge", "__left")
 
 
+def refined(rows: DataFrame, group: list[str], levels: dict[str, Column], limit: int) -> DataFrame:
+    """Add ``levels``, coarse to fine; a finer one is 0 where the bucket of those before it holds ``limit`` rows or fewer.
+
+    Counts of buckets combine map-side; rows are matched to the counts of their bucket, never sorted.
+    """
+    names = list(levels)
+    out = rows.withColumn(names[0], levels[names[0]])
+    for depth, name in enumerate(names[1:], 1):
+        bucket = [*group, *names[:depth]]
+        full = out.groupBy(*bucket).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+        out = join_null_safe(out, full, bucket, "left").withColumn(name, F.when(F.col("__n").isNotNull(), levels[name]).otherwise(F.lit(0).cast("bigint"))).drop("__n")
+    return out
+
+
 def average_ranks(df: DataFrame, group: list[str], value: str, weights: dict[str, Column] | None = None,
-                  bits: int = 12) -> DataFrame:
+                  bits: int = 12, bucket_values: int = BUCKET_VALUES) -> DataFrame:
     """One row per distinct value: number of ties and their average rank in the group.
 
     Equal values are merged before the shuffle. ``weights`` are further
-    aggregates taken over the rows that share the value.
+    aggregates taken over the rows that share the value. Buckets of more than
+    ``bucket_values`` distinct values are cut by the next bits, down to the last.
     """
     extra = [c.alias(n) for n, c in (weights or {}).items()]
-    distinct = (
-        df.groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("ties"), *extra)
-        .withColumn("__level", magnitude_level(F.col(value), bits))
-    )
-    counts = distinct.groupBy(*group, "__level").agg(F.sum("ties").alias("ties"))
-    offsets = prefix_offsets(counts, group, ["__level"], ["ties"]).drop("ties")
+    distinct = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("ties"), *extra)
+    x = F.col(value).cast("double")
+    levels = {"__level": magnitude_level(x, bits)} | {f"__level{n}": c for n, c in enumerate(finer_levels(x, bits), 1)}
+    names = list(levels)
+    cut = refined(distinct, group, levels, bucket_values)
+    counts = cut.groupBy(*group, *names).agg(F.sum("ties").alias("ties"))
+    offsets = prefix_offsets(counts, group, names, ["ties"]).drop("ties")
     w = Window.partitionBy(KEY).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = distinct.withColumn(KEY, F.struct(*group, "__level")).withColumn(
-        "__inside", F.coalesce(F.sum("ties").over(w), F.lit(0))
-    )
+    placed = cut.withColumn(KEY, F.struct(*group, *names)).withColumn("__inside", F.coalesce(F.sum("ties").over(w), F.lit(0)))
     first = F.col("before_ties") + F.col("__inside")
     return (
-        join_null_safe(placed, offsets, [*group, "__level"])
+        join_null_safe(placed, offsets, [*group, *names])
         .withColumn("avg_rank", first.cast("double") + (F.col("ties") + 1) / F.lit(2.0))
         .withColumn("rank_before", first)
-        .drop("__level", "__inside", "before_ties")
+        .drop(*names, "__inside", "before_ties")
     )
 
 
