@@ -77,11 +77,14 @@ class Numbered(defaultdict):
 
 
 def process_cache(name: str, make: Callable[[], object]) -> object:
-    """An object made once per worker process. Task code travels by value, so its globals end with the task."""
+    """An object made once per worker process, until another is asked for: workers outlive stages, and what one stage
+    keeps must not lie beside what the next needs. Task code travels by value, so its globals end with the task."""
     home = sys.modules.setdefault("wavemill_worker_cache", types.ModuleType("wavemill_worker_cache"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
+    if getattr(home, "name", None) != name:
+        home.name = home.value = None
+        value = make()  # may ask for another on its way
+        home.name, home.value = name, value
+    return home.value
 
 
 _recording: list[str] | None = None
