@@ -12,7 +12,6 @@ MODULUS = 2147483647
 STRIDE = 1000003
 MULTIPLIERS = (48271, 16807)
 INCREMENTS = (12345, 67891)
-POISSON_TERMS = 12
 
 
 def u32(seed, *parts: Column) -> Column:
@@ -26,30 +25,60 @@ def uniform(seed, *parts: Column) -> Column:
     return u32(seed, *parts) / F.lit(4294967296.0)
 
 
+def key_pair(seed, *parts: Column) -> Column:
+    """Two integers of 30 bits each, ``first`` and ``second``, from one md5: the state of a key's draws."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    digest = F.md5(text)
+
+    def bits(at):
+        return F.shiftright(F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint"), 2)
+
+    return F.struct(bits(1).alias("first"), bits(9).alias("second"))
+
+
 def with_draws(df: DataFrame, base: str, draws: int, out: str = "x", draw: str = "b") -> DataFrame:
     """Repeat each row ``draws`` times, numbered ``draw``, with an integer ``out`` in [0, MODULUS).
 
-    One md5 per row (its ``base``) and a few multiplications per draw; every
+    One md5 per row (its ``base``, a ``key_pair``) and a few multiplications per draw; every
     product stays below 2**62, so it is exact in BIGINT arithmetic. Each step is a
     column of its own, so squares are not expanded into copies of the expression.
     """
     p = F.lit(MODULUS)
     b, x = F.col(draw), F.col(out)
+    first, second = F.col(base)["first"], F.col(base)["second"]
     numbered = df.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
-        out, (F.col(base) + b.cast("bigint") * F.lit(STRIDE)) % p
+        out, (first + b.cast("bigint") * F.lit(STRIDE)) % p
     )
-    for multiplier, increment, shift in zip(MULTIPLIERS, INCREMENTS, (b, F.lit(0))):
+    for multiplier, increment, shift in zip(MULTIPLIERS, INCREMENTS, (b + second, F.lit(0))):
         numbered = numbered.withColumn(out, (x * x + F.lit(increment)) % p)
         numbered = numbered.withColumn(out, (x * F.lit(multiplier) + shift) % p)
     return numbered
 
 
+def drawn_array(base: Column, count: Column) -> Column:
+    """The first ``count`` (at least 1) draws of a key pair as one array, by the steps of ``with_draws``."""
+    p = F.lit(MODULUS)
+    numbers = F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)
+    start = F.transform(numbers, lambda t: F.struct(t.alias("t"), ((base["first"] + t * F.lit(STRIDE)) % p).alias("x")))
+
+    def square(d, increment):
+        return F.struct(d["t"].alias("t"), ((d["x"] * d["x"] + F.lit(increment)) % p).alias("x"))
+
+    once = F.transform(start, lambda d: square(d, INCREMENTS[0]))
+    moved = F.transform(
+        once, lambda d: F.struct(d["t"].alias("t"), ((d["x"] * F.lit(MULTIPLIERS[0]) + d["t"] + base["second"]) % p).alias("x"))
+    )
+    twice = F.transform(moved, lambda d: square(d, INCREMENTS[1]))
+    return F.transform(twice, lambda d: (d["x"] * F.lit(MULTIPLIERS[1])) % p)
+
+
 def poisson_cuts() -> list[int]:
-    """Cumulative Poisson(1) probabilities scaled to the generator's range."""
-    cuts, mass = [], 0.0
-    for count in range(POISSON_TERMS):
+    """Cumulative Poisson(1) probabilities scaled to the generator's range, as far as it tells them apart."""
+    cuts, mass, count = [], 0.0, 0
+    while not cuts or cuts[-1] < MODULUS - 1:
         mass += math.exp(-1.0) / math.factorial(count)
         cuts.append(int(mass * MODULUS))
+        count += 1
     return cuts
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.functions.hashing import MODULUS, poisson_weight, u32, with_draws
+from wavemill.functions.hashing import MODULUS, drawn_array, key_pair, poisson_weight, with_draws
 from wavemill.functions.numeric import present
 from wavemill.functions.tails import normal_two_sided, signed_rank_exact, t_two_sided
 from wavemill.operators.ranking import average_ranks, rank_by_id
@@ -47,7 +47,7 @@ def bootstrap_poisson(values: DataFrame, resamples: int = RESAMPLES, seed: int =
     resamples are sums: they combine map-side and ``resamples`` rows per group and
     task are shuffled, however many values there are.
     """
-    based = values.withColumn("__base", F.shiftright(u32(seed, F.col("method"), F.col("seed")), 4))
+    based = values.withColumn("__base", key_pair(seed, F.col("method"), F.col("seed")))
     drawn = with_draws(based, "__base", resamples).select("method", "value", "b", poisson_weight(F.col("x")).alias("w"))
     sums = (
         drawn.groupBy("method", "b")
@@ -56,21 +56,38 @@ def bootstrap_poisson(values: DataFrame, resamples: int = RESAMPLES, seed: int =
     return _interval(sums.select("method", F.try_divide("wx", "w").alias("mean")))
 
 
-def bootstrap_exact(values: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
-    """Interval from drawing n of n values with replacement; moves ``resamples`` rows per value.
+def bootstrap_exact(values: DataFrame, resamples: int = RESAMPLES, seed: int = 0, bits: int = 9) -> DataFrame:
+    """Interval from drawing n of n values with replacement.
 
-    Every value starts as many draws as there are resamples, each naming the rank
-    of the value it takes; draws and values meet on (method, rank).
+    The n draws of a resample are first dealt to buckets of 2**bits ranks, as counts that
+    combine map-side; each bucket then draws its count from its own values, where they lie.
+    Values are never moved for a draw: a bucket receives ``resamples`` counts and sends as
+    many sums. The largest row holds the values of one bucket.
     """
     ranked = rank_by_id(values, ["method"], "seed")
     sizes = values.groupBy("method").agg(F.count("value").alias("n"))
-    based = ranked.join(sizes, "method").withColumn(
-        "__base", F.shiftright(u32(seed, F.col("method"), F.col("rank")), 4)
+    scale = F.lit(float(MODULUS))
+    bucket = F.shiftright("rank", bits)
+    dealt = ranked.join(sizes, "method").select("method", "n", key_pair(seed, F.col("method"), F.col("rank")).alias("__base"))
+    share = F.shiftright(F.floor(F.col("x") * F.col("n") / scale), bits)
+    counts = (
+        with_draws(dealt, "__base", resamples)
+        .groupBy("method", share.alias("bucket"), "b")
+        .agg(F.count(F.lit(1)).alias("draws"))
+        .groupBy("method", "bucket")
+        .agg(F.collect_list(F.struct("b", "draws")).alias("counts"))
     )
-    drawn = with_draws(based.select("method", "n", "__base"), "__base", resamples)
-    picks = drawn.select("method", "b", F.floor(F.col("x") * F.col("n") / F.lit(float(MODULUS))).alias("rank"))
-    taken = picks.join(ranked.select("method", "rank", "value"), ["method", "rank"])
-    return _interval(taken.groupBy("method", "b").agg(F.avg("value").alias("mean")))
+    held = ranked.groupBy("method", bucket.alias("bucket")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda v: v["value"]).alias("held")
+    )
+    asked = held.join(counts, ["method", "bucket"]).select("method", "bucket", "held", F.inline("counts"))
+    picks = drawn_array(F.col("__base"), F.col("draws"))
+    total = F.aggregate(picks, F.lit(0.0), lambda acc, x: acc + F.col("held")[F.floor(x * F.size("held") / scale).cast("int")])
+    sums = asked.withColumn("__base", key_pair(f"{seed}:local", F.col("method"), F.col("bucket"), F.col("b"))).select(
+        "method", "b", "draws", total.alias("total")
+    )
+    means = sums.groupBy("method", "b").agg((F.sum("total") / F.sum("draws")).alias("mean"))
+    return _interval(means)
 
 
 def summary_with_interval(values: DataFrame, exact: bool = False, resamples: int = RESAMPLES, seed: int = 0):

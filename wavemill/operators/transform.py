@@ -175,21 +175,42 @@ def idct2d_cells(coef: DataFrame, c: str = "c", width: int = 64) -> DataFrame:
     return _row_pass(rows, inverse)
 
 
-def dct_axis(table: DataFrame, axis: str, value: str = "v") -> DataFrame:
-    """One-axis transform of a tensor given as complete cells: each line along ``axis`` is a 1-row matrix.
+def dct_axis(table: DataFrame, axis: str, value: str = "v", size: int | None = None) -> DataFrame:
+    """One-axis transform of a tensor given as cells: each line along ``axis`` is a 1-row matrix.
 
+    ``size`` is the extent of the axis; without it the largest position of the whole table
+    decides. Every line has that length: missing cells and NULL values are 0 at their
+    position, lines without any cell are left out, a position beyond ``size`` is an error.
     Lines are gathered into arrays, so a value is shuffled once rather than once per frequency.
     """
     others = [c for c in table.columns if c not in (axis, value)]
-    line = F.sort_array(F.collect_list(F.struct(F.col(axis).alias("at"), F.col(value).alias("x"))))
+    if size is None:
+        extent = table.agg((F.max(axis) + 1).cast("int").alias("extent")).scalar()
+    else:
+        beyond = F.raise_error(F.lit(f"{axis} holds positions beyond {size}")).cast("int")
+        table = table.withColumn(axis, F.when(F.col(axis) >= size, beyond).otherwise(F.col(axis)))
+        extent = F.lit(size)
+    cell = F.struct(F.col(axis).cast("int").alias("at"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("x"))
+
+    def zeros(count):
+        return F.array_repeat(F.lit(0.0), count.cast("int"))
+
+    def with_gap(p, t):
+        before = F.when(t > 0, F.col("__line")[F.greatest(t - 1, F.lit(0))]["at"]).otherwise(F.lit(-1))
+        return F.concat(zeros(p["at"] - before - 1), F.array(p["x"]))
+
+    tail = zeros(F.col("__extent") - F.element_at("__line", -1)["at"] - 1)
     lines = (
         table.groupBy(*others)
-        .agg(line.alias("__line"))
+        .agg(F.sort_array(F.collect_list(cell)).alias("__line"))
+        .withColumn("__extent", extent)
         .select(
             *others,
             F.lit(1).alias("n_rows"),
-            F.size("__line").alias("n_cols"),
-            F.transform("__line", lambda p: p["x"]).alias("__vals"),
+            F.col("__extent").alias("n_cols"),
+            F.when(F.size("__line") == F.col("__extent"), F.transform("__line", lambda p: p["x"]))
+            .otherwise(F.concat(F.flatten(F.transform("__line", with_gap)), tail))
+            .alias("__vals"),
         )
     )
     done = dct2d(lines, __coef="__vals")

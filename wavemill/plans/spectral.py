@@ -157,9 +157,9 @@ def dct_roundtrip(spark, sf_dir):
   round(v, 4) + 0.0 AS v FROM by_layer
 UNION ALL SELECT 'layer,head', layer::INTEGER, head::INTEGER, i::INTEGER, j::INTEGER, round(v, 4) + 0.0 FROM by_head"""), "dct_axis")
 def dct_axis_tensor(spark, sf_dir):
-    by_layer = dct_axis(inputs.event_tensor(spark, sf_dir), "layer")
+    by_layer = dct_axis(inputs.event_tensor(spark, sf_dir), "layer", size=31)
     both = by_layer.withColumn("axis", F.lit("layer")).unionByName(
-        dct_axis(by_layer, "head").withColumn("axis", F.lit("layer,head"))
+        dct_axis(by_layer, "head", size=len(inputs.EVENT_TYPES)).withColumn("axis", F.lit("layer,head"))
     )
     return both.select("axis", "layer", "head", "i", "j", tidy(F.col("v"), 4).alias("v"))
 
@@ -456,13 +456,35 @@ def qr_gram(spark, sf_dir):
     return _cells_out(factor.gram(factor.qr_r(inputs.embedding_vectors(spark, sf_dir))), 5)
 
 
-@query()
+def _factor_sql(ridge: float, select: str) -> str:
+    """Upper factor of WᵀW + ridge*I by elimination, one pivot a step, over its upper half."""
+    return f"""WITH RECURSIVE {q.embedding_ranks()},
+heights AS (SELECT label::VARCHAR AS matrix_id, count(*) AS height FROM embeddings GROUP BY label),
+entries AS (SELECT label::VARCHAR AS matrix_id, r, unnest(range(len(embedding)))::INTEGER AS j, unnest(embedding)::DOUBLE AS v FROM ranks),
+products AS MATERIALIZED (SELECT a.matrix_id, a.j AS i, b.j AS j, sum(a.v * b.v) + CASE WHEN a.j = b.j THEN {ridge}::DOUBLE ELSE 0.0 END AS v
+  FROM entries a JOIN entries b ON a.matrix_id = b.matrix_id AND a.r = b.r AND a.j <= b.j GROUP BY a.matrix_id, a.j, b.j),
+steps AS (SELECT 0 AS pivot, matrix_id, i, j, v FROM products
+  UNION ALL SELECT a.pivot + 1, a.matrix_id, a.i, a.j, a.v - c.v * d.v / p.v FROM steps a
+  JOIN steps p ON p.matrix_id = a.matrix_id AND p.i = a.pivot AND p.j = a.pivot
+  JOIN steps c ON c.matrix_id = a.matrix_id AND c.i = a.pivot AND c.j = a.i
+  JOIN steps d ON d.matrix_id = a.matrix_id AND d.i = a.pivot AND d.j = a.j WHERE a.i > a.pivot),
+factor AS (SELECT s.matrix_id, s.i, s.j, s.v / sqrt(p.v) AS v FROM steps s
+  JOIN steps p ON p.matrix_id = s.matrix_id AND p.pivot = s.pivot AND p.i = s.pivot AND p.j = s.pivot WHERE s.i = s.pivot)
+{select}"""
+
+
+@query(_factor_sql(0.0, f"""SELECT matrix_id, i, j, {q.r('v', 4)} AS v FROM factor JOIN heights USING (matrix_id) WHERE i < height"""))
 def qr_r(spark, sf_dir):
     r = factor.qr_r(inputs.embedding_vectors(spark, sf_dir))
-    return r.select(ID, "i", F.posexplode("row").alias("j", "v")).where(F.col("j") >= F.col("i"))
+    upper = r.select(ID, "i", F.posexplode("row").alias("j", "v")).where(F.col("j") >= F.col("i"))
+    return _cells_out(upper, 4)
 
 
-@query()
+@query(_factor_sql(0.0, """, norms AS (SELECT matrix_id, i, sum(v * v) AS norm FROM factor JOIN heights USING (matrix_id) WHERE i < height GROUP BY ALL),
+placed AS (SELECT matrix_id, h.height, t.i, row_number() OVER (PARTITION BY matrix_id ORDER BY coalesce(norm, 0.0) DESC, t.i) AS place
+  FROM (SELECT matrix_id, height, unnest(range(height)) AS i FROM heights) t JOIN heights h USING (matrix_id) LEFT JOIN norms n USING (matrix_id, i)),
+widths AS (SELECT matrix_id, max(j) + 1 AS n FROM factor GROUP BY matrix_id)
+SELECT matrix_id, i AS k, unnest(range(n))::INTEGER AS l FROM placed JOIN widths USING (matrix_id) WHERE place <= greatest(1, height // 4)"""))
 def select_qr_rows(spark, sf_dir):
     return factor.select_qr_rows(inputs.embedding_vectors(spark, sf_dir))
 
@@ -481,7 +503,7 @@ def cholesky_gram(spark, sf_dir):
     return _cells_out(factor.gram(rows), 5)
 
 
-@query()
+@query(_factor_sql(factor.RIDGE, f"SELECT matrix_id, i, j, {q.r('v', 4)} AS v FROM factor"))
 def cholesky_r(spark, sf_dir):
     upper = factor.cholesky_r(inputs.embedding_vectors(spark, sf_dir))
-    return cells(upper, v="factor").where(F.col("j") >= F.col("i")).select(ID, "i", "j", "v")
+    return _cells_out(cells(upper, v="factor").where(F.col("j") >= F.col("i")), 4)

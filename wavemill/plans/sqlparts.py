@@ -132,15 +132,22 @@ def gaussian(seed, *parts: str) -> str:
     return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}))"
 
 
-def scrambled(source: str, out: str, columns: str) -> list[str]:
-    """From rows with ``base``, 1000 rows each with draw ``b`` and scrambled ``x``."""
+def key_pair(seed, *parts: str) -> str:
+    """Columns ``base`` and ``base2``: the 30-bit state of a key's draws."""
+    joined = ", ".join(f"({p})::VARCHAR" for p in parts)
+    digest = f"md5(concat_ws(':', '{seed}', {joined}))"
+    return f"('0x' || substr({digest}, 1, 8))::BIGINT >> 2 AS base, ('0x' || substr({digest}, 9, 8))::BIGINT >> 2 AS base2"
+
+
+def scrambled(source: str, out: str, columns: str, draws: str = "1000", b: str = "b") -> list[str]:
+    """From rows with ``base`` and ``base2``, ``draws`` rows each with draw ``b`` and scrambled ``x``."""
     p = MODULUS
     return [
-        f"{out}_0 AS (SELECT {columns}, t.b, (base + t.b * {STRIDE}) % {p} AS x FROM {source}, unnest(range(1000)) AS t(b))",
-        f"{out}_1 AS (SELECT {columns}, b, (x * x + {INCREMENTS[0]}) % {p} AS x FROM {out}_0)",
-        f"{out}_2 AS (SELECT {columns}, b, (x * {MULTIPLIERS[0]} + b) % {p} AS x FROM {out}_1)",
-        f"{out}_3 AS (SELECT {columns}, b, (x * x + {INCREMENTS[1]}) % {p} AS x FROM {out}_2)",
-        f"{out} AS (SELECT {columns}, b, (x * {MULTIPLIERS[1]}) % {p} AS x FROM {out}_3)",
+        f"{out}_0 AS (SELECT {columns}, base2, t.{b}, (base + t.{b} * {STRIDE}) % {p} AS x FROM {source}, unnest(range({draws})) AS t({b}))",
+        f"{out}_1 AS (SELECT {columns}, base2, {b}, (x * x + {INCREMENTS[0]}) % {p} AS x FROM {out}_0)",
+        f"{out}_2 AS (SELECT {columns}, {b}, (x * {MULTIPLIERS[0]} + {b} + base2) % {p} AS x FROM {out}_1)",
+        f"{out}_3 AS (SELECT {columns}, {b}, (x * x + {INCREMENTS[1]}) % {p} AS x FROM {out}_2)",
+        f"{out} AS (SELECT {columns}, {b}, (x * {MULTIPLIERS[1]}) % {p} AS x FROM {out}_3)",
     ]
 
 

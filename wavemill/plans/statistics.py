@@ -42,7 +42,7 @@ def metric_summary(spark, sf_dir):
 
 POISSON_SQL = [
     q.event_results(),
-    f"based AS (SELECT method, value, {q.u32(0, 'method', 'seed')} >> 4 AS base FROM results)",
+    f"based AS (SELECT method, value, {q.key_pair(0, 'method', 'seed')} FROM results)",
     *q.scrambled("based", "drawn", "method, value"),
     f"weighed AS (SELECT method, b, value, {q.poisson('x')} AS w FROM drawn)",
     "means AS (SELECT method, b, sum(w * value) / sum(w) AS mean FROM weighed GROUP BY method, b)",
@@ -60,9 +60,13 @@ def bootstrap_poisson(spark, sf_dir):
         [q.event_results(),
          """ranked AS MATERIALIZED (SELECT method, value, row_number() OVER (PARTITION BY method ORDER BY seed) - 1 AS rk,
   count(*) OVER (PARTITION BY method) AS n FROM results)""",
-         f"based AS (SELECT method, n, {q.u32(0, 'method', 'rk')} >> 4 AS base FROM ranked)",
-         *q.scrambled("based", "drawn", "method, n"),
-         f"picks AS (SELECT method, b, floor(x * n / {q.MODULUS}.0::DOUBLE)::BIGINT AS rk FROM drawn)",
+         f"based AS (SELECT method, n, {q.key_pair(0, 'method', 'rk')} FROM ranked)",
+         *q.scrambled("based", "dealt", "method, n"),
+         f"counts AS (SELECT method, b, n, floor(x * n / {q.MODULUS}.0::DOUBLE)::BIGINT // 512 AS bucket, count(*) AS draws FROM dealt GROUP BY ALL)",
+         "held AS (SELECT method, rk // 512 AS bucket, count(*) AS size FROM ranked GROUP BY ALL)",
+         f"local AS (SELECT method, bucket, b, size, draws, {q.key_pair('0:local', 'method', 'bucket', 'b')} FROM counts JOIN held USING (method, bucket))",
+         *q.scrambled("local", "drawn", "method, bucket, b, size", "draws", "t"),
+         f"picks AS (SELECT method, b, bucket * 512 + floor(x * size / {q.MODULUS}.0::DOUBLE)::BIGINT AS rk FROM drawn)",
          "means AS (SELECT p.method, p.b, avg(r.value) AS mean FROM picks p JOIN ranked r ON r.method = p.method AND r.rk = p.rk GROUP BY ALL)"],
         f"""SELECT method, {q.r('quantile_cont(mean, 0.025)')} AS ci_low, {q.r('quantile_cont(mean, 0.975)')} AS ci_high
 FROM means GROUP BY method""",
