@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,21 +56,16 @@ def with_draws(df: DataFrame, base: str, draws: int, out: str = "x", draw: str =
     return numbered
 
 
-def drawn_array(base: Column, count: Column) -> Column:
-    """The first ``count`` (at least 1) draws of a key pair as one array, by the steps of ``with_draws``."""
-    p = F.lit(MODULUS)
-    numbers = F.sequence(F.lit(0).cast("bigint"), count.cast("bigint") - 1)
-    start = F.transform(numbers, lambda t: F.struct(t.alias("t"), ((base["first"] + t * F.lit(STRIDE)) % p).alias("x")))
-
-    def square(d, increment):
-        return F.struct(d["t"].alias("t"), ((d["x"] * d["x"] + F.lit(increment)) % p).alias("x"))
-
-    once = F.transform(start, lambda d: square(d, INCREMENTS[0]))
-    moved = F.transform(
-        once, lambda d: F.struct(d["t"].alias("t"), ((d["x"] * F.lit(MULTIPLIERS[0]) + d["t"] + base["second"]) % p).alias("x"))
-    )
-    twice = F.transform(moved, lambda d: square(d, INCREMENTS[1]))
-    return F.transform(twice, lambda d: (d["x"] * F.lit(MULTIPLIERS[1])) % p)
+def held_sums(values: np.ndarray, draws: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Sum of ``draws`` values drawn with replacement, for each key pair, by the steps of ``with_draws``."""
+    ends = np.cumsum(draws)
+    t = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - draws, draws)
+    x = (np.repeat(first, draws) + t * STRIDE) % MODULUS
+    for multiplier, increment, shift in zip(MULTIPLIERS, INCREMENTS, (t + np.repeat(second, draws), 0)):
+        x = (x * x + increment) % MODULUS
+        x = (x * multiplier + shift) % MODULUS
+    taken = values[np.floor(x * len(values) / float(MODULUS)).astype(np.int64)]
+    return np.add.reduceat(taken, ends - draws) if len(taken) else np.zeros(0)
 
 
 def poisson_cuts() -> list[int]:

@@ -6,10 +6,11 @@ method), metric STRING, value DOUBLE.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.functions.hashing import MODULUS, drawn_array, key_pair, poisson_weight, with_draws
+from wavemill.functions.hashing import MODULUS, held_sums, key_pair, poisson_weight, with_draws
 from wavemill.functions.numeric import present
 from wavemill.functions.tails import normal_two_sided, signed_rank_exact, t_two_sided
 from wavemill.operators.ranking import average_ranks, rank_by_id
@@ -64,27 +65,29 @@ def bootstrap_exact(values: DataFrame, resamples: int = RESAMPLES, seed: int = 0
     Values are never moved for a draw: a bucket receives ``resamples`` counts and sends as
     many sums. The largest row holds the values of one bucket.
     """
-    ranked = rank_by_id(values, ["method"], "seed")
+    ranked = rank_by_id(values, ["method"], "seed").withColumn("bucket", F.shiftright("rank", bits))
     sizes = values.groupBy("method").agg(F.count("value").alias("n"))
-    scale = F.lit(float(MODULUS))
-    bucket = F.shiftright("rank", bits)
-    dealt = ranked.join(sizes, "method").select("method", "n", key_pair(seed, F.col("method"), F.col("rank")).alias("__base"))
-    share = F.shiftright(F.floor(F.col("x") * F.col("n") / scale), bits)
-    counts = (
-        with_draws(dealt, "__base", resamples)
-        .groupBy("method", share.alias("bucket"), "b")
-        .agg(F.count(F.lit(1)).alias("draws"))
-        .groupBy("method", "bucket")
-        .agg(F.collect_list(F.struct("b", "draws")).alias("counts"))
+    share = F.shiftright(F.floor(F.col("x") * F.col("n") / F.lit(float(MODULUS))), bits)
+    # Values are few against their draws, so they are dealt to all cores before they are multiplied.
+    spread = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranked.join(sizes, "method").repartition(spread, "rank")
+    dealt = dealt.select("method", "n", key_pair(seed, F.col("method"), F.col("rank")).alias("__base"))
+    counts = with_draws(dealt, "__base", resamples).groupBy("method", share.alias("bucket"), "b").agg(
+        F.count(F.lit(1)).alias("draws")
     )
-    held = ranked.groupBy("method", bucket.alias("bucket")).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "value"))), lambda v: v["value"]).alias("held")
-    )
-    asked = held.join(counts, ["method", "bucket"]).select("method", "bucket", "held", F.inline("counts"))
-    picks = drawn_array(F.col("__base"), F.col("draws"))
-    total = F.aggregate(picks, F.lit(0.0), lambda acc, x: acc + F.col("held")[F.floor(x * F.size("held") / scale).cast("int")])
-    sums = asked.withColumn("__base", key_pair(f"{seed}:local", F.col("method"), F.col("bucket"), F.col("b"))).select(
-        "method", "b", "draws", total.alias("total")
+    own = key_pair(f"{seed}:local", F.col("method"), F.col("bucket"), F.col("b"))
+    asked = counts.withColumn("__base", own).select("method", "bucket", "b", "draws", "__base.*")
+    held = ranked.select(F.col("method").alias("owner"), F.col("bucket").alias("part"), "rank", "value")
+
+    def draw(values_: pa.Table, asked_: pa.Table) -> pa.Table:
+        values_, asked_ = values_.sort_by("rank"), asked_.sort_by("b")
+        drawn = held_sums(
+            values_.column("value").to_numpy(), *(asked_.column(c).to_numpy() for c in ("draws", "first", "second"))
+        )
+        return pa.table({"method": asked_.column("method"), "b": asked_.column("b"), "draws": asked_.column("draws"), "total": drawn})
+
+    sums = held.groupBy("owner", "part").cogroup(asked.groupBy("method", "bucket")).applyInArrow(
+        draw, "method string, b int, draws bigint, total double"
     )
     means = sums.groupBy("method", "b").agg((F.sum("total") / F.sum("draws")).alias("mean"))
     return _interval(means)
