@@ -171,3 +171,29 @@ def test_full_buckets_are_cut_by_further_bits(spark):
     levels = {"a": magnitude_level(x, 12)} | {f"b{n}": c for n, c in enumerate(finer_levels(x, 12))}
     cut = ranking.refined(df.distinct(), ["g"], levels, 16)
     assert cut.groupBy("g", *levels).count().agg(F.max("count")).first()[0] <= 16
+
+
+@pytest.mark.parametrize("share, quota", [("0.125", lambda n: -(-n // 8)), (0.15, lambda n: -(-n * 3 // 20)), (0, lambda n: 0), (1, lambda n: n)])
+def test_any_test_share(spark, share, quota):
+    df, sizes = docs(spark)
+    got = slices.split_exact(df, ["segment"], "id", share).where("split = 'test'").groupBy("segment").count().collect()
+    assert {r.segment: r["count"] for r in got} == {s: quota(n) for s, n in sizes.items() if quota(n)}
+
+
+def test_slices_are_cut_into_files_by_bytes(spark):
+    df, sizes = docs(spark)
+    rows = slices.split_exact(df, ["segment"], "id").withColumn("text", F.repeat(F.lit("x"), 100)).repartition(16)
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/slices"
+        sinks.write_slices(rows, path, key="id", whole=True, file_bytes=20_000)
+        back = spark.read.schema("id bigint, text string, segment string, split string").json(path)
+        files = {}
+        for r in back.select("segment", "split", F.input_file_name().alias("file")).distinct().collect():
+            files.setdefault((r.segment, r.split), set()).add(r.file)
+        # 500 rows of some 160 bytes: four or five files for the whole hot slice, one for each small one.
+        assert 4 <= len(files["hot", "all"]) <= 5 and 3 <= len(files["hot", "train"]) <= 4 and len(files["hot", "test"]) == 1
+        assert all(len(f) == 1 for (segment, _), f in files.items() if segment != "hot")
+        counts = {(r.segment, r.split): r["count"] for r in back.groupBy("segment", "split").count().collect()}
+        for segment, n in sizes.items():
+            assert counts[segment, "all"] == n == counts[segment, "test"] + counts.get((segment, "train"), 0)
+        sinks.write_slices(rows.where("false"), f"{folder}/empty", whole=True)

@@ -68,6 +68,21 @@ def test_axis_transform(spark):
         assert np.isclose(r.v, want[r.layer, r.head, r.j])
 
 
+@pytest.mark.parametrize("size", [None, 5, 7])
+def test_axis_transform_takes_missing_cells_as_zero(spark, size):
+    lines = {0: {0: 1.0, 2: 1.0}, 1: {0: 3.0, 1: 2.0, 2: 1.0, 3: 4.0, 4: 5.0}, 2: {4: 2.0}, 3: {1: None, 3: 6.0}}
+    rows = [(i, h, v) for h, line in lines.items() for i, v in line.items()]
+    table = spark.createDataFrame(rows, "layer int, head int, v double").repartition(3)
+    got = dct_axis(table, "layer", size=size).collect()
+    extent = size or 5
+    assert len(got) == 4 * extent
+    for r in got:
+        x = np.array([lines[r.head].get(i) or 0.0 for i in range(extent)])
+        assert np.isclose(r.v, (basis(extent) @ x)[r.layer])
+    with pytest.raises(Exception, match="beyond 4"):
+        dct_axis(table, "layer", size=4).collect()
+
+
 def test_selection_by_energy(profile):
     got = places(selection.select_energy(profile, 0.85))
     for name, m in MATRICES.items():

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavemill.functions import hashing
 from wavemill.functions.tails import normal_two_sided, signed_rank_exact, t_two_sided
 from wavemill.operators import privacy, stats
 
@@ -79,6 +80,27 @@ def test_bootstrap_interval(spark, boot):
     assert boot(values.where("false")).count() == 0
 
 
+def test_exact_bootstrap_over_many_buckets(spark):
+    x = RNG.standard_normal(401) + 10
+    values = table(spark, {"a": list(enumerate(x)), "same": [(i, 4.0) for i in range(70)]})
+    got = {r.method: r for r in stats.bootstrap_exact(values, bits=3).collect()}
+    error = x.std(ddof=1) / np.sqrt(401)
+    assert abs(got["a"].ci_low - (x.mean() - 1.96 * error)) < 0.4 * error
+    assert abs(got["a"].ci_high - (x.mean() + 1.96 * error)) < 0.4 * error
+    assert got["same"].ci_low == got["same"].ci_high == 4.0
+
+
+def test_local_draws_follow_the_generator(spark):
+    first, second, draws = np.array([5, 2**30 - 1]), np.array([7, 2**30 - 1]), np.array([3, 4])
+    rows = spark.createDataFrame([(k, (int(a), int(b))) for k, a, b in zip((0, 1), first, second)], "k int, s struct<first:bigint,second:bigint>")
+    values = RNG.standard_normal(13)
+    want = [0.0, 0.0]
+    for r in hashing.with_draws(rows, "s", 4).collect():
+        if r.b < draws[r.k]:
+            want[r.k] += values[r.x * 13 // hashing.MODULUS]
+    assert np.allclose(hashing.held_sums(values, draws, first, second), want)
+
+
 def groups():
     base = RNG.standard_normal(12) + 1
     return {

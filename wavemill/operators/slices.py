@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,18 @@ def name_contains(column: str, parts: list[str]) -> Column:
 
 
 def split_exact(
-    df: DataFrame, segment: list[str], key: str, tenths: int = 2, seed: int = SEED, bits: int = 16
+    df: DataFrame, segment: list[str], key: str, share: float | str | Fraction = "0.2", seed: int = SEED, bits: int = 16
 ) -> DataFrame:
-    """Exactly ceil(tenths/10 * n) test rows per segment, the rest train, by a seeded hash of a unique key."""
-    marked = pick_first_by_hash(
-        df, segment, key, lambda n: F.floor((n * F.lit(tenths) + F.lit(9)) / F.lit(10)), seed, bits, "__test"
-    )
+    """Exactly ceil(share * n) test rows per segment, the rest train, by a seeded hash of a unique key.
+
+    The share is taken as the fraction it is written as (0.15 is 15/100), so no product is rounded.
+    """
+    part = Fraction(str(share))
+    if not 0 <= part <= 1:
+        raise ValueError("share lies between 0 and 1")
+    over, under = F.lit(part.numerator), F.lit(part.denominator)
+    quota = lambda n: F.call_function("div", n * over + under - 1, under)
+    marked = pick_first_by_hash(df, segment, key, quota, seed, bits, "__test")
     return marked.withColumn("split", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 

@@ -43,20 +43,6 @@ def results_roundtrip(spark, sf_dir):
 SPLIT_CASE = f"CASE WHEN {q.u32(42, 'doc_id')} < CAST(floor(0.2 * 4294967296) AS BIGINT) THEN 'test' ELSE 'train' END"
 
 
-@query(f"SELECT lang AS segment, {SPLIT_CASE} AS split, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars "
-       "FROM documents GROUP BY ALL")
-def slices_written(spark, sf_dir):
-    """All slices written in one pass as folders of JSON lines, then read back and counted."""
-    path = scratch_path(spark, "slices")
-    split = slices.split_hash(documents(spark, sf_dir), "doc_id").withColumnRenamed("lang", "segment")
-    sinks.write_slices(split, path)
-    schema = "doc_id long, text string, source string, n_chars long, segment string, split string"
-    back = spark.read.schema(schema).json(path)
-    return back.groupBy("segment", "split").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")
-    )
-
-
 @query("SELECT source AS subset, count(*) AS n FROM documents GROUP BY source")
 def subsets_written(spark, sf_dir):
     """One folder per subset, read back and counted."""
@@ -103,6 +89,20 @@ def _exact_split(spark, sf_dir):
     return slices.split_exact(docs, ["segment"], "doc_id")
 
 
+@query("WITH " + EXACT_SPLIT + """, sliced AS (SELECT segment, unnest([split, 'all']) AS split, n_chars FROM split JOIN documents USING (doc_id))
+SELECT segment, split, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM sliced GROUP BY ALL""")
+def slices_written(spark, sf_dir):
+    """Train, test and undivided slices written as folders of JSON lines, then read back and counted."""
+    path = scratch_path(spark, "slices")
+    docs = documents(spark, sf_dir).withColumnRenamed("lang", "segment")
+    sinks.write_slices(slices.split_exact(docs, ["segment"], "doc_id"), path, key="doc_id", whole=True)
+    schema = "doc_id long, text string, source string, n_chars long, segment string, split string"
+    back = spark.read.schema(schema).json(path)
+    return back.groupBy("segment", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")
+    )
+
+
 @query("WITH " + EXACT_SPLIT + " SELECT doc_id, segment, split FROM split")
 def split_exact(spark, sf_dir):
     return _exact_split(spark, sf_dir).select("doc_id", "segment", "split")
