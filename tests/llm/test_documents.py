@@ -462,6 +462,36 @@ def test_probing_finds_every_code_in_the_radius():
         assert index.within(codes[0], radius).tolist() == np.flatnonzero(apart <= radius).tolist()
 
 
+def test_recall_beyond_the_fitted_sample(spark, monkeypatch):
+    """Clustered rows, four times as many as train the rotation, in several blocks of rows and of queries."""
+    monkeypatch.setattr(hamming_search, "SAMPLE", 1000)
+    monkeypatch.setattr(hamming_search, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(hamming_search, "ROW_BLOCK", 1500)
+    r = np.random.default_rng(3)
+    vectors = r.standard_normal((40, 24))[r.integers(0, 40, 4000)] + 0.4 * r.standard_normal((4000, 24))
+    ids = np.arange(4000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(list)
+    for row in hamming_search.nearest(df.repartition(5)).orderBy("query_id", "rank").collect():
+        got[row.query_id].append(row.vec_id)
+    want = dict(hamming_search.exact_nearest(ids, vectors))
+    assert {q: len(v) for q, v in got.items()} == {q: 10 for q in want}
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
+
+
+def test_repeated_ids_and_other_lengths(spark):
+    rows = [(100, [1.0, 0.0])] * 3 + [(100, [5.0, 5.0]), (7, [1.0, 0.1]), (7, [1.0, 0.1]), (8, [4.0, 5.0])]
+    rows += [(200, [1.0, 1.0, 1.0]), (201, [1.0, 1.0, 2.0]), (300, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in hamming_search.nearest(df, k=4).collect())
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 100 == 0:
+            near = sorted((float(np.linalg.norm(np.subtract(v, w))), i) for other, (i, w) in enumerate(rows) if other != at and len(w) == len(v))
+            want += [(q, place, i, round(s, 9)) for place, (s, i) in enumerate(near[:4], 1)]
+    assert got == sorted(want)
+
+
 def test_odd_vectors_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.1]), (8, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (100, [0.0, 1.0])]

@@ -10,11 +10,16 @@ lie within it; where a block holds fewer than k codes within R, R grows until it
 
 All rows are indexed, in blocks; the stated queries, in blocks, meet every block.
 
+Rows of the same id and vector travel as one row with a number of copies, so a hot one is
+never gathered.
+
 Defined results: vectors that are null, zero, or hold null or non-finite components take
-no part, nor do rows without id and vectors not of the most frequent length (of equally
-frequent ones the longest). Fewer candidates than k: all of them. Ties go to the smaller
-id. A query never finds rows of its own id; a query id that occurs several times
-is answered for the first of its rows in the order of a hash of the vector.
+no part, nor do rows without id. Vectors meet those of their own length only: for the most
+frequent length (of equally frequent ones the longest) codes are learned on the sample, for
+others each block learns its own from its rows. Fewer candidates than k: all of them. Ties
+go to the smaller id. A query leaves out its own row only: other rows of its id are
+candidates, and each of several query rows of one id is answered on its own. An empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,76 +100,104 @@ class BlockIndex:
         return rows[np.bitwise_count(self.whole[rows] ^ target) <= radius]
 
 
-def search_block(ids, vectors, query_ids, queries, codes: Codes, k: int):
-    """The k nearest rows of a block to each query, of those its code retrieves."""
+def search_block(ids, vectors, copies, query_ids, queries, codes: Codes, k: int):
+    """The k nearest rows of a block to each query, of those its code retrieves: positions of queries, ids, scores."""
     index = BlockIndex(codes.of(vectors))
+    total = int(copies.sum())
     out = []
-    for query, vector, code in zip(query_ids, queries, codes.of(queries)):
-        radius = codes.radius
-        others = len(ids) - int((ids == query).sum())
+    for at, (query, vector, code) in enumerate(zip(query_ids, queries, codes.of(queries))):
+        same = np.flatnonzero(ids == query)
+        own = same[(vectors[same] == vector).all(axis=1)]  # one row at most, as equal rows are one
+        radius, others = codes.radius, total - len(own)
         while True:
             rows = index.within(code, radius)
-            rows = rows[ids[rows] != query]
-            if len(rows) >= min(k, others) or radius >= BITS:
+            count = copies[rows] - np.isin(rows, own)
+            if count.sum() >= min(k, others) or radius >= BITS:
                 break
             radius += 4
         score = np.sqrt(((vectors[rows] - vector) ** 2).sum(axis=1))
-        best = np.lexsort((ids[rows], score))[:k]
-        out.append((np.full(len(best), query), ids[rows[best]], score[best]))
+        order = np.lexsort((ids[rows], score))
+        order = order[count[order] > 0][:k]  # each gives a copy at least, so k rows are enough
+        best = np.repeat(order, np.minimum(count[order], k))[:k]
+        out.append((np.full(len(best), at), ids[rows[best]], score[best]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
 
 
 def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, v`` of the rows that take part."""
+    """``id, v, n`` (length) of the rows that take part."""
     values = F.col("v")
     finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     named = table.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     good = named.where(F.col("id").isNotNull() & values.isNotNull() & finite & F.exists(values, lambda x: x != 0.0))
-    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return good.where(F.size("v") == (lengths[0]["n"] if lengths else 0))
+    return good.withColumn("n", F.size("v"))
 
 
 def nearest(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``."""
     rows = usable(table, key, vector)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()
-    size = rows.count()
-    schema = "query_id bigint, vec_id bigint, score double"
-    if not sample:
+    is_query = F.col("id") % every == 0
+    lengths = rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.count_if(is_query).alias("queries"))
+    most = F.max_by(F.struct("n", "rows", "queries"), F.struct("rows", "n"))
+    counted = lengths.agg(most.alias("most"), F.sum("rows").alias("rows"), F.sum("queries").alias("queries")).first()
+    if counted["most"] is None:
         return table.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    main = counted["most"]["n"]
+    # Ties in the hash are told apart by the vector, so the sample does not depend on the layout.
+    sample = rows.where(F.col("n") == main).orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).select("v").collect()
     codes = Codes(np.array([r["v"] for r in sample], np.float64), k)
-    spread = F.xxhash64("id", "v")
-    asked = rows.where(F.col("id") % every == 0)
-    asked = asked.groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    row_blocks, query_blocks = -(-size // ROW_BLOCK), max(1, -(-size // (every * QUERY_BLOCK)))
+    whole = rows.groupBy("id", "v", "n").agg(F.count(F.lit(1)).alias("copies")).withColumn("tag", F.xxhash64("id", "v"))
+
+    def blocks_of(what: str, size: int):
+        """Number of blocks of a row's length class: the main length, or all others together."""
+        of_main = counted["most"][what]
+        main_blocks, other_blocks = (max(1, -(-c // size)) for c in (of_main, counted[what] - of_main))
+        return F.when(F.col("n") == main, F.lit(main_blocks)).otherwise(F.lit(other_blocks))
+
+    row_blocks, query_blocks = blocks_of("rows", ROW_BLOCK), blocks_of("queries", QUERY_BLOCK)
 
-    def numbers(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    def every_block(count):
+        return F.explode(F.sequence(F.lit(0), count - 1))
 
-    blocks = rows.withColumn("rb", F.pmod(spread, F.lit(row_blocks)).cast("int")).withColumn("qb", numbers(query_blocks))
-    queries = asked.withColumn("qb", F.pmod(spread, F.lit(query_blocks)).cast("int")).withColumn("rb", numbers(row_blocks))
+    def one_block(count):
+        return F.pmod("tag", count).cast("int")
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    blocks = whole.withColumn("rb", one_block(row_blocks)).withColumn("qb", every_block(query_blocks))
+    queries = whole.where(is_query).withColumn("qb", one_block(query_blocks)).withColumn("rb", every_block(row_blocks))
+
+    def matrix(t: pa.Table) -> np.ndarray:
         flat = t.column("v").combine_chunks()
-        values = flat.flatten().to_numpy(zero_copy_only=False)
-        return t.column("id").to_numpy(), values.reshape(t.num_rows, -1)
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        else:
-            found = search_block(*matrix(left), *matrix(right), codes, k)
-        return pa.table({"query_id": found[0], "vec_id": found[1], "score": found[2]})
-
-    met = blocks.groupBy("rb", "qb").cogroup(queries.groupBy("rb", "qb")).applyInArrow(meet, schema)
-    # A partial top k in each task keeps what meets at a query small.
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return met.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found, tags, copies, names = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)], [], [], []
+        if left.num_rows and right.num_rows:
+            left = left.sort_by([("id", "ascending"), ("tag", "ascending")])
+            vectors = matrix(left)
+            by = codes if vectors.shape[1] == main else Codes(vectors[:: -(-len(vectors) // SAMPLE)], k)
+            ids, asked = left.column("id").to_numpy(), right.column("id").to_numpy()
+            found = search_block(ids, vectors, left.column("copies").to_numpy(), asked, matrix(right), by, k)
+            names, tags, copies = (right.column(c).to_numpy()[found[0]] for c in ("id", "tag", "copies"))
+        return pa.table(
+            {
+                "query_id": pa.array(names, pa.int64()), "tag": pa.array(tags, pa.int64()), "copies": pa.array(copies, pa.int64()),
+                "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64()),
+            }
+        )
+
+    groups = ("n", "rb", "qb")
+    met = blocks.groupBy(*groups).cogroup(queries.groupBy(*groups)).applyInArrow(
+        meet, "query_id bigint, tag bigint, copies bigint, vec_id bigint, score double"
+    )
+    # A partial top k in each task keeps what meets at a query small; a query is told by id and hash of its vector.
+    place = F.row_number().over(Window.partitionBy("query_id", "tag").orderBy("score", "vec_id"))
+    best = met.withColumn("rank", place).where(F.col("rank") <= k)
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
+    return best.withColumn("copy", each).select("query_id", "rank", "vec_id", "score")
 
 
 def exact_nearest(ids: np.ndarray, vectors: np.ndarray, every: int = 100, k: int = 10) -> Iterator[tuple[int, list[int]]]:
     """Brute force, to measure recall."""
     for at in np.flatnonzero(ids % every == 0):
         score = np.sqrt(((vectors - vectors[at]) ** 2).sum(axis=1))
-        other = np.flatnonzero(ids != ids[at])
+        other = np.flatnonzero(np.arange(len(ids)) != at)
         yield int(ids[at]), ids[other[np.lexsort((ids[other], score[other]))[:k]]].tolist()
