@@ -62,8 +62,9 @@ def bootstrap_exact(values: DataFrame, resamples: int = RESAMPLES, seed: int = 0
 
     The n draws of a resample are first dealt to buckets of 2**bits ranks, as counts that
     combine map-side; each bucket then draws its count from its own values, where they lie.
-    Values are never moved for a draw: a bucket receives ``resamples`` counts and sends as
-    many sums. The largest row holds the values of one bucket.
+    Values are never moved for a draw: a bucket holds ``resamples`` counts and sends as many
+    sums. A dealing task sends one count a resample and bucket it hits, so at most ``resamples``
+    small rows per value in all. The largest group holds the values of one bucket.
     """
     ranked = rank_by_id(values, ["method"], "seed").withColumn("bucket", F.shiftright("rank", bits))
     sizes = values.groupBy("method").agg(F.count("value").alias("n"))
