@@ -468,7 +468,7 @@ steps AS (SELECT 0 AS pivot, matrix_id, i, j, v FROM products
   JOIN steps p ON p.matrix_id = a.matrix_id AND p.i = a.pivot AND p.j = a.pivot
   JOIN steps c ON c.matrix_id = a.matrix_id AND c.i = a.pivot AND c.j = a.i
   JOIN steps d ON d.matrix_id = a.matrix_id AND d.i = a.pivot AND d.j = a.j WHERE a.i > a.pivot),
-factor AS (SELECT s.matrix_id, s.i, s.j, s.v / sqrt(p.v) AS v FROM steps s
+factor AS (SELECT s.matrix_id, s.i, s.j, s.v / sqrt(greatest(p.v, 0.0)) AS v FROM steps s
   JOIN steps p ON p.matrix_id = s.matrix_id AND p.pivot = s.pivot AND p.i = s.pivot AND p.j = s.pivot WHERE s.i = s.pivot)
 {select}"""
 
