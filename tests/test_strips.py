@@ -66,7 +66,7 @@ def integral(spark, matrices):
         for l0 in range(0, m, 3):
             for k0 in range(0, n, 4):
                 part = c[k0 : k0 + 4, l0 : l0 + 3]
-                rows.append((name, n, m, k0, l0, part.shape[1], [float(x) for x in part.ravel()]))
+                rows.append((name, n, m, k0, 1, l0, part.shape[1], [float(x) for x in part.ravel()]))
     return spark.createDataFrame(rows, strips.SEGMENT)
 
 

@@ -30,6 +30,15 @@ def quantize(table: DataFrame, v: str = "v", bits: int = BITS, scope=(ID,), out:
     return table.withColumn("scale", scale).withColumn(out, F.rint(F.col(v) / F.col("scale")) * F.col("scale"))
 
 
+def quantize_rows(rows: DataFrame, bits: int = BITS, out: str = "approx") -> DataFrame:
+    """``quantize`` of whole matrices given by rows: one number a matrix is joined, no cell becomes a row."""
+    steps = float(2 ** (bits - 1) - 1)
+    largest = rows.groupBy(ID).agg(F.max(F.array_max(F.transform("row", F.abs))).alias("__largest"))
+    scale = F.when(F.col("__largest") >= F.lit(ZERO_BELOW), F.col("__largest") / F.lit(steps))
+    scaled = rows.join(largest.select(ID, scale.alias("scale")), ID)
+    return scaled.withColumn(out, F.transform("row", lambda x: F.rint(x / F.col("scale")) * F.col("scale")))
+
+
 def parameter_count(keep_fraction: float | None = None, rank: int = RANK) -> Column:
     """Coefficients kept by the top-k method: as many as a rank-``rank`` pair of factors has, or a fraction."""
     size = F.col("n_rows").cast("bigint") * F.col("n_cols")

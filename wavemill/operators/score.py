@@ -28,6 +28,20 @@ def fidelity(v: Column, approx: Column) -> Column:
     return unit_clamp(F.lit(1.0) - distance / F.greatest(F.sqrt(F.sum(v * v)), F.lit(NORM_FLOOR)))
 
 
+def row_fidelity(rows: DataFrame, v: str = "row", approx: str = "approx") -> DataFrame:
+    """``fidelity`` per matrix from arrays that lie side by side: two sums a row, no cell becomes a row.
+
+    An approximation with a NULL in every cell gives NULL.
+    """
+    def squares(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda total, e: total + e * e)
+
+    off = F.zip_with(v, approx, lambda x, y: x - F.nanvl(y, F.lit(0.0)))
+    sums = rows.groupBy(ID).agg(F.sum(squares(off)).alias("__off"), F.sum(squares(F.col(v))).alias("__all"))
+    distance = F.sqrt("__off") / F.greatest(F.sqrt("__all"), F.lit(NORM_FLOOR))
+    return sums.select(ID, unit_clamp(F.lit(1.0) - distance).alias("fidelity"))
+
+
 def retained_energy(c: Column, keep: Column) -> Column:
     """Aggregate: part of the energy that lies in kept places."""
     inside = F.sum(F.when(keep, c * c).otherwise(F.lit(0.0)))

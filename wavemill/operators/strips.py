@@ -2,9 +2,9 @@
 
 Rows are transformed where they lie, cut into strips of a few columns and sent to their strip by
 one shuffle; the order of the rows is that of their key, so none has to be ranked before. A strip
-is transformed along its columns and handed on in segments: (matrix_id, n_rows, n_cols, k0, l0,
-width, coef), ``coef`` the coefficients of rows k0.. and columns l0..l0 + width, row by row. All later
-steps read segments; no record of a matrix is gathered and no cell becomes a row.
+is transformed along its columns and handed on in segments: (matrix_id, n_rows, n_cols, k0, step, l0,
+width, coef), ``coef`` the coefficients of rows k0, k0 + step, .. and columns l0..l0 + width, row by row.
+Columns too long for a task go through ``columns``, which gives segments too. All later steps read segments; no record of a matrix is gathered and no cell becomes a row.
 
 Selections descend by radix. The key of a coefficient is the bits of its value, largest first, then
 its position; it is cut into digits of DIGIT bits. Each pass sums the weights of one digit for the
@@ -36,8 +36,10 @@ DIGIT = 21
 VALUE_DIGITS, PLACE_DIGITS = 3, 2
 #: So many coefficients that share the edge's first digit are put in order at once; more go digit by digit.
 NEAR = 1 << 16
-SEGMENT = f"{ID} string, n_rows bigint, n_cols int, k0 bigint, l0 int, width int, coef array<double>"
-NAMES = [ID, "n_rows", "n_cols", "k0", "l0", "width", "coef"]
+SEGMENT = f"{ID} string, n_rows bigint, n_cols int, k0 bigint, step bigint, l0 int, width int, coef array<double>"
+PART = f"{ID} string, at bigint, l0 int, part array<double>"
+NAMES = [ID, "n_rows", "n_cols", "k0", "step", "l0", "width", "coef"]
+PLACE = ("k0", "step", "l0", "width", "n_cols")
 
 
 def vectors_by_key(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
@@ -72,15 +74,21 @@ def _along_rows(rows: DataFrame, kernel: Callable) -> DataFrame:
     return rows.select(ID, "at", "row").mapInArrow(run, schema)
 
 
+def parts_of_rows(rows: DataFrame, width: int) -> DataFrame:
+    """``matrix_id, at, n_cols, l0, part``: rows transformed along themselves and cut into ``width`` columns."""
+    passed = _along_rows(rows, cosine.forward_last)
+    starts = F.sequence(F.lit(0), F.size("row") - 1, F.lit(width))
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("l0"), F.slice("row", s + 1, F.lit(width)).alias("part")))
+    cut = passed.where(F.size("row") > 0).select(ID, "at", F.size("row").alias("n_cols"), F.explode(pieces).alias("s"))
+    return cut.select(ID, "at", "n_cols", "s.l0", "s.part")
+
+
 def forward(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """Segments of the two-dimensional transform of matrices given as ``matrix_id, at, row``; one shuffle.
 
     A task holds ``width`` columns of a matrix. Rows of unequal length are an error.
     """
-    passed = _along_rows(rows, cosine.forward_last)
-    starts = F.sequence(F.lit(0), F.size("row") - 1, F.lit(width))
-    pieces = F.transform(starts, lambda s: F.struct(s.alias("l0"), F.slice("row", s + 1, F.lit(width)).alias("part")))
-    strips = passed.where(F.size("row") > 0).select(ID, "at", F.size("row").alias("n_cols"), F.explode(pieces).alias("s")).select(ID, "at", "n_cols", "s.l0", "s.part")
+    strips = parts_of_rows(rows, width)
 
     def down(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n_cols = np.unique(table.column("n_cols").to_numpy())
@@ -98,22 +106,22 @@ def forward(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return strips.groupBy(ID, "l0").applyInArrow(each, SEGMENT)
 
 
-def segments_of(name: str, block: np.ndarray, n_cols: int, l0: int) -> Iterator[pa.RecordBatch]:
-    """A strip (rows x its columns) as records of SEGMENT_VALUES values at most."""
+def segments_of(name: str, block: np.ndarray, n_cols: int, l0: int, n_rows: int | None = None, k0: int = 0, step: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows k0, k0 + step, .. of a strip as records of SEGMENT_VALUES values at most."""
     height, width = block.shape
-    step = max(1, SEGMENT_VALUES // width)
-    for k0 in range(0, height, step):
-        part = block[k0 : k0 + step]
+    rows = max(1, SEGMENT_VALUES // width)
+    for start in range(0, height, rows):
+        part = block[start : start + rows]
         values = pa.ListArray.from_arrays(pa.array([0, part.size], pa.int32()), pa.array(part.ravel()))
-        columns = [[name], [height], [n_cols], [k0], [l0], [width]]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        columns = [[name], [n_rows or height], [n_cols], [k0 + step * start], [step], [l0], [width]]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), values], NAMES)
 
 
-def _places(k0: int, l0: int, width: int, n_cols: int, size: int) -> np.ndarray:
+def _places(k0: int, step: int, l0: int, width: int, n_cols: int, size: int) -> np.ndarray:
     """Position in the matrix, row by row, of each value of a segment."""
     at = np.arange(size, dtype=np.int64)
-    return (k0 + at // width) * n_cols + l0 + at % width
+    return (k0 + step * (at // width)) * n_cols + l0 + at % width
 
 
 def _digits(values: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
@@ -127,7 +135,7 @@ def _digit_sums(segments: DataFrame, state: DataFrame, depth: int, measure: Call
     """The columns of ``state`` with ``digit`` and ``w``: weights by the digit at ``depth``, of what shares the edge's
     digits before it. A segment without any gives digit -1 and weight 0, so no matrix is lost."""
     carried = [ID, "limit", "before", *[f"d{d}" for d in range(depth)]]
-    joined = segments.join(state, ID).select(*carried, "k0", "l0", "width", "n_cols", "coef")
+    joined = segments.join(state, ID).select(*carried, *PLACE, "coef")
     schema = ", ".join(f"{c} {t}" for c, t in joined.dtypes if c in carried) + ", digit bigint, w double, n bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +143,10 @@ def _digit_sums(segments: DataFrame, state: DataFrame, depth: int, measure: Call
             if not batch.num_rows:
                 continue
             digits, weights, counts = [], [], []
-            shapes = zip(*(batch.column(c).to_pylist() for c in ("k0", "l0", "width", "n_cols", *carried[3:])))
-            for (k0, l0, width, n_cols, *edge), c in zip(shapes, _rows_of(batch, "coef")):
+            shapes = zip(*(batch.column(c).to_pylist() for c in (*PLACE, *carried[3:])))
+            for (k0, step, l0, width, n_cols, *edge), c in zip(shapes, _rows_of(batch, "coef")):
                 value, weight = measure(c)
-                cut = _digits(value, _places(k0, l0, width, n_cols, len(c)))
+                cut = _digits(value, _places(k0, step, l0, width, n_cols, len(c)))
                 inside = np.ones(len(c), bool)
                 for have, want in zip(cut, edge):
                     inside &= have == want
@@ -160,7 +168,7 @@ def _near_edge(segments: DataFrame, state: DataFrame, measure: Callable) -> Data
 
     A segment without any gives a row of digits -1 and weight 0, so no matrix is lost.
     """
-    joined = segments.join(state, ID).select(ID, "limit", "before", "d0", "k0", "l0", "width", "n_cols", "coef")
+    joined = segments.join(state, ID).select(ID, "limit", "before", "d0", *PLACE, "coef")
     rest = [f"d{d}" for d in range(1, VALUE_DIGITS + PLACE_DIGITS)]
     schema = ", ".join([f"{ID} string, limit double, before double, d0 bigint", *(f"{d} bigint" for d in rest), "w double"])
 
@@ -169,10 +177,10 @@ def _near_edge(segments: DataFrame, state: DataFrame, measure: Callable) -> Data
             if not batch.num_rows:
                 continue
             found, weights, counts = [], [], []
-            shapes = zip(*(batch.column(c).to_pylist() for c in ("k0", "l0", "width", "n_cols", "d0")))
-            for (k0, l0, width, n_cols, first), c in zip(shapes, _rows_of(batch, "coef")):
+            shapes = zip(*(batch.column(c).to_pylist() for c in (*PLACE, "d0")))
+            for (k0, step, l0, width, n_cols, first), c in zip(shapes, _rows_of(batch, "coef")):
                 value, weight = measure(c)
-                cut = _digits(value, _places(k0, l0, width, n_cols, len(c)))
+                cut = _digits(value, _places(k0, step, l0, width, n_cols, len(c)))
                 inside = cut[0] == first
                 found.append(np.stack(cut[1:], axis=1)[inside] if inside.any() else np.full((1, len(rest)), -1))
                 weights.append(weight[inside] if inside.any() else np.zeros(1))
@@ -228,12 +236,12 @@ def _mark(segments: DataFrame, edges: DataFrame, measure: Callable, out: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = []
-            shapes = zip(*(batch.column(c).to_pylist() for c in ("k0", "l0", "width", "n_cols", "limit", *names)))
-            for (k0, l0, width, n_cols, limit, *edge), c in zip(shapes, _rows_of(batch, "coef")):
+            shapes = zip(*(batch.column(c).to_pylist() for c in (*PLACE, "limit", *names)))
+            for (k0, step, l0, width, n_cols, limit, *edge), c in zip(shapes, _rows_of(batch, "coef")):
                 if np.isnan(limit):
                     marks.append(np.zeros(len(c), bool))
                     continue
-                cut = _digits(measure(c)[0], _places(k0, l0, width, n_cols, len(c)))
+                cut = _digits(measure(c)[0], _places(k0, step, l0, width, n_cols, len(c)))
                 keep, even = np.zeros(len(c), bool), np.ones(len(c), bool)
                 for d, (have, want) in enumerate(zip(cut, edge)):
                     keep |= even & (have > want if d < VALUE_DIGITS else have < want)
@@ -299,30 +307,78 @@ def keep_only(marked: DataFrame, keep: str = "keep") -> DataFrame:
 
 
 def inverse(segments: DataFrame) -> DataFrame:
-    """``matrix_id, i, row`` of matrices given as segments: a strip's columns in a task, then each row; two shuffles."""
+    """``matrix_id, i, row`` of matrices given as segments: a strip's columns in a task, then each row; two shuffles.
+
+    For segments of ``forward``; those of ``columns.forward`` go back by ``columns.inverse``.
+    """
 
     def up(table: pa.Table) -> pa.Table:
         table = table.sort_by("k0")
         width = table.column("width")[0].as_py()
         block = table.column("coef").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, width)
-        if len(block) != table.column("n_rows")[0].as_py():
-            raise ValueError("segments of a strip are missing")
+        if len(block) != table.column("n_rows")[0].as_py() or table.column("step")[0].as_py() != 1:
+            raise ValueError("segments of a strip are missing, or interleaved")
         done = np.ascontiguousarray(cosine.inverse_last(np.ascontiguousarray(block.T)).T)
         offsets = pa.array(np.arange(len(done) + 1, dtype=np.int32) * width)
         columns = [pa.array([table.column(ID)[0].as_py()] * len(done)), pa.array(np.arange(len(done))), pa.array(np.full(len(done), table.column("l0")[0].as_py(), np.int32))]
         return pa.Table.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(done.ravel()))], [ID, "at", "l0", "part"])
 
-    parts = segments.groupBy(ID, "l0").applyInArrow(up, f"{ID} string, at bigint, l0 int, part array<double>")
+    return rows_from_parts(segments.groupBy(ID, "l0").applyInArrow(up, PART))
+
+
+def _gathered(parts: DataFrame) -> DataFrame:
+    """The parts of a row (``matrix_id, at, l0, part``) put in order: ``matrix_id, at, row``. As many parts as strips."""
     ordered = F.array_sort(F.collect_list(F.struct("l0", "part")))
-    rows = parts.groupBy(ID, "at").agg(F.flatten(F.transform(ordered, lambda p: p["part"])).alias("row"))
-    return _along_rows(rows, cosine.inverse_last).withColumnRenamed("at", "i")
+    return parts.groupBy(ID, "at").agg(F.flatten(F.transform(ordered, lambda p: p["part"])).alias("row"))
+
+
+def rows_from_parts(parts: DataFrame) -> DataFrame:
+    """Parts of rows put together and inverted along the row: ``matrix_id, i, row``."""
+    return _along_rows(_gathered(parts), cosine.inverse_last).withColumnRenamed("at", "i")
+
+
+def coefficient_rows(segments: DataFrame) -> DataFrame:
+    """``matrix_id, i, row``: the coefficients with k = i, for what weighs a row of the matrix by them."""
+    starts = F.sequence(F.lit(0), F.floor(F.size("coef") / F.col("width")).cast("int") - 1)
+    cut = F.transform(
+        starts,
+        lambda r: F.struct(
+            (F.col("k0") + F.col("step") * r).alias("at"), F.slice("coef", r * F.col("width") + 1, F.col("width")).alias("part")
+        ),
+    )
+    parts = segments.select(ID, "l0", F.explode(cut).alias("s")).select(ID, "s.at", "l0", "s.part")
+    return _gathered(parts).withColumnRenamed("at", "i")
+
+
+def energy_profile(segments: DataFrame, out: str = "share") -> DataFrame:
+    """Segments with each coefficient's part of its matrix's energy; one number a matrix is joined."""
+    energy = segments.groupBy(ID).agg(F.sum(_array_sum(F.transform("coef", lambda c: c * c))).alias("__energy"))
+    share = F.transform("coef", lambda c: c * c / (F.col("__energy") + F.lit(TINY)))
+    return segments.join(energy, ID).select(*segments.columns, share.alias(out))
+
+
+def blend(rows: DataFrame, marked: DataFrame, projected: DataFrame) -> DataFrame:
+    """``matrix_id, i, row, projected, share, blended`` of matrices of any height, arrays by row.
+
+    ``rows`` (matrix_id, i, row) holds the original, ``projected`` what the inverse made of the kept
+    coefficients, ``marked`` the coefficients; the share of (k, l) weighs the cell at (i, j) = (k, l).
+    All three meet by (matrix_id, i), so only rows are shuffled, never a matrix.
+    """
+    energy = marked.groupBy(ID).agg(F.sum(_array_sum(F.transform("coef", lambda c: c * c))).alias("__energy"))
+    weights = coefficient_rows(marked).withColumnRenamed("row", "__coef")
+    met = rows.select(ID, "i", "row").join(projected.select(ID, "i", F.col("row").alias("projected")), [ID, "i"]).join(weights, [ID, "i"])
+    shared = met.join(energy, ID).withColumn("share", F.transform("__coef", lambda c: c * c / (F.col("__energy") + F.lit(TINY))))
+    mixed = F.transform(
+        F.arrays_zip("row", "projected", "share"), lambda x: x["projected"] * x["share"] + x["row"] * (F.lit(1.0) - x["share"])
+    )
+    return shared.select(ID, "i", "row", "projected", "share", mixed.alias("blended"))
 
 
 def coefficient_cells(segments: DataFrame, c: str = "c", **more: str) -> DataFrame:
     """``matrix_id, k, l, c`` (and further arrays by name) of every coefficient."""
     arrays = {c: "coef", **more}
     zipped = segments.select(*NAMES[:-1], F.posexplode(F.arrays_zip(*[F.col(v).alias(n) for n, v in arrays.items()])).alias("p", "x"))
-    k = (F.col("k0") + F.floor(F.col("p") / F.col("width"))).cast("int")
+    k = (F.col("k0") + F.col("step") * F.floor(F.col("p") / F.col("width"))).cast("int")
     l = (F.col("l0") + F.col("p") % F.col("width")).cast("int")
     return zipped.select(ID, k.alias("k"), l.alias("l"), *[F.col("x")[n].alias(n) for n in arrays])
 

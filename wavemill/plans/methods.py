@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
-from wavemill.operators import approx, factor, projection, score, selection, slices
+from wavemill.operators import approx, factor, projection, score, selection, slices, strips
 from wavemill.operators.matrix import ID, cells, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, idct2d
 from wavemill.plans import inputs
@@ -43,12 +43,25 @@ QUANTIZE_SQL = [
                     f"""SELECT matrix_id, {q.r('max(scale)')} AS scale, count(DISTINCT round_even(v / scale, 0)) AS levels,
   {q.r(q.fidelity('v', 'a'))} AS fidelity FROM rounded GROUP BY matrix_id"""))
 def quantize_int4(spark, sf_dir):
-    table = approx.quantize(cells(inputs.embedding_matrices(spark, sf_dir), v="vals"))
-    return table.groupBy(ID).agg(
-        tidy(F.max("scale")).alias("scale"),
-        F.count_distinct(F.rint(F.col("v") / F.col("scale")) + F.lit(0.0)).alias("levels"),
-        tidy(score.fidelity(F.col("v"), F.col("approx"))).alias("fidelity"),
+    rounded = approx.quantize_rows(inputs.embedding_vectors(spark, sf_dir))
+    steps = F.array_distinct(F.transform("row", lambda x: F.rint(x / F.col("scale")) + F.lit(0.0)))
+    levels = rounded.select(ID, "scale", F.explode(steps).alias("step")).groupBy(ID).agg(
+        tidy(F.max("scale")).alias("scale"), F.count_distinct("step").alias("levels")
     )
+    scored = score.row_fidelity(rounded).select(ID, tidy(F.col("fidelity")).alias("fidelity"))
+    return levels.join(scored, ID)
+
+
+def ranked_segments(rows: DataFrame) -> DataFrame:
+    """Written segments of matrices given as ``matrix_id, i, row``."""
+    return strips.written_segments(rows.select(ID, F.col("i").alias("at"), "row"))
+
+
+def _projected_fidelity(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """How near the kept coefficients come to the rows: both meet by position, matrix by matrix of any height."""
+    back = strips.inverse(strips.keep_only(marked)).withColumnRenamed("row", "approx")
+    scored = score.row_fidelity(rows.select(ID, "i", "row").join(back, [ID, "i"]))
+    return scored.select(ID, tidy(F.col("fidelity")).alias("fidelity"))
 
 
 def _topk_sql(count: str) -> str:
@@ -62,13 +75,10 @@ FROM back b JOIN cells o USING (matrix_id, i, j) JOIN counts USING (matrix_id) G
 
 
 def _topk(spark, sf_dir, fraction: float | None = None) -> DataFrame:
-    dense = dct2d(inputs.embedding_matrices(spark, sf_dir), coef="vals")
-    kept = projection.project(approx.select_topk(dense, fraction), carry=["vals", "keep"])
-    table = cells(kept, v="vals", p="projected", keep="keep")
-    return table.groupBy(ID).agg(
-        score.kept_count(F.col("keep")).alias("kept"),
-        tidy(score.fidelity(F.col("v"), F.col("p"))).alias("fidelity"),
-    )
+    rows = inputs.embedding_rows(spark, sf_dir)
+    marked = strips.select_largest(ranked_segments(rows), approx.parameter_count(fraction))
+    scored = _projected_fidelity(rows, marked)
+    return strips.retained(marked).select(ID, "kept").join(scored, ID)
 
 
 @query(_topk_sql("greatest(1, least(8 * (m + n), m * n))"))
@@ -108,7 +118,11 @@ def cosine_low_rank(spark, sf_dir):
     )
 )
 def cosine_weight(spark, sf_dir):
-    table = cells(inputs.embedding_matrices(spark, sf_dir), v="vals")
+    rows = inputs.embedding_rows(spark, sf_dir)
+    heights = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("n_rows"))
+    table = rows.join(heights, ID).select(
+        ID, F.col("i").cast("int").alias("i"), "n_rows", F.size("row").alias("n_cols"), F.posexplode("row").alias("j", "v")
+    )
     weight = approx.cosine_weight(F.col("i"), F.col("j"), F.col("n_rows"), F.col("n_cols"))
     return table.select(
         ID, "i", "j", tidy(weight).alias("weight"), tidy(F.col("v") * weight).alias("weighted")
@@ -145,12 +159,25 @@ PROJECTED_SQL = [
 @query(q.with_parts(PROJECTED_SQL, f"""SELECT matrix_id, {q.r(q.fidelity('o.v', 'b.p'))} AS fidelity
 FROM back b JOIN cells o USING (matrix_id, i, j) GROUP BY matrix_id"""))
 def fidelity(spark, sf_dir):
-    """Two cell tables lined up by position."""
-    kept = selection.select_energy(embedding_profile(spark, sf_dir), TAU)
-    projected = cells(projection.project(kept), v="projected")
-    original = cells(inputs.embedding_matrices(spark, sf_dir), v="vals")
-    scored = _band_scores(score.pair_cells(original, projected), "v", "approx")
-    return scored.select(ID, tidy(F.col("fidelity")).alias("fidelity"))
+    """Matrices and their projections lined up by row."""
+    rows = inputs.embedding_rows(spark, sf_dir)
+    return _projected_fidelity(rows, strips.select_energy(ranked_segments(rows), TAU))
+
+
+@query(
+    q.with_parts(
+        PROJECTED_SQL,
+        f"""SELECT b.matrix_id, b.i, b.j, {q.r('b.p * s.share + o.v * (1.0 - s.share)', 5)} AS blended
+FROM back b JOIN cells o USING (matrix_id, i, j) JOIN sel s ON s.matrix_id = b.matrix_id AND s.k = b.i AND s.l = b.j""",
+    )
+)
+def strip_blend(spark, sf_dir):
+    """The blend of matrices of any height with what their kept coefficients give."""
+    rows = inputs.embedding_rows(spark, sf_dir)
+    marked = strips.select_energy(ranked_segments(rows), TAU)
+    mixed = strips.blend(rows, marked, strips.inverse(strips.keep_only(marked)))
+    flat = mixed.select(ID, F.col("i").cast("int").alias("i"), F.posexplode("blended").alias("j", "v"))
+    return flat.select(ID, "i", "j", tidy(F.col("v"), 5).alias("blended"))
 
 
 @query(q.with_parts([*SUPPLIER_SQL, *BOTH_SQL],

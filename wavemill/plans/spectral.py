@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
-from wavemill.operators import factor, projection, score, selection, strips
+from wavemill.operators import columns, factor, projection, score, selection, strips
 from wavemill.operators.matrix import ID, cells, crop, dense_from_cells, tile, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, dct2d_rows, dct_axis, idct2d
 from wavemill.plans import inputs
@@ -75,7 +75,8 @@ def energy_by_label(spark, sf_dir) -> DataFrame:
 
 @query(_cells_sql(q.embedding_cells(), 6))
 def matrix_embeddings(spark, sf_dir):
-    return _cells_out(cells(inputs.embedding_matrices(spark, sf_dir), v="vals"), 6)
+    rows = inputs.embedding_rows(spark, sf_dir)
+    return _cells_out(rows.select(ID, F.col("i").cast("int").alias("i"), F.posexplode("row").alias("j", "v")), 6)
 
 
 @query(_cells_sql(q.user_cells(), 4))
@@ -134,6 +135,22 @@ def strip_roundtrip(spark, sf_dir):
     return back.select(ID, "i", "j", tidy(F.col("v"), 4).alias("v"))
 
 
+@query(q.with_parts([*q.embedding_cells(), *q.forward("cells", "raw")],
+                    f"SELECT matrix_id, k, l, {q.r('c')} AS c FROM raw"))
+def dct2d_by_factors(spark, sf_dir):
+    """The transform for columns of any length: no task sees a whole column."""
+    coef = strips.coefficient_cells(columns.forward(inputs.embedding_rows(spark, sf_dir)))
+    return coef.select(ID, "k", "l", tidy(F.col("c")).alias("c"))
+
+
+@query(_cells_sql(q.embedding_cells(), 4))
+def factors_roundtrip(spark, sf_dir):
+    """There and back in parts of columns."""
+    rows = columns.inverse(columns.forward(inputs.embedding_rows(spark, sf_dir)))
+    back = rows.select(ID, F.col("i").cast("int").alias("i"), F.posexplode("row").alias("j", "v"))
+    return back.select(ID, "i", "j", tidy(F.col("v"), 4).alias("v"))
+
+
 @query(
     q.with_parts(
         [*q.embedding_cells(), *q.forward("cells", "raw"), q.largest("raw", "sel", q.quarter(), "c", keep="keep")],
@@ -166,13 +183,16 @@ def dct_axis_tensor(spark, sf_dir):
 
 @query(q.with_parts(EMBEDDING_SQL, f"SELECT matrix_id, k, l, {q.r('share', 10)} AS share FROM prof"))
 def energy_profile(spark, sf_dir):
-    profile = coefficients(embedding_profile(spark, sf_dir), share="share")
+    segments = strips.written_segments(inputs.embedding_keyed(spark, sf_dir))
+    profile = strips.coefficient_cells(strips.energy_profile(segments), share="share")
     return profile.select(ID, "k", "l", tidy(F.col("share"), 10).alias("share"))
 
 
 @query(q.with_parts([*EMBEDDING_SQL, q.energy("prof", "sel", TAU)], "SELECT matrix_id, k, l FROM sel WHERE keep"))
 def select_energy(spark, sf_dir):
-    return selection.positions(selection.select_energy(embedding_profile(spark, sf_dir), TAU))
+    segments = strips.written_segments(inputs.embedding_keyed(spark, sf_dir))
+    marked = strips.select_energy(segments, TAU)
+    return strips.coefficient_cells(marked, keep="keep").where("keep").select(ID, "k", "l")
 
 
 @query(
