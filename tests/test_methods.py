@@ -38,8 +38,9 @@ def test_qr_gives_the_gram_matrix_back(rows):
             assert np.allclose(np.abs(r), np.abs(np.linalg.qr(m, mode="r")), atol=1e-9)
 
 
-def test_many_matrices_in_one_task(spark):
-    """More matrices than a task keeps open at a time."""
+def test_many_matrices_in_one_task(spark, monkeypatch):
+    """More matrices than a task keeps open at a time, and more rounds than pieces."""
+    monkeypatch.setattr(factor, "OPEN_VALUES", 64)
     many = {f"m{n}": RNG.standard_normal((4, 3)) for n in range(150)}
     got = stacked(factor.qr_r(rows_of(spark, many).repartition(1)))
     assert all(np.allclose(got[n].T @ got[n], m.T @ m) for n, m in many.items())

@@ -1,7 +1,7 @@
 """Triangular factors and low-rank approximation of row tables of any height.
 
 Rows never have to meet: each task reduces the rows it sees to small n x n
-pieces, and the pieces are combined in two rounds.
+pieces, and the pieces are combined in rounds of small fan-in.
 """
 
 from __future__ import annotations
@@ -16,20 +16,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavemill.operators import runs
 from wavemill.operators.matrix import ID, dense_from_cells
 from wavemill.operators.transform import map_matrices
 
 # Fixed value: added to the diagonal before the Cholesky factorisation.
 RIDGE = 1e-6
-OPEN_PIECES = 64
+#: Values of the pieces a task keeps open at most (128 MB); one piece may be larger.
+OPEN_VALUES = 1 << 24
+#: Groups of pieces in the rounds of a merge, last to one piece a matrix.
+ROUNDS = (1024, 32, 1)
 
 
 def _reduce_in_tasks(rows: DataFrame, start: Callable, fold: Callable) -> DataFrame:
-    """Fold each matrix's rows into one piece per task; at most OPEN_PIECES are open, others are emitted."""
+    """Fold each matrix's rows into one piece per task; pieces beyond OPEN_VALUES values are emitted, oldest first."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
         open_pieces: OrderedDict = OrderedDict()
+        held = 0
 
         def emit(items):
             ids, at, lines = [], [], []
@@ -49,6 +54,7 @@ def _reduce_in_tasks(rows: DataFrame, start: Callable, fold: Callable) -> DataFr
             )
 
         for batch in batches:
+            spare = []
             names = batch.column(ID).dictionary_encode()
             codes = names.indices.to_numpy(zero_copy_only=False)
             array = batch.column("row")
@@ -59,10 +65,15 @@ def _reduce_in_tasks(rows: DataFrame, start: Callable, fold: Callable) -> DataFr
                 width = offsets[members[0] + 1] - offsets[members[0]]
                 block = flat[offsets[members][:, None] + np.arange(width)[None, :]]
                 piece = open_pieces.pop(matrix, None)
+                held -= 0 if piece is None else piece.size
                 open_pieces[matrix] = fold(start(width) if piece is None else piece, block)
-            spare = []
-            while len(open_pieces) > OPEN_PIECES:
-                spare.append(open_pieces.popitem(last=False))
+                held += open_pieces[matrix].size
+                while held > OPEN_VALUES and len(open_pieces) > 1:
+                    spare.append(open_pieces.popitem(last=False))
+                    held -= spare[-1][1].size
+                if sum(p.size for _, p in spare) > OPEN_VALUES:
+                    yield emit(spare)
+                    spare = []
             if spare:
                 yield emit(spare)
         if open_pieces:
@@ -78,36 +89,23 @@ def _triangle(block: np.ndarray) -> np.ndarray:
     return signs[:, None] * r
 
 
-def _stack_triangles(table: pa.Table) -> pa.Table:
-    rows = table.column("row").combine_chunks()
-    block = rows.values.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
-    r = _triangle(block)
-    return pa.table(
-        {
-            ID: pa.array([table.column(ID)[0].as_py()] * len(r), pa.string()),
-            "part": pa.array([table.column("part")[0].as_py()] * len(r), pa.int32()),
-            "at": pa.array(range(len(r)), pa.int32()),
-            "row": pa.array(list(r), pa.list_(pa.float64())),
-        }
-    )
-
-
-def qr_r(rows: DataFrame, groups: int = 1024) -> DataFrame:
+def qr_r(rows: DataFrame, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
     """Upper-triangular R of each matrix as rows (matrix_id, i, row), diagonal >= 0.
 
     R is unique up to signs when the leading columns have full rank, so the order
-    of the rows does not matter.
+    of the rows does not matter. The rows of a piece stand for the rows it was made from, so
+    pieces are folded as rows are: a round sends them to ``g`` groups of a matrix and folds
+    what arrives as it is read, holding one piece and one batch whatever the fan-in.
     """
-    schema = f"{ID} string, part int, at int, row array<double>"
-
     def fold(piece, block):
         return _triangle(np.concatenate([piece, block]))
 
     pieces = _reduce_in_tasks(rows, lambda width: np.empty((0, width)), fold)
-    salted = pieces.withColumn("part", F.col("part") % F.lit(groups))
-    middle = salted.groupBy(ID, "part").applyInArrow(_stack_triangles, schema)
-    final = middle.groupBy(ID).applyInArrow(_stack_triangles, schema)
-    return final.select(ID, F.col("at").alias("i"), "row")
+    for groups in rounds:
+        # In the order of the matrices: a piece is whole before the next one is opened.
+        met = pieces.withColumn("part", F.col("part") % F.lit(groups)).repartition(ID, "part").sortWithinPartitions(ID, "part")
+        pieces = _reduce_in_tasks(met, lambda width: np.empty((0, width)), fold)
+    return pieces.select(ID, F.col("at").alias("i"), "row")
 
 
 def gram(rows: DataFrame) -> DataFrame:
@@ -136,36 +134,33 @@ def cholesky_r(rows: DataFrame, eps: float = RIDGE) -> DataFrame:
     return map_matrices(square, {"factor": "vals"}, _upper_factor)
 
 
-def select_qr_rows(rows: DataFrame, fraction: float = 0.25) -> DataFrame:
-    """Index set of the rows whose R row has the largest norm, all columns of each.
+def select_qr_runs(rows: DataFrame, fraction: float = 0.25) -> DataFrame:
+    """The rows whose R row has the largest norm, all columns of each, as runs of positions.
 
-    R has at most as many rows as columns; further rows have norm 0 and follow in order.
+    R has at most as many rows as columns; further rows have norm 0 and follow in order, so they are
+    one run whatever their number.
     """
     norms = qr_r(rows).select(
         ID,
         F.col("i").cast("bigint").alias("i"),
-        F.size("row").alias("n"),
+        F.size("row").alias("n_cols"),
         F.sqrt(F.aggregate("row", F.lit(0.0), lambda acc, x: acc + x * x)).alias("norm"),
     )
     heights = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("m"))
     quota = F.greatest(F.lit(1), F.floor(F.col("m") * F.lit(float(fraction))))
     by_norm = Window.partitionBy(ID).orderBy(F.desc("norm"), "i")
     ranked = norms.join(heights, ID).withColumn("__place", F.row_number().over(by_norm))
-    leading = ranked.where(F.col("__place") <= quota).select(ID, "n", F.col("i").alias("k"))
-    known = ranked.groupBy(ID, "n", "m").agg(F.count(F.lit(1)).alias("known"))
-    blocks = known.where(quota > F.col("known")).select(
-        ID,
-        "n",
-        quota.alias("quota"),
-        "known",
-        F.explode(F.sequence(F.floor(F.col("known") / 4096), F.floor((quota - 1) / 4096))).alias("block"),
-    )
-    low = F.greatest(F.col("known"), F.col("block") * 4096)
-    high = F.least(F.col("quota"), F.col("block") * 4096 + 4096) - 1
-    trailing = blocks.select(ID, "n", F.explode(F.sequence(low, high)).alias("k"))
-    return leading.unionByName(trailing).select(
-        ID, "k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("l")
-    )
+    leading = ranked.where(F.col("__place") <= quota).select(ID, "n_cols", F.col("i").alias("low"), F.col("i").alias("high"))
+    known = ranked.groupBy(ID, "n_cols", "m").agg(F.count(F.lit(1)).alias("known")).where(quota > F.col("known"))
+    trailing = known.select(ID, "n_cols", F.col("known").alias("low"), (quota - 1).alias("high"))
+    spans = leading.unionByName(trailing)
+    ends = spans.select(ID, "n_cols", (F.col("low") * F.col("n_cols")).alias("first"), ((F.col("high") + 1) * F.col("n_cols") - 1).alias("last"))
+    return runs.merged(ends)
+
+
+def select_qr_rows(rows: DataFrame, fraction: float = 0.25) -> DataFrame:
+    """``select_qr_runs`` as places (matrix_id, k, l)."""
+    return runs.places(select_qr_runs(rows, fraction))
 
 
 def leading_directions(rows: DataFrame, rank: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
-from wavemill.operators import columns, factor, projection, score, selection, strips
+from wavemill.operators import columns, factor, projection, runs, score, selection, strips
 from wavemill.operators.matrix import ID, cells, crop, dense_from_cells, tile, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, dct2d_rows, dct_axis, idct2d
 from wavemill.plans import inputs
@@ -527,3 +527,38 @@ def cholesky_gram(spark, sf_dir):
 def cholesky_r(spark, sf_dir):
     upper = factor.cholesky_r(inputs.embedding_vectors(spark, sf_dir))
     return _cells_out(cells(upper, v="factor").where(F.col("j") >= F.col("i")), 4)
+
+
+RUNS_SQL = """spots AS (SELECT matrix_id, n, {place} AS pos FROM {source} WHERE {keep}),
+islands AS (SELECT matrix_id, min(pos) AS first, max(pos) AS last FROM (
+  SELECT matrix_id, pos, pos - row_number() OVER (PARTITION BY matrix_id ORDER BY pos) AS island FROM spots) GROUP BY matrix_id, island)"""
+
+
+def _runs_sql(keep: str) -> str:
+    part = RUNS_SQL.format(place="(k * n + l)::BIGINT", keep=keep, source="twice")
+    return q.with_parts([*SUPPLIER_SQL, *BOTH_SQL, part], "SELECT matrix_id, first, last FROM islands")
+
+
+def _supplier_runs(spark, sf_dir, combine) -> DataFrame:
+    """Masks by energy and by gradient as runs of positions, combined run by run."""
+    profile = supplier_profile(spark, sf_dir)
+    profile = selection.select(profile, "energy-only", tau=TAU, out="ke")
+    profile = selection.select(profile, "gradient", tau=TAU, out="kg")
+    flags = coefficients(profile, ke="ke", kg="kg")
+    by_energy, by_gradient = (runs.from_places(flags.where(k).select(ID, "n_cols", "k", "l")) for k in ("ke", "kg"))
+    return combine(by_energy, by_gradient).select(ID, "first", "last")
+
+
+@query(_runs_sql("(ke AND kg)"))
+def runs_both(spark, sf_dir):
+    return _supplier_runs(spark, sf_dir, runs.both)
+
+
+@query(_runs_sql("(ke OR kg)"))
+def runs_either(spark, sf_dir):
+    return _supplier_runs(spark, sf_dir, runs.either)
+
+
+@query(_runs_sql("(ke AND NOT kg)"))
+def runs_first_only(spark, sf_dir):
+    return _supplier_runs(spark, sf_dir, runs.first_only)
