@@ -6,10 +6,14 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wavemill.functions.discrete import bit_stream, discrete_gaussian
 from wavemill.functions.hashing import gaussian
 from wavemill.operators.ranking import group_median
 
@@ -22,6 +26,8 @@ EPSILON_FLOOR = 1e-6
 CLIP = 1.0
 TOLERANCE = 1e-2
 
+GRID_BITS = 20
+
 
 def clip_contributors(updates: DataFrame, party: str = "party", v: str = "v", bound: float = CLIP) -> DataFrame:
     """Scale each contributor's vector to an L2 norm of at most ``bound``."""
@@ -63,10 +69,48 @@ def add_noise(aggregate: DataFrame, key: list[str], v: str, scale: Column, secre
     return aggregate.withColumn(out, F.col(v) + scale * gaussian(f"{secret}:{release}", *[F.col(k) for k in key]))
 
 
-def release_sums(updates: DataFrame, secret: str, release: str, epsilon: float = EPSILON, bound: float = CLIP) -> DataFrame:
-    """Noised sum per coordinate over clipped contributors."""
+def add_discrete_noise(
+    aggregate: DataFrame, key: list[str], v: str, scale: Column, secret: str, release: str, out: str
+) -> DataFrame:
+    """``add_noise`` by exact draws from the discrete Gaussian, on a grid of about a millionth of the scale.
+
+    The grid's step is a power of two, 2**-GRID_BITS of the scale or less by a factor below two; the value is
+    rounded to it and the scale rounded up to whole steps. So the result tells nothing by its
+    last bits and the tail has no end, which a sum of rounded logarithms cannot give. Rounding moves a
+    value by half a step; over d coordinates that adds a step times the root of d to the sensitivity.
+    NULL and non-finite values or scales, and scales of 0 or less, give NULL. Rows are one a coordinate, after the aggregation.
+    """
+    named = F.concat_ws(
+        ":", F.lit(release), *[F.coalesce(F.length(F.col(k).cast("string")), F.lit(-1)) for k in key], *[F.col(k).cast("string") for k in key]
+    )
+    asked = aggregate.withColumns({"__name": named, "__v": F.col(v).cast("double"), "__scale": scale.cast("double")})
+    kept = [c for c in aggregate.columns if c != out]
+    schema = T.StructType([*(f for f in aggregate.schema.fields if f.name != out), T.StructField(out, T.DoubleType())])
+
+    def noised(name: str, value: float | None, wide: float | None) -> float | None:
+        if value is None or wide is None or not (math.isfinite(value) and math.isfinite(wide) and wide > 0):
+            return None
+        exponent = math.frexp(wide)[1] - 1 - GRID_BITS
+        units = math.ceil(math.ldexp(wide, -exponent))
+        drawn = discrete_gaussian(bit_stream(secret, name), units)
+        return float(Fraction(2) ** exponent * (round(Fraction(value) / Fraction(2) ** exponent) + drawn))
+
+    def run(batches):
+        for batch in batches:
+            asked_ = (batch.column(c).to_pylist() for c in ("__name", "__v", "__scale"))
+            column = pa.array([noised(*x) for x in zip(*asked_)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], [*kept, out])
+
+    return asked.mapInArrow(run, schema)
+
+
+def release_sums(
+    updates: DataFrame, secret: str, release: str, epsilon: float = EPSILON, bound: float = CLIP, discrete: bool = False
+) -> DataFrame:
+    """Noised sum per coordinate over clipped contributors; ``discrete`` draws exactly, on a grid."""
     sums = clip_contributors(updates, bound=bound).groupBy("coord").agg(F.sum("clipped").alias("total"))
-    return add_noise(sums, ["coord"], "total", sigma(bound, F.lit(float(epsilon))), secret, release, "released")
+    noise = add_discrete_noise if discrete else add_noise
+    return noise(sums, ["coord"], "total", sigma(bound, F.lit(float(epsilon))), secret, release, "released")
 
 
 def robust_median(updates: DataFrame, v: str = "v", by=("coord",)) -> DataFrame:

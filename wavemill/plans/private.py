@@ -83,6 +83,13 @@ PARTIES = """parties AS MATERIALIZED (SELECT l_suppkey AS party, month(l_shipdat
   FROM lineitem GROUP BY ALL)"""
 
 
+@query()
+def dp_release_discrete(spark, sf_dir):
+    """The same sums with exact draws from the discrete Gaussian."""
+    released = privacy.release_sums(inputs.user_updates(spark, sf_dir), SECRET, RELEASE, bound=BOUND, discrete=True)
+    return rounded(released.select("coord", "total", "released"), "total", "released", places=4)
+
+
 @query(q.with_parts([PARTIES], f"SELECT coord, {q.r('median(v)')} AS median FROM parties GROUP BY coord"))
 def robust_median(spark, sf_dir):
     return rounded(privacy.robust_median(inputs.supplier_updates(spark, sf_dir)), "median")
