@@ -42,8 +42,8 @@ def factors(length: int, limit: int) -> tuple[int, int, bool]:
     return side, side, True
 
 
-def _with_factors(table: DataFrame, heights: DataFrame, limit: int) -> DataFrame:
-    """``table`` with n_rows, a, b, chirp of its matrices; ``heights`` has a row for each matrix."""
+def _with_factors(heights: DataFrame, limit: int) -> DataFrame:
+    """``matrix_id, n_rows, a, b, chirp``, a row for each matrix of ``heights``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,8 +51,7 @@ def _with_factors(table: DataFrame, heights: DataFrame, limit: int) -> DataFrame
             more = [pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(ID), batch.column("n_rows"), *more], [ID, "n_rows", "a", "b", "chirp"])
 
-    sized = heights.mapInArrow(run, f"{ID} string, n_rows bigint, a bigint, b bigint, chirp boolean")
-    return table.join(sized, ID)
+    return heights.mapInArrow(run, f"{ID} string, n_rows bigint, a bigint, b bigint, chirp boolean")
 
 
 def _turn(at: np.ndarray, length: int) -> np.ndarray:
@@ -130,7 +129,7 @@ def _convolved(table: pa.Table) -> tuple[list, int, np.ndarray]:
     return head, r, done * np.conj(_chirp(at[inside], length))[:, None]
 
 
-def _fourier(placed: DataFrame, finish, schema: str) -> DataFrame:
+def _fourier(placed: DataFrame, chirp: bool, finish, schema: str) -> DataFrame:
     """Fourier transform of ``placed`` (PIECE, place = b * q + r); ``finish(head, first, step, block)`` makes the result."""
 
     def direct(table: pa.Table) -> pa.Table:
@@ -142,10 +141,10 @@ def _fourier(placed: DataFrame, finish, schema: str) -> DataFrame:
         return finish(head, r, head[5], done)
 
     turned = placed.groupBy(ID, "l0", "r").applyInArrow(_over_first, PIECE)
-    # The factors are known before the first transform; each branch filters there.
-    of_factors = turned.where(~F.col("chirp")).groupBy(ID, "l0", "q").applyInArrow(direct, schema)
-    product = turned.where("chirp").groupBy(ID, "l0", "q").applyInArrow(_product, PIECE)
-    return of_factors.unionByName(product.groupBy(ID, "l0", "r").applyInArrow(chirped, schema))
+    if not chirp:
+        return turned.groupBy(ID, "l0", "q").applyInArrow(direct, schema)
+    product = turned.groupBy(ID, "l0", "q").applyInArrow(_product, PIECE)
+    return product.groupBy(ID, "l0", "r").applyInArrow(chirped, schema)
 
 
 def forward(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> DataFrame:
@@ -165,15 +164,19 @@ def forward(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> DataFram
         .when(F.col("short") != F.col("long"), F.raise_error(F.lit("rows of unequal length")).cast("bigint"))
         .otherwise(F.col("n_rows")).alias("n_rows"),
     )
-    parts = strips.parts_of_rows(rows.withColumnRenamed("i", "at"), width)
-    sized = _with_factors(parts, heights, limit)
-    half = F.floor(F.col("at") / 2).cast("bigint")
-    place = F.when(F.col("at") % 2 == 0, half).otherwise(F.col("n_rows") - 1 - half)
-    placed = sized.withColumn("p", place).select(
-        ID, "n_rows", "n_cols", "l0", "a", "b", "chirp", (F.col("p") % F.col("b")).alias("r"),
-        F.floor(F.col("p") / F.col("b")).cast("bigint").alias("q"),
-        F.flatten(F.transform("part", lambda x: F.array(x, F.lit(0.0)))).alias("part"),
-    )
+    factored = _with_factors(heights, limit)
+
+    def placed(chirp: bool) -> DataFrame:
+        # The kind is settled before a row is transformed, so each row goes one way only.
+        sized = factored.where(F.col("chirp") == F.lit(chirp))
+        parts = strips.parts_of_rows(rows.join(sized.select(ID), ID).withColumnRenamed("i", "at"), width).join(sized, ID)
+        half = F.floor(F.col("at") / 2).cast("bigint")
+        place = F.when(F.col("at") % 2 == 0, half).otherwise(F.col("n_rows") - 1 - half)
+        return parts.withColumn("p", place).select(
+            ID, "n_rows", "n_cols", "l0", "a", "b", "chirp", (F.col("p") % F.col("b")).alias("r"),
+            F.floor(F.col("p") / F.col("b")).cast("bigint").alias("q"),
+            F.flatten(F.transform("part", lambda x: F.array(x, F.lit(0.0)))).alias("part"),
+        )
 
     def finish(head: list, first: int, step: int, block: np.ndarray) -> pa.Table:
         name, length, n_cols, l0 = head[:4]
@@ -182,13 +185,14 @@ def forward(rows: DataFrame, width: int = WIDTH, limit: int = LIMIT) -> DataFram
         coef = (block * (scale * np.exp(-0.5j * np.pi * k / length))[:, None]).real
         return pa.Table.from_batches(list(strips.segments_of(name, coef, n_cols, l0, length, first, step)))
 
-    return _fourier(placed, finish, strips.SEGMENT)
+    kinds = (_fourier(placed(chirp), chirp, finish, strips.SEGMENT) for chirp in (False, True))
+    return next(kinds).unionByName(next(kinds))
 
 
 def inverse(segments: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``matrix_id, i, row`` of matrices given as segments, of whatever steps."""
     heights = segments.groupBy(ID).agg(F.first("n_rows").alias("n_rows"))
-    sized = _with_factors(segments.drop("n_rows"), heights, limit)
+    factored = _with_factors(heights, limit)
     kept = [*HEAD, "k0", "step", "width", "coef"]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,5 +224,8 @@ def inverse(segments: DataFrame, limit: int = LIMIT) -> DataFrame:
         columns = [pa.array([name] * count, pa.string()), pa.array(at), pa.array(np.full(count, l0, np.int32))]
         return pa.Table.from_arrays([*columns, _lists(block.real / length)], [ID, "at", "l0", "part"])
 
-    placed = sized.select(*kept).mapInArrow(spread, PIECE)
-    return strips.rows_from_parts(_fourier(placed, finish, strips.PART))
+    def parts(chirp: bool) -> DataFrame:
+        sized = segments.drop("n_rows").join(factored.where(F.col("chirp") == F.lit(chirp)), ID)
+        return _fourier(sized.select(*kept).mapInArrow(spread, PIECE), chirp, finish, strips.PART)
+
+    return strips.rows_from_parts(parts(False).unionByName(parts(True)))
