@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.operators.factor import low_rank
+from wavemill.operators.krylov import low_rank
 from wavemill.operators.matrix import ID
 from wavemill.operators.selection import select_largest
+from wavemill.session import materialize
 
 # Fixed values of the compared methods.
 BITS = 4
@@ -63,7 +64,8 @@ def cosine_weight(i: Column, j: Column, n_rows: Column, n_cols: Column) -> Colum
 def cosine_low_rank(rows: DataFrame, rank: int = RANK, blend: bool = True) -> DataFrame:
     """Low rank of the weighted matrix, unweighted again and mixed with the original by weight².
 
-    Without ``blend`` the result is the division alone, with its lower weight floor of 0.01.
+    Without ``blend`` the result is the division alone, with its lower weight floor of 0.01. The
+    weighted rows are written once, since the low rank reads them several times.
     """
     heights = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("n_rows"))
     sized = rows.join(heights, ID).withColumn(
@@ -79,7 +81,7 @@ def cosine_low_rank(rows: DataFrame, rank: int = RANK, blend: bool = True) -> Da
         "weight",
         F.zip_with("row", "weight", lambda x, w: x * w).alias("row"),
     )
-    done = low_rank(weighted, rank)
+    done = low_rank(materialize(weighted, "weighted"), rank)
     floor = F.lit(WEIGHT_FLOOR if blend else 0.01)
 
     def restore(p):

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
-from wavemill.operators import approx, factor, projection, score, selection, slices, strips
+from wavemill.operators import approx, krylov, projection, score, selection, slices, strips
 from wavemill.operators.matrix import ID, cells, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, idct2d
 from wavemill.plans import inputs
 from wavemill.plans import sqlparts as q
-from wavemill.plans.registry import query
+from wavemill.plans.registry import CHECKS, query
 from wavemill.plans.slicing import CATALOG
 from wavemill.plans.spectral import (
     BLEND_JOIN,
@@ -93,21 +93,54 @@ def topk_fraction(spark, sf_dir):
     return _topk(spark, sf_dir, 0.08)
 
 
-def _row_fidelity(rows: DataFrame) -> DataFrame:
-    """Fidelity per matrix of array columns row and approx."""
-    pairs = rows.select(ID, F.explode(F.arrays_zip("row", "approx")).alias("x"))
-    return pairs.groupBy(ID).agg(score.fidelity(F.col("x.row"), F.col("x.approx")).alias("fidelity"))
+def _recursive(parts: list[str], select: str) -> str:
+    return q.with_parts(parts, select).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query()
+LOW_RANK_SQL = [
+    *q.embedding_cells(),
+    *q.leading("cells", "lead", approx.RANK),
+    "totals AS (SELECT matrix_id, sum(v * v) AS energy FROM cells GROUP BY matrix_id)",
+    """ranked AS (SELECT matrix_id, energy, captured, greatest(energy - captured, 0.0) AS rest,
+  1.0 - sqrt(greatest(energy - captured, 0.0)) / greatest(sqrt(energy), 1e-8::DOUBLE) AS fidelity FROM totals JOIN lead USING (matrix_id))""",
+]
+
+
+@query(_recursive(LOW_RANK_SQL, f"""SELECT matrix_id, {q.r('energy', 4)} AS energy, {q.r('captured', 4)} AS captured, {q.r('rest', 4)} AS rest,
+  {q.r('fidelity', 5)} AS fidelity, 0.0::DOUBLE AS residual FROM ranked"""))
 def low_rank(spark, sf_dir):
-    """Rank-8 approximation of whole label matrices."""
-    return _row_fidelity(factor.low_rank(inputs.embedding_vectors(spark, sf_dir), 8))
+    """Rank-8 approximation of whole label matrices: energy captured and left, and the largest residual of a direction."""
+    vectors = inputs.embedding_vectors(spark, sf_dir)
+    directions = krylov.leading_directions(vectors, approx.RANK)
+    done = krylov.along(vectors, directions)
+    off = F.aggregate(F.zip_with("row", "approx", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+    rest = done.select(ID, off.alias("off")).groupBy(ID).agg(F.sum("off").alias("rest"))
+    distance = F.sqrt("rest") / F.greatest(F.sqrt("energy"), F.lit(score.NORM_FLOOR))
+    captured = F.aggregate("held", F.lit(0.0), lambda acc, x: acc + x)
+    return rest.join(directions, ID).select(
+        ID, tidy(F.col("energy"), 4).alias("energy"), tidy(captured, 4).alias("captured"), tidy(F.col("rest"), 4).alias("rest"),
+        tidy(F.lit(1.0) - distance, 5).alias("fidelity"), tidy(F.array_max("residuals") / F.col("energy")).alias("residual"),
+    )
 
 
-@query()
+COSINE = "(0.5 + 0.5 * cos(pi() * i / greatest(m - 1, 1) + pi() * j / greatest(n - 1, 1)))"
+COSINE_LOW_RANK_SQL = [
+    f"heavy AS (SELECT matrix_id, i, j, v * {COSINE} AS v FROM cells)",
+    *q.leading("heavy", "turned", approx.RANK),
+    """near AS (SELECT matrix_id, i, w, vs, list_transform(vs, lambda x: list_dot_product(x, w)) AS marks
+  FROM turned_rows JOIN turned USING (matrix_id))""",
+    """near_cells AS (SELECT matrix_id, i, t.j::INTEGER AS j, list_dot_product(marks, list_transform(vs, lambda x: x[t.j + 1])) AS a
+  FROM near, unnest(range(len(w))) AS t(j))""",
+    f"""mixed AS (SELECT matrix_id, v, {COSINE} AS weight, a FROM cells JOIN near_cells USING (matrix_id, i, j))""",
+    f"""cosine_ranked AS (SELECT matrix_id, {q.fidelity('v', '(weight * weight * a / greatest(weight, 0.3) + (1.0 - weight * weight) * v)')} AS fidelity
+  FROM mixed GROUP BY matrix_id)""",
+]
+
+
+@query(_recursive([*q.embedding_cells(), *COSINE_LOW_RANK_SQL], f"SELECT matrix_id, {q.r('fidelity', 5)} AS fidelity FROM cosine_ranked"))
 def cosine_low_rank(spark, sf_dir):
-    return _row_fidelity(approx.cosine_low_rank(inputs.embedding_rows(spark, sf_dir), 8))
+    scored = score.row_fidelity(approx.cosine_low_rank(inputs.embedding_rows(spark, sf_dir), approx.RANK))
+    return scored.select(ID, tidy(F.col("fidelity"), 5).alias("fidelity"))
 
 
 @query(
@@ -406,20 +439,20 @@ def _method_scores(spark, sf_dir) -> DataFrame:
     return per_matrix.select(ID, F.inline("arms"))
 
 
-@query(
-    q.with_parts(
-        [*EMBEDDING_SQL, q.energy("prof", "e1", TAU, keep="kp"),
-         q.largest("e1", "e2", "greatest(1, least(8 * (m + n), m * n))", "c", "kt"),
-         *q.inverse("e2", "back", {"p": "CASE WHEN x.kp THEN x.c ELSE 0.0 END", "t": "CASE WHEN x.kt THEN x.c ELSE 0.0 END"}),
-         *QUANTIZE_SQL,
-         f"""fid AS (SELECT matrix_id, {q.fidelity('r.v', 'b.p')} AS p, {q.fidelity('r.v', 'b.t')} AS t, {q.fidelity('r.v', 'r.a')} AS a
+SCORES_SQL = [
+    *EMBEDDING_SQL, q.energy("prof", "e1", TAU, keep="kp"),
+    q.largest("e1", "e2", "greatest(1, least(8 * (m + n), m * n))", "c", "kt"),
+    *q.inverse("e2", "back", {"p": "CASE WHEN x.kp THEN x.c ELSE 0.0 END", "t": "CASE WHEN x.kt THEN x.c ELSE 0.0 END"}),
+    *QUANTIZE_SQL,
+    f"""fid AS (SELECT matrix_id, {q.fidelity('r.v', 'b.p')} AS p, {q.fidelity('r.v', 'b.t')} AS t, {q.fidelity('r.v', 'r.a')} AS a
   FROM rounded r JOIN back b USING (matrix_id, i, j) GROUP BY matrix_id)""",
-         f"rat AS (SELECT matrix_id, {q.ratio('kp')} AS p, {q.ratio('kt')} AS t FROM e2 GROUP BY matrix_id)",
-         """scores AS (SELECT 'spectral' AS method, fid.p AS fidelity, rat.p AS ratio FROM fid JOIN rat USING (matrix_id)
-  UNION ALL SELECT 'topk', fid.t, rat.t FROM fid JOIN rat USING (matrix_id) UNION ALL SELECT 'int4', fid.a, 8.0 FROM fid)"""],
-        f"SELECT method, count(*) AS matrices, {q.r('avg(fidelity)')} AS fidelity, {q.r('avg(ratio)')} AS ratio FROM scores GROUP BY method",
-    )
-)
+    f"rat AS (SELECT matrix_id, {q.ratio('kp')} AS p, {q.ratio('kt')} AS t FROM e2 GROUP BY matrix_id)",
+    """scores AS (SELECT 'spectral' AS method, matrix_id, fid.p AS fidelity, rat.p AS ratio FROM fid JOIN rat USING (matrix_id)
+  UNION ALL SELECT 'topk', matrix_id, fid.t, rat.t FROM fid JOIN rat USING (matrix_id) UNION ALL SELECT 'int4', matrix_id, fid.a, 8.0 FROM fid)""",
+]
+
+
+@query(q.with_parts(SCORES_SQL, f"SELECT method, count(*) AS matrices, {q.r('avg(fidelity)')} AS fidelity, {q.r('avg(ratio)')} AS ratio FROM scores GROUP BY method"))
 def score_by_method(spark, sf_dir):
     averages = score.average_scores(_method_scores(spark, sf_dir), "method")
     return averages.select(
@@ -427,31 +460,53 @@ def score_by_method(spark, sf_dir):
     )
 
 
-@query()
+COMPARED_SQL = [
+    *SCORES_SQL,
+    *LOW_RANK_SQL[len(q.embedding_cells()):],
+    *COSINE_LOW_RANK_SQL,
+    "pairs_of AS (SELECT matrix_id, any_value(m * n / (8.0 * (m + n))) AS ratio FROM cells GROUP BY matrix_id)",
+    """every AS (SELECT method, matrix_id, fidelity, ratio FROM scores
+  UNION ALL SELECT 'low_rank', matrix_id, r.fidelity, p.ratio FROM ranked r JOIN pairs_of p USING (matrix_id)
+  UNION ALL SELECT 'cosine_low_rank', matrix_id, c.fidelity, p.ratio FROM cosine_ranked c JOIN pairs_of p USING (matrix_id))""",
+    f"adapters AS ({CHECKS['adapter_ratio']})",
+    f"ablation AS ({CHECKS['strategy_ablation']})",
+    f"transfers AS ({CHECKS['segment_transfer']})",
+    """results AS (
+  SELECT method, 'embeddings' AS dataset, matrix_id::BIGINT AS seed, unnest(['fidelity', 'ratio']) AS metric, unnest([fidelity, ratio]) AS value FROM every
+  UNION ALL SELECT 'adapter ' || rank, 'catalog', NULL, unnest(['trainable', 'ratio']), unnest([trainable::DOUBLE, ratio]) FROM adapters
+  UNION ALL SELECT 'ablation ' || strategy, 'suppliers', NULL, unnest(['fidelity', 'ratio']), unnest([fidelity, ratio]) FROM ablation
+  UNION ALL SELECT method, 'embeddings', NULL, unnest(['baseline', 'transfer', 'full', 'delta', 'gap']),
+    unnest([baseline, transfer, "full", delta, gap]) FROM transfers)""",
+]
+
+
+@query(_recursive(COMPARED_SQL, f"SELECT method, dataset, seed, metric, {q.r('value', 4)} AS value FROM results"))
 def method_comparison(spark, sf_dir):
-    """All methods, low-rank ones included, as rows of a results table (pairing key = label)."""
-    label = F.split(F.col(ID), "/")[0].cast("bigint")
-    spectral = _method_scores(spark, sf_dir).select("method", label.alias("seed"), "fidelity", "ratio")
+    """All methods as rows of a results table: per label (its pairing key), then adapters, strategies and segment transfers."""
     rows, vectors = inputs.embedding_rows(spark, sf_dir), inputs.embedding_vectors(spark, sf_dir)
     heights = vectors.groupBy(ID).agg(F.count(F.lit(1)).alias("m"), F.max(F.size("row")).alias("n"))
-    adapter = F.col("m") * F.col("n") / (F.lit(approx.RANK) * (F.col("m") + F.col("n")))
+    pair = F.col("m") * F.col("n") / (F.lit(approx.RANK) * (F.col("m") + F.col("n")))
 
     def ranked(name, done):
-        return _row_fidelity(done).join(heights, ID).select(
-            F.lit(name).alias("method"), label.alias("seed"), "fidelity", adapter.alias("ratio")
-        )
+        return score.row_fidelity(done).join(heights, ID).select(F.lit(name).alias("method"), ID, "fidelity", pair.alias("ratio"))
+
+    def lines(table, method, dataset, metrics, key=None):
+        pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics]
+        seed = F.lit(None) if key is None else F.col(key)
+        return table.select(method.alias("method"), F.lit(dataset).alias("dataset"), seed.cast("bigint").alias("seed"), F.inline(F.array(*pairs)))
 
-    every = (
-        spectral.unionByName(ranked("low_rank", factor.low_rank(vectors, approx.RANK)))
+    scores = (
+        _method_scores(spark, sf_dir).select("method", ID, "fidelity", "ratio")
+        .unionByName(ranked("low_rank", krylov.low_rank(vectors, approx.RANK)))
         .unionByName(ranked("cosine_low_rank", approx.cosine_low_rank(rows, approx.RANK)))
     )
-    return every.select(
-        "method", F.lit("embeddings").alias("dataset"), "seed",
-        F.inline(F.array(
-            F.struct(F.lit("fidelity").alias("metric"), F.col("fidelity").alias("value")),
-            F.struct(F.lit("ratio").alias("metric"), F.col("ratio").alias("value")),
-        )),
+    results = (
+        lines(scores, F.col("method"), "embeddings", ["fidelity", "ratio"], ID)
+        .unionByName(lines(adapter_ratio(spark, sf_dir), F.concat(F.lit("adapter "), "rank"), "catalog", ["trainable", "ratio"]))
+        .unionByName(lines(strategy_ablation(spark, sf_dir), F.concat(F.lit("ablation "), "strategy"), "suppliers", ["fidelity", "ratio"]))
+        .unionByName(lines(segment_transfer(spark, sf_dir), F.col("method"), "embeddings", ["baseline", "transfer", "full", "delta", "gap"]))
     )
+    return results.withColumn("value", tidy(F.col("value"), 4))
 
 
 MIXED_SQL = [

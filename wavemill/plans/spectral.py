@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
-from wavemill.operators import columns, factor, projection, runs, score, selection, strips
+from wavemill.operators import columns, factor, projection, runs, score, selection, strips, tiles
 from wavemill.operators.matrix import ID, cells, crop, dense_from_cells, tile, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, dct2d_rows, dct_axis, idct2d
 from wavemill.plans import inputs
@@ -511,22 +511,15 @@ def select_qr_rows(spark, sf_dir):
 
 @query(GRAM_SQL.replace("sum(a.v * b.v)", "sum(a.v * b.v) + any_value(CASE WHEN a.j = b.j THEN 0.5 ELSE 0.0 END)"))
 def cholesky_gram(spark, sf_dir):
-    """FᵀF of the factor of WᵀW + I/2, which must give that matrix back."""
-    upper = factor.cholesky_r(inputs.embedding_vectors(spark, sf_dir), eps=0.5)
-    strip = F.sequence(F.lit(0), F.col("n_rows") - 1)
-    rows = upper.select(
-        ID,
-        F.explode(
-            F.transform(strip, lambda i: F.slice("factor", i * F.col("n_cols") + 1, F.col("n_cols")))
-        ).alias("row"),
-    )
-    return _cells_out(factor.gram(rows), 5)
+    """FᵀF of the factor of WᵀW + I/2, made in tiles of 32 columns, which must give that matrix back."""
+    vectors = inputs.embedding_vectors(spark, sf_dir)
+    return _cells_out(factor.gram(tiles.cholesky_rows(vectors, 0.5, side=32)), 5)
 
 
 @query(_factor_sql(factor.RIDGE, f"SELECT matrix_id, i, j, {q.r('v', 4)} AS v FROM factor"))
 def cholesky_r(spark, sf_dir):
-    upper = factor.cholesky_r(inputs.embedding_vectors(spark, sf_dir))
-    return _cells_out(cells(upper, v="factor").where(F.col("j") >= F.col("i")), 4)
+    upper = tiles.cholesky_rows(inputs.embedding_vectors(spark, sf_dir), factor.RIDGE)
+    return _cells_out(upper.select(ID, "i", F.posexplode("row").alias("j", "v")).where(F.col("j") >= F.col("i")), 4)
 
 
 RUNS_SQL = """spots AS (SELECT matrix_id, n, {place} AS pos FROM {source} WHERE {keep}),

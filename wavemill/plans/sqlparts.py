@@ -202,3 +202,35 @@ def axis(source: str, out: str, name: str, size: int) -> str:
     grouped = ", ".join("t.f" if c == name else f"x.{c}" for c in columns)
     return (f"{out} AS MATERIALIZED (SELECT {selected}, sum(x.v * {_wave('t.f', 'x.' + name, str(size))}) * {_scale('t.f', str(size))} "
             f"AS v FROM {source} x, unnest(range({size})) AS t(f) GROUP BY {grouped})")
+
+
+def leading(source: str, out: str, rank: int, squarings: int = 14) -> list[str]:
+    """The ``rank`` leading directions of matrices given as cells, one after the other (needs WITH RECURSIVE).
+
+    ``out``: matrix_id, captured (energy along them), vs (list of directions). The products of column pairs are squared until
+    one direction is left, which is then taken out on both sides.
+    """
+    turn = squarings + 1
+    return [
+        f"{out}_rows AS (SELECT matrix_id, i, list(v ORDER BY j) AS w FROM {source} GROUP BY matrix_id, i)",
+        f"""{out}_products AS (SELECT a.matrix_id, a.j AS i, b.j AS j, sum(a.v * b.v) AS v
+  FROM {source} a JOIN {source} b ON a.matrix_id = b.matrix_id AND a.i = b.i GROUP BY ALL)""",
+        f"""{out}_grams AS MATERIALIZED (SELECT matrix_id, list(w ORDER BY i) AS g
+  FROM (SELECT matrix_id, i, list(v ORDER BY j) AS w FROM {out}_products GROUP BY matrix_id, i) GROUP BY matrix_id)""",
+        f"""{out}_walk AS (
+  SELECT matrix_id, 0 AS step, g, g AS p, 0.0::DOUBLE AS captured, []::DOUBLE[][] AS vs FROM {out}_grams
+  UNION ALL
+  SELECT matrix_id, step + 1,
+    CASE WHEN step % {turn} < {squarings} THEN g ELSE taken END,
+    CASE WHEN step % {turn} < {squarings} THEN list_transform(p, lambda a: list_transform(p, lambda b: list_dot_product(a, b) / size)) ELSE taken END,
+    CASE WHEN step % {turn} < {squarings} THEN captured ELSE captured + list_dot_product(v, gv) END,
+    CASE WHEN step % {turn} < {squarings} THEN vs ELSE list_append(vs, v) END
+  FROM (SELECT *, list_transform(g, lambda a, x: list_transform(a, lambda e, y:
+      e - v[x] * gv[y] - gv[x] * v[y] + list_dot_product(v, gv) * v[x] * v[y])) AS taken
+    FROM (SELECT *, list_transform(g, lambda a: list_dot_product(a, v)) AS gv
+      FROM (SELECT *, list_transform(column_, lambda x: x / sqrt(list_dot_product(column_, column_))) AS v
+        FROM (SELECT *, p[list_position(diagonal, list_max(diagonal))] AS column_
+          FROM (SELECT *, list_sum(list_transform(p, lambda a: list_dot_product(a, a))) AS size,
+            list_transform(range(1, len(p) + 1), lambda x: p[x][x]) AS diagonal FROM {out}_walk WHERE step < {rank * turn}))))))""",
+        f"{out} AS MATERIALIZED (SELECT matrix_id, captured, vs FROM {out}_walk WHERE step = {rank * turn})",
+    ]
