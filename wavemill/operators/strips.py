@@ -83,10 +83,11 @@ def parts_of_rows(rows: DataFrame, width: int) -> DataFrame:
     return cut.select(ID, "at", "n_cols", "s.l0", "s.part")
 
 
-def forward(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+def forward(rows: DataFrame, width: int = WIDTH, placed: bool = False) -> DataFrame:
     """Segments of the two-dimensional transform of matrices given as ``matrix_id, at, row``; one shuffle.
 
-    A task holds ``width`` columns of a matrix. Rows of unequal length are an error.
+    A task holds ``width`` columns of a matrix. Rows of unequal length are an error. ``at`` orders the rows; if
+    ``placed``, it is their position from 0, and rows that are missing before the last one are zero.
     """
     strips = parts_of_rows(rows, width)
 
@@ -95,8 +96,13 @@ def forward(rows: DataFrame, width: int = WIDTH) -> DataFrame:
         if len(n_cols) > 1:
             raise ValueError(f"rows of unequal length: {n_cols[0]} and {n_cols[-1]}")
         table = table.sort_by("at")
-        height, l0 = table.num_rows, table.column("l0")[0].as_py()
-        block = table.column("part").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(height, -1)
+        l0 = table.column("l0")[0].as_py()
+        block = table.column("part").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        if placed:
+            at = table.column("at").to_numpy()
+            whole = np.zeros((at[-1] + 1, block.shape[1]))
+            whole[at] = block
+            block = whole
         done = np.ascontiguousarray(cosine.forward_last(np.ascontiguousarray(block.T)).T)
         return segments_of(table.column(ID)[0].as_py(), done, int(n_cols[0]), l0)
 
@@ -258,6 +264,10 @@ def _energy(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return c * c, c * c
 
 
+def _weight(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return c, c
+
+
 def _size(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.abs(c), np.ones(len(c))
 
@@ -277,6 +287,12 @@ def select_energy(segments: DataFrame, tau: float = TAU, out: str = "keep") -> D
     return _mark(segments, _edges(segments, limits, _energy), _energy, out)
 
 
+def select_weight(segments: DataFrame, tau: float = TAU, out: str = "keep") -> DataFrame:
+    """``select_energy`` of numbers that are weights already (not negative), such as shares."""
+    limits = segments.groupBy(ID).agg((F.lit(float(tau)) * F.sum(_array_sum(F.col("coef")))).alias("limit"))
+    return _mark(segments, _edges(segments, limits, _weight), _weight, out)
+
+
 def select_largest(segments: DataFrame, count: Column, out: str = "keep") -> DataFrame:
     """Keep the ``count`` (from n_rows and n_cols) largest magnitudes of each matrix, ties by position."""
     limits = segments.groupBy(ID).agg(F.first("n_rows").alias("n_rows"), F.first("n_cols").alias("n_cols")).select(ID, count.cast("double").alias("limit"))

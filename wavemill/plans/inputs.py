@@ -10,7 +10,6 @@ from wavemill.operators.catalog import catalog_from_items
 from wavemill.operators.matrix import (
     cells,
     dense_from_facts,
-    dense_from_vectors,
     rows_from_vectors,
     rows_in_any_order,
 )
@@ -39,11 +38,6 @@ def embedding_vectors(spark, sf_dir) -> DataFrame:
     return rows_in_any_order(table(spark, sf_dir, "embeddings"), "label", "embedding")
 
 
-def embedding_matrices(spark, sf_dir) -> DataFrame:
-    """One record per label, all its vectors in the order of vec_id."""
-    return dense_from_vectors(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
-
-
 def user_hours(spark, sf_dir) -> DataFrame:
     """7 weekdays x 24 hours of summed value per user."""
     ts = F.col("ts")

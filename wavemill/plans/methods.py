@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavemill.functions.numeric import tidy
-from wavemill.operators import approx, krylov, projection, score, selection, slices, strips
+from wavemill.operators import approx, krylov, projection, score, selection, slices, strips, transfer
 from wavemill.operators.matrix import ID, cells, weighted_sum
 from wavemill.operators.transform import coefficients, dct2d, idct2d
 from wavemill.plans import inputs
@@ -19,7 +19,6 @@ from wavemill.plans.spectral import (
     EMBEDDING_SQL,
     SUPPLIER_SQL,
     TAU,
-    embedding_profile,
     supplier_profile,
 )
 
@@ -305,50 +304,14 @@ def segment_transfer(spark, sf_dir):
     vector before), the adapted and the target's own mask use the target's.
     """
     # The list of pairs is an argument of the experiment, a handful of rows.
-    pairs = spark.createDataFrame(PAIRS, "src int, tgt int")
-    wanted = pairs.select(F.explode(F.array(F.col("src").cast("string"), F.col("tgt").cast("string"))).alias("__id")).distinct()
-    dense = inputs.embedding_matrices(spark, sf_dir)
-    dense = dense.join(wanted, dense[ID] == wanted["__id"], "left_semi")
-    width = F.col("n_cols")
-    before = F.concat(
-        F.slice("vals", F.lit(1), width), F.slice("vals", F.lit(1), F.greatest(F.size("vals") - width, F.lit(0)))
-    )
-    labels = dense.select(
-        F.col(ID).cast("int").alias("label"), "n_rows", "n_cols", "vals",
-        F.zip_with("vals", before, lambda a, b: a - b).alias("grad"),
-    )
-    source = labels.select(F.col("label").alias("src"), F.col("n_rows").alias("sm"),
-                           F.col("vals").alias("sv"), F.col("grad").alias("sg"))
-    target = labels.select(F.col("label").alias("tgt"), F.col("n_rows").alias("tm"), "n_cols",
-                           F.col("vals").alias("tv"), F.col("grad").alias("tg"))
-    rows = F.greatest("sm", "tm")
-
-    def filled(name):
-        rest = rows * F.col("n_cols") - F.size(name)
-        return F.concat(F.col(name), F.array_repeat(F.lit(0.0), rest)).alias(name)
-
-    lined = pairs.join(source, "src").join(target, "tgt").select(
-        F.concat_ws("/", "src", "tgt").alias(ID), "src", "tgt", rows.alias("n_rows"), "n_cols",
-        *[filled(c) for c in ("sv", "sg", "tv", "tg")],
-    )
-    coef = dct2d(lined, sv="sv", sg="sg", tv="tv", tg="tg")
-    coef = selection.energy_profile(selection.energy_profile(coef, c="sv", out="ss"), c="tv", out="ts")
-    coef = coef.withColumn("xs", F.zip_with("ss", "ts", projection.adapted_share))
-    coef = selection.select(coef, tau=TAU, share="ss", g="sg", out="by_source")
-    coef = selection.select(coef, tau=TAU, share="xs", g="tg", out="adapted")
-    coef = selection.select(coef, tau=TAU, share="ts", g="tg", out="by_target")
-    coef = cells(coef, at=("k", "l"), carry=("src", "tgt"), tc="tv", **{n: n for n in ("by_source", "adapted", "by_target")})
-    scored = coef.groupBy("src", "tgt").agg(
-        score.retained_energy(F.col("tc"), F.col("by_source")).alias("baseline"),
-        score.retained_energy(F.col("tc"), F.col("adapted")).alias("transfer"),
-        score.retained_energy(F.col("tc"), F.col("by_target")).alias("full"),
-    )
+    pairs = spark.createDataFrame([(str(a), str(b)) for a, b in PAIRS], "src string, tgt string")
+    scored = transfer.transfer_scores(transfer.with_steps(inputs.embedding_rows(spark, sf_dir)), pairs, TAU)
 
     def percent(x):
         return tidy(x * F.lit(100.0), 4)
 
     return scored.select(
-        F.format_string("transfer %d->%d", "src", "tgt").alias("method"),
+        F.format_string("transfer %s->%s", "src", "tgt").alias("method"),
         percent(F.col("baseline")).alias("baseline"),
         percent(F.col("transfer")).alias("transfer"),
         percent(F.col("full")).alias("full"),
@@ -408,35 +371,23 @@ def strategy_ablation(spark, sf_dir):
     )
 
 
-def method_cells(spark, sf_dir) -> DataFrame:
-    """Original, projected, top-k and rounded cells of the label matrices, side by side."""
-    dense = selection.energy_profile(dct2d(inputs.embedding_matrices(spark, sf_dir), coef="vals"))
-    dense = approx.select_topk(selection.select_energy(dense, TAU, out="kp"), out="kt")
-    both = dense.select(
-        ID, "n_rows", "n_cols", "vals", "kp", "kt",
-        projection.kept("coef", "kp").alias("p"), projection.kept("coef", "kt").alias("t"),
-    )
-    table = cells(idct2d(both, p="p", t="t"), v="vals", p="p", t="t", kp="kp", kt="kt")
-    return approx.quantize(table, out="rounded")
+def _method_scores(spark, sf_dir) -> DataFrame:
+    """Fidelity and ratio of the label matrices under three methods; matrices stay in strips and rows."""
+    rows = inputs.embedding_rows(spark, sf_dir)
+    segments = ranked_segments(rows)
 
+    def selected(method, marked):
+        back = strips.inverse(strips.keep_only(marked)).withColumnRenamed("row", "approx")
+        scored = score.row_fidelity(rows.select(ID, "i", "row").join(back, [ID, "i"]))
+        ratio = F.lit(1.0) / F.greatest(F.col("kept") / F.col("total"), F.lit(score.KEEP_FLOOR))
+        return strips.retained(marked).join(scored, ID).select(F.lit(method).alias("method"), ID, "fidelity", ratio.alias("ratio"))
 
-def _method_scores(spark, sf_dir) -> DataFrame:
-    def arm(method, approximation, ratio):
-        return F.struct(
-            F.lit(method).alias("method"),
-            score.fidelity(F.col("v"), F.col(approximation)).alias("fidelity"),
-            ratio.alias("ratio"),
-        )
-
-    per_matrix = method_cells(spark, sf_dir).groupBy(ID).agg(
-        F.array(
-            arm("spectral", "p", score.compression_ratio(F.col("kp"))),
-            arm("topk", "t", score.compression_ratio(F.col("kt"))),
-            # Stored bits per value before and after, not a measured size.
-            arm("int4", "rounded", F.lit(32.0 / approx.BITS)),
-        ).alias("arms")
-    )
-    return per_matrix.select(ID, F.inline("arms"))
+    rounded = score.row_fidelity(approx.quantize_rows(inputs.embedding_vectors(spark, sf_dir)))
+    # Stored bits per value before and after, not a measured size.
+    int4 = rounded.select(F.lit("int4").alias("method"), ID, "fidelity", F.lit(32.0 / approx.BITS).alias("ratio"))
+    spectral = selected("spectral", strips.select_energy(segments, TAU))
+    topk = selected("topk", strips.select_largest(segments, approx.parameter_count()))
+    return spectral.unionByName(topk).unionByName(int4)
 
 
 SCORES_SQL = [
@@ -552,13 +503,13 @@ FROM sel JOIN twice t USING (matrix_id, k, l) GROUP BY matrix_id""",
 )
 def check_isometry(spark, sf_dir):
     """Norm of the kept coefficients after a projection against before: about 1."""
-    kept = selection.select_energy(embedding_profile(spark, sf_dir), TAU)
-    again = dct2d(projection.project(kept, out="d", carry=["coef", "keep"]), d="d")
-    table = coefficients(again, c="coef", d="d", keep="keep").withColumn("w", F.col("keep").cast("int"))
+    marked = strips.select_energy(ranked_segments(inputs.embedding_rows(spark, sf_dir)), TAU)
+    projected = strips.inverse(strips.keep_only(marked))
+    again = strips.forward(projected.withColumnRenamed("i", "at")).select(ID, "k0", "l0", F.col("coef").alias("again"))
+    met = marked.select(ID, "k0", "l0", "coef", "keep").join(again, [ID, "k0", "l0"])
 
     def norm(x):
-        return F.sqrt(F.sum(F.col("w") * F.col(x) * F.col(x)))
+        inside = F.zip_with(x, "keep", lambda c, k: F.when(k, c * c).otherwise(0.0))
+        return F.sqrt(F.sum(F.aggregate(inside, F.lit(0.0), lambda acc, c: acc + c)))
 
-    return table.groupBy(ID).agg(
-        tidy(norm("d") / F.greatest(norm("c"), F.lit(1e-12))).alias("ratio")
-    )
+    return met.groupBy(ID).agg(tidy(norm("again") / F.greatest(norm("coef"), F.lit(1e-12))).alias("ratio"))

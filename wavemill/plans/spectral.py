@@ -34,10 +34,6 @@ def supplier_profile(spark, sf_dir) -> DataFrame:
     return selection.energy_profile(dense)
 
 
-def embedding_profile(spark, sf_dir) -> DataFrame:
-    return selection.energy_profile(dct2d(inputs.embedding_matrices(spark, sf_dir)))
-
-
 SUPPLIER_SQL = [
     *q.supplier_cells(),
     *q.forward("cells", "raw", {"c": "v", "g": "g"}),
@@ -286,8 +282,9 @@ def mask_andnot(spark, sf_dir):
          *q.inverse("sel", "back", {"v": "CASE WHEN x.keep THEN x.c ELSE 0.0 END"})], 6, "back")
 )
 def spectral_project(spark, sf_dir):
-    kept = selection.select_energy(embedding_profile(spark, sf_dir), TAU)
-    return _cells_out(cells(projection.project(kept), v="projected"), 6)
+    keyed = inputs.embedding_keyed(spark, sf_dir)
+    projected = strips.inverse(strips.keep_only(strips.select_energy(strips.written_segments(keyed), TAU)))
+    return _cells_out(projected.select(ID, F.col("i").cast("int").alias("i"), F.posexplode("row").alias("j", "v")), 6)
 
 
 BLEND_JOIN = "JOIN prof s ON s.matrix_id = b.matrix_id AND s.k = b.i AND s.l = b.j JOIN cells o ON o.matrix_id = b.matrix_id AND o.i = b.i AND o.j = b.j"
