@@ -109,10 +109,27 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Spark deletes the shuffle files of a query when it has ended, and not when the driver's heap is next cleaned.
+SHUFFLES_END = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Queries that begin inside the block delete their shuffle files at their end."""
+    before = spark.conf.get(SHUFFLES_END, None)
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLES_END) if before is None else spark.conf.set(SHUFFLES_END, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, lineage cut, whole after lost executors."""
+    """``df`` as a table in the shared folder: computed once, lineage cut, whole after lost executors. What was
+    shuffled to make it is deleted."""
     path = scratch_path(df.sparkSession, label)
     if _recording is not None:
         _recording.append(path)
-    df.write.parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

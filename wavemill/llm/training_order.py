@@ -19,18 +19,23 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavemill.functions.numeric import integer_levels
 from wavemill.llm.bpe import encode
 from wavemill.llm.common import map_arrow, written
 from wavemill.operators.ranking import prefix_offsets
 
 LENGTH, PER_SHARD, ROUNDS = 1024, 4096, 4
+#: The stream is put in order by at most so many ranges of ids.
+MOST_RANGES = 4096
+#: Shards are written in so many turns, and only the pieces of one turn lie shuffled on disk.
+TURNS = 4
 STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -57,49 +62,72 @@ def permuted(numbers: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def range_of(x: Column, bounds: list[int], step: int = 64) -> Column:
+    """How many of the sorted ``bounds`` are below ``x``, 0 for null: first by every ``step``-th of them, then between two."""
+    if not bounds:
+        return F.lit(0)
+
+    def below(some: Column) -> Column:
+        return F.size(F.filter(some, lambda bound: bound < x))
+
+    tables = [F.lit(bounds[k : k + step]) for k in range(0, len(bounds), step)]
+    table = below(F.lit(bounds[::step])) - 1
+    return F.when(x > bounds[0], table * step + below(F.get(F.array(*tables), table))).otherwise(0)
+
+
 def token_stream(docs: DataFrame, path: str, key: str, text: str, width: str) -> tuple[DataFrame, int]:
-    """``doc_id, n, ids`` with ``start``, the place of each document's first token in the stream; and its length."""
+    """``doc_id, n, ids`` with ``start``, the place of each document's first token in the stream; and its length.
+
+    Ids fall into ranges of like numbers of rows. A range is put in order by one shuffle and written with the place of
+    each document inside it; a number a range then gives the place in the stream, and ids are not moved for it.
+    """
+    ranges = min(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    shares = [k / ranges for k in range(1, ranges)]
+    found = docs.select(F.percentile_approx(F.col(key).cast("bigint"), shares, 16 * ranges)).first()[0]
     encoded = encode(docs, path, text, [key], width).select(
-        F.col(key).cast("bigint").alias("doc_id"), (F.col("n_tokens") + 1).alias("n"), "ids"
+        range_of(F.col(key).cast("bigint"), sorted(set(found or []))).alias("place"),
+        F.col(key).cast("bigint").alias("doc_id"), (F.col("n_tokens") + 1).alias("n"), "ids",
     )
-    tokens = written(encoded, "stream-tokens")
-    levels = ["l0", "l1", "l2"]
-    placed = tokens.select("*", *[c.alias(n) for n, c in zip(levels, integer_levels(F.coalesce("doc_id", F.lit(-(1 << 62))), (40, 26, 12)))])
-    sums = written(placed.groupBy(*levels).agg(F.sum("n").alias("n")), "stream-sums")
+    w = Window.partitionBy("place").orderBy(F.col("doc_id").asc_nulls_first(), "ids").rowsBetween(Window.unboundedPreceding, -1)
+    tokens = written(encoded.withColumn("inside", F.coalesce(F.sum("n").over(w), F.lit(0))), "stream-tokens")
+    sums = written(tokens.groupBy("place").agg(F.sum("n").alias("n")), "stream-sums")
     total = sums.agg(F.sum("n")).first()[0] or 0
-    before = prefix_offsets(sums, [], levels, ["n"]).select(*levels, "before_n")
-    w = Window.partitionBy(*levels).orderBy(F.col("doc_id").asc_nulls_first(), "ids").rowsBetween(Window.unboundedPreceding, -1)
-    inside = placed.withColumn("inside", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    # The levels are never null, and a join by them keeps the layout of the window: ids move once.
-    joined = inside.join(before, levels)
-    return joined.select("doc_id", "ids", (F.col("before_n") + F.col("inside")).alias("start")), int(total)
+    before = prefix_offsets(sums, [], ["place"], ["n"]).select("place", "before_n")  # at most MOST_RANGES rows
+    joined = tokens.join(F.broadcast(before), "place")
+    return joined.select("doc_id", "n", "ids", (F.col("before_n") + F.col("inside")).alias("start")), int(total)
 
 
-def pieces(stream: DataFrame, total: int, end: int, length: int, per_shard: int, seed: int, width: str) -> DataFrame:
-    """``shard, slot, seq, at, doc_id, part``: the stretch of each document in each sequence."""
+def pieces(
+    stream: DataFrame, total: int, end: int, length: int, per_shard: int, seed: int, width: str, first: int, stop: int
+) -> DataFrame:
+    """``shard, slot, seq, at, doc_id, part``: the stretch of each document in each sequence, of shards ``first`` to
+    ``stop`` (left out) only."""
     count = -(-total // length)
     schema = "shard bigint, slot bigint, seq bigint, at int, doc_id bigint, part binary"
     item, filler = np.dtype(width).itemsize, np.array([end]).astype(width).tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, seqs, ats, parts = [], [], [], []
-        for doc, ids, start in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "start"))):
-            raw = ids + filler
-            stop = start + len(raw) // item
-            for seq in range(start // length, (stop - 1) // length + 1):
-                a, b = max(start, seq * length), min(stop, (seq + 1) * length)
-                docs.append(doc)
-                seqs.append(seq)
-                ats.append(a - seq * length)
-                parts.append(raw[(a - start) * item : (b - start) * item])
-        seq = np.array(seqs, np.int64)
+        start, n = batch.column("start").to_numpy(), batch.column("n").to_numpy()
+        earliest = start // length
+        times = (start + n - 1) // length - earliest + 1
+        row = np.repeat(np.arange(len(n)), times)
+        seq = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + earliest[row]
         slot = permuted(seq, count, seed)
-        columns = [slot // per_shard, slot, seq, np.array(ats, np.int32)]
+        shard = slot // per_shard
+        mine = (shard >= first) & (shard < stop)
+        row, seq, slot, shard = (x[mine] for x in (row, seq, slot, shard))
+        a = np.maximum(start[row], seq * length) - start[row]
+        b = np.minimum(start[row] + n[row], (seq + 1) * length) - start[row]
+        at = start[row] + a - seq * length
+        ids = batch.column("ids")
+        # The end token stands behind the ids; a piece that reaches to it is one longer than they are.
+        parts = [ids[r].as_py()[x * item : y * item] + (filler if y == m else b"") for r, x, y, m in zip(row.tolist(), a.tolist(), b.tolist(), n[row].tolist())]
         return pa.RecordBatch.from_arrays(
-            [*map(pa.array, columns), pa.array(docs, pa.int64()), pa.array(parts, pa.binary())], ["shard", "slot", "seq", "at", "doc_id", "part"]
+            [pa.array(shard), pa.array(slot), pa.array(seq), pa.array(at.astype(np.int32)), batch.column("doc_id").take(pa.array(row)), pa.array(parts, pa.binary())],
+            ["shard", "slot", "seq", "at", "doc_id", "part"],
         )
 
-    return map_arrow(stream.select("doc_id", "ids", "start"), run, schema)
+    return map_arrow(stream.select("doc_id", "n", "ids", "start"), run, schema)
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], stride: int, filler: bytes) -> Iterator[tuple]:
@@ -127,8 +155,6 @@ def materialise(
     item = np.dtype(width).itemsize
     stride, filler = length * item, np.array([end]).astype(width).tobytes()
     shards = max(1, -(-total // (length * per_shard)))
-    cut = pieces(stream, total, end, length, per_shard, seed, width)
-    ranged = cut.repartitionByRange(shards, "shard").sortWithinPartitions("slot", "at")
     folder = out.rstrip("/")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +189,12 @@ def materialise(
             yield table(rows)
 
     schema = "slot bigint, seq bigint, shard bigint, file string, byte_offset bigint, n_tokens int, crc32 bigint, doc_ids array<bigint>"
-    return written(ranged.mapInArrow(write, schema), "stream-manifest")
+    manifests = []
+    for first, stop in pairwise(sorted({shards * turn // TURNS for turn in range(TURNS + 1)})):
+        cut = pieces(stream, total, end, length, per_shard, seed, width, first, stop)
+        laid = cut.repartitionById(stop - first, (F.col("shard") - first).cast("int")).sortWithinPartitions("slot", "at")
+        manifests.append(written(laid.mapInArrow(write, schema), "stream-manifest"))
+    return reduce(DataFrame.unionByName, manifests)
 
 
 def read_sequences(out: str, first: int, count: int, width: str = "<u2", length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
