@@ -133,3 +133,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     with shuffles_end(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A key filter has this many bits a key at least, up to MOST_BITS in all: 2^20 rows of 64 bits.
+KEY_BITS, MOST_BITS = 16, 1 << 26
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``keys``; none that is in them is left out.
+
+    The keys are broadcast as bits of their hashes, a table of bounded size, so that rows which match nothing are
+    not moved for the join that follows.
+    """
+    bits = 1 << 16
+    while bits < min(MOST_BITS, KEY_BITS * keys.count()):
+        bits *= 2
+    place, word, held = fresh_names(rows, "place", "word", "held")
+    placed = F.pmod(F.xxhash64(column), F.lit(bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(place) % 64).cast("int"))
+    words = keys.select(placed.alias(place)).groupBy(F.shiftright(place, 6).alias(word)).agg(F.bit_or(one).alias(held))
+    met = rows.withColumn(place, placed).withColumn(word, F.shiftright(place, 6)).join(F.broadcast(words), word)
+    return met.where(F.getbit(held, (F.col(place) % 64).cast("int")) == 1).select(*rows.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.common import Numbered, map_arrow, process_cache, text_column, written
+from wavemill.llm.common import Numbered, map_arrow, maybe_among, process_cache, text_column, written
 
 BANDS, ROWS = 40, 5
 PLACES = BANDS * ROWS
@@ -180,7 +180,10 @@ def estimated(pairs: DataFrame, nodes: DataFrame, least: Column) -> DataFrame:
 
 def element_sets(nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """``node, elements`` (the full set as sorted 64-bit hashes) of the given nodes."""
-    texts = docs.select(F.col(key).cast("bigint").alias("node"), text_column(text).alias("text")).join(nodes.select("node"), "node", "left_semi")
+    texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("text"))
+    # An inner join: Spark would push a semi join below the filter, and move all texts for it.
+    wanted = nodes.select("node").distinct()
+    texts = maybe_among(texts, wanted, "node").join(wanted, "node").select("node", text_column("text").alias("text"))
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column(1).to_pylist(), width)
