@@ -44,6 +44,12 @@ def keyed(docs, label):
     return written(docs.withColumn(ROW, F.monotonically_increasing_id()), f"keyed-{label}")
 
 
+def whole_rows(docs):
+    """``docs`` with each row as one column, ROW, beside those that the stage reads: an operator that carries it
+    decides where the row lies, and nothing is joined to it afterwards."""
+    return docs.select(F.struct("*").alias(ROW), "*")
+
+
 def kept_rows(rows, kept):
     """The rows whose key is in ``kept``, with the columns the stage was given."""
     return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
@@ -52,19 +58,16 @@ def kept_rows(rows, kept):
 @staged
 def language_stage(spark, docs, sf_dir):
     """Documents whose language is told with confidence. A text without letters tells none and goes."""
-    rows = keyed(docs, "language")
-    model = language_id.train_trigrams(rows, "text", "lang")
-    return kept_rows(rows, language_id.identify(rows, model, [ROW], "text", F.col("lang"), F.col("source")).where("kept"))
+    model = language_id.train_trigrams(docs, "text", "lang")
+    return language_id.identify(whole_rows(docs), model, [ROW], f"{ROW}.text", F.col("lang"), F.col("source")).where("kept").select(f"{ROW}.*")
 
 
 @staged
 def quality_stage(spark, docs, sf_dir):
     """Documents that pass the base rule and the boosted trees. Labels belong to ids; rows without id are judged alike."""
-    rows = keyed(docs, "quality")
-    counted = written(quality.document_counts(rows, ROW), "text-counts")
-    of_id = rows.select(ROW, "doc_id").join(counted, ROW).drop(ROW)
-    trees = quality.fit(of_id, table(spark, sf_dir, "labels"))
-    return kept_rows(rows, quality.judge(counted, trees, ROW).where("kept"))
+    counted = written(quality.document_counts(whole_rows(docs), ROW, f"{ROW}.text"), "text-counts")
+    trees = quality.fit(counted.withColumn("doc_id", F.col(f"{ROW}.doc_id")).drop(ROW), table(spark, sf_dir, "labels"))
+    return quality.judge(counted, trees, ROW).where("kept").select(f"{ROW}.*")
 
 
 @staged

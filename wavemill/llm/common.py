@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from itertools import count, islice
 
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wavemill.session import scratch_path
 
@@ -37,7 +38,7 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = CHUNK_BYTES) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, limit: int = CHUNK_BYTES) -> DataFrame:
     """``run`` on pieces of the batches of at most ``limit`` bytes (or one row)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,11 +49,28 @@ def map_arrow(df: DataFrame, run: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(each, schema)
 
 
+def with_texts(docs: DataFrame, carry: Sequence[str], text: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[bytes]]]:
+    """The carried columns, and how a batch of them gives its texts. A text ``row.name`` in a carried struct ``row``
+    is taken from there and not sent beside it."""
+    outer, _, inner = text.partition(".")
+    if inner and outer in carry:
+        at = list(carry).index(outer)
+        return docs.select(*carry), lambda batch: [x or b"" for x in batch.column(at).field(inner).cast(pa.binary()).to_pylist()]
+    return docs.select(*carry, text_column(text).alias("__text")), lambda batch: batch.column(len(carry)).to_pylist()
+
+
+def leaves(column: pa.Array) -> list[pa.Array]:
+    """The column, or those inside it."""
+    if not pa.types.is_struct(column.type):
+        return [column]
+    return [leaf for k in range(column.type.num_fields) for leaf in leaves(column.field(k))]
+
+
 def by_bytes(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows that hold ``limit`` bytes at most, or a single row."""
     rows = batch.num_rows
     weight = np.zeros(rows, np.int64)
-    for column in batch.columns:
+    for column in (leaf for c in batch.columns for leaf in leaves(c)):
         if pa.types.is_binary(column.type) or pa.types.is_string(column.type):
             weight += np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + rows + 1])
     start, held = 0, 0

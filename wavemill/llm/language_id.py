@@ -20,8 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from wavemill.llm.common import map_arrow, text_column, written
+from wavemill.llm.common import map_arrow, text_column, with_texts, written
+from wavemill.operators.ranking import join_null_safe
 
 TRIGRAM_BITS = 16
 #: At most so many labelled texts of a language train the trigrams: its first distinct ones in the order of a hash.
@@ -91,8 +93,8 @@ def train_trigrams(labelled: DataFrame, text: str, label: str, sample: int = SAM
 def text_evidence(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: Sequence[str], text: str) -> DataFrame:
     """Carried columns and ``evidence``: tempered log-likelihood by language, null for a text without letters."""
     langs, table = model
-    kept = docs.select(*carry, text_column(text).alias("__text"))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in kept.dtypes[:-1]), "evidence array<double>"])
+    kept, texts_of = with_texts(docs, carry, text)
+    schema = StructType([*kept.schema.fields[: len(carry)], StructField("evidence", ArrayType(DoubleType()))])
     shared = docs.sparkSession.sparkContext.broadcast(table)  # of fixed height, a column a language
 
     def score(text: bytes) -> list[float] | None:
@@ -103,8 +105,8 @@ def text_evidence(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: S
         return (total - total.max()).tolist()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = [score(t) for t in batch.column(len(carry)).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.list_(pa.float64()))], [*carry, "evidence"])
+        scores = [score(t) for t in texts_of(batch)]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(scores, pa.list_(pa.float64()))], [*carry, "evidence"])
 
     return map_arrow(kept, run, schema)
 
@@ -158,13 +160,17 @@ def fuse(scored: DataFrame, langs: Sequence[str], threshold: float) -> DataFrame
         return by(key).select(key, lift.alias(f"of_{key}"))
 
     nothing = F.array_repeat(F.lit(0.0), n)
-    joined = scored.join(hosts, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
-    prior = F.transform(F.coalesce("prior", ground), F.ln)
-    added = F.zip_with(
-        F.zip_with("evidence", prior, lambda a, b: a + b),
-        F.zip_with(F.coalesce("of_declared", nothing), F.coalesce("of_suffix", nothing), lambda a, b: a + b),
-        lambda a, b: a + b,
+    keys = ["declared", "suffix", "domain", "host"]
+    known = sums.select(*keys).join(hosts, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
+    known = known.select(
+        *keys,
+        F.transform(F.coalesce("prior", ground), F.ln).alias("prior"),
+        F.zip_with(F.coalesce("of_declared", nothing), F.coalesce("of_suffix", nothing), lambda a, b: a + b).alias("said"),
     )
+    # All that is known of a combination is one row of a small table, so rows move once at most. A row without
+    # evidence may find none; it has no posterior anyway.
+    joined = join_null_safe(scored, written(known, "language-known"), keys, "left")
+    added = F.zip_with(F.zip_with("evidence", "prior", lambda a, b: a + b), "said", lambda a, b: a + b)
     out = joined.withColumn("__sum", added).withColumn("__top", F.array_max("__sum"))
     mass = F.aggregate(F.transform("__sum", lambda x: F.exp(x - F.col("__top"))), F.lit(0.0), lambda a, x: a + x)
     names = F.array(*[F.lit(x) for x in langs])
@@ -172,7 +178,7 @@ def fuse(scored: DataFrame, langs: Sequence[str], threshold: float) -> DataFrame
         out.withColumn("language", F.get(names, F.array_position("__sum", F.col("__top")).cast("int") - 1))
         .withColumn("confidence", F.lit(1.0) / mass)
         .withColumn("kept", F.coalesce(F.col("confidence") >= threshold, F.lit(False)))
-        .drop("evidence", "prior", "of_declared", "of_suffix", "__sum", "__top", "host", "declared", "suffix", "domain")
+        .drop("evidence", "prior", "said", "__sum", "__top", "host", "declared", "suffix", "domain")
     )
 
 
@@ -188,18 +194,19 @@ def identify(
         lowered = none if column is None else F.lower(F.trim(column.cast("string")))
         return F.nullif(lowered, F.lit(""))
 
+    inside = text.partition(".")[0] in carry and "." in text  # a field of a carried row is not sent twice
     place = clean(host)
     labels = F.split(place, r"\.")
     parts = docs.select(
         *[F.col(c).alias(f"__keep_{c}") for c in carry],
-        F.col(text).alias("__of"),
+        *([] if inside else [F.col(text).alias("__of")]),
         F.regexp_extract(clean(declared), "^[a-z]+", 0).alias("declared"),
         place.alias("host"),
         F.when(place.contains("."), F.element_at(labels, -1)).alias("suffix"),
         F.when(place.contains("."), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")).alias("domain"),
     ).withColumn("declared", F.nullif("declared", F.lit("")))
     names = [f"__keep_{c}" for c in carry]
-    scored = text_evidence(parts, model, [*names, "declared", "suffix", "domain", "host"], "__of")
+    scored = text_evidence(parts, model, [*names, "declared", "suffix", "domain", "host"], f"__keep_{text}" if inside else "__of")
     if not langs:
         empty = {"language": none, "confidence": F.lit(None).cast("double"), "kept": F.lit(False)}
         return scored.select(*[F.col(f"__keep_{c}").alias(c) for c in carry], *[v.alias(k) for k, v in empty.items()])

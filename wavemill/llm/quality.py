@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from wavemill.llm.common import Numbered, map_arrow, process_cache, text_column, written
+from wavemill.llm.common import Numbered, map_arrow, process_cache, with_texts, written
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -217,13 +218,13 @@ def _flat(nodes: list[list], roots: list[int], base: float) -> Trees:
 
 
 def document_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key and all counts of each text."""
-    kept = docs.select(F.col(key), text_column(text).alias("__text"))
+    """The key, which may be a whole row with the text in it, and all counts of each text."""
     names = [*COUNTS, *MORE_COUNTS]
-    schema = ", ".join([f"`{key}` {kept.dtypes[0][1]}", *(f"{n} bigint" for n in names)])
+    kept, texts_of = with_texts(docs, [key], text)
+    schema = StructType([kept.schema.fields[0], *(StructField(n, LongType()) for n in names)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = np.array([text_counts(t) for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(names))
+        rows = np.array([text_counts(t) for t in texts_of(batch)], np.int64).reshape(-1, len(names))
         columns = [pa.array(rows[:, n]) for n in range(len(names))]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], [key, *names])
 
@@ -254,20 +255,15 @@ def judge(counted: DataFrame, trees: Trees | None, key: str = "doc_id", threshol
     names = [*COUNTS, *MORE_COUNTS]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     base = counted.select(key, *names, failed.alias("base_failed"))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in base.dtypes), "score double", "kept boolean"])
-
-    def run(batches):
-        for batch in batches:
-            rejected = batch.column("base_failed").to_numpy(zero_copy_only=False).astype(bool)
-            if trees is None:
-                score, kept = pa.nulls(batch.num_rows, pa.float64()), ~rejected
-            else:
-                counts = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
-                p = 1 / (1 + np.exp(-trees.score(features(counts))))
-                score, kept = pa.array(p), ~rejected & (p >= threshold)
-            yield pa.RecordBatch.from_arrays([*batch.columns, score, pa.array(kept)], [*batch.schema.names, "score", "kept"])
-
-    return base.mapInArrow(run, schema)
+    if trees is None:
+        return base.withColumns({"score": F.lit(None).cast("double"), "kept": ~F.col("base_failed")})
+
+    @F.arrow_udf("double")
+    def probability(*columns: pa.Array) -> pa.Array:
+        counts = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)
+        return pa.array(1 / (1 + np.exp(-trees.score(features(counts)))))
+
+    return base.withColumn("score", probability(*names)).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
