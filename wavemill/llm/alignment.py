@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavemill.llm.bpe import ODD_BLANK, ODD_SPACE, Vocabulary, gathered, parts_of
+from wavemill.llm.bpe import Vocabulary, gathered, odd_marks, parts_of
 from wavemill.llm.common import Numbered, map_arrow, process_cache, text_column, written
 
 CACHED_PARTS = 300_000
@@ -157,8 +157,7 @@ class Pair:
         """Per text: counts of A tokens, B tokens and groups; the groups as text; all links in a row and how many each has."""
         if len(self.slot) > CACHED_PARTS:
             self.reset()
-        together = b"|".join(texts)
-        odd = [[p for p in some if p in together] for some in (ODD_BLANK, ODD_SPACE)]
+        odd = odd_marks(texts)
         slots = []
         for text in texts:
             parts = parts_of(text, *odd) if text and self.splits else [b" " + text] if text else []
