@@ -13,7 +13,7 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from wavemill.llm import bpe, language_id, mixing, near_dedup, quality
-from wavemill.llm.common import drop_tables, recording, written
+from wavemill.llm.common import drop_tables, recording, small_batches, written
 from wavemill.llm.queries import table, tokenizer
 
 #: The mix repeats documents and cuts one per source, so no SQL gives its rows; see tests/llm/test_pipeline.py.
@@ -28,11 +28,13 @@ _scratch: list[str] = []
 
 
 def staged(stage):
-    """``stage`` with its scratch tables noted, and those of the stage before deleted."""
+    """``stage`` with its scratch tables noted, and those of the stage before deleted. Its rows, which the caller
+    writes, go to Python in small batches: the session keeps that setting."""
 
     @wraps(stage)
     def run_stage(spark, docs, sf_dir):
         drop_tables(spark, _scratch)
+        small_batches(spark)
         with recording(_scratch):
             return stage(spark, docs, sf_dir)
 

@@ -142,13 +142,35 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(SHUFFLES_END) if before is None else spark.conf.set(SHUFFLES_END, before)
 
 
+#: Rows that Spark sends to a Python worker at once. Ten thousand texts take tens of MB, in the executor and the worker.
+BATCH_ROWS, MOST_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> str | None:
+    """Let queries planned from now on send at most MOST_ROWS rows at once; what was set before, None if nothing was."""
+    before = spark.conf.get(BATCH_ROWS, None)
+    if before is None or not 0 < int(before) <= MOST_ROWS:
+        spark.conf.set(BATCH_ROWS, str(MOST_ROWS))
+    return before
+
+
+@contextmanager
+def batches_small(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` inside the block only."""
+    before = small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_ROWS) if before is None else spark.conf.set(BATCH_ROWS, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, lineage cut, whole after lost executors. What was
     shuffled to make it is deleted."""
     path = scratch_path(df.sparkSession, label)
     if _recording is not None:
         _recording.append(path)
-    with shuffles_end(df.sparkSession):
+    with shuffles_end(df.sparkSession), batches_small(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -42,7 +42,7 @@ STEP, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9
 SLACK = 0.14
 #: Rounding of sums of a few distances; a bound may be met by this much too late, never too early.
 ROUNDING = 1e-9
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: Members of a group that meet others in one task.
 CHUNK = 2000
 #: Elements whose permutations are drawn together.

@@ -39,7 +39,7 @@ FEATURES = {
 }
 #: At most so many labelled documents train the model: the first in the order of a hash of the id.
 SAMPLE = 8000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 
 class WordNumbers:
